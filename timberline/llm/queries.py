@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, licenses, mixing, sharding, simhash, substrings
+from . import bpe, embeddings, html_text, jaccard, langid, licenses, mixing, sharding, simhash, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_mixing": op7_mixing,
     "op5_language": op5_language,
@@ -53,6 +61,8 @@ QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
     "op6_sharding": op6_sharding,
     "op8_bpe": op8_bpe,
+    "op10_embeddings": op10_embeddings,
+    "op9_jaccard": op9_jaccard,
 }
 
 ORACLES: dict[str, str] = {
