@@ -1,6 +1,586 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import objectives as O
+from ..functions.random import uniform
+from ..operators import binning, boost, cv, features, histogram, inspect, metrics, ranking, sampling, split, validate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str):
+    return F.round(c.cast("double"), 6).alias(name)
+
+
+# --- validation and binning --------------------------------------------------------------------------------------
+
+
+@query("column_report", " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*)::BIGINT AS n_rows, (count(*) - count({c}))::BIGINT AS n_missing, count(DISTINCT {c})::BIGINT AS n_distinct, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, count(DISTINCT {c}) <= 1 AS is_constant FROM lineitem" for c in [*FEATURES, "l_extendedprice"]))
+def column_report(spark, d):
+    return validate.column_report(table(spark, d, "lineitem"), [*FEATURES, "l_extendedprice"])
+
+
+def _levels_sql(c: str) -> str:
+    """Edges midway between neighbouring distinct values, for columns with few values."""
+    return f"SELECT '{c}' AS feature, round((v + lead(v) OVER (ORDER BY v)) / 2, 6) AS edge FROM (SELECT DISTINCT {c} AS v FROM lineitem) QUALIFY lead(v) OVER (ORDER BY v) IS NOT NULL"
+
+
+@query("level_edges", " UNION ALL ".join(f"({_levels_sql(c)})" for c in FEATURES))
+def level_edges(spark, d):
+    return binning.quantile_edges(table(spark, d, "lineitem"), FEATURES).select("feature", r6(F.col("edge"), "edge"))
+
+
+@query("quantile_edges", """
+WITH p AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem),
+low AS (SELECT DISTINCT p.v AS v FROM p, range(1, 32) AS t(b) WHERE p.r = (t.b * p.n) // 32),
+vals AS (SELECT v, lead(v) OVER (ORDER BY v) AS nxt FROM (SELECT DISTINCT v FROM p))
+SELECT 'l_extendedprice' AS feature, round((v + nxt) / 2, 6) AS edge FROM vals SEMI JOIN low USING (v) WHERE nxt IS NOT NULL""")
+def quantile_edges(spark, d):
+    return binning.quantile_edges(table(spark, d, "lineitem"), ["l_extendedprice"], 32).select("feature", r6(F.col("edge"), "edge"))
+
+
+@query("equal_width_bins", "SELECT bin::INT AS bin, count(*)::BIGINT AS n FROM (SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((l_quantity - lo) / (hi - lo) * 16), 15) END AS bin FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)) GROUP BY 1")
+def equal_width_bins(spark, d):
+    return binning.equal_width(table(spark, d, "lineitem"), "l_quantity", 16).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bin_transform", """
+WITH e AS (SELECT (v + lead(v) OVER (ORDER BY v)) / 2 AS edge FROM (SELECT DISTINCT l_quantity AS v FROM lineitem)),
+c AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT (SELECT count(*) FROM e WHERE edge < c.v)::INT AS bin, n::BIGINT AS n FROM c""")
+def bin_transform(spark, d):
+    li = table(spark, d, "lineitem")
+    bins = binning.Bins.fit(li, ["l_quantity"])
+    return bins.transform(li).groupBy(F.col("b_l_quantity").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("category_table", "SELECT o_orderpriority AS category, count(*)::BIGINT AS n, (row_number() OVER (ORDER BY o_orderpriority) - 1)::INT AS code FROM orders GROUP BY 1")
+def category_table(spark, d):
+    return binning.categories(table(spark, d, "orders"), "o_orderpriority")
+
+
+@query("label_encode", "SELECT c_custkey, code::INT AS segment_code FROM customer JOIN (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)) ON c_mktsegment = s")
+def label_encode(spark, d):
+    c = table(spark, d, "customer")
+    return binning.encode(c, "c_mktsegment", binning.categories(c, "c_mktsegment"), "segment_code").select("c_custkey", "segment_code")
+
+
+@query("feature_prefilter", """
+WITH s AS (SELECT 'p_size' AS feature, p_size::DOUBLE AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part),
+c AS (SELECT feature, v, count(*) AS n FROM s GROUP BY ALL), r AS (SELECT feature, sum(n) OVER (PARTITION BY feature ORDER BY v) AS l, sum(n) OVER (PARTITION BY feature) AS t FROM c)
+SELECT feature, bool_or(l >= 20 AND t - l >= 20) AS usable FROM r GROUP BY 1""")
+def feature_prefilter(spark, d):
+    return binning.prefilter(table(spark, d, "part"), ["p_size", "p_retailprice"], 20)
+
+
+# --- sampling ----------------------------------------------------------------------------------------------------
+
+_U = "(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query("bagging_sample", f"SELECT o_orderkey FROM orders WHERE {_U.format(seed=7, key='o_orderkey')} < 0.3")
+def bagging_sample(spark, d):
+    return sampling.bag(table(spark, d, "orders"), "o_orderkey", 0.3, 7).select("o_orderkey")
+
+
+@query("class_bagging", f"SELECT doc_id, toxic FROM labels WHERE {_U.format(seed=3, key='doc_id')} < CASE WHEN toxic > 0 THEN 0.9 ELSE 0.2 END")
+def class_bagging(spark, d):
+    return sampling.class_bag(table(spark, d, "labels"), "doc_id", "toxic", 0.9, 0.2, 3).select("doc_id", "toxic")
+
+
+@query("query_bagging", f"SELECT l_orderkey, count(*)::BIGINT AS n FROM lineitem WHERE {_U.format(seed=5, key='l_orderkey')} < 0.25 GROUP BY 1")
+def query_bagging(spark, d):
+    return sampling.query_bag(table(spark, d, "lineitem"), "l_orderkey", 0.25, 5).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bayesian_bootstrap", f"SELECT o_orderkey, round(pow(-ln({_U.format(seed=2, key='o_orderkey')} + 1e-100), 0.5), 6) AS weight FROM orders")
+def bayesian_bootstrap(spark, d):
+    return sampling.bayesian_weight(table(spark, d, "orders"), "o_orderkey", 0.5, 2).select("o_orderkey", r6(F.col("weight"), "weight"))
+
+
+@query("goss_sample", f"""WITH t AS (SELECT o_orderkey, o_totalprice / 99991 - 1.5 AS g FROM orders), c AS (SELECT quantile_cont(abs(g), 0.8) AS t FROM t)
+SELECT o_orderkey, CASE WHEN abs(g) >= t THEN 1.0 ELSE 8.0 END::DOUBLE AS multiplier FROM t, c WHERE abs(g) >= t OR {_U.format(seed=4, key='o_orderkey')} < 0.125""")
+def goss_sample(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 99991 - 1.5).alias("g"), F.lit(1.0).alias("h"))
+    return sampling.goss(o, "o_orderkey", "g", "h", 0.2, 0.1, 4).select("o_orderkey", F.round("multiplier", 6).alias("multiplier"))
+
+
+@query("class_weights_balanced", "SELECT toxic, count(*)::BIGINT AS n, round((SELECT count(*) FROM labels) / (2.0 * count(*)), 6) AS weight FROM labels GROUP BY 1")
+def class_weights_balanced(spark, d):
+    return sampling.class_weights(table(spark, d, "labels"), "toxic").select("toxic", "n", r6(F.col("weight"), "weight"))
+
+
+@query("cv_folds", f"SELECT floor({_U.format(seed=0, key='o_orderkey')} * 5)::INT AS fold, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def cv_folds(spark, d):
+    return sampling.folds(table(spark, d, "orders"), "o_orderkey").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- derivatives -------------------------------------------------------------------------------------------------
+
+_GRADS = {
+    "l2": ("r - y", "1.0"),
+    "poisson": ("exp(r) - y", "exp(r + 0.7)"),
+    "huber": ("greatest(-0.9, least(0.9, r - y))", "1.0"),
+    "quantile": ("CASE WHEN r - y >= 0 THEN 1 - 0.9 ELSE -0.9 END", "1.0"),
+    "l1": ("sign(r - y)", "1.0"),
+    "gamma": ("1 - y * exp(-r)", "y * exp(-r)"),
+    "tweedie": ("-y * exp(-0.5 * r) + exp(0.5 * r)", "0.5 * y * exp(-0.5 * r) + 0.5 * exp(0.5 * r)"),
+    "mape": ("sign(r - y) / greatest(1.0, abs(y))", "1 / greatest(1.0, abs(y))"),
+    "fair": ("(r - y) / (abs(r - y) + 1)", "1 / pow(abs(r - y) + 1, 2)"),
+    "binary": ("1 / (1 + exp(-r)) - (y > 2)::INT", "greatest((1 / (1 + exp(-r))) * (1 - 1 / (1 + exp(-r))), 1e-16)"),
+    "cross_entropy": ("1 / (1 + exp(-r)) - least(1.0, y / 6)", "greatest((1 / (1 + exp(-r))) * (1 - 1 / (1 + exp(-r))), 1e-16)"),
+}
+
+
+def _scored(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 99991).alias("y"), (F.col("o_orderkey") % 7 / 4.0).alias("r"))
+
+
+for _name, (_g, _h) in _GRADS.items():
+
+    def _grad(spark, d, name=_name):
+        y = {"binary": (F.col("y") > 2).cast("double"), "cross_entropy": F.least(F.lit(1.0), F.col("y") / 6)}.get(name, F.col("y"))
+        g, h = O.objective(name).derivatives(y, F.col("r"), {})
+        return _scored(spark, d).select("o_orderkey", r6(g, "grad"), r6(h, "hess"))
+
+    query(f"grad_hess_{_name}", f"SELECT o_orderkey, round(({_g})::DOUBLE, 6) AS grad, round(({_h})::DOUBLE, 6) AS hess FROM (SELECT o_orderkey, o_totalprice / 99991 AS y, (o_orderkey % 7) / 4.0::DOUBLE AS r FROM orders)")(_grad)
+
+
+@query("grad_hess_multiclass", "SELECT o_orderkey, round(e0 / s - (o_orderkey % 3 = 0)::INT, 6) AS g0, round(1.5 * (e0 / s) * (1 - e0 / s), 6) AS h0, round(e2 / s - (o_orderkey % 3 = 2)::INT, 6) AS g2 FROM (SELECT o_orderkey, exp(o_totalprice / 99991) AS e0, exp(0.5::DOUBLE) AS e1, exp((o_orderkey % 7) / 4.0::DOUBLE) AS e2, e0 + e1 + e2 AS s FROM orders)")
+def grad_hess_multiclass(spark, d):
+    (g0, h0), _, (g2, _) = O.multiclass_derivatives(F.col("o_orderkey") % 3, [F.col("y"), F.lit(0.5), F.col("r")])
+    return _scored(spark, d).select("o_orderkey", r6(g0, "g0"), r6(h0, "h0"), r6(g2, "g2"))
+
+
+@query("base_scores", "SELECT 'l2' AS objective, round(avg(y), 6) AS base FROM (SELECT o_totalprice / 99991 AS y FROM orders) UNION ALL SELECT 'poisson', round(ln(avg(o_totalprice / 99991)), 6) FROM orders UNION ALL SELECT 'l1', round(quantile_cont(o_totalprice / 99991, 0.5), 6) FROM orders UNION ALL SELECT 'quantile', round(quantile_cont(o_totalprice / 99991, 0.9), 6) FROM orders")
+def base_scores(spark, d):
+    rows = _scored(spark, d)
+    return spark.createDataFrame([(n, O.objective(n).base_score(rows, "y")) for n in ("l2", "poisson", "l1", "quantile")], "objective string, base double").select("objective", r6(F.col("base"), "base"))
+
+
+# --- histograms and splits ---------------------------------------------------------------------------------------
+
+
+def _binned(spark, d):
+    """Three binned features; gradients are whole numbers, so that sums are exact in any order."""
+    li = table(spark, d, "lineitem")
+    rows = li.select(F.col("l_quantity").cast("int").alias("b_q"), F.round(F.col("l_discount") * 100).cast("int").alias("b_d"), F.round(F.col("l_tax") * 100).cast("int").alias("b_t"), (F.round("l_extendedprice").cast("long") - 38000).alias("g"), F.lit(1).cast("long").alias("h"), (F.col("l_orderkey") % 3).cast("int").alias("node"))
+    return rows
+
+
+_CELLS = "SELECT node, f AS feature, b AS bin, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h, count(*)::BIGINT AS n FROM (SELECT {node} AS node, round(l_extendedprice)::BIGINT - 38000 AS g, 1 AS h, unnest([{{'f': 0, 'b': l_quantity::INT}}, {{'f': 1, 'b': round(l_discount * 100)::INT}}, {{'f': 2, 'b': round(l_tax * 100)::INT}}], recursive := true) FROM lineitem) GROUP BY ALL"
+
+
+@query("histogram_numeric", _CELLS.format(node="0::INT"))
+def histogram_numeric(spark, d):
+    return histogram.histogram(_binned(spark, d), ["q", "d", "t"])
+
+
+@query("histogram_by_node", _CELLS.format(node="(l_orderkey % 3)::INT"))
+def histogram_by_node(spark, d):
+    return histogram.histogram(_binned(spark, d), ["q", "d", "t"], node="node")
+
+
+@query("histogram_subtract", f"SELECT 0::INT AS node, feature, bin, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h, sum(n)::BIGINT AS n FROM ({_CELLS.format(node='(l_orderkey % 3)::INT')}) WHERE node <> 0 GROUP BY feature, bin")
+def histogram_subtract(spark, d):
+    rows = _binned(spark, d)
+    return histogram.subtract(histogram.histogram(rows, ["q", "d", "t"]), histogram.histogram(rows.filter("node = 0"), ["q", "d", "t"]))
+
+
+def _split_sql(l1: float = 0.0, l2: float = 1.0, node: str = "(l_orderkey % 3)::INT", least: int = 20) -> str:
+    def s(g, h):
+        t = f"(sign({g}) * greatest(abs({g}) - {l1}, 0))" if l1 else g
+        return f"({t} * {t} / ({h} + {l2}))"
+
+    return f"""WITH hist AS ({_CELLS.format(node=node)}),
+c AS (SELECT *, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(n) OVER w AS ln, sum(g) OVER p AS tg, sum(h) OVER p AS th, sum(n) OVER p AS tn FROM hist WINDOW w AS (PARTITION BY node, feature ORDER BY bin), p AS (PARTITION BY node, feature)),
+s AS (SELECT *, {s('lg::DOUBLE', 'lh')} + {s('(tg - lg)::DOUBLE', '(th - lh)')} - {s('tg::DOUBLE', 'th')} AS gain FROM c WHERE ln >= {least} AND tn - ln >= {least})
+SELECT node, feature, bin, round(gain, 2) AS gain, ln::BIGINT AS left_n FROM s WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) = 1"""
+
+
+def _best(spark, d, **p):
+    found = split.best(histogram.histogram(_binned(spark, d), ["q", "d", "t"], node="node"), split.SplitParams(**p))
+    return found.select("node", "feature", "bin", F.round("gain", 2).alias("gain"), F.col("left_n").cast("long").alias("left_n"))
+
+
+query("best_split_numeric", _split_sql())(lambda spark, d: _best(spark, d))
+query("best_split_l1", _split_sql(l1=50000.0, l2=5.0))(lambda spark, d: _best(spark, d, lambda_l1=50000.0, lambda_l2=5.0))
+query("best_split_min_data", _split_sql(least=200))(lambda spark, d: _best(spark, d, min_data_in_leaf=200))
+
+
+@query("best_split_missing")
+def best_split_missing(spark, d):
+    hist = histogram.histogram(_binned(spark, d), ["q", "d", "t"], node="node")
+    return split.best(hist, split.SplitParams(), {1: 10, 2: 8}).select("node", "feature", "bin", "default_left", F.round("gain", 2).alias("gain"))
+
+
+@query("best_split_cosine")
+def best_split_cosine(spark, d):
+    return _best(spark, d, score="Cosine")
+
+
+@query("best_split_categorical")
+def best_split_categorical(spark, d):
+    return split.best_categorical(histogram.histogram(_binned(spark, d), ["q", "d", "t"], node="node"), split.SplitParams()).select("node", "feature", "left", F.round("gain", 2).alias("gain"))
+
+
+@query("oblivious_split", f"""WITH hist AS ({_CELLS.format(node='(l_orderkey % 3)::INT')}), f AS (SELECT DISTINCT feature, bin FROM hist), m AS (SELECT DISTINCT node FROM hist),
+g AS (SELECT m.node, f.feature, f.bin, coalesce(g, 0) AS g, coalesce(h, 0) AS h FROM f CROSS JOIN m LEFT JOIN hist USING (node, feature, bin)),
+c AS (SELECT *, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(g) OVER p AS tg, sum(h) OVER p AS th FROM g WINDOW w AS (PARTITION BY node, feature ORDER BY bin), p AS (PARTITION BY node, feature))
+SELECT feature, bin, round(sum(lg::DOUBLE * lg / (lh + 1) + (tg - lg)::DOUBLE * (tg - lg) / (th - lh + 1) - tg::DOUBLE * tg / (th + 1)), 2) AS gain FROM c GROUP BY 1, 2 ORDER BY gain DESC, feature, bin LIMIT 1""")
+def oblivious_split(spark, d):
+    return split.oblivious(histogram.histogram(_binned(spark, d), ["q", "d", "t"], node="node"), split.SplitParams()).select("feature", "bin", F.round("gain", 2).alias("gain"))
+
+
+# --- training and prediction -------------------------------------------------------------------------------------
+
+
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", *FEATURES, (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+
+
+def _params(**more) -> boost.Params:
+    return boost.Params.of(**{"num_iterations": 3, "max_depth": 2, "num_leaves": 4, "grow_policy": "depthwise", "learning_rate": 0.3, **more})
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of depth-two trees for the price of a line item; the root mean squared error before and after."""
+    rows = training_rows(spark, d)
+    model = boost.train(rows, FEATURES, "y", _params())
+    out = model.predict(rows)
+    error = lambda p: F.sqrt(F.avg((F.col("y") - p) * (F.col("y") - p)))
+    return out.agg(r6(error(F.lit(model.base[0])), "rmse_before"), r6(error(F.col("prediction")), "rmse_after"), F.lit(len(model.trees)).alias("trees"))
+
+
+query("gbdt_3_rounds")(flagship)
+
+
+@query("tree_stump", """WITH r AS (SELECT l_quantity::INT AS q, (round(l_extendedprice)::BIGINT - 38000)::DOUBLE AS y FROM lineitem), c AS (SELECT q, sum(-y) AS g, count(*) AS n FROM r GROUP BY 1),
+s AS (SELECT q, sum(g) OVER w AS lg, sum(n) OVER w AS ln, sum(g) OVER () AS tg, sum(n) OVER () AS tn FROM c WINDOW w AS (ORDER BY q)),
+b AS (SELECT *, lg * lg / (ln + 1) + (tg - lg) * (tg - lg) / (tn - ln + 1) - tg * tg / (tn + 1) AS gain FROM s WHERE ln >= 20 AND tn - ln >= 20 ORDER BY gain DESC, q LIMIT 1)
+SELECT 'left' AS side, ln::BIGINT AS n, round(-lg / (ln + 1), 6) AS value FROM b UNION ALL SELECT 'right', (tn - ln)::BIGINT, round(-(tg - lg) / (tn - ln + 1), 6) FROM b""")
+def tree_stump(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("q"), (F.round("l_extendedprice").cast("long") - 38000).cast("double").alias("y"))
+    bins = binning.Bins.fit(rows, ["q"])
+    t = boost.grow(bins.transform(rows).withColumn("g", -F.col("y")).withColumn("h", F.lit(1.0)), ["q"], bins, boost.Params.of(max_depth=1))
+    side = [("left", t[t[0]["left"]]), ("right", t[t[0]["right"]])]
+    return spark.createDataFrame([(s, int(n["count"]), float(n["value"])) for s, n in side], "side string, n bigint, value double").select("side", "n", r6(F.col("value"), "value"))
+
+
+for _kind, _more in {
+    "gbdt_leafwise": {"grow_policy": "leafwise", "max_depth": -1},
+    "gbdt_oblivious": {"grow_policy": "oblivious"},
+    "gbdt_binary": {"objective": "binary"},
+    "gbdt_poisson": {"objective": "poisson"},
+    "gbdt_dart": {"boosting": "dart", "drop_rate": 0.5, "skip_drop": 0.0},
+    "gbdt_random_forest": {"boosting": "rf", "bagging_fraction": 0.7, "bagging_freq": 1},
+    "gbdt_goss": {"boosting": "goss", "learning_rate": 0.9},
+    "gbdt_bagged": {"bagging_fraction": 0.5, "bagging_freq": 1, "feature_fraction": 0.7},
+}.items():
+
+    def _fit(spark, d, more=_more):
+        rows = training_rows(spark, d)
+        label = "returned" if more.get("objective") == "binary" else "y"
+        model = boost.train(rows, FEATURES, label, _params(**more), key="l_orderkey")
+        return model.predict(rows).agg(r6(F.avg((F.col(label) - F.col("prediction")) ** 2), "mse"), F.lit(len(model.trees)).alias("trees"))
+
+    query(_kind)(_fit)
+
+
+@query("gbdt_multiclass")
+def gbdt_multiclass(spark, d):
+    rows = training_rows(spark, d).withColumn("k", (F.col("y") > 20).cast("int") + (F.col("y") > 45).cast("int"))
+    model = boost.train(rows, FEATURES, "k", _params(objective="multiclass", num_class=3, num_iterations=2))
+    return metrics.multiclass(model.predict(rows), "multi_error", "k", "probabilities").withColumn("value", F.round("value", 6))
+
+
+@query("gbdt_early_stopping")
+def gbdt_early_stopping(spark, d):
+    rows = sampling.folds(training_rows(spark, d), "l_orderkey", 4)
+    model = boost.train(rows.filter("fold > 0"), FEATURES, "y", _params(num_iterations=5, early_stopping_round=2), valid=rows.filter("fold = 0"))
+    return spark.createDataFrame([(h["iteration"], float(h["loss"])) for h in model.history], "iteration int, loss double").select("iteration", r6(F.col("loss"), "loss"))
+
+
+def _model(spark, d):
+    rows = training_rows(spark, d)
+    return rows, boost.train(rows, FEATURES, "y", _params())
+
+
+@query("trees_table")
+def trees_table(spark, d):
+    return inspect.node_table(spark, _model(spark, d)[1]).withColumn("value", F.round("value", 6)).withColumn("gain", F.round("gain", 3))
+
+
+@query("feature_importance")
+def feature_importance(spark, d):
+    return inspect.importance(inspect.node_table(spark, _model(spark, d)[1]))
+
+
+@query("leaf_index")
+def leaf_index(spark, d):
+    rows, model = _model(spark, d)
+    return model.predict(rows, "leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("shap_efficiency")
+def shap_efficiency(spark, d):
+    rows, model = _model(spark, d)
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    gap = F.abs(total - F.col("prediction"))
+    return inspect.contributions(model.predict(rows, "raw"), model).agg(r6(F.max(gap), "largest_gap"), F.count(F.lit(1)).alias("n"))
+
+
+@query("refit_leaves")
+def refit_leaves(spark, d):
+    rows, model = _model(spark, d)
+    return inspect.node_table(spark, inspect.refit(model, rows, "y")).filter("feature IS NULL").select("tree_index", "node", r6(F.col("value"), "value"))
+
+
+@query("cv_mean_std")
+def cv_mean_std(spark, d):
+    r = cv.cv(training_rows(spark, d), FEATURES, "y", "l_orderkey", _params(num_iterations=1), 3)
+    return spark.createDataFrame([(float(r["mean"]), float(r["stdv"]))], "mean double, stdv double").select(r6(F.col("mean"), "mean"), r6(F.col("stdv"), "stdv"))
+
+
+# --- metrics -----------------------------------------------------------------------------------------------------
+
+_P = "(o_orderkey % 97 + 1) / 100.0::DOUBLE"
+_Y = {"plain": "o_totalprice / 99991", "unit": "(o_totalprice > 150000)::INT", "soft": "least(1.0, o_totalprice / 600000)"}
+_Q = f"({_P})"
+_METRICS = {
+    "l2": ("plain", "avg(pow(y - p, 2))"),
+    "rmse": ("plain", "sqrt(avg(pow(y - p, 2)))"),
+    "l1": ("plain", "avg(abs(y - p))"),
+    "quantile": ("plain", "avg(CASE WHEN y >= p THEN 0.9 * (y - p) ELSE -0.1 * (y - p) END)"),
+    "huber": ("plain", "avg(CASE WHEN abs(y - p) <= 0.9 THEN 0.5 * pow(y - p, 2) ELSE 0.9 * (abs(y - p) - 0.45) END)"),
+    "fair": ("plain", "avg(abs(y - p) - ln(1 + abs(y - p)))"),
+    "mape": ("plain", "avg(abs(y - p) / greatest(1.0, abs(y)))"),
+    "poisson": ("plain", "avg(p - y * ln(p))"),
+    "gamma": ("plain", "avg(y / p + ln(p))"),
+    "gamma_deviance": ("plain", "2 * avg(ln(p / y) + y / p - 1)"),
+    "tweedie": ("plain", "avg(2 * y / sqrt(p) + 2 * sqrt(p))"),
+    "binary_logloss": ("unit", "-avg(y * ln(p) + (1 - y) * ln(1 - p))"),
+    "cross_entropy": ("soft", "-avg(y * ln(p) + (1 - y) * ln(1 - p))"),
+    "kldiv": ("soft", "avg(CASE WHEN y > 0 THEN y * ln(y / p) ELSE 0 END + CASE WHEN y < 1 THEN (1 - y) * ln((1 - y) / (1 - p)) ELSE 0 END)"),
+    "binary_error": ("unit", "avg(((p >= 0.5)::INT <> y)::INT)"),
+    "accuracy": ("unit", "avg(((p >= 0.5)::INT = y)::INT)"),
+}
+
+
+def _judged(spark, d, kind):
+    o = table(spark, d, "orders")
+    y = {"plain": F.col("o_totalprice") / 99991, "unit": (F.col("o_totalprice") > 150000).cast("int"), "soft": F.least(F.lit(1.0), F.col("o_totalprice") / 600000)}[kind]
+    return o.select("o_orderkey", "o_custkey", y.alias("y"), ((F.col("o_orderkey") % 97 + 1) / 100.0).alias("p"))
+
+
+for _name, (_kind, _sql) in _METRICS.items():
+
+    def _metric(spark, d, name=_name, kind=_kind):
+        return metrics.pointwise(_judged(spark, d, kind), name, "y", "p").select("metric", r6(F.col("value"), "value"))
+
+    query(f"metric_{_name}", f"SELECT '{_name}' AS metric, round(({_sql})::DOUBLE, 6) AS value FROM (SELECT {_Y[_kind]} AS y, {_P} AS p FROM orders)")(_metric)
+
+_BLOCKS = f"b AS (SELECT {_P} AS s, sum((o_totalprice > 150000)::INT) AS pos, sum((o_totalprice <= 150000)::INT) AS neg FROM orders GROUP BY 1), r AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn FROM b)"
+
+
+@query("metric_auc", f"WITH {_BLOCKS} SELECT 'auc' AS metric, round((sum(neg * (cp - pos / 2.0)) / (sum(pos) * sum(neg)))::DOUBLE, 6) AS value FROM r")
+def metric_auc(spark, d):
+    return metrics.auc(_judged(spark, d, "unit"), "y", "p").select("metric", r6(F.col("value"), "value"))
+
+
+@query("metric_average_precision", f"WITH {_BLOCKS} SELECT 'average_precision' AS metric, round((sum(pos * cp / (cp + cn)) / sum(pos))::DOUBLE, 6) AS value FROM r")
+def metric_average_precision(spark, d):
+    return metrics.average_precision(_judged(spark, d, "unit"), "y", "p").select("metric", r6(F.col("value"), "value"))
+
+
+@query("metric_multi_logloss", "SELECT 'multi_logloss' AS metric, round((-avg(ln(CASE o_orderkey % 3 WHEN 0 THEN e0 WHEN 1 THEN e1 ELSE e2 END / (e0 + e1 + e2))))::DOUBLE, 6) AS value FROM (SELECT o_orderkey, exp(o_totalprice / 99991) AS e0, exp(0.5::DOUBLE) AS e1, exp((o_orderkey % 7) / 4.0::DOUBLE) AS e2 FROM orders)")
+def metric_multi_logloss(spark, d):
+    rows = _scored(spark, d).withColumn("k", F.col("o_orderkey") % 3).withColumn("q", F.array(*O.softmax([F.col("y"), F.lit(0.5), F.col("r")])))
+    return metrics.multiclass(rows, "multi_logloss", "k", "q").select("metric", r6(F.col("value"), "value"))
+
+
+_RANK = "r AS (SELECT o_custkey AS q, o_orderkey % 5 AS l, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 5 DESC, o_orderkey) AS i FROM orders)"
+
+
+def _ranked(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.col("o_orderkey") % 5).alias("l"))
+
+
+@query("metric_ndcg", f"WITH {_RANK}, g AS (SELECT q, sum(CASE WHEN k <= 10 THEN (pow(2, l) - 1) / log2(k + 1) ELSE 0 END) AS a, sum(CASE WHEN i <= 10 THEN (pow(2, l) - 1) / log2(i + 1) ELSE 0 END) AS b FROM r GROUP BY 1) SELECT 'ndcg@10' AS metric, round(avg(CASE WHEN b > 0 THEN a / b ELSE 1 END), 6) AS value FROM g")
+def metric_ndcg(spark, d):
+    return metrics.ndcg(_ranked(spark, d), "o_custkey", "l", "o_totalprice", "o_orderkey").select("metric", r6(F.col("value"), "value"))
+
+
+@query("metric_map", f"WITH {_RANK}, h AS (SELECT *, sum((l > 0)::INT) OVER (PARTITION BY q ORDER BY k) AS hits FROM r), g AS (SELECT q, sum(CASE WHEN l > 0 AND k <= 10 THEN hits / k ELSE 0 END) AS s, sum((l > 0)::INT) AS m FROM h GROUP BY 1) SELECT 'map@10' AS metric, round(avg(CASE WHEN m > 0 THEN s / least(10, m) ELSE 1 END)::DOUBLE, 6) AS value FROM g")
+def metric_map(spark, d):
+    return metrics.mean_average_precision(_ranked(spark, d), "o_custkey", "l", "o_totalprice", "o_orderkey").select("metric", r6(F.col("value"), "value"))
+
+
+@query("metric_pfound")
+def metric_pfound(spark, d):
+    return metrics.pfound(_ranked(spark, d).withColumn("l", F.col("l") / 5), "o_custkey", "l", "o_totalprice", "o_orderkey").select("metric", r6(F.col("value"), "value"))
+
+
+@query("cox_loglik", "WITH t AS (SELECT o_orderkey % 50 AS t, exp((o_orderkey % 7) / 4.0::DOUBLE) AS e, (o_orderkey % 7) / 4.0::DOUBLE AS r, (o_orderkey % 4 > 0)::INT AS d FROM orders), g AS (SELECT t, sum(e) AS e, sum(r * d) AS s, sum(d) AS d FROM t GROUP BY 1), k AS (SELECT *, sum(e) OVER (ORDER BY t DESC) AS risk FROM g) SELECT 'cox' AS metric, round(sum(s - d * ln(risk)), 3) AS value FROM k")
+def cox_loglik(spark, d):
+    rows = _scored(spark, d).withColumn("t", F.col("o_orderkey") % 50).withColumn("e", (F.col("o_orderkey") % 4 > 0).cast("int"))
+    return metrics.cox_partial_loglik(rows, "t", "e", "r").select("metric", F.round("value", 3).alias("value"))
+
+
+# --- ranking and survival ----------------------------------------------------------------------------------------
+
+
+@query("query_groups", "SELECT l_orderkey, n::BIGINT AS n, coalesce(sum(n) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
+def query_groups(spark, d):
+    return ranking.groups(table(spark, d, "lineitem"), "l_orderkey").select("l_orderkey", "n", F.col("start").cast("long").alias("start"))
+
+
+@query("query_rmse_grad", "SELECT o_orderkey, round(r - y - avg(r - y) OVER (PARTITION BY o_custkey), 6) AS grad FROM (SELECT o_orderkey, o_custkey, (o_orderkey % 7) / 4.0::DOUBLE AS r, o_totalprice / 99991 AS y FROM orders)")
+def query_rmse_grad(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7 / 4.0).alias("r"), (F.col("o_totalprice") / 99991).alias("y"))
+    return ranking.query_rmse(rows, "o_custkey", "y", "r").select("o_orderkey", r6(F.col("grad"), "grad"))
+
+
+_PAIR = "r AS (SELECT o_orderkey AS k, o_custkey AS q, o_orderkey % 5 AS l, (o_orderkey % 7) / 4.0::DOUBLE AS s FROM orders), p AS (SELECT a.k AS w, b.k AS x, 1 / (1 + exp(a.s - b.s)) AS rho FROM r a JOIN r b ON a.q = b.q AND a.l > b.l), e AS (SELECT w AS k, -rho AS g, rho * (1 - rho) AS h FROM p UNION ALL SELECT x, rho, rho * (1 - rho) FROM p)"
+
+
+@query("pair_logit_grad", f"WITH {_PAIR} SELECT o_orderkey, round(coalesce(sum(g), 0), 6) AS grad, round(coalesce(sum(h), 0), 6) AS hess FROM orders LEFT JOIN e ON k = o_orderkey GROUP BY 1")
+def pair_logit_grad(spark, d):
+    rows = _ranked(spark, d).withColumn("s", F.col("o_orderkey") % 7 / 4.0)
+    return ranking.pair_logit(rows, "o_custkey", "l", "s", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
+
+
+@query("lambdarank_grad")
+def lambdarank_grad(spark, d):
+    rows = _ranked(spark, d).withColumn("s", F.col("o_orderkey") % 7 / 4.0)
+    return ranking.lambdarank(rows, "o_custkey", "l", "s", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
+
+
+@query("cox_grad", "WITH r AS (SELECT o_orderkey AS k, o_orderkey % 50 AS t, exp((o_orderkey % 7) / 4.0::DOUBLE) AS e, (o_orderkey % 4 > 0)::INT AS d FROM orders), g AS (SELECT t, sum(e) AS e, sum(d) AS d FROM r GROUP BY 1), s AS (SELECT t, d, sum(e) OVER (ORDER BY t DESC) AS risk FROM g), c AS (SELECT t, sum(d / risk) OVER (ORDER BY t) AS rk, sum(d / (risk * risk)) OVER (ORDER BY t) AS sk FROM s) SELECT k AS o_orderkey, round(r.e * rk - r.d, 6) AS grad, round(r.e * rk - r.e * r.e * sk, 6) AS hess FROM r JOIN c USING (t)")
+def cox_grad(spark, d):
+    rows = _scored(spark, d).withColumn("t", F.col("o_orderkey") % 50).withColumn("e", (F.col("o_orderkey") % 4 > 0).cast("int"))
+    return ranking.cox(rows, "t", "e", "r", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
+
+
+@query("aft_logistic_grad")
+def aft_logistic_grad(spark, d):
+    lower = F.col("y") + 0.1
+    upper = F.when(F.col("o_orderkey") % 3 == 0, lower).when(F.col("o_orderkey") % 3 == 1, lower + 2).otherwise(-1.0)
+    g, h = O.aft_derivatives(lower, upper, F.col("r"))
+    return _scored(spark, d).select("o_orderkey", r6(g, "grad"), r6(h, "hess"))
+
+
+# --- target statistics, text, embeddings -------------------------------------------------------------------------
+
+
+@query("ctr_ordered", "SELECT o_orderkey, floor(ctr * 15)::INT AS ctr_bucket FROM (SELECT o_orderkey, ((coalesce(sum((o_orderstatus = 'F')::INT) OVER w, 0) + 0.5) / (count(*) OVER w + 1))::FLOAT AS ctr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+def ctr_ordered(spark, d):
+    rows = table(spark, d, "orders").withColumn("t", (F.col("o_orderstatus") == "F").cast("int"))
+    return features.ordered_ctr(rows, "o_custkey", "t", "o_orderkey").select("o_orderkey", "ctr_bucket")
+
+
+@query("ctr_counter", "SELECT o_orderpriority AS category, count(*)::BIGINT AS n, round(count(*) / (max(count(*)) OVER () + 1), 6) AS ctr FROM orders GROUP BY 1")
+def ctr_counter(spark, d):
+    return features.counter_ctr(table(spark, d, "orders"), "o_orderpriority").select("category", "n", r6(F.col("ctr"), "ctr"))
+
+
+@query("ctr_final_predict", "SELECT c_custkey, round(coalesce(ctr, 0.5), 6) AS ctr FROM customer LEFT JOIN (SELECT o_custkey, (sum((o_orderstatus = 'F')::INT) + 0.5) / (count(*) + 1) AS ctr FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def ctr_final_predict(spark, d):
+    rows = table(spark, d, "orders").withColumn("t", (F.col("o_orderstatus") == "F").cast("int"))
+    return features.apply_ctr(table(spark, d, "customer"), features.ctr_table(rows, "o_custkey", "t"), "c_custkey").select("c_custkey", r6(F.col("ctr"), "ctr"))
+
+
+@query("ctr_combination", "SELECT o_orderpriority || chr(1) || o_orderstatus AS category, sum((o_totalprice > 150000)::INT)::BIGINT AS good, count(*)::BIGINT AS total, round((sum((o_totalprice > 150000)::INT) + 0.5) / (count(*) + 1), 6) AS ctr FROM orders GROUP BY 1")
+def ctr_combination(spark, d):
+    rows = table(spark, d, "orders").withColumn("c", features.combination(["o_orderpriority", "o_orderstatus"])).withColumn("t", (F.col("o_totalprice") > 150000).cast("long"))
+    return features.ctr_table(rows, "c", "t").select("category", "good", "total", r6(F.col("ctr"), "ctr"))
+
+
+_TOKENS = "(SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token FROM documents)"
+_DICTIONARY = f"(SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS token_id FROM {_TOKENS} GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, token LIMIT 50000)"
+
+
+@query("text_dictionary", f"SELECT token, n::BIGINT AS n, token_id::INT AS token_id FROM {_DICTIONARY}")
+def text_dictionary(spark, d):
+    return features.dictionary(table(spark, d, "documents"), "text")
+
+
+@query("text_tokens", f"SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT token)::BIGINT AS distinct_n FROM {_TOKENS} GROUP BY 1")
+def text_tokens(spark, d):
+    words = features.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("distinct_n"))
+
+
+@query("text_bow", f"SELECT doc_id, token_id::INT AS token_id, count(*)::BIGINT AS n FROM {_TOKENS} JOIN {_DICTIONARY} USING (token) GROUP BY 1, 2")
+def text_bow(spark, d):
+    docs = table(spark, d, "documents")
+    return features.bag(docs, "doc_id", "text", features.dictionary(docs, "text"))
+
+
+@query("text_bigrams", f"SELECT doc_id, greatest(count(*) - 1, 0)::BIGINT AS n FROM {_TOKENS} GROUP BY 1")
+def text_bigrams(spark, d):
+    words = features.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size(features.ngrams(F.col("w"), 2)).cast("long").alias("n"))
+
+
+@query("naive_bayes_apply")
+def naive_bayes_apply(spark, d):
+    docs = table(spark, d, "documents")
+    bags = features.bag(docs, "doc_id", "text", features.dictionary(docs, "text", 50))
+    return features.naive_bayes(bags, table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", r6(F.col("log_prob"), "log_prob"))
+
+
+@query("bm25_apply")
+def bm25_apply(spark, d):
+    docs = table(spark, d, "documents")
+    bags = features.bag(docs, "doc_id", "text", features.dictionary(docs, "text", 50))
+    return features.bm25(bags, table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", r6(F.col("score"), "score"))
+
+
+@query("class_means", "SELECT label, (pos - 1)::INT AS pos, round(avg(v::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2")
+def class_means(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return features.class_means(rows, "embedding", "label").select("label", "pos", r6(F.col("mean"), "mean"))
+
+
+@query("knn_features")
+def knn_features(spark, d):
+    return features.knn(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+
+
+# --- ingest ------------------------------------------------------------------------------------------------------
+
+
+@query("gaps_islands_ranges", "SELECT user_id, min(event_id)::BIGINT AS first_id, max(event_id)::BIGINT AS last_id, count(*)::BIGINT AS n FROM (SELECT user_id, event_id, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events) GROUP BY user_id, g")
+def gaps_islands_ranges(spark, d):
+    from pyspark.sql.window import Window as W
+
+    e = table(spark, d, "events").select("user_id", "event_id").withColumn("g", F.col("event_id") - F.row_number().over(W.partitionBy("user_id").orderBy("event_id")))
+    return e.groupBy("user_id", "g").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count(F.lit(1)).alias("n")).drop("g")
+
+
+@query("uniform_draws", f"SELECT o_orderkey, round({_U.format(seed=1, key='o_orderkey')}, 9) AS u FROM orders")
+def uniform_draws(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.round(uniform(F.col("o_orderkey"), 1), 9).alias("u"))
