@@ -1,7 +1,7 @@
 """License scans: phrases by place, and licence notices by exact set-similarity join.
 
 A block (lines up to a blank line) meets a template when it holds at least `THRESHOLD` of the template's distinct
-words. Words are put in one global order, rare first, by their count over all documents. A block that meets a template
+words. Words are put in one global order, rare first, by their number of blocks over all documents. A block that meets a template
 of n words shares at least a = ceil(THRESHOLD * n) words with it, so (length) it has at least a template words,
 (prefix) the first |block| - a + 1 of them and the first n - a + 1 of the template share a word, and (position) at the
 first shared word enough words must be left on both sides. What passes is counted exactly. Words outside all templates
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialise
 
 #: Phrases whose places are counted, and their labels (fixed values of the contract).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -39,7 +39,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """Runs of 0-9, a-z and non-ASCII characters of an already lower-cased text."""
-    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(text, SEPARATORS), "")
 
 
 def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -59,7 +59,7 @@ def phrase_places(word: Column, phrase: str) -> Column:
             hit = hit & (F.get(word, i + k) == parts[k])
         return hit
 
-    return F.when(F.arrays_overlap(word, F.array(F.lit(parts[-1]))) & (last >= 0), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.array_contains(word, parts[-1]) & (last >= 0), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
 def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,15 +73,23 @@ def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> Data
     known = templates(spark, given, threshold)
     vocabulary = sorted({w for _, t in given for w in t.split()})
     least = min(math.ceil(threshold * len(set(t.split())) - 1e-9) for _, t in given)
-    rows = docs.select("doc_id", lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # only two letters beyond ASCII have lower-case forms in it; without them lower() does the same to words, and faster
+    low = F.when(text.rlike("[\u212a\u0130]"), lower_ascii(text)).otherwise(F.lower(text))
+    rows = docs.select("doc_id", low.alias("text"))
 
-    # blocks, reduced to their distinct template words; the length filter drops almost all of them before the shuffle
+    # one scan of the texts: words by block, places of the phrases, and the blocks reduced to their template words
     literal = F.array(*map(F.lit, vocabulary))
-    block = F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda b: F.array_intersect(words(b), literal))
-    blocks = rows.select("doc_id", F.posexplode(F.filter(block, lambda b: F.size(b) >= least)).alias("block", "held"))
-
-    # the global order: counts of the template words over all documents, rare first
-    counts = rows.select(F.explode(F.filter(words(F.col("text")), lambda w: F.array_contains(literal, w))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    cut = rows.select("doc_id", F.transform(F.split("text", r"\n[ \t\r]*\n"), words).alias("blocks"))
+    cut = cut.select("doc_id", "blocks", F.flatten("blocks").alias("w"))
+    held = F.transform("blocks", lambda b: F.array_intersect(b, literal))
+    each = cut.select("doc_id", F.size("w").cast("long").alias("n_words"), *[phrase_places(F.col("w"), p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], F.filter(held, lambda b: F.size(b) > 0).alias("held"))
+    each = materialise(each, "license-words")
+    every_block = each.select("doc_id", F.posexplode("held").alias("block", "held"))
+    blocks = every_block.filter(F.size("held") >= least)  # the length filter
+
+    # the global order: in how many blocks of all documents each template word stands, rare first
+    counts = every_block.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     order = known.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     ordered = known.join(order, "word")
     shape = ordered.groupBy("label", "size", "need").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("t"))
@@ -101,8 +109,6 @@ def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> Data
     met = met.filter(shared >= F.col("need")).select("doc_id", "label", (shared / F.col("size")).alias("share"))
     found = met.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("met"), F.max("share").alias("share"))
 
-    word = rows.select("doc_id", words(F.col("text")).alias("w"))
-    each = word.select("doc_id", F.size("w").cast("long").alias("n_words"), *[phrase_places(F.col("w"), p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)])
     every = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
     base = each.select("doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.sort_array(labels).alias("base"))
