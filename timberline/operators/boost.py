@@ -47,6 +47,9 @@ class Params:
     early_stopping_round: int = 0
     min_delta: float = 0.0
     seed: int = 0
+    #: by feature name: -1, 0 or 1; and lists of feature names that may share a branch
+    monotone: dict = field(default_factory=dict)
+    interaction: list = field(default_factory=list)
     args: dict = field(default_factory=dict)
 
     ALIASES = {"eta": "learning_rate", "shrinkage_rate": "learning_rate", "n_estimators": "num_iterations", "num_round": "num_iterations", "num_boost_round": "num_iterations", "num_trees": "num_iterations", "max_leaves": "num_leaves", "min_child_samples": "min_data_in_leaf", "min_sum_hessian_in_leaf": "min_child_hess", "min_child_weight": "min_child_hess", "reg_alpha": "lambda_l1", "reg_lambda": "lambda_l2", "l2_leaf_reg": "lambda_l2", "subsample": "bagging_fraction", "subsample_freq": "bagging_freq", "colsample_bytree": "feature_fraction", "min_split_gain": "min_gain_to_split", "gamma": "min_gain_to_split", "boosting_type": "boosting", "num_classes": "num_class", "random_state": "seed", "application": "objective", "loss_function": "objective", "depth": "max_depth"}
@@ -90,6 +93,13 @@ class Params:
     def split(self) -> SplitParams:
         return SplitParams(self.lambda_l1, self.lambda_l2, self.min_data_in_leaf, self.min_child_hess, self.min_gain_to_split, self.max_delta_step)
 
+    def allowed(self, used: set[str], features: list[str]) -> list[int]:
+        """The features a branch may split on after it has used some: those of the constraint sets that hold all of them."""
+        if not self.interaction:
+            return list(range(len(features)))
+        free = set().union(*[set(s) for s in self.interaction if used <= set(s)]) | used
+        return [i for i, f in enumerate(features) if f in free]
+
 
 #: One node: node, feature (None for a leaf), bin, threshold, default_left, missing_bin, left, right, value, gain, count, depth
 Node = dict
@@ -115,9 +125,10 @@ def route(nodes: list[Node], leaf: "callable", features: list[str], prefix: str
 def grow(df: DataFrame, features: list[str], bins: Bins, p: Params, allowed: list[int] | None = None) -> list[Node]:
     """One tree from columns b_*, g and h. Rows are only read: a node's rows are those its path leads to."""
     sp = p.split()
+    sp.monotone = {features.index(k): v for k, v in p.monotone.items() if v}
     missing = {i: bins.missing[c] for i, c in enumerate(features) if bins.missing[c] is not None}
     deepest = p.max_depth if p.max_depth > 0 else 62
-    nodes: list[Node] = [{"node": 0, "feature": None, "depth": 0}]
+    nodes: list[Node] = [{"node": 0, "feature": None, "depth": 0, "used": set(), "low": -math.inf, "high": math.inf}]
     known: dict[int, dict] = {}
 
     def search(fresh: list[int]) -> None:
@@ -127,6 +138,11 @@ def grow(df: DataFrame, features: list[str], bins: Bins, p: Params, allowed: lis
         hist = histogram(rows, features, node="__node")
         if allowed is not None:
             hist = hist.filter(F.col("feature").isin(allowed))
+        if p.interaction:
+            ok = F.lit(False)
+            for i in fresh:
+                ok = ok | ((F.col("node") == i) & F.col("feature").isin(p.allowed(nodes[i]["used"], features)))
+            hist = hist.filter(ok)
         if p.grow_policy == "oblivious":
             shared = oblivious(hist, sp).collect()
             if shared:
@@ -162,11 +178,16 @@ def grow(df: DataFrame, features: list[str], bins: Bins, p: Params, allowed: lis
             edges = bins.edges[features[f]]
             a, b = len(nodes), len(nodes) + 1
             nodes[i] |= {"feature": f, "bin": s["bin"], "threshold": edges[s["bin"]] if s["bin"] < len(edges) else math.inf, "default_left": s["default_left"], "missing_bin": missing.get(f), "left": a, "right": b, "gain": s["gain"]}
+            low, high, sign = nodes[i]["low"], nodes[i]["high"], sp.monotone.get(f, 0)
+            value = {side: max(low, min(high, leaf_value(s[f"{side}_g"], s[f"{side}_h"], p))) for side in ("left", "right")}
+            middle = (value["left"] + value["right"]) / 2
             for k, side in ((a, "left"), (b, "right")):
-                nodes.append({"node": k, "feature": None, "depth": nodes[i]["depth"] + 1, "value": leaf_value(s[f"{side}_g"], s[f"{side}_h"], p), "count": s[f"{side}_n"], "gain": None})
+                up = sign > 0 if side == "right" else sign < 0  # whether this child lies above the middle
+                bounds = {"low": max(low, middle) if sign and up else low, "high": min(high, middle) if sign and not up else high}
+                nodes.append({"node": k, "feature": None, "depth": nodes[i]["depth"] + 1, "value": value[side], "count": s[f"{side}_n"], "gain": None, "used": nodes[i]["used"] | {features[f]}, **bounds})
             fresh += [a, b]
             leaves += 1
-    return nodes
+    return [{k: v for k, v in n.items() if k not in ("used", "low", "high")} for n in nodes]
 
 
 def leaf_value(g: float, h: float, p: Params) -> float:

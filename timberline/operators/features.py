@@ -119,3 +119,34 @@ def class_means(df: DataFrame, vector: str, label: str) -> DataFrame:
     """(label, pos, mean, scatter): per class and dimension the mean and the sum of squared deviations."""
     e = df.select(label, F.posexplode(vector).alias("pos", "v"))
     return e.groupBy(label, "pos").agg(F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("scatter"))
+
+
+def lda(df: DataFrame, vector: str, label: str, components: int, reg: float = 5e-5) -> list[list[float]]:
+    """Projection rows of linear discriminant analysis. Moments are aggregates of dim x dim numbers per class."""
+    import numpy as np
+
+    dim = df.select(F.size(vector)).first()[0]
+    each = df.select(label, F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    pairs = each.select(label, F.posexplode("v").alias("i", "a"), "v").select(label, "i", "a", F.posexplode("v").alias("j", "b"))
+    second = pairs.groupBy(label, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
+    first = each.select(label, F.posexplode("v").alias("i", "a")).groupBy(label, "i").agg(F.sum("a").alias("s"), F.count("a").alias("n")).collect()
+    classes = sorted({r[0] for r in first})
+    n = {r[0]: r["n"] for r in first}
+    mean = {c: np.zeros(dim) for c in classes}
+    for r in first:
+        mean[r[0]][r["i"]] = r["s"] / r["n"]
+    total = sum(n.values())
+    overall = sum(n[c] * mean[c] for c in classes) / total
+    within = np.zeros((dim, dim))
+    for r in second:
+        within[r["i"], r["j"]] += r["s"]
+    within = (within - sum(n[c] * np.outer(mean[c], mean[c]) for c in classes)) / total + reg * np.eye(dim)
+    between = sum(n[c] * np.outer(mean[c] - overall, mean[c] - overall) for c in classes) / total
+    lower = np.linalg.inv(np.linalg.cholesky(within))
+    value, axis = np.linalg.eigh(lower @ between @ lower.T)
+    return (axis[:, np.argsort(-value)[:components]].T @ lower).tolist()
+
+
+def project(df: DataFrame, vector: str, rows: list[list[float]], out: str = "lda") -> DataFrame:
+    dot = lambda w: F.aggregate(F.zip_with(vector, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return df.withColumn(out, F.array(*map(dot, rows)))

@@ -34,3 +34,15 @@ def lattice(df: DataFrame, grad: str = "g", hess: str = "h", bits: int = 40) ->
         top = top.withColumn(f"__s{c}", F.pow(F.lit(2.0), bits - F.ceil(F.log2(F.greatest(F.col(c), F.lit(1e-300)))))).drop(c)
     out = df.crossJoin(F.broadcast(top))  # one row
     return out.withColumns({"g_int": F.round(F.col(grad) * F.col("__sg")).cast("long"), "h_int": F.round(F.col(hess) * F.col("__sh")).cast("long")})
+
+
+def sparse_histogram(cells: DataFrame, rows: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(feature, bin, g, h, n) of sparse data: stored cells (row_id, feature, bin) are summed, and what is missing from
+    the totals of `rows` (row_id, g, h) goes to each feature's default bin (feature, default_bin)."""
+    stored = cells.join(rows, "row_id").groupBy("feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    whole = rows.agg(F.sum("g").alias("__g"), F.sum("h").alias("__h"), F.count(F.lit(1)).alias("__n"))
+    seen = stored.groupBy("feature").agg(*[F.sum(c).alias(f"s{c}") for c in "ghn"])
+    z = F.lit(0)
+    rest = defaults.join(seen, "feature", "left").crossJoin(F.broadcast(whole))  # one row
+    rest = rest.select("feature", F.col("default_bin").alias("bin"), *[(F.col(f"__{c}") - F.coalesce(f"s{c}", z)).alias(c) for c in "ghn"])
+    return stored.unionByName(rest).groupBy("feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"]).filter("n > 0")

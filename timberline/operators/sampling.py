@@ -48,6 +48,22 @@ def mvs(df: DataFrame, key: str, grad: str, threshold: float, lam: float = 1.0,
     return df.withColumn("__p", p).filter(uniform(F.col(key), seed) < F.col("__p")).withColumn("multiplier", 1 / F.col("__p")).drop("__p")
 
 
+def mvs_threshold(df: DataFrame, grad: str, rate: float, lam: float = 1.0) -> float:
+    """The threshold at which sum(min(1, m / threshold)) is rate * n, by bisection over one aggregate a step."""
+    m = F.sqrt(F.col(grad) * F.col(grad) + lam)
+    top = df.agg(F.count(F.lit(1)).alias("n"), F.sum(m).alias("s")).first()
+    low, high = 0.0, (top["s"] or 0.0) / max(1e-300, rate * (top["n"] or 1))
+    for _ in range(40):
+        mid = (low + high) / 2
+        if df.agg(F.sum(F.least(F.lit(1.0), m / mid)).alias("v")).first()["v"] > rate * top["n"]:
+            low = mid
+        else:
+            high = mid
+        if high - low <= 1e-9 * high:
+            break
+    return high
+
+
 def class_weights(df: DataFrame, label: str, kind: str = "balanced") -> DataFrame:
     """(label, n, weight): balanced n / (K * count), or unbalance: negatives over positives for label > 0."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c, name: str):
-    return F.round(c.cast("double"), 6).alias(name)
+    return (F.round(c.cast("double"), 6) + 0.0).alias(name)  # no negative zero
 
 
 # --- validation and binning --------------------------------------------------------------------------------------
@@ -165,7 +165,7 @@ for _name, (_g, _h) in _GRADS.items():
         g, h = O.objective(name).derivatives(y, F.col("r"), {})
         return _scored(spark, d).select("o_orderkey", r6(g, "grad"), r6(h, "hess"))
 
-    query(f"grad_hess_{_name}", f"SELECT o_orderkey, round(({_g})::DOUBLE, 6) AS grad, round(({_h})::DOUBLE, 6) AS hess FROM (SELECT o_orderkey, o_totalprice / 99991 AS y, (o_orderkey % 7) / 4.0::DOUBLE AS r FROM orders)")(_grad)
+    query(f"grad_hess_{_name}", f"SELECT o_orderkey, round(({_g})::DOUBLE, 6) + 0.0 AS grad, round(({_h})::DOUBLE, 6) + 0.0 AS hess FROM (SELECT o_orderkey, o_totalprice / 99991 AS y, (o_orderkey % 7) / 4.0::DOUBLE AS r FROM orders)")(_grad)
 
 
 @query("grad_hess_multiclass", "SELECT o_orderkey, round(e0 / s - (o_orderkey % 3 = 0)::INT, 6) AS g0, round(1.5 * (e0 / s) * (1 - e0 / s), 6) AS h0, round(e2 / s - (o_orderkey % 3 = 2)::INT, 6) AS g2 FROM (SELECT o_orderkey, exp(o_totalprice / 99991) AS e0, exp(0.5::DOUBLE) AS e1, exp((o_orderkey % 7) / 4.0::DOUBLE) AS e2, e0 + e1 + e2 AS s FROM orders)")
@@ -457,7 +457,7 @@ def query_groups(spark, d):
     return ranking.groups(table(spark, d, "lineitem"), "l_orderkey").select("l_orderkey", "n", F.col("start").cast("long").alias("start"))
 
 
-@query("query_rmse_grad", "SELECT o_orderkey, round(r - y - avg(r - y) OVER (PARTITION BY o_custkey), 6) AS grad FROM (SELECT o_orderkey, o_custkey, (o_orderkey % 7) / 4.0::DOUBLE AS r, o_totalprice / 99991 AS y FROM orders)")
+@query("query_rmse_grad", "SELECT o_orderkey, round(r - y - avg(r - y) OVER (PARTITION BY o_custkey), 6) + 0.0 AS grad FROM (SELECT o_orderkey, o_custkey, (o_orderkey % 7) / 4.0::DOUBLE AS r, o_totalprice / 99991 AS y FROM orders)")
 def query_rmse_grad(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7 / 4.0).alias("r"), (F.col("o_totalprice") / 99991).alias("y"))
     return ranking.query_rmse(rows, "o_custkey", "y", "r").select("o_orderkey", r6(F.col("grad"), "grad"))
@@ -466,7 +466,7 @@ def query_rmse_grad(spark, d):
 _PAIR = "r AS (SELECT o_orderkey AS k, o_custkey AS q, o_orderkey % 5 AS l, (o_orderkey % 7) / 4.0::DOUBLE AS s FROM orders), p AS (SELECT a.k AS w, b.k AS x, 1 / (1 + exp(a.s - b.s)) AS rho FROM r a JOIN r b ON a.q = b.q AND a.l > b.l), e AS (SELECT w AS k, -rho AS g, rho * (1 - rho) AS h FROM p UNION ALL SELECT x, rho, rho * (1 - rho) FROM p)"
 
 
-@query("pair_logit_grad", f"WITH {_PAIR} SELECT o_orderkey, round(coalesce(sum(g), 0), 6) AS grad, round(coalesce(sum(h), 0), 6) AS hess FROM orders LEFT JOIN e ON k = o_orderkey GROUP BY 1")
+@query("pair_logit_grad", f"WITH {_PAIR} SELECT o_orderkey, round(coalesce(sum(g), 0), 6) + 0.0 AS grad, round(coalesce(sum(h), 0), 6) + 0.0 AS hess FROM orders LEFT JOIN e ON k = o_orderkey GROUP BY 1")
 def pair_logit_grad(spark, d):
     rows = _ranked(spark, d).withColumn("s", F.col("o_orderkey") % 7 / 4.0)
     return ranking.pair_logit(rows, "o_custkey", "l", "s", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
@@ -478,7 +478,7 @@ def lambdarank_grad(spark, d):
     return ranking.lambdarank(rows, "o_custkey", "l", "s", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
 
 
-@query("cox_grad", "WITH r AS (SELECT o_orderkey AS k, o_orderkey % 50 AS t, exp((o_orderkey % 7) / 4.0::DOUBLE) AS e, (o_orderkey % 4 > 0)::INT AS d FROM orders), g AS (SELECT t, sum(e) AS e, sum(d) AS d FROM r GROUP BY 1), s AS (SELECT t, d, sum(e) OVER (ORDER BY t DESC) AS risk FROM g), c AS (SELECT t, sum(d / risk) OVER (ORDER BY t) AS rk, sum(d / (risk * risk)) OVER (ORDER BY t) AS sk FROM s) SELECT k AS o_orderkey, round(r.e * rk - r.d, 6) AS grad, round(r.e * rk - r.e * r.e * sk, 6) AS hess FROM r JOIN c USING (t)")
+@query("cox_grad", "WITH r AS (SELECT o_orderkey AS k, o_orderkey % 50 AS t, exp((o_orderkey % 7) / 4.0::DOUBLE) AS e, (o_orderkey % 4 > 0)::INT AS d FROM orders), g AS (SELECT t, sum(e) AS e, sum(d) AS d FROM r GROUP BY 1), s AS (SELECT t, d, sum(e) OVER (ORDER BY t DESC) AS risk FROM g), c AS (SELECT t, sum(d / risk) OVER (ORDER BY t) AS rk, sum(d / (risk * risk)) OVER (ORDER BY t) AS sk FROM s) SELECT k AS o_orderkey, round(r.e * rk - r.d, 6) + 0.0 AS grad, round(r.e * rk - r.e * r.e * sk, 6) + 0.0 AS hess FROM r JOIN c USING (t)")
 def cox_grad(spark, d):
     rows = _scored(spark, d).withColumn("t", F.col("o_orderkey") % 50).withColumn("e", (F.col("o_orderkey") % 4 > 0).cast("int"))
     return ranking.cox(rows, "t", "e", "r", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))

@@ -78,3 +78,45 @@ def write_predictions(df: DataFrame, path: str, column: str = "prediction") -> N
     """One prediction per line; doubles in their shortest form that reads back to the same value."""
     value = F.concat_ws(",", F.transform(column, lambda v: v.cast("string"))) if dict(df.dtypes)[column].startswith("array") else F.col(column).cast("string")
     df.select(value.alias("value")).write.text(path)
+
+
+def from_lightgbm_text(text: str) -> Model:
+    """A model from LightGBM's text layout: numeric splits; the thresholds become the bin edges."""
+    head, *blocks = text.split("Tree=")
+    fields = lambda block: dict(x.split("=", 1) for x in block.splitlines() if "=" in x)
+    top = fields(head)
+    features = top["feature_names"].split()
+    parsed = []
+    for block in blocks:
+        f = fields(block.split("end of trees")[0])
+        if int(f.get("num_cat", 0)):
+            raise ValueError("categorical splits are not supported here")
+        parsed.append({k: f.get(k, "").split() for k in ("split_feature", "split_gain", "threshold", "decision_type", "left_child", "right_child", "leaf_value", "leaf_count")})
+    edges: dict[str, list[float]] = {c: [] for c in features}
+    for t in parsed:
+        for i, v in zip(t["split_feature"], t["threshold"]):
+            edges[features[int(i)]].append(float(v))
+    edges = {c: sorted(set(e)) for c, e in edges.items()}
+    missing = {c: len(edges[c]) + 1 for c in features}
+    trees = []
+    for t in parsed:
+        inner = len(t["split_feature"])
+        nodes: list[dict] = []
+
+        def add(spot: int, depth: int) -> int:
+            k = len(nodes)
+            nodes.append({})
+            if spot < 0 or not inner:
+                i = ~spot if inner else 0
+                nodes[k] = {"node": k, "feature": None, "depth": depth, "value": float(t["leaf_value"][i]), "count": int((t["leaf_count"] or ["0"] * (inner + 1))[i]), "gain": None}
+                return k
+            f, v, kind = int(t["split_feature"][spot]), float(t["threshold"][spot]), int(t["decision_type"][spot])
+            left, right = add(int(t["left_child"][spot]), depth + 1), add(int(t["right_child"][spot]), depth + 1)
+            nodes[k] = {"node": k, "feature": f, "bin": edges[features[f]].index(v), "threshold": v, "default_left": bool(kind & 2), "missing_bin": missing[features[f]], "left": left, "right": right, "gain": float((t["split_gain"] or ["0"] * inner)[spot]), "value": 0.0, "count": nodes[left]["count"] + nodes[right]["count"], "depth": depth}
+            return k
+
+        add(0 if inner else -1, 0)
+        trees.append(nodes)
+    k = int(top.get("num_tree_per_iteration", 1))
+    kind = top.get("objective", "regression").split()[0]
+    return Model(features, Bins(edges, missing), Params(objective={"regression": "l2"}.get(kind, kind), num_class=k), [0.0] * k, trees, [1.0] * len(trees))
