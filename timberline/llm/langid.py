@@ -139,14 +139,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT) -> Mo
     return Model(languages, [got["h"][got["lang"] == k].to_numpy(np.int64).view(U) for k in languages])
 
 
-def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score (0 to 1); only the text is looked at.
+def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns with language and score (0 to 1), under `names`; only the text is looked at.
 
     Null texts and texts without a letter give `und` and 0; a text that matches no language gets the first language
     with score 0; ties go to the language that sorts first. Without a learned language all rows give `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema), f"`{names[0]}` string, `{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",))
             for batch in slices(whole, "text"):
                 lang, score = known.predict([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in extra]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], names=[*extra, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], names=[*extra, *names])
 
     return docs.select(*dict.fromkeys([*extra, "text"])).mapInArrow(run, schema)
 
