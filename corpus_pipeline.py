@@ -22,7 +22,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = docs.columns
     extra = tuple(dict.fromkeys(["doc_id", *columns]))
-    return langid.predict(docs, langid.fit(docs), extra).filter((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*columns)
+    return langid.predict(docs, langid.fit(docs), extra, ("__lang", "__score")).filter((F.col("__lang") != "und") & (F.col("__score") > 0)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
