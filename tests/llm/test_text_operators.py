@@ -199,6 +199,7 @@ def test_html(spark):
     assert html_text.main_text(page) == "Head & line\nFirst, one. x\nSecond éé par agraph, long enough.\na\nb"
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>un" + "<div>" * 3000 + "deep</p>")], "page_id long, url string, html string")
     out = {r["page_id"]: r for r in html_text.extract(pages).collect()}
+    assert html_text.main_text("<div class=\"sidebar\"><p>All, the text.</p></div>") == "All, the text."
     assert out[2]["text"] == out[3]["text"] == "" and out[2]["n_chars"] == 0
     assert "deep" in out[4]["text"] and out[1]["n_chars"] == len(out[1]["text"])
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp noembed noframes".split())
-DROP = frozenset("nav header footer aside form button menu dialog figure head canvas audio video fieldset label datalist map applet".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select noembed noframes".split())
+DROP = frozenset("nav header footer aside form button menu dialog head canvas audio video fieldset label datalist map applet".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"html", "body"}
 SCORED = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd".split())
@@ -37,7 +37,12 @@ class Node:
         self.length = self.linked = 0
 
 
-def parse(page: str) -> Node:
+def marked(names: str) -> bool:
+    """Whether a class, id or role says that this is not the article; layout names as has-sidebar don't."""
+    return any(NOISE.search(n) and not re.match(r"(?:has|with|no|without|hide|show)[-_]", n, re.I) for n in names.split())
+
+
+def parse(page: str, marks_count: bool = True) -> Node:
     """A lenient tree: open paragraphs end at the next block, open tags at their parent's end or the page's."""
     root = top = Node("html", None)
     at, end = 0, len(page)
@@ -87,7 +92,7 @@ def parse(page: str) -> Node:
                 elif name.lower() == "aria-hidden" and value.strip("\"'") == "true" or name.lower() == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
             hidden |= bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub("", m.group(3))))
-        noise = tag in DROP or hidden or bool(marks and tag not in ("html", "body", "article", "main") and NOISE.search(marks))
+        noise = tag in DROP or hidden or bool(marks_count and marks and tag not in ("html", "body", "article", "main") and marked(marks))
         node = Node(tag, top, noise, tag in ("article", "main") or bool(marks and GOOD.search(marks)))
         top.children.append(node)
         if not m.group(3).rstrip().endswith("/"):
@@ -156,10 +161,17 @@ def blocks(nodes: list) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page; empty for null, empty or text-free pages. Ties go to the container that comes first."""
+    """The article of a page; empty for null, empty or text-free pages. Ties go to the container that comes first.
+
+    Where class names would take the whole page for noise, they don't count.
+    """
     if not page:
         return ""
-    root = parse(page)
+    return best_text(parse(page)) or best_text(parse(page, False))
+
+
+def best_text(root: Node) -> str:
+    """The blocks of the best container and of the siblings that belong to it."""
     held = measure(root)
     if not held:
         return ""
