@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions
 from .components import components
 
-TABLES, PROBES, WIDTH, COSINE, MOST = 8, 4, 2, 0.93, 1024
+TABLES, PROBES, WIDTH, COSINE, MOST = 6, 4, 2, 0.93, 1024
 
 
 def rotate(x: np.ndarray, seed: int) -> np.ndarray:
