@@ -43,7 +43,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substrings(docs, empty):
+@pytest.mark.parametrize("listed", [substrings.LISTED, 0])  # 0: by the Bloom filter
+def test_substrings(docs, empty, monkeypatch, listed):
+    monkeypatch.setattr(substrings, "LISTED", listed)
     rows = corpus()
     first = {}
     for d, t, *_ in rows:

@@ -26,6 +26,8 @@ U = np.uint64
 WINDOW, MINIMISER = 50, 10
 #: Bits of the filter of repeated minimisers (32 MB), and the most minimisers that count as hot.
 FILTER_BITS, HOT = 1 << 28, 4096
+#: Up to this many strings with repeated minimisers, these are listed instead.
+LISTED = FILTER_BITS // 64
 
 
 def runs(word: np.ndarray, first: np.ndarray):
@@ -88,17 +90,15 @@ def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     few = max(1, min(16, counts.rdd.getNumPartitions()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        used = np.zeros((FILTER_BITS // 8 >> 16, 1 << 16), np.uint8)
         for b in batches:
             for p in probes(b.column(0).to_numpy().view(U)):
-                bits[p] = True
-        packed = np.packbits(bits)
-        used = packed.reshape(-1, 1 << 16)
+                np.bitwise_or.at(used.reshape(-1), p >> 3, np.uint8(128) >> (p & 7).astype(np.uint8))
         keep = np.flatnonzero(used.any(1))
         for i in range(0, len(keep), 64):
             yield pa.RecordBatch.from_arrays([pa.array(keep[i : i + 64]), pa.array([used[k].tobytes() for k in keep[i : i + 64]], pa.binary())], names=["i", "bits"])
 
-    if total * 64 < FILTER_BITS:  # few: the list is smaller than the filter
+    if total < LISTED:  # few: the list is smaller than the filter
         return np.sort(counts.select("m").toPandas()["m"].to_numpy(np.int64)), np.sort(hot)
     packed = np.zeros(FILTER_BITS // 8, np.uint8).reshape(-1, 1 << 16)
     for r in counts.select("m").coalesce(few).mapInArrow(fill, "i bigint, bits binary").toLocalIterator():
