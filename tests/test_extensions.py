@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.operators import boost, features, histogram, linear, sampling
+from timberline.operators import boost, features, histogram, linear, metrics, sampling
 from timberline.sources import io
 
 
@@ -72,3 +72,17 @@ def test_lda_separates(spark):
     out = features.project(df, "v", features.lda(df, "v", "label", 1)).select("label", F.col("lda")[0].alias("p"))
     r = out.groupBy("label").agg(F.avg("p").alias("m"), F.stddev("p").alias("s")).orderBy("label").collect()
     assert abs(r[0]["m"] - r[1]["m"]) > 2 * max(r[0]["s"], r[1]["s"])
+
+
+def test_extra_trees_noise_and_feature_prices(rows):
+    m = boost.train(rows, ["a", "b", "c"], "y", params(extra_trees=True, random_strength=0.1))
+    assert metrics.pointwise(m.predict(rows), "l2", "y", "prediction").first()["value"] < 0.7 * rows.agg(F.var_pop("y")).first()[0]
+    dear = boost.train(rows, ["a", "b", "c"], "y", params(cegb_penalty_feature={"a": 1e9}))
+    assert all(n["feature"] != 0 for t in dear.trees for n in t)
+    none = boost.train(rows, ["a", "b", "c"], "y", params(cegb_penalty_split=1e9))
+    assert not none.trees
+
+
+def test_multi_target(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0, 0.0), (None, None, 0.0, 0.0), (3.0, 1.0, 3.0, 3.0)], "y0 double, y1 double, p0 double, p1 double")
+    assert metrics.multi_rmse(df, ["y0", "y1"], ["p0", "p1"]).first()["value"] == pytest.approx((5 / 2) ** 0.5)

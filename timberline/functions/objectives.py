@@ -120,6 +120,11 @@ def multiclass_derivatives(label: Column, raws: list[Column]) -> list[tuple[Colu
     return [(p - F.when(label == c, 1.0).otherwise(0.0), k / (k - 1) * p * (1 - p)) for c, p in enumerate(softmax(raws))]
 
 
+def multi_rmse_derivatives(labels: list[Column], raws: list[Column]) -> list[tuple[Column, Column]]:
+    """Per target residual and one; a missing target counts nothing."""
+    return [(F.coalesce(r - y, F.lit(0.0)), F.when(y.isNotNull(), 1.0).otherwise(0.0)) for y, r in zip(labels, raws)]
+
+
 def aft_derivatives(lower: Column, upper: Column, raw: Column, scale: float = 1.0) -> tuple[Column, Column]:
     """Accelerated failure time with logistic noise; an upper bound of -1 is open. Clipped as gradients of +-15."""
 

@@ -50,6 +50,12 @@ class Params:
     #: by feature name: -1, 0 or 1; and lists of feature names that may share a branch
     monotone: dict = field(default_factory=dict)
     interaction: list = field(default_factory=list)
+    extra_trees: bool = False
+    random_strength: float = 0.0
+    cegb_tradeoff: float = 1.0
+    cegb_penalty_split: float = 0.0
+    #: by feature name: the price of the first split on it
+    cegb_penalty_feature: dict = field(default_factory=dict)
     args: dict = field(default_factory=dict)
 
     ALIASES = {"eta": "learning_rate", "shrinkage_rate": "learning_rate", "n_estimators": "num_iterations", "num_round": "num_iterations", "num_boost_round": "num_iterations", "num_trees": "num_iterations", "max_leaves": "num_leaves", "min_child_samples": "min_data_in_leaf", "min_sum_hessian_in_leaf": "min_child_hess", "min_child_weight": "min_child_hess", "reg_alpha": "lambda_l1", "reg_lambda": "lambda_l2", "l2_leaf_reg": "lambda_l2", "subsample": "bagging_fraction", "subsample_freq": "bagging_freq", "colsample_bytree": "feature_fraction", "min_split_gain": "min_gain_to_split", "gamma": "min_gain_to_split", "boosting_type": "boosting", "num_classes": "num_class", "random_state": "seed", "application": "objective", "loss_function": "objective", "depth": "max_depth"}
@@ -91,7 +97,7 @@ class Params:
             raise ValueError("a random forest needs bagging_fraction below 1 and bagging_freq above 0")
 
     def split(self) -> SplitParams:
-        return SplitParams(self.lambda_l1, self.lambda_l2, self.min_data_in_leaf, self.min_child_hess, self.min_gain_to_split, self.max_delta_step)
+        return SplitParams(self.lambda_l1, self.lambda_l2, self.min_data_in_leaf, self.min_child_hess, self.min_gain_to_split, self.max_delta_step, extra_trees=self.extra_trees, random_strength=self.random_strength, seed=self.seed, cegb_tradeoff=self.cegb_tradeoff, cegb_penalty_split=self.cegb_penalty_split)
 
     def allowed(self, used: set[str], features: list[str]) -> list[int]:
         """The features a branch may split on after it has used some: those of the constraint sets that hold all of them."""
@@ -122,9 +128,11 @@ def route(nodes: list[Node], leaf: "callable", features: list[str], prefix: str
     return at(0)
 
 
-def grow(df: DataFrame, features: list[str], bins: Bins, p: Params, allowed: list[int] | None = None) -> list[Node]:
+def grow(df: DataFrame, features: list[str], bins: Bins, p: Params, allowed: list[int] | None = None, used: frozenset[int] = frozenset(), turn: int = 0) -> list[Node]:
     """One tree from columns b_*, g and h. Rows are only read: a node's rows are those its path leads to."""
     sp = p.split()
+    sp.seed = p.seed * 1_000_003 + turn
+    sp.cegb_penalty_feature = {features.index(k): v for k, v in p.cegb_penalty_feature.items() if features.index(k) not in used}
     sp.monotone = {features.index(k): v for k, v in p.monotone.items() if v}
     missing = {i: bins.missing[c] for i, c in enumerate(features) if bins.missing[c] is not None}
     deepest = p.max_depth if p.max_depth > 0 else 62
@@ -298,7 +306,8 @@ def train(df: DataFrame, features: list[str], label: str, params: Params | None
                 big, scale = F.abs(F.col("g") * F.col("h")) >= cutoff, (1 - p.top_rate) / p.other_rate
                 rows = rows.filter(big | (uniform(F.col(key), p.seed * 104729 + it) < p.other_rate / (1 - p.top_rate)))
                 rows = rows.withColumn("g", F.col("g") * F.when(big, 1.0).otherwise(scale)).withColumn("h", F.col("h") * F.when(big, 1.0).otherwise(scale))
-            fresh.append(grow(rows, features, bins, p, allowed))
+            used = frozenset(n["feature"] for t in [*model.trees, *fresh] for n in t if n["feature"] is not None)
+            fresh.append(grow(rows, features, bins, p, allowed, used, it * model.outputs + len(fresh)))
         if all(len(t) == 1 for t in fresh) and p.boosting != "rf":
             break
         rate = 1.0 if p.boosting == "rf" else p.learning_rate / (len(dropped) + 1) if p.boosting == "dart" else p.learning_rate

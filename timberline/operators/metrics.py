@@ -125,6 +125,13 @@ def cox_partial_loglik(df: DataFrame, time: str, event: str, raw: str) -> DataFr
     return t.withColumn("risk", risk).agg(F.lit("cox").alias("metric"), F.sum(F.col("s") - F.col("d") * F.log("risk")).alias("value"))
 
 
+def multi_rmse(df: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:
+    """Root of the squared errors of all targets that are there, over the number of rows with any."""
+    each = [F.coalesce((F.col(y) - F.col(p)) * (F.col(y) - F.col(p)), F.lit(0.0)) for y, p in zip(labels, predictions)]
+    there = F.coalesce(*labels).isNotNull().cast("int")
+    return df.agg(F.lit("multi_rmse").alias("metric"), F.sqrt(F.sum(sum(each[1:], each[0])) / F.sum(there)).alias("value"))
+
+
 def evaluate(df: DataFrame, fn, label: str, prediction: str, weight: str | None = None) -> DataFrame:
     """A custom metric: fn(label, prediction, weight) gives an aggregate column."""
     return df.agg(F.lit("custom").alias("metric"), fn(F.col(label), F.col(prediction), F.col(weight) if weight else F.lit(1.0)).alias("value"))

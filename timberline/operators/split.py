@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.random import normal, uniform
+
 
 @dataclass
 class SplitParams:
@@ -22,6 +24,18 @@ class SplitParams:
     #: by feature number: multiplier of the gain, and -1/0/1 for monotone direction
     contri: dict[int, float] = field(default_factory=dict)
     monotone: dict[int, int] = field(default_factory=dict)
+    #: one random threshold per (node, feature) instead of all; normal noise on gains; both keyed by seed
+    extra_trees: bool = False
+    random_strength: float = 0.0
+    seed: int = 0
+    #: cost-efficient boosting: tradeoff * (penalty per row of the node + penalty of a feature not in use yet)
+    cegb_tradeoff: float = 1.0
+    cegb_penalty_split: float = 0.0
+    cegb_penalty_feature: dict[int, float] = field(default_factory=dict)
+
+
+def by_feature(values: dict[int, float], default: float) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (int(k), float(v))]), F.col("feature")), F.lit(default))
 
 
 def threshold(g: Column, l1: float) -> Column:
@@ -66,12 +80,24 @@ def candidates(hist: DataFrame, params: SplitParams, missing: dict[int, int] | N
     else:
         gain = score(lg, lh, p) + score(rg, rh, p) - score(F.col("all_g").cast("double"), F.col("all_h").cast("double"), p)
     if p.contri:
-        gain = gain * F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in p.contri.items() for x in (int(k), float(v))]), F.col("feature")), F.lit(1.0))
+        gain = gain * by_feature(p.contri, 1.0)
+    if p.cegb_penalty_split:
+        gain = gain - p.cegb_tradeoff * p.cegb_penalty_split * F.col("all_n")
+    if p.cegb_penalty_feature:
+        gain = gain - p.cegb_tradeoff * by_feature(p.cegb_penalty_feature, 0.0)
+    cell = F.concat_ws(":", "node", "feature")
+    if p.random_strength:
+        gain = gain + p.random_strength * normal(F.concat_ws(":", cell, F.col("bin").cast("string")), p.seed)
     ok = (F.col("left_n") >= p.min_data_in_leaf) & (F.col("right_n") >= p.min_data_in_leaf) & (lh >= p.min_child_hess) & (rh >= p.min_child_hess)
     for f, sign in p.monotone.items():
         if sign:
             ok = ok & ((F.col("feature") != f) | ((output(rg, rh, p) - output(lg, lh, p)) * sign >= 0))
-    return scan.withColumn("gain", gain).filter(ok & (F.col("gain") > p.min_gain_to_split))
+    if p.extra_trees:
+        last = F.count(F.lit(1)).over(W.partitionBy("node", "feature", "default_left")) - 1  # the top bin splits nothing off
+        place = F.row_number().over(W.partitionBy("node", "feature", "default_left").orderBy("bin")) - 1
+        scan = scan.withColumn("__ok", place == F.floor(uniform(cell, p.seed) * F.greatest(last, F.lit(1))))
+        ok = ok & F.col("__ok")
+    return scan.withColumn("gain", gain).filter(ok & (F.col("gain") > p.min_gain_to_split)).drop("__ok")
 
 
 def best(hist: DataFrame, params: SplitParams, missing: dict[int, int] | None = None) -> DataFrame:
