@@ -43,9 +43,11 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("listed", [substrings.LISTED, 0])  # 0: by the Bloom filter
-def test_substrings(docs, empty, monkeypatch, listed):
-    monkeypatch.setattr(substrings, "LISTED", listed)
+# 0: by the Bloom filter; the last two: most minimisers are hot, and then most cores crowded as well
+@pytest.mark.parametrize("listed,hot,warm,crowd", [(substrings.LISTED, substrings.HOT, substrings.WARM, substrings.CROWD), (0, 1 << 12, 64, 512), (1, 1 << 20, 2, 512), (1, 1 << 20, 2, 2)])
+def test_substrings(docs, empty, monkeypatch, listed, hot, warm, crowd):
+    for name, value in (("LISTED", listed), ("HOT", hot), ("WARM", warm), ("CROWD", crowd)):
+        monkeypatch.setattr(substrings, name, value)
     rows = corpus()
     first = {}
     for d, t, *_ in rows:

@@ -5,8 +5,9 @@ Consecutive windows that share a minimiser travel as one packed string to the mi
 sorted and the smallest doc_id of each is found. Two facts keep the traffic low without losing a window: a window that
 stands in two documents has a minimiser that does, so a Bloom filter of repeated minimisers (its size is fixed; false
 positives only add traffic) holds back all other strings; and equal strings are reduced to their smallest doc_id before
-they are shuffled. Minimisers that many strings share would fill a bucket, so their strings are cut into single
-windows, each with a bucket of its own.
+they are shuffled. Minimisers that many strings share would fill a bucket, so their strings are cut into short runs: windows
+whose minimiser stands at nearly the same offset have all but a few words in common, and that core is their bucket.
+Where many different runs share a core too, its runs are cut into single windows, each with a bucket of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, slices
-from .kernel import mix, spans, window_hashes, word_hashes, words
+from .kernel import WORD_BASE, mix, spans, window_hashes, word_hashes, words
 
 U = np.uint64
 WINDOW, MINIMISER = 50, 10
@@ -28,6 +29,11 @@ WINDOW, MINIMISER = 50, 10
 FILTER_BITS, HOT = 1 << 28, 4096
 #: Up to this many strings with repeated minimisers, these are listed instead.
 LISTED = FILTER_BITS // 64
+#: Offsets of a hot minimiser that make one run, the words such windows share, and the fewest runs that crowd a core.
+STEP = 7
+CORE, CROWD = WINDOW - STEP + 1, 512
+#: The fewest strings of a hot minimiser.
+WARM = 64
 
 
 def runs(word: np.ndarray, first: np.ndarray):
@@ -86,7 +92,7 @@ def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = scan(docs, "m bigint, low bigint, high bigint, n bigint", minimisers).groupBy("m").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     counts = materialise(counts.filter("low < high").select("m", "n"), "minimisers")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.filter(F.col("n") >= max(64, total // HOT)).orderBy(F.desc("n"), "m").limit(HOT).select("m").toPandas()["m"].to_numpy(np.int64)
+    hot = counts.filter(F.col("n") >= max(WARM, total // HOT)).orderBy(F.desc("n"), "m").limit(HOT).select("m").toPandas()["m"].to_numpy(np.int64)
     few = max(1, min(16, counts.rdd.getNumPartitions()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +129,29 @@ def inside(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ordered[at] == h
 
 
+def short_runs(word: np.ndarray, hot: np.ndarray, at: np.ndarray, n: np.ndarray, least: np.ndarray):
+    """(string, start, windows, bucket) of the short runs that strings of hot minimisers are cut into.
+
+    Equal windows have their minimiser at one offset (the leftmost, if it repeats), hence one core and one bucket.
+    """
+    gram = window_hashes(word, MINIMISER).view(np.int64)
+    place = np.flatnonzero(inside(hot, gram))
+    # hot grams in the order of (gram, place), so that the leftmost one in a window is found by its rank
+    key = np.sort(np.searchsorted(hot, gram[place]) * len(word) + place)
+    string = np.repeat(np.arange(len(at)), n)
+    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[string]
+    found = key[np.searchsorted(key, np.searchsorted(hot, least[string]) * len(word) + window)] % len(word)
+    core = found - (found - window) // STEP * STEP
+    begin = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (core[1:] != core[:-1])])
+    return string[begin], window[begin], np.diff(np.r_[begin, len(window)]), spans(word, WORD_BASE[0], core[begin], core[begin] + CORE).view(np.int64)
+
+
+TRAVEL = "bucket bigint, id bigint, doc_id bigint, start int, cut boolean, packed string"
+SENT = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("cut", pa.bool_()), ("packed", pa.string())])
+
+
 def travelling(docs: DataFrame) -> DataFrame:
-    """(bucket, id, doc_id, start, packed): the strings whose minimiser may repeat."""
+    """(bucket, id, doc_id, start, cut, packed): the strings whose minimiser may repeat; those of hot ones are cut."""
     known = docs.sparkSession.sparkContext.broadcast(repeated(docs))
 
     def pack(doc, raw, start, end, word, first):
@@ -135,17 +162,45 @@ def travelling(docs: DataFrame) -> DataFrame:
         at, n, least, owner = at[keep], n[keep], least[keep], owner[keep]
         if not len(at):
             return None
-        burning = inside(hot, least)
-        times = np.where(burning, n, 1)
-        inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        at, owner, split = np.repeat(at, times) + inner, np.repeat(owner, times), np.repeat(burning, times)
-        n, least = np.where(split, 1, np.repeat(n, times)), np.repeat(least, times)
-        own = [spans(word, b, at, at + n + WINDOW - 1) for b in (0xD6E8FEB86659FD93, 0x8EBC6AF09C88C6E3)]
-        bucket = np.where(split, own[1].view(np.int64), least)
+        cut = inside(hot, least)
+        bucket = least[~cut]
+        if cut.any():
+            string, begin, many, core = short_runs(word, hot, at[cut], n[cut], least[cut])
+            at, n, owner = np.r_[at[~cut], begin], np.r_[n[~cut], many], np.r_[owner[~cut], owner[cut][string]]
+            bucket, cut = np.r_[bucket, core], np.arange(len(at)) >= len(bucket)
+        own = spans(word, WORD_BASE[0], at, at + n + WINDOW - 1).view(np.int64)
         text = [" ".join(bytes(raw[start[a] : end[b]]).decode().split()) for a, b in zip(at, at + n + WINDOW - 2)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own[0].view(np.int64)), pa.array(doc[owner].astype(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array(text, pa.string())], names=["bucket", "id", "doc_id", "start", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array(doc[owner].astype(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array(cut), pa.array(text, pa.string())], schema=SENT)
+
+    return uncrowd(materialise(scan(docs, TRAVEL, pack), "superkmers"))
 
-    return materialise(scan(docs, "bucket bigint, id bigint, doc_id bigint, start int, packed string", pack), "superkmers")
+
+def uncrowd(strings: DataFrame) -> DataFrame:
+    """Cut the runs of cores that many different runs share into single windows.
+
+    The cores are listed on the driver: by the threshold at most `HOT` of them, whatever the input.
+    """
+    cores = strings.filter("cut").select("bucket", "id").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    total = strings.filter("cut").count()
+    crowded = np.sort(cores.filter(F.col("n") >= max(CROWD, total // HOT)).select("bucket").toPandas()["bucket"].to_numpy(np.int64)) if total else np.zeros(0, np.int64)
+    if not len(crowded):
+        return strings
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, start, end, first = words(batch.column(5))
+            n = np.diff(first) - WINDOW + 1
+            row = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = inner + first[row]
+            word = word_hashes(raw, start, end)
+            bucket, own = (spans(word, base, at, at + WINDOW).view(np.int64) for base in (WORD_BASE[1], WORD_BASE[0]))
+            text = [bytes(raw[start[a] : end[a + WINDOW - 1]]).decode() for a in at]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), batch.column(2).take(pa.array(row)), pa.array(batch.column(3).to_numpy()[row] + inner.astype(np.int32)), pa.array(np.ones(len(at), bool)), pa.array(text, pa.string())], schema=SENT)
+
+    listed = F.broadcast(strings.sparkSession.createDataFrame(pa.table({"bucket": crowded})))
+    single = strings.filter("cut").join(listed, "bucket", "left_semi").select(*strings.columns).mapInArrow(run, TRAVEL)
+    return strings.join(listed, "bucket", "left_anti").unionByName(single)
 
 
 def removable(docs: DataFrame) -> DataFrame:
