@@ -7,7 +7,7 @@ stands in two documents has a minimiser that does, so a Bloom filter of repeated
 positives only add traffic) holds back all other strings; and equal strings are reduced to their smallest doc_id before
 they are shuffled. Minimisers that many strings share would fill a bucket, so their strings are cut into short runs: windows
 whose minimiser stands at nearly the same offset have all but a few words in common, and that core is their bucket.
-Where many different runs share a core too, its runs are cut into single windows, each with a bucket of its own.
+Where many different runs share a core too, its runs are cut finer, last into single windows with buckets of their own.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ WINDOW, MINIMISER = 50, 10
 FILTER_BITS, HOT = 1 << 28, 4096
 #: Up to this many strings with repeated minimisers, these are listed instead.
 LISTED = FILTER_BITS // 64
-#: Offsets of a hot minimiser that make one run, the words such windows share, and the fewest runs that crowd a core.
-STEP = 7
-CORE, CROWD = WINDOW - STEP + 1, 512
+#: Windows in a run of a hot minimiser, and in those of crowded cores; the fewest different runs that crowd a core.
+STEP, FINER, CROWD = 7, (3, 1), 512
 #: The fewest strings of a hot minimiser.
 WARM = 64
 
@@ -129,29 +128,44 @@ def inside(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ordered[at] == h
 
 
-def short_runs(word: np.ndarray, hot: np.ndarray, at: np.ndarray, n: np.ndarray, least: np.ndarray):
-    """(string, start, windows, bucket) of the short runs that strings of hot minimisers are cut into.
+def cut_runs(word: np.ndarray, string: np.ndarray, window: np.ndarray, origin: np.ndarray, step: int):
+    """(string, start, windows, core, bucket) of runs of up to `step` windows; `origin` is a place that each window holds.
 
-    Equal windows have their minimiser at one offset (the leftmost, if it repeats), hence one core and one bucket.
+    The windows of a run have their origin at nearly one offset, so they share a core of `WINDOW - step + 1` words.
+    Equal windows have it at the same offset, hence one core and one bucket.
     """
+    core = origin - (origin - window) // step * step
+    begin = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (core[1:] != core[:-1])])
+    core = core[begin]
+    return string[begin], window[begin], np.diff(np.r_[begin, len(window)]), core, spans(word, WORD_BASE[0], core, core + WINDOW - step + 1).view(np.int64)
+
+
+def each_window(at: np.ndarray, n: np.ndarray):
+    """(string, window) of every window of strings that start at `at` and have `n`."""
+    string = np.repeat(np.arange(len(at)), n)
+    return string, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[string]
+
+
+def short_runs(word: np.ndarray, hot: np.ndarray, at: np.ndarray, n: np.ndarray, least: np.ndarray):
+    """The runs that strings of hot minimisers are cut into; a minimiser that repeats in a window counts leftmost."""
     gram = window_hashes(word, MINIMISER).view(np.int64)
     place = np.flatnonzero(inside(hot, gram))
-    # hot grams in the order of (gram, place), so that the leftmost one in a window is found by its rank
+    # in the order of (gram, place), the leftmost one in a window is found by its rank
     key = np.sort(np.searchsorted(hot, gram[place]) * len(word) + place)
-    string = np.repeat(np.arange(len(at)), n)
-    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[string]
+    string, window = each_window(at, n)
     found = key[np.searchsorted(key, np.searchsorted(hot, least[string]) * len(word) + window)] % len(word)
-    core = found - (found - window) // STEP * STEP
-    begin = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (core[1:] != core[:-1])])
-    return string[begin], window[begin], np.diff(np.r_[begin, len(window)]), spans(word, WORD_BASE[0], core[begin], core[begin] + CORE).view(np.int64)
+    return cut_runs(word, string, window, found, STEP)
 
 
-TRAVEL = "bucket bigint, id bigint, doc_id bigint, start int, cut boolean, packed string"
-SENT = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("cut", pa.bool_()), ("packed", pa.string())])
+TRAVEL = "bucket bigint, id bigint, doc_id bigint, start int, core int, packed string"
+SENT = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("core", pa.int32()), ("packed", pa.string())])
 
 
 def travelling(docs: DataFrame) -> DataFrame:
-    """(bucket, id, doc_id, start, cut, packed): the strings whose minimiser may repeat; those of hot ones are cut."""
+    """(bucket, id, doc_id, start, core, packed): the strings whose minimiser may repeat.
+
+    Those of hot minimisers are cut; `core` is where in the string their core starts, -1 for whole ones.
+    """
     known = docs.sparkSession.sparkContext.broadcast(repeated(docs))
 
     def pack(doc, raw, start, end, word, first):
@@ -163,44 +177,49 @@ def travelling(docs: DataFrame) -> DataFrame:
         if not len(at):
             return None
         cut = inside(hot, least)
-        bucket = least[~cut]
+        bucket, core = least, np.full(len(at), -1)
         if cut.any():
-            string, begin, many, core = short_runs(word, hot, at[cut], n[cut], least[cut])
+            string, begin, many, place, own = short_runs(word, hot, at[cut], n[cut], least[cut])
             at, n, owner = np.r_[at[~cut], begin], np.r_[n[~cut], many], np.r_[owner[~cut], owner[cut][string]]
-            bucket, cut = np.r_[bucket, core], np.arange(len(at)) >= len(bucket)
+            bucket, core = np.r_[bucket[~cut], own], np.r_[core[~cut], place - begin]
         own = spans(word, WORD_BASE[0], at, at + n + WINDOW - 1).view(np.int64)
         text = [" ".join(bytes(raw[start[a] : end[b]]).decode().split()) for a, b in zip(at, at + n + WINDOW - 2)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array(doc[owner].astype(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array(cut), pa.array(text, pa.string())], schema=SENT)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array(doc[owner].astype(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array(core.astype(np.int32)), pa.array(text, pa.string())], schema=SENT)
 
-    return uncrowd(materialise(scan(docs, TRAVEL, pack), "superkmers"))
+    strings = materialise(scan(docs, TRAVEL, pack), "superkmers")
+    for step in FINER:
+        strings = uncrowd(strings, step)
+    return strings
 
 
-def uncrowd(strings: DataFrame) -> DataFrame:
-    """Cut the runs of cores that many different runs share into single windows.
+def uncrowd(strings: DataFrame, step: int) -> DataFrame:
+    """Cut the runs of cores that many different runs share into runs of up to `step` windows.
 
     The cores are listed on the driver: by the threshold at most `HOT` of them, whatever the input.
     """
-    cores = strings.filter("cut").select("bucket", "id").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    total = strings.filter("cut").count()
-    crowded = np.sort(cores.filter(F.col("n") >= max(CROWD, total // HOT)).select("bucket").toPandas()["bucket"].to_numpy(np.int64)) if total else np.zeros(0, np.int64)
-    if not len(crowded):
+    cut = strings.filter("core >= 0")
+    cores = cut.select("bucket", "id").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    listed = cores.filter(F.col("n") >= max(CROWD, cut.count() // HOT)).select("bucket").toPandas()
+    if not len(listed):
         return strings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, start, end, first = words(batch.column(5))
-            n = np.diff(first) - WINDOW + 1
-            row = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = inner + first[row]
+            string, window = each_window(first[:-1], np.diff(first) - WINDOW + 1)
+            if not len(string):
+                continue
             word = word_hashes(raw, start, end)
-            bucket, own = (spans(word, base, at, at + WINDOW).view(np.int64) for base in (WORD_BASE[1], WORD_BASE[0]))
-            text = [bytes(raw[start[a] : end[a + WINDOW - 1]]).decode() for a in at]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), batch.column(2).take(pa.array(row)), pa.array(batch.column(3).to_numpy()[row] + inner.astype(np.int32)), pa.array(np.ones(len(at), bool)), pa.array(text, pa.string())], schema=SENT)
-
-    listed = F.broadcast(strings.sparkSession.createDataFrame(pa.table({"bucket": crowded})))
-    single = strings.filter("cut").join(listed, "bucket", "left_semi").select(*strings.columns).mapInArrow(run, TRAVEL)
-    return strings.join(listed, "bucket", "left_anti").unionByName(single)
+            origin = first[string] + batch.column(4).to_numpy()[string]
+            string, at, n, core, bucket = cut_runs(word, string, window, origin, step)
+            own = spans(word, WORD_BASE[0], at, at + n + WINDOW - 1).view(np.int64)
+            begin = batch.column(3).to_numpy()[string] + at - first[string]
+            text = [bytes(raw[start[a] : end[b]]).decode() for a, b in zip(at, at + n + WINDOW - 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), batch.column(2).take(pa.array(string)), pa.array(begin.astype(np.int32)), pa.array((core - at).astype(np.int32)), pa.array(text, pa.string())], schema=SENT)
+
+    crowded = F.broadcast(strings.sparkSession.createDataFrame(listed, "bucket bigint"))
+    finer = cut.join(crowded, "bucket", "left_semi").select(*strings.columns).mapInArrow(run, TRAVEL)
+    return strings.join(crowded, "bucket", "left_anti").select(*strings.columns).unionByName(finer)
 
 
 def removable(docs: DataFrame) -> DataFrame:
