@@ -72,6 +72,33 @@ def test_substrings(docs, empty, monkeypatch, listed, hot, warm, crowd):
     assert whole[0] is None and whole[3] == "one"
 
 
+# the last two: most minimisers are hot, and then most cores crowded as well
+@pytest.mark.parametrize("hot,warm,crowd", [(substrings.HOT, substrings.WARM, substrings.CROWD), (1 << 20, 2, 512), (1 << 20, 2, 2)])
+def test_substrings_with_other_blanks_in_words(spark, monkeypatch, hot, warm, crowd):
+    for name, value in (("HOT", hot), ("WARM", warm), ("CROWD", crowd)):
+        monkeypatch.setattr(substrings, name, value)
+    rng = random.Random(6)
+    odd = ["\u00a0", "\u3000", "\u0085", "\u001c", "\u2028", "\u2003"]
+    rows = []
+    for k, c in enumerate(odd):
+        w = [f"v{rng.randrange(300)}" for _ in range(140)]
+        for at in (3, 70, 100, 138):
+            w[at] = f"a{c}b{c}{k}"
+        whole = " ".join(w)
+        new = [f"n{k}{c}{i}" for i in range(40)]
+        rows += [whole, whole.replace(" ", "\t\n"), " ".join(new + w[60:] + new), " ".join(w[:90] + new), " ".join(w[91:] + new)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    first, want = {}, []
+    for d, t in enumerate(rows):
+        w = WORD.findall(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) < d:
+                gone[i : i + 50] = [True] * 50
+        want.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    assert sorted(tuple(r) for r in substrings.dedup(docs).collect()) == want
+
+
 @pytest.mark.parametrize("most", [1500, 4])
 def test_jaccard(docs, empty, most):
     rows = [r for r in corpus() if r[0] is not None]

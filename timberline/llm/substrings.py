@@ -183,7 +183,7 @@ def travelling(docs: DataFrame) -> DataFrame:
             at, n, owner = np.r_[at[~cut], begin], np.r_[n[~cut], many], np.r_[owner[~cut], owner[cut][string]]
             bucket, core = np.r_[bucket[~cut], own], np.r_[core[~cut], place - begin]
         own = spans(word, WORD_BASE[0], at, at + n + WINDOW - 1).view(np.int64)
-        text = [" ".join(bytes(raw[start[a] : end[b]]).decode().split()) for a, b in zip(at, at + n + WINDOW - 2)]
+        text = [b" ".join(bytes(raw[start[a] : end[b]]).split()).decode() for a, b in zip(at, at + n + WINDOW - 2)]
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array(doc[owner].astype(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array(core.astype(np.int32)), pa.array(text, pa.string())], schema=SENT)
 
     strings = materialise(scan(docs, TRAVEL, pack), "superkmers")
