@@ -235,6 +235,36 @@ def test_html(spark):
     assert "deep" in out[4]["text"] and out[1]["n_chars"] == len(out[1]["text"])
 
 
+def deviation(spark, counts, given=None, slots=4000):
+    """The farthest any source gets from its requested weight, in blocks, while none has run out; the rows, by slot."""
+    rows = [(i, g) for i, g in enumerate(g for g, n in counts.items() for _ in range(n))]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), given, block=1).orderBy("position").collect()
+    assert len(out) == len(rows) == len({r["position"] for r in out}) and {r["doc_id"] for r in out} == {i for i, _ in rows}
+    want = given or {g: n**mixing.TEMPERATURE for g, n in counts.items()}
+    taken, total, worst = dict.fromkeys(want, 0), sum(want.values()), 0.0
+    for t, r in enumerate(out[:slots]):
+        assert r["release"] <= r["slot"] == t < r["deadline"]
+        taken[r["source"]] += 1
+        worst = max(worst, *(abs(n * total - (t + 1) * want[g]) / total for g, n in taken.items()))
+        if taken[r["source"]] == counts[r["source"]]:
+            break
+    return worst, t + 1
+
+
+def test_mixing_keeps_to_the_weights_asked_for(spark):
+    ten = {f"s{k}": 4500 if k == 0 else 60 for k in range(10)}
+    worst, slots = deviation(spark, ten, {f"s{k}": 81 if k == 0 else 1 for k in range(10)})
+    assert worst < 1 and slots > 3 * mixing.CYCLE
+    many = {f"s{k}": 2600 if k == 0 else 5 for k in range(512)}
+    worst, slots = deviation(spark, many, {f"s{k}": 511 if k == 0 else 1 for k in range(512)})
+    assert worst < 1 and slots > 3 * mixing.CYCLE
+    # a hot source, and targets by the number of documents
+    worst, slots = deviation(spark, {f"s{k}": 600 if k == 0 else 5 for k in range(300)})
+    assert worst < 1 and slots > mixing.CYCLE
+    after = mixing.mix(spark.createDataFrame([(i, "abc"[i % 3]) for i in range(300)], "doc_id long, source string"), {"a": 3.0, "b": 1.0}, block=8).orderBy("position").collect()
+    assert len(after) == 300 and all(r["source"] == "c" for r in after[200:])
+
+
 @pytest.mark.parametrize("most", [1024, 8])
 def test_embeddings(spark, most):
     rng = np.random.default_rng(4)

@@ -1,96 +1,125 @@
 """Mixing sources to target weights by a Pfair schedule.
 
 Time is cut into slots, and a slot takes one block (`BLOCK` consecutive documents) of one source. Block j of a source
-with weight e / CYCLE is released at floor(j * CYCLE / e) and due at ceil((j + 1) * CYCLE / e); every slot goes to the
-released block with the earliest deadline. As the weights add up to one, every block meets its window, so after any
-number of slots each source is less than one block from its target. The schedule repeats after CYCLE slots; one cycle
-is simulated by a fold over its slots inside one SQL expression, and later blocks follow by arithmetic. When a source
-has run out, its slots are closed up and the others go on in the same order; no row is dropped or repeated.
+with the share w of all weights is released at floor(j / w) and due at ceil((j + 1) / w); every slot goes to the
+released block with the earliest deadline. As the shares add up to one, every block meets its window, so after any
+number of slots each source that has not run out is less than one block from its target. Shares are exact fractions of
+the weights asked for, and every source has blocks of its own, however many there are. The driver deals the slots in
+one pass over the blocks: it holds a row per source and one per block, a `BLOCK`th of the documents. When a source has
+run out, others may take its slots as they are released; no row is dropped or repeated.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import gapless
 
-#: Documents per block, and slots per cycle: the resolution of the weights and the bound of the schedule table.
+#: Documents per block, and slots per cycle in the rounded view of the weights.
 BLOCK, CYCLE = 16, 1024
 #: Where no weights are given, a source weighs its number of documents to this power.
 TEMPERATURE = 0.7
 
 
-def weights(docs: DataFrame, given: dict | None = None, power: float = TEMPERATURE, cycle: int = CYCLE) -> DataFrame:
-    """(g, source, e): slots per cycle of each source, at least one each, `cycle` together, by largest remainder.
+def named():
+    """The key of a source: 's' and its name, '' for null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+
+
+def sizes(docs: DataFrame) -> dict[str, int]:
+    """Documents of every source, in the order of their keys."""
+    return dict(sorted((r["g"], r["count"]) for r in docs.groupBy(named().alias("g")).count().collect()))
+
+
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very proportions of the weights."""
+    parts = {g: float(w).as_integer_ratio() for g, w in weights.items()}
+    whole = max((d for _, d in parts.values()), default=1)  # powers of two
+    shares = {g: n * (whole // d) for g, (n, d) in parts.items()}
+    common = math.gcd(*shares.values()) or 1
+    return {g: n // common for g, n in shares.items()}
+
+
+def targets(counts: dict[str, int], given: dict | None = None, power: float = TEMPERATURE) -> list[dict[str, int]]:
+    """Shares of the sources that are mixed first and of those that follow them: with weights given, those without one."""
+    if not given:
+        return [exact({g: float(n) ** power for g, n in counts.items()})]
+    if not all(0 <= v < math.inf for v in given.values()):
+        raise ValueError("weights must be finite and not negative")
+    asked = {"" if k is None else "s" + k: v for k, v in given.items()}
+    first = {g: asked[g] for g in counts if asked.get(g, 0) > 0}
+    return [exact(first), exact({g: float(n) ** power for g, n in counts.items() if g not in first})]
 
-    Sources beyond the `cycle` heaviest, or not in `given`, share one group (source null, g '') as one source.
+
+def deal(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) by slots: the released block with the earliest deadline, then first key.
+
+    Slots in which nothing is released are left out.
     """
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    counts = docs.groupBy(name.alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    spark = docs.sparkSession
-    if given:
-        target = spark.createDataFrame([("s" + k, float(v)) for k, v in given.items()], "g string, w double")
-        counts = counts.join(F.broadcast(target), "g", "left").select(F.when(F.col("w").isNotNull(), F.col("g")).otherwise("").alias("g"), "n", "w")
-        raw = counts.groupBy("g").agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("w"))
-    else:
-        top = counts.orderBy(F.desc("n"), "g").limit(cycle // 2)
-        kept = counts.join(F.broadcast(top.select(F.col("g").alias("k"))), F.col("g") == F.col("k"), "left")
-        raw = kept.groupBy(F.coalesce("k", F.lit("")).alias("g")).agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("w"))
-    # one row holds all sources from here: at most cycle / 2 + 1 of them
-    rows = raw.groupBy().agg(F.sort_array(F.collect_list(F.struct("g", "w"))).alias("s"))
-    total = F.expr("aggregate(s, 0D, (a, x) -> a + x.w)")
-    rows = rows.withColumn("t", F.when(total > 0, total).otherwise(F.lit(1.0)))
-    rows = rows.withColumn("x", F.expr(f"transform(s, v -> named_struct('g', v.g, 'q', 1 + ({cycle} - size(s)) * v.w / t))"))
-    rows = rows.withColumn("left", F.expr(f"{cycle} - aggregate(x, 0L, (a, v) -> a + cast(floor(v.q) AS BIGINT))"))
-    rows = rows.withColumn("o", F.expr("array_sort(transform(x, v -> named_struct('r', floor(v.q) - v.q, 'g', v.g, 'f', cast(floor(v.q) AS INT))))"))
-    return rows.select(F.posexplode("o").alias("i", "o"), "left").select(F.col("o.g").alias("g"), (F.col("o.f") + F.when(F.col("i") < F.col("left"), 1).otherwise(0)).alias("e"))
+    total = sum(shares.values())
+    ready: list[tuple[int, str, int, int]] = []
+    later = [(0, g, 0) for g in shares if shares[g] and blocks[g]]
+    heapq.heapify(later)
+    slot = 0
+    while ready or later:
+        if not ready:
+            slot = max(slot, later[0][0])
+        while later and later[0][0] <= slot:
+            release, g, j = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(j + 1) * total // shares[g]), g, j, release))
+        deadline, g, j, release = heapq.heappop(ready)
+        yield g, j, slot, release, deadline
+        slot += 1
+        if j + 1 < blocks[g]:
+            heapq.heappush(later, ((j + 1) * total // shares[g], g, j + 1))
+
+
+def weights(docs: DataFrame, given: dict | None = None, power: float = TEMPERATURE, cycle: int = CYCLE) -> DataFrame:
+    """(g, e): the targets as whole slots of one cycle, `cycle` together, by largest remainder; `mix` doesn't round."""
+    shares = targets(sizes(docs), given, power)[0]
+    total = sum(shares.values()) or 1
+    slots = {g: cycle * n // total for g, n in shares.items()}
+    for g in sorted(shares, key=lambda g: (-(cycle * shares[g] % total), g))[: cycle - sum(slots.values())]:
+        slots[g] += 1
+    return docs.sparkSession.createDataFrame(list(slots.items()), "g string, e int")
 
 
 def schedule(slots: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """(g, k, slot, e): the slot of every source's k-th block in one cycle, by earliest deadline among the released."""
-    state = slots.groupBy().agg(F.sort_array(F.collect_list(F.struct("g", "e"))).alias("s"))
-    # c: blocks taken so far by each source; the fold appends the source (by place) that takes each slot
-    pick = f"""
-      aggregate(sequence(0, {cycle - 1}),
-        named_struct('c', transform(s, v -> 0), 'o', cast(array() AS array<int>)),
-        (a, t) -> transform(array(
-            array_min(filter(transform(s, (v, i) -> named_struct(
-                'd', cast(ceil((a.c[i] + 1) * {cycle}D / v.e) AS INT), 'i', i,
-                'r', cast(floor(a.c[i] * {cycle}D / v.e) AS INT))), x -> x.r <= t)).i),
-          p -> named_struct('c', transform(a.c, (n, i) -> n + if(i = p, 1, 0)), 'o', concat(a.o, array(p))))[0],
-        a -> a.o)"""
-    taken = state.filter(F.size("s") > 0).select("s", F.posexplode(F.expr(pick)).alias("slot", "i")).filter(F.col("i").isNotNull())
-    taken = taken.select("slot", F.expr("s[i].g").alias("g"), F.expr("s[i].e").alias("e"))
-    return taken.select("g", "e", "slot", (F.row_number().over(W.partitionBy("g").orderBy("slot")) - 1).alias("k"))
-
-
-def mix(docs: DataFrame, given: dict | None = None, block: int = BLOCK, cycle: int = CYCLE, key: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """(g, k, slot, e): the slot of every source's k-th block in one cycle of whole slots."""
+    e = {r["g"]: r["e"] for r in slots.collect()}
+    rows = [(g, j, slot, e[g]) for g, j, slot, _, _ in deal(e, e) if slot < cycle]
+    return slots.sparkSession.createDataFrame(rows, "g string, k int, slot int, e int")
+
+
+def mix(docs: DataFrame, given: dict | None = None, block: int = BLOCK, key: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The key columns of every row with block (of its source), slot, release, deadline and position.
 
     `position` orders the mix; it grows without repeats but leaves gaps where a source has run out or ends within a
-    block. Rows of a source are ordered by a hash of doc_id. A null source is a source of its own or, with given
-    weights, joins the rest group; null ids are keys like any other; repeated rows take a place each. An empty
-    table gives an empty mix.
+    block. Rows of a source are ordered by a hash of doc_id. A null source is a source of its own, called None in
+    `given`. With given weights, sources without one (or 0) follow all others, mixed by their numbers of documents.
+    Null ids are keys like any other; repeated rows take a place each. An empty table gives an empty mix.
     """
-    share = weights(docs, given, cycle=cycle)
-    plan = schedule(share, cycle)
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    known = F.broadcast(share.select(F.col("g").alias("__known")))  # at most `cycle` rows
-    rows = docs.select(*key).join(known, name == F.col("__known"), "left").withColumn("__src", F.coalesce("__known", F.lit(""))).drop("__known")
-    rows = gapless(rows, "__src", [k for k in key if k != "source"], "__j")
+    counts = sizes(docs)
+    blocks = {g: -(-n // block) for g, n in counts.items()}
+    fields = ("__g", "__k", "slot", "release", "deadline")
+    columns: tuple[list, ...] = ([], [], [], [], [])
+    start = 0
+    for shares in targets(counts, given):
+        last = start
+        for g, j, *times in deal(shares, blocks):
+            last = start + times[0] + 1
+            for column, value in zip(columns, (g, j, *(start + t for t in times))):
+                column.append(value)
+        start = last
+    plan = pa.table([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(columns)], names=list(fields))
+    plan = docs.sparkSession.createDataFrame(plan)
+    rows = gapless(docs.select(*key).withColumn("__src", named()), "__src", [k for k in key if k != "source"], "__j")
     rows = rows.withColumn("block", F.floor(F.col("__j") / block))
-    each = F.broadcast(share.select(F.col("g").alias("__src"), F.col("e").alias("__e")))
-    rows = rows.join(each, "__src").withColumn("__k", (F.col("block") % F.col("__e")).cast("int"))
-    plan = F.broadcast(plan.select(F.col("g").alias("__src"), F.col("k").alias("__k"), F.col("slot").alias("__slot")))  # `cycle` rows
-    rows = rows.join(plan, ["__src", "__k"])
-    slot = F.floor(F.col("block") / F.col("__e")) * cycle + F.col("__slot")
-    return rows.select(
-        *key,
-        "block",
-        slot.alias("slot"),
-        F.floor(F.col("block") * float(cycle) / F.col("__e")).alias("release"),
-        F.ceil((F.col("block") + 1) * float(cycle) / F.col("__e")).alias("deadline"),
-        (slot * block + F.col("__j") % block).alias("position"),
-    )
+    rows = rows.join(plan, (F.col("__src") == F.col("__g")) & (F.col("block") == F.col("__k")))
+    return rows.select(*key, "block", "slot", "release", "deadline", (F.col("slot") * block + F.col("__j") % block).alias("position"))
