@@ -265,6 +265,17 @@ def test_mixing_keeps_to_the_weights_asked_for(spark):
     assert len(after) == 300 and all(r["source"] == "c" for r in after[200:])
 
 
+def test_mixing_has_no_rest_group(spark):
+    counts = {f"s{k:03}": 900 if k == 0 else 3 for k in range(700)} | {None: 40}
+    worst, slots = deviation(spark, counts)
+    assert worst < 1 and slots > mixing.CYCLE
+    given = {g: 700 if g == "s000" else 30 if g is None else 1 for g in counts}
+    worst, slots = deviation(spark, counts, given)
+    assert worst < 1 and slots > mixing.CYCLE
+    rows = mixing.mix(spark.createDataFrame([(i, g) for i, g in enumerate(counts)], "doc_id long, source string"))
+    assert {r["block"] for r in rows.collect()} == {0}  # every source counts its own blocks
+
+
 @pytest.mark.parametrize("most", [1024, 8])
 def test_embeddings(spark, most):
     rng = np.random.default_rng(4)
