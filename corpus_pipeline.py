@@ -50,9 +50,21 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.repartitionByRange(partitions(spark), "__p").sortWithinPartitions("__p").select(*columns)
 
 
+def in_order(docs: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a Parquet table 0, 1, ... in the order of its file names and of the rows in them."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = sorted(tuple(r) for r in rows.groupBy("__file").count().collect())  # a row per file
+    starts, total = [], 0
+    for file, n in sizes:
+        starts.append((file, total))
+        total += n
+    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "__file string, __start bigint"))
+    return rows.join(starts, "__file").withColumn(name, F.col("__start") + F.col("__row")).drop("__file", "__row", "__start")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document."""
-    return bpe.encode(docs)
+    """Token counts and digests of every document, with its place in the mix as the stage before has written it."""
+    return bpe.encode(in_order(docs, "mix_position"), keep=("doc_id", "mix_position"))
 
 
 STAGES = [

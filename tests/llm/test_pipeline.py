@@ -1,4 +1,6 @@
+import math
 import os
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +30,28 @@ def test_stages_keep_the_columns_and_do_their_work(spark, tmp_path):
     assert out.count() == len(seen[3]) and out.filter(F.col("n_tokens") == 0).count() == 0
 
 
+def test_the_mix_shows_in_the_rows(spark, tmp_path):
+    counts = {"a": 700, "b": 300, None: 90}
+    rows = [(i, f"text {i}", "en", g, 1) for i, g in enumerate(g for g, n in counts.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    (_, mixture), (_, tokens) = corpus_pipeline.STAGES[3:]
+    mixture(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / "mixed"))
+    out = {r["mix_position"]: r["doc_id"] for r in tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).collect()}
+    assert sorted(out) == list(range(len(rows))) and sorted(out.values()) == [r[0] for r in rows]
+    weight = {g: Fraction(float(n) ** 0.7) for g, n in counts.items()}
+    share = {g: w / sum(weight.values()) for g, w in weight.items()}
+    left, taken, want, t = dict(counts), dict.fromkeys(counts, 0), [], 0
+    while any(left.values()):  # earliest deadline first among the released
+        ready = [(math.ceil((taken[g] + 1) / share[g]), "s" + g if g else "", g) for g in counts if left[g] and math.floor(taken[g] / share[g]) <= t]
+        if ready:
+            g = min(ready)[2]
+            n = min(16, left[g])
+            want += [g] * n
+            left[g], taken[g] = left[g] - n, taken[g] + 1
+        t += 1
+    assert [rows[out[p]][3] for p in range(len(rows))] == want
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
