@@ -276,6 +276,19 @@ def test_mixing_has_no_rest_group(spark):
     assert {r["block"] for r in rows.collect()} == {0}  # every source counts its own blocks
 
 
+def paragraphs(name, n, commas):
+    return [f"{name} {k} of the story" + ", and more" * commas + " to be told at length." for k in range(n)]
+
+
+@pytest.mark.parametrize("page", ["<div class='content'><div class='text'>{}</div><div class='text'>{}</div></div>", "<article>{}</article><article>{}</article>", "<article>{1}</article><article>{0}</article>", "<main><div class='row'><article>{}</article></div><div class='row'><article>{}</article></div></main>", "<div id='a' class='post-body'>{}</div><div class='ad'><p>buy, now</p></div><div class='entry'>{}</div>"])
+def test_html_of_articles_in_several_containers(page):
+    long, short = paragraphs("First", 9, 3), paragraphs("Second", 2, 2)
+    tagged = ["".join(f"<p>{t}</p>" for t in part) for part in (long, short)]
+    want = short + long if page.startswith("<article>{1}") else long + short
+    got = html_text.main_text("<html><body><nav><a href='/'>menu</a></nav>" + page.format(*tagged) + "<div id='comments'><p>reader, comment</p></div></body></html>")
+    assert got == "\n".join(want)
+
+
 @pytest.mark.parametrize("most", [1024, 8])
 def test_embeddings(spark, most):
     rng = np.random.default_rng(4)

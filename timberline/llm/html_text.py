@@ -178,15 +178,19 @@ def best_text(root: Node) -> str:
     best = max(held, key=lambda n: n.score)
     if best.score <= 0:
         best = root
+    # a wrapper of nothing but the best container stands for it
+    score = best.score
+    while best.parent is not None and best.parent.length == best.length:
+        best = best.parent
     if best.parent is None:
         return "\n".join(blocks([best]))
     keep = []
     for c in best.parent.children:
         if c is best:
             keep.append(c)
-        elif isinstance(c, Node) and not c.noise and not best.good:
+        elif isinstance(c, Node) and not c.noise:
             density = c.linked / c.length if c.length else 1.0
-            if c.score >= max(10, 0.2 * best.score) or c.tag in SCORED and c.length and density < 0.25 or c.tag in ("section", "div") and c.length > 80 and density == 0 and c.score > 0:
+            if c.score >= max(10, 0.2 * score) or c.tag in SCORED and c.length and density < 0.25 or c.tag in ("section", "div") and c.length > 80 and density == 0 and c.score > 0:
                 keep.append(c)
     return "\n".join(blocks(keep))
 
