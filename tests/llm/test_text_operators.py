@@ -289,6 +289,21 @@ def test_html_of_articles_in_several_containers(page):
     assert got == "\n".join(want)
 
 
+@pytest.mark.parametrize("name", ["layout sidebar-right", "content-sidebar", "search-page", "login-enabled"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_of_wrappers_that_are_called_like_noise(name, tag):
+    text = paragraphs("First", 6, 2)
+    inner = f"<{tag}>" + "".join(f"<p>{t}</p>" for t in text) + f"</{tag}>"
+    comments = "<div class='comments'>" + "".join(f"<p>{t}</p>" for t in paragraphs("Reader", 4, 1)) + "</div>"
+    for outside in ("<p>Skip to content</p>{}", "{}<p>Copyright 2020, all rights reserved</p>", "<div>Skip</div>{}<div><p>A line</p></div>"):
+        got = html_text.main_text("<body>" + outside.format(f"<div class='{name}'><ul class='menu'><li><a href='/'>home</a></ul>{inner}{comments}</div>") + "</body>")
+        assert "\n".join(text) in got and "Reader" not in got and "home" not in got
+    # what is noise stays noise, however long
+    long = "".join(f"<p>{t}</p>" for t in paragraphs("Reader", 40, 3))
+    for page in (f"{inner}<div class='comments'>{long}</div>", f"{inner}<div class='comments'><article>{long}</article></div>"):
+        assert html_text.main_text(page) == "\n".join(text) or tag == "div" and "article>" in page
+
+
 @pytest.mark.parametrize("most", [1024, 8])
 def test_embeddings(spark, most):
     rng = np.random.default_rng(4)

@@ -24,14 +24,16 @@ CLOSES_P = BLOCK - {"html", "body"}
 SCORED = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd".split())
 #: Words in class, id or role that mark what is not the article.
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|respond|replies|reply|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|toolbar|pagination|pager|login|signup|form|search|complementary|contentinfo|hidden)(?:$|[\s_-])", re.I)
+#: Those of what readers wrote, which is often longer than the article.
+REPLIES = re.compile(r"comments?|disqus|respond|replies|reply", re.I)
 GOOD = re.compile(r"article|content|main|body|post|entry|text|story", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "noise", "good", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "score", "noise", "named", "good", "length", "linked")
 
-    def __init__(self, tag: str, parent: "Node | None", noise: bool = False, good: bool = False):
-        self.tag, self.parent, self.noise, self.good = tag, parent, noise, good
+    def __init__(self, tag: str, parent: "Node | None", noise: bool = False, good: bool = False, named: str = ""):
+        self.tag, self.parent, self.noise, self.good, self.named = tag, parent, noise, good, named
         self.children: list = []
         self.score = 0.0
         self.length = self.linked = 0
@@ -92,14 +94,76 @@ def parse(page: str, marks_count: bool = True) -> Node:
                 elif name.lower() == "aria-hidden" and value.strip("\"'") == "true" or name.lower() == "style" and "display:none" in value.replace(" ", ""):
                     hidden = True
             hidden |= bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub("", m.group(3))))
-        noise = tag in DROP or hidden or bool(marks_count and marks and tag not in ("html", "body", "article", "main") and marked(marks))
-        node = Node(tag, top, noise, tag in ("article", "main") or bool(marks and GOOD.search(marks)))
+        dropped = tag in DROP or hidden
+        named = marks if not dropped and marks_count and tag not in ("html", "body", "article", "main") and marked(marks) else ""
+        node = Node(tag, top, dropped or bool(named), tag in ("article", "main") or bool(marks and GOOD.search(marks)), named)
         top.children.append(node)
         if not m.group(3).rstrip().endswith("/"):
             top = node
     return root
 
 
+def spare(root: Node) -> None:
+    """Take the mark of noise from nodes that have it by name alone but hold the article.
+
+    Such a node holds an article or main element while none stands outside of marked nodes and no more points do; or
+    it holds most of the page's points, and if an article element stands outside or readers wrote it, outside is next to
+    nothing.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and (c.named or not c.noise)]
+    if not any(n.named for n in order):
+        return
+    size: dict[Node, tuple[int, int]] = {}
+    points: dict[Node, float] = {}
+    holds: dict[Node, bool] = {}
+    for node in reversed(order):
+        length = linked = commas = 0
+        own = direct = below = 0.0
+        article = False
+        for c in node.children:
+            if isinstance(c, str):
+                n = len(c.strip())
+                length += n
+                linked += n * (node.tag == "a")
+                commas += c.count(",") + c.count("，") + c.count("、")
+                direct = max(direct, n)
+            elif c in size:
+                length += size[c][0]
+                linked += size[c][0] if c.tag == "a" else size[c][1]
+                below += points[c]
+                article |= holds[c]
+        if length and (node.tag in SCORED or node.tag in ("div", "section", "article", "main", "body", "html") and direct >= 25):
+            own = (1 + commas + min(length / 100, 30)) * (1 - linked / length)
+        size[node] = length, linked
+        points[node] = max(own, below) if node.tag in SCORED else own + below
+        holds[node] = article or node.tag in ("article", "main") and points[node] > 0
+    while True:
+        outside, marked_nodes, stack = [], [], [root]
+        while stack:
+            node = stack.pop()
+            if node.noise:
+                marked_nodes.append(node)
+                continue
+            outside.append(node)
+            stack += [c for c in node.children if c in size]
+        free = dict.fromkeys(outside, 0.0)
+        for node in reversed(outside):  # points that don't come from marked nodes
+            free[node] = points[node] - sum(points[c] - free.get(c, 0.0) for c in node.children if c in size)
+        article = any(n.tag in ("article", "main") and free[n] > 1e-6 for n in outside)
+        rest = free[root]
+        for node in sorted(marked_nodes, key=lambda n: (holds[n], points[n]), reverse=True):
+            most = points[node] > points[root] / 2 and (rest < 10 or not article and not REPLIES.search(node.named))
+            if most or holds[node] and not article and points[node] >= rest:
+                node.noise, node.named = False, ""
+                break
+        else:
+            return
+
+
 def measure(root: Node) -> list[Node]:
     """Set length, linked length and points bottom up; the nodes that can hold an article."""
     order, stack = [], [root]
@@ -163,11 +227,13 @@ def blocks(nodes: list) -> list[str]:
 def main_text(page: str | None) -> str:
     """The article of a page; empty for null, empty or text-free pages. Ties go to the container that comes first.
 
-    Where class names would take the whole page for noise, they don't count.
+    Class names don't make noise of what holds the article, nor of the whole page.
     """
     if not page:
         return ""
-    return best_text(parse(page)) or best_text(parse(page, False))
+    root = parse(page)
+    spare(root)
+    return best_text(root) or best_text(parse(page, False))
 
 
 def best_text(root: Node) -> str:
