@@ -304,6 +304,20 @@ def test_html_of_wrappers_that_are_called_like_noise(name, tag):
         assert html_text.main_text(page) == "\n".join(text) or tag == "div" and "article>" in page
 
 
+def test_more_languages_than_bits_in_a_word(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(70):
+        parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)]
+        for i in range(24 if k % 9 else 16):
+            rows.append((len(rows), " ".join("".join(rng.choices(parts, k=2)) for _ in range(20)), f"l{k:02}"))
+    truth = {r[0]: r[2] for r in rows}
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    held = [r for r in out if r["held_out"]]
+    assert {truth[r["doc_id"]] for r in held} == set(truth.values()) == {r["lang_pred"] for r in held}
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in out)
+
+
 @pytest.mark.parametrize("most", [1024, 8])
 def test_embeddings(spark, most):
     rng = np.random.default_rng(4)

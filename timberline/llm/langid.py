@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 Each language gets a set of character n-grams that are typical of it. All sets live in one bit-sliced Bloom filter:
-slot i holds a bit mask of languages, so the AND of an n-gram's slots names every language that contains it. Per
+slot i holds a bit mask of languages, in as many words of 64 bits as they need, so the AND of an n-gram's slots names every language that contains it. Per
 language the hits are counted, corrected for the filter's false positives at that language's fill, and compared.
 """
 
@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import slices
+from .common import materialise, slices
 from .kernel import mix
 
 U = np.uint64
 GRAMS = (2, 3, 4)
-#: Documented bounds of the fit: training rows per language, n-grams kept per language, languages, slots and hashes.
-SAMPLE_ROWS, KEPT, LANGUAGES, SLOTS, HASHES = 2_000, 30_000, 64, 1 << 21, 3
+#: Documented bounds of the fit: training rows per language, n-grams kept per language, slots and hashes.
+SAMPLE_ROWS, KEPT, SLOTS, HASHES = 2_000, 30_000, 1 << 21, 3
+#: Languages in a word of the masks.
+WORD = 64
 
 _letters = None
 
@@ -68,28 +70,30 @@ class Model:
     """The languages, the filter and its false-positive rate per language."""
 
     def __init__(self, languages: list[str], sets: list[np.ndarray], slots: int = SLOTS):
-        self.languages = languages
-        self.filter = np.zeros(slots, U)
+        self.languages, self.size = languages, slots
+        self.filters = [np.zeros(slots, U) for _ in range(0, len(languages), WORD)]
         for i, members in enumerate(sets):
             for slot in self.slots(members):
-                np.bitwise_or.at(self.filter, slot, U(1) << U(i))
-        fill = np.array([np.count_nonzero(self.filter >> U(i) & U(1)) / slots for i in range(len(languages))])
+                np.bitwise_or.at(self.filters[i // WORD], slot, U(1) << U(i % WORD))
+        fill = np.array([np.count_nonzero(self.filters[i // WORD] >> U(i % WORD) & U(1)) / slots for i in range(len(languages))])
         self.false = fill**HASHES
 
     def slots(self, h: np.ndarray) -> list[np.ndarray]:
         step = (h >> U(32)) | U(1)
-        return [((h + U(k) * step) % U(len(self.filter))).astype(np.int64) for k in range(HASHES)]
+        return [((h + U(k) * step) % U(self.size)).astype(np.int64) for k in range(HASHES)]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """A language (or und) and a score for each text."""
         h, owner, count = grams(texts)
-        mask = np.full(len(h), ~U(0))
-        for slot in self.slots(h):
-            mask &= self.filter[slot]
+        slots = self.slots(h)
         total = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
         share = np.zeros((len(texts), max(1, len(self.languages))))
         for i in range(len(self.languages)):
-            hits = np.bincount(owner[(mask >> U(i) & U(1)).astype(bool)], minlength=len(texts))
+            if i % WORD == 0:
+                mask = np.full(len(h), ~U(0))
+                for slot in slots:
+                    mask &= self.filters[i // WORD][slot]
+            hits = np.bincount(owner[(mask >> U(i % WORD) & U(1)).astype(bool)], minlength=len(texts))
             share[:, i] = np.clip((hits / total - self.false[i]) / max(1e-9, 1 - self.false[i]), 0, 1)
         best = share.argmax(1)
         known = (count > 0) & bool(self.languages)
@@ -104,21 +108,21 @@ def held_out():
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT) -> Model:
     """Learn from text and non-null lang of rows that are not held out.
 
-    The fit uses at most `sample_rows` whole texts per language, those with the smallest hash of doc_id, of the at
-    most 64 most frequent languages. An n-gram enters a language's set if at least half of its weight, with equal
+    The fit uses at most `sample_rows` whole texts of every language, those with the smallest hash of doc_id. An n-gram enters a language's set if at least half of its weight, with equal
     weight for all languages, lies in it or in one more language; the `kept` heaviest are taken.
     """
     spark = docs.sparkSession
     learn = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = learn.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], [])
     size = {r["lang"]: r["count"] for r in counts}
     # a hash threshold thins each language to a little over the bound before rows of one language meet
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 1.2 * sample_rows / size[k] + 20 / size[k]))])
+    share = [(k, min(1.0, 1.2 * sample_rows / n + 20 / n)) for k, n in size.items()]
+    share = F.broadcast(spark.createDataFrame(share, "__l string, __s double"))  # a row per language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    thin = learn.filter(F.col("lang").isin(languages)).withColumn("__d", draw).filter(F.col("__d") < share[F.col("lang")] * float(1 << 30))
+    thin = learn.join(share, F.col("lang") == F.col("__l")).withColumn("__d", draw).filter(F.col("__d") < F.col("__s") * float(1 << 30))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("__d", "doc_id"))
     sample = thin.select("lang", "text", "doc_id", "__d").withColumn("__r", rank).filter(F.col("__r") <= sample_rows).select("lang", "text")
 
@@ -135,8 +139,16 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT) -> Mo
     table = table.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
     table = table.withColumn("share", F.col("p") / F.sum("p").over(W.partitionBy("h")))
     top = table.filter((F.col("n") >= 2) & (F.col("share") >= 0.5)).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("p"), "h"))).filter(F.col("r") <= kept)
-    got = top.select("lang", "h").toPandas()
-    return Model(languages, [got["h"][got["lang"] == k].to_numpy(np.int64).view(U) for k in languages])
+    top = top.select("lang", "h")
+    if len(languages) > WORD:  # fetched by words of the masks, so that the driver holds few n-grams twice
+        top = materialise(top, "grams")
+    sets: list[np.ndarray] = []
+    for at in range(0, len(languages), WORD):
+        names = languages[at : at + WORD]
+        got = top.filter(F.col("lang").isin(names)).toPandas().groupby("lang")["h"]
+        have = {k: v.to_numpy(np.int64).view(U) for k, v in got}
+        sets += [have.get(k, np.zeros(0, U)) for k in names]
+    return Model(languages, sets)
 
 
 def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
