@@ -43,20 +43,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-# 0: by the Bloom filter; the last two: most minimisers are hot, and then most cores crowded as well
-@pytest.mark.parametrize("listed,hot,warm,crowd", [(substrings.LISTED, substrings.HOT, substrings.WARM, substrings.CROWD), (0, 1 << 12, 64, 512), (1, 1 << 20, 2, 512), (1, 1 << 20, 2, 2)])
-def test_substrings(docs, empty, monkeypatch, listed, hot, warm, crowd):
-    for name, value in (("LISTED", listed), ("HOT", hot), ("WARM", warm), ("CROWD", crowd)):
-        monkeypatch.setattr(substrings, name, value)
-    rows = corpus()
+def without_repeats(rows):
+    """(doc_id, words, words removed, SHA-256 of the rest) of rows (doc_id, text, ...), by brute force."""
     first = {}
     for d, t, *_ in rows:
-        if d is not None:
-            w = WORD.findall(t or "")
-            for i in range(len(w) - 49):
-                k = tuple(w[i : i + 50])
-                first[k] = min(d, first.get(k, d))
-    want = []
+        w = WORD.findall(t or "")
+        for i in range(len(w) - 49) if d is not None else ():
+            k = tuple(w[i : i + 50])
+            first[k] = min(d, first.get(k, d))
+    out = []
     for d, t, *_ in rows:
         w = WORD.findall(t or "")
         gone = [False] * len(w)
@@ -64,19 +59,48 @@ def test_substrings(docs, empty, monkeypatch, listed, hot, warm, crowd):
             if d is not None and first[tuple(w[i : i + 50])] < d:
                 gone[i : i + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone) if not g)
-        want.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = [tuple(r) for r in substrings.dedup(docs).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+# a filter that is full holds nothing back; with a small crowd all buckets, or most, are split by window
+PATHS = pytest.mark.parametrize("bits,crowd", [(substrings.MOST_BITS, substrings.CROWD), (1 << 10, substrings.CROWD), (substrings.MOST_BITS, 0), (1 << 10, 2000)])
+
+
+@PATHS
+def test_substrings(docs, empty, bits, crowd):
+    want = without_repeats(corpus())
+    got = [tuple(r) for r in substrings.dedup(docs, most_bits=bits, crowd=crowd).collect()]
+    assert sorted(got, key=str) == want
     assert substrings.dedup(empty).count() == 0
     whole = {r["doc_id"]: r["text"] for r in substrings.dedup(docs, text=True).collect()}
     assert whole[0] is None and whole[3] == "one"
 
 
-# the last two: most minimisers are hot, and then most cores crowded as well
-@pytest.mark.parametrize("hot,warm,crowd", [(substrings.HOT, substrings.WARM, substrings.CROWD), (1 << 20, 2, 512), (1 << 20, 2, 2)])
-def test_substrings_with_other_blanks_in_words(spark, monkeypatch, hot, warm, crowd):
-    for name, value in (("HOT", hot), ("WARM", warm), ("CROWD", crowd)):
-        monkeypatch.setattr(substrings, name, value)
+@PATHS
+def test_substrings_of_one_id_and_of_many_edges(spark, bits, crowd):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    common, period = prose(61), " ".join(f"p{k % 3}" for k in range(400))
+    rows = [(5, prose(20) + " " + common), (5, common + " " + prose(90)), (5, common), (2, prose(120)), (2, period)]
+    rows += [(10 + k, f"{prose(k)} {common} {prose(60 - k)}") for k in range(60)]  # one passage between other words
+    rows += [(80 + k, " ".join(period.split()[k:])) for k in range(4)] + [(3, rows[3][1] + " " + rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.dedup(docs, most_bits=bits, crowd=crowd).collect()
+    assert sorted((tuple(r) for r in got), key=str) == without_repeats(rows)
+
+
+def test_substrings_with_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    clash = ("runs", "key", "c0", "hit_id", "__d", "__starts", "Bucket")
+    docs = spark.createDataFrame([(i, *range(7), text) for i in range(3)], ", ".join(["doc_id long", *(f"{c} long" for c in clash), "text string"]))
+    out = substrings.dedup(docs, text=True)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["hit_id"], r["text"]) for r in out.collect()) == [(0, 3, text), (1, 3, ""), (2, 3, "")]
+
+
+@PATHS
+def test_substrings_with_other_blanks_in_words(spark, bits, crowd):
     rng = random.Random(6)
     odd = ["\u00a0", "\u3000", "\u0085", "\u001c", "\u2028", "\u2003"]
     rows = []
@@ -88,15 +112,7 @@ def test_substrings_with_other_blanks_in_words(spark, monkeypatch, hot, warm, cr
         new = [f"n{k}{c}{i}" for i in range(40)]
         rows += [whole, whole.replace(" ", "\t\n"), " ".join(new + w[60:] + new), " ".join(w[:90] + new), " ".join(w[91:] + new)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
-    first, want = {}, []
-    for d, t in enumerate(rows):
-        w = WORD.findall(t)
-        gone = [False] * len(w)
-        for i in range(len(w) - 49):
-            if first.setdefault(tuple(w[i : i + 50]), d) < d:
-                gone[i : i + 50] = [True] * 50
-        want.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
-    assert sorted(tuple(r) for r in substrings.dedup(docs).collect()) == want
+    assert sorted((tuple(r) for r in substrings.dedup(docs, most_bits=bits, crowd=crowd).collect()), key=str) == without_repeats(list(enumerate(rows)))
 
 
 @pytest.mark.parametrize("most", [1500, 4])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -46,7 +49,30 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with the memory of each given back to the system before the next: idle Python workers keep little."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        trim()
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+def trim() -> None:
+    """Give freed heap pages back to the system, where the C library can."""
+    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 18):
     """Cut a batch into runs of rows with about `most_bytes` of text each, so that numpy work stays small."""
     text = batch.column(batch.schema.get_field_index(column))
     size = pa.compute.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False)

@@ -2,12 +2,14 @@
 
 A window is `WINDOW` consecutive words. Its minimiser is the run of `MINIMISER` words in it with the least hash.
 Consecutive windows that share a minimiser travel as one packed string to the minimiser's bucket, where windows are
-sorted and the smallest doc_id of each is found. Two facts keep the traffic low without losing a window: a window that
-stands in two documents has a minimiser that does, so a Bloom filter of repeated minimisers (its size is fixed; false
-positives only add traffic) holds back all other strings; and equal strings are reduced to their smallest doc_id before
-they are shuffled. Minimisers that many strings share would fill a bucket, so their strings are cut into short runs: windows
-whose minimiser stands at nearly the same offset have all but a few words in common, and that core is their bucket.
-Where many different runs share a core too, its runs are cut finer, last into single windows with buckets of their own.
+sorted and the smallest doc_id of each is found. A window that stands in two documents has a minimiser that does, so a
+Bloom filter of repeated minimisers holds back all other strings; its false positives only add traffic. Equal strings
+are reduced to their smallest and largest doc_id before they are shuffled, so a bucket holds different strings only.
+Buckets of more than `CROWD` bytes are split by window: their windows are dealt by their own hashes, and the smallest
+doc_id of each is found by an aggregation with map-side combine. Either way a string gets back runs of its windows with
+the smallest doc_id of each run.
+
+Strings and windows are told apart by two independent 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -20,19 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, slices
+from .common import materialise, partitions, released, slices
 from .kernel import WORD_BASE, mix, spans, window_hashes, word_hashes, words
 
 U = np.uint64
 WINDOW, MINIMISER = 50, 10
-#: Bits of the filter of repeated minimisers (32 MB), and the most minimisers that count as hot.
-FILTER_BITS, HOT = 1 << 28, 4096
-#: Up to this many strings with repeated minimisers, these are listed instead.
-LISTED = FILTER_BITS // 64
-#: Windows in a run of a hot minimiser, and in those of crowded cores; the fewest different runs that crowd a core.
-STEP, FINER, CROWD = 7, (3, 1), 512
-#: The fewest strings of a hot minimiser.
-WARM = 64
+#: Bits of the filter of repeated minimisers: so many for each of them, up to 32 MB in all. Beyond some 40 million
+#: repeated minimisers the filter holds back fewer strings; results stay the same.
+BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Bytes of different strings in a bucket that are sorted in one place; larger buckets are split by window.
+CROWD = 1 << 20
+#: Bytes of packed strings that are sorted at once, several buckets together.
+SORTED_BYTES = 1 << 18
 
 
 def runs(word: np.ndarray, first: np.ndarray):
@@ -57,28 +58,34 @@ def runs(word: np.ndarray, first: np.ndarray):
     return start, np.flatnonzero(stop) - start + 1, least[start], doc[start]
 
 
-def probes(h: np.ndarray) -> list[np.ndarray]:
-    return [(h & U(FILTER_BITS - 1)).astype(np.int64), (mix(h) & U(FILTER_BITS - 1)).astype(np.int64)]
+def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h & U(bits - 1)).astype(np.int64), (mix(h) & U(bits - 1)).astype(np.int64)]
 
 
 def scan(docs: DataFrame, schema: str, make) -> DataFrame:
-    """Apply `make(doc_id array, raw, word starts, word ends, word hashes, first word of each text)` to slices."""
+    """Apply `make(doc_id array, raw, word starts, word ends, word hashes, first word, text key)` to slices of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in released(batches):
             for batch in slices(whole, "text"):
-                raw, start, end, first = words(batch.column(1))
-                out = make(batch.column(0).to_numpy(zero_copy_only=False), raw, start, end, word_hashes(raw, start, end), first)
+                raw, start, end, first = words(batch.column(2))
+                ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+                out = make(ids[0], raw, start, end, word_hashes(raw, start, end), first, ids[1])
                 if out is not None and out.num_rows:
                     yield out
 
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, schema)
+    return keyed(docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())).mapInArrow(run, schema)
 
 
-def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The Bloom filter of minimisers that stand in two documents or more, and the hot minimisers."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the key tells rows with one doc_id apart by their texts."""
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
-    def minimisers(doc, raw, start, end, word, first):
+
+def repeated(docs: DataFrame, most_bits: int) -> np.ndarray:
+    """The Bloom filter, in bytes, of minimisers that stand in two documents or more."""
+
+    def minimisers(doc, raw, start, end, word, first, key):
         _, _, least, owner = runs(word, first)
         if not len(least):
             return None
@@ -86,224 +93,194 @@ def repeated(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((doc[owner], h))
         h, d = h[order], doc[owner][order]
         cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        return pa.RecordBatch.from_arrays([pa.array(h[cut]), pa.array(d[cut]), pa.array(d[np.r_[cut[1:], len(h)] - 1]), pa.array(np.diff(np.r_[cut, len(h)]))], names=["m", "low", "high", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(h[cut]), pa.array(d[cut]), pa.array(d[np.r_[cut[1:], len(h)] - 1])], names=["m", "low", "high"])
 
-    counts = scan(docs, "m bigint, low bigint, high bigint, n bigint", minimisers).groupBy("m").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    counts = materialise(counts.filter("low < high").select("m", "n"), "minimisers")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.filter(F.col("n") >= max(WARM, total // HOT)).orderBy(F.desc("n"), "m").limit(HOT).select("m").toPandas()["m"].to_numpy(np.int64)
-    few = max(1, min(16, counts.rdd.getNumPartitions()))
+    known = scan(docs, "m bigint, low bigint, high bigint", minimisers).groupBy("m").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    known = materialise(known.filter("low < high").select("m"), "minimisers")
+    bits = 1 << 10
+    while bits < min(most_bits, BITS_EACH * known.count()):
+        bits *= 2
+    page = min(bits // 8, 1 << 16)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = np.zeros((FILTER_BITS // 8 >> 16, 1 << 16), np.uint8)
+        used = np.zeros((bits // 8 // page, page), np.uint8)
         for b in batches:
-            for p in probes(b.column(0).to_numpy().view(U)):
+            for p in probes(b.column(0).to_numpy().view(U), bits):
                 np.bitwise_or.at(used.reshape(-1), p >> 3, np.uint8(128) >> (p & 7).astype(np.uint8))
-        keep = np.flatnonzero(used.any(1))
-        for i in range(0, len(keep), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(keep[i : i + 64]), pa.array([used[k].tobytes() for k in keep[i : i + 64]], pa.binary())], names=["i", "bits"])
-
-    if total < LISTED:  # few: the list is smaller than the filter
-        return np.sort(counts.select("m").toPandas()["m"].to_numpy(np.int64)), np.sort(hot)
-    packed = np.zeros(FILTER_BITS // 8, np.uint8).reshape(-1, 1 << 16)
-    for r in counts.select("m").coalesce(few).mapInArrow(fill, "i bigint, bits binary").toLocalIterator():
+        for k in np.flatnonzero(used.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([used[k].tobytes()], pa.binary())], names=["i", "bits"])
+
+    packed = np.zeros((bits // 8 // page, page), np.uint8)
+    for r in known.coalesce(max(1, min(16, bits >> 22))).mapInArrow(fill, "i bigint, bits binary").toLocalIterator():
         packed[r["i"]] |= np.frombuffer(r["bits"], np.uint8)
-    return packed.reshape(-1), np.sort(hot)
+    return packed.reshape(-1)
 
 
 def member(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each minimiser is, or by a false positive seems, repeated."""
-    if known.dtype == np.int64:
-        return inside(known, h)
     out = np.ones(len(h), bool)
-    for p in probes(h.view(U)):
+    for p in probes(h, 8 * len(known)):
         out &= (known[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
     return out
 
 
-def inside(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
-    return ordered[at] == h
-
-
-def cut_runs(word: np.ndarray, string: np.ndarray, window: np.ndarray, origin: np.ndarray, step: int):
-    """(string, start, windows, core, bucket) of runs of up to `step` windows; `origin` is a place that each window holds.
-
-    The windows of a run have their origin at nearly one offset, so they share a core of `WINDOW - step + 1` words.
-    Equal windows have it at the same offset, hence one core and one bucket.
-    """
-    core = origin - (origin - window) // step * step
-    begin = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (core[1:] != core[:-1])])
-    core = core[begin]
-    return string[begin], window[begin], np.diff(np.r_[begin, len(window)]), core, spans(word, WORD_BASE[0], core, core + WINDOW - step + 1).view(np.int64)
-
-
-def each_window(at: np.ndarray, n: np.ndarray):
-    """(string, window) of every window of strings that start at `at` and have `n`."""
-    string = np.repeat(np.arange(len(at)), n)
-    return string, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + at[string]
-
-
-def short_runs(word: np.ndarray, hot: np.ndarray, at: np.ndarray, n: np.ndarray, least: np.ndarray):
-    """The runs that strings of hot minimisers are cut into; a minimiser that repeats in a window counts leftmost."""
-    gram = window_hashes(word, MINIMISER).view(np.int64)
-    place = np.flatnonzero(inside(hot, gram))
-    # in the order of (gram, place), the leftmost one in a window is found by its rank
-    key = np.sort(np.searchsorted(hot, gram[place]) * len(word) + place)
-    string, window = each_window(at, n)
-    found = key[np.searchsorted(key, np.searchsorted(hot, least[string]) * len(word) + window)] % len(word)
-    return cut_runs(word, string, window, found, STEP)
-
+def text_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The words a .. b-1 of each string, joined by one space."""
+    buffer = raw.tobytes()
+    s, e = start.tolist(), end.tolist()
+    return pa.array([b" ".join([buffer[s[k] : e[k]] for k in range(x, y)]) for x, y in zip(a.tolist(), b.tolist())], pa.binary()).cast(pa.string())
 
-TRAVEL = "bucket bigint, id bigint, doc_id bigint, start int, core int, packed string"
-SENT = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("core", pa.int32()), ("packed", pa.string())])
 
+def travelling(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(bucket, id, id2, doc_id, key, start, packed): the strings whose minimiser may repeat."""
+    known = docs.sparkSession.sparkContext.broadcast(repeated(docs, most_bits))
 
-def travelling(docs: DataFrame) -> DataFrame:
-    """(bucket, id, doc_id, start, core, packed): the strings whose minimiser may repeat.
-
-    Those of hot minimisers are cut; `core` is where in the string their core starts, -1 for whole ones.
-    """
-    known = docs.sparkSession.sparkContext.broadcast(repeated(docs))
-
-    def pack(doc, raw, start, end, word, first):
+    def pack(doc, raw, start, end, word, first, key):
         at, n, least, owner = runs(word, first)
-        least = least.view(np.int64)
-        filters, hot = known.value
-        keep = member(filters, least)
+        keep = member(known.value, least)
         at, n, least, owner = at[keep], n[keep], least[keep], owner[keep]
         if not len(at):
             return None
-        cut = inside(hot, least)
-        bucket, core = least, np.full(len(at), -1)
-        if cut.any():
-            string, begin, many, place, own = short_runs(word, hot, at[cut], n[cut], least[cut])
-            at, n, owner = np.r_[at[~cut], begin], np.r_[n[~cut], many], np.r_[owner[~cut], owner[cut][string]]
-            bucket, core = np.r_[bucket[~cut], own], np.r_[core[~cut], place - begin]
-        own = spans(word, WORD_BASE[0], at, at + n + WINDOW - 1).view(np.int64)
-        text = [b" ".join(bytes(raw[start[a] : end[b]]).split()).decode() for a, b in zip(at, at + n + WINDOW - 2)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array(doc[owner].astype(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.array(core.astype(np.int32)), pa.array(text, pa.string())], schema=SENT)
-
-    strings = materialise(scan(docs, TRAVEL, pack), "superkmers")
-    for step in FINER:
-        strings = uncrowd(strings, step)
+        stop = at + n + WINDOW - 1
+        ids = [spans(word_hashes(raw, start, end, w) if w else word, WORD_BASE[w], at, stop).view(np.int64) for w in (0, 1)]
+        columns = [least.view(np.int64), *ids, doc[owner].astype(np.int64), key[owner].astype(np.int64), (at - first[owner]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), text_of(raw, start, end, at, stop)], names=["bucket", "id", "id2", "doc_id", "key", "start", "packed"])
+
+    strings = materialise(scan(docs, "bucket bigint, id bigint, id2 bigint, doc_id bigint, key bigint, start int, packed string", pack), "superkmers")
+    known.destroy()
     return strings
 
 
-def uncrowd(strings: DataFrame, step: int) -> DataFrame:
-    """Cut the runs of cores that many different runs share into runs of up to `step` windows.
+def window_keys(text: pa.Array):
+    """(string, window in it, hash, second hash) of every window of packed strings."""
+    raw, start, end, first = words(text)
+    n = np.maximum(np.diff(first) - WINDOW + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = inner + first[:-1][row]
+    return row, inner, *[spans(word_hashes(raw, start, end, w), WORD_BASE[w], at, at + WINDOW) for w in (0, 1)]
 
-    The cores are listed on the driver: by the threshold at most `HOT` of them, whatever the input.
-    """
-    cut = strings.filter("core >= 0")
-    cores = cut.select("bucket", "id").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    listed = cores.filter(F.col("n") >= max(CROWD, cut.count() // HOT)).select("bucket").toPandas()
-    if not len(listed):
-        return strings
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, start, end, first = words(batch.column(5))
-            string, window = each_window(first[:-1], np.diff(first) - WINDOW + 1)
-            if not len(string):
-                continue
-            word = word_hashes(raw, start, end)
-            origin = first[string] + batch.column(4).to_numpy()[string]
-            string, at, n, core, bucket = cut_runs(word, string, window, origin, step)
-            own = spans(word, WORD_BASE[0], at, at + n + WINDOW - 1).view(np.int64)
-            begin = batch.column(3).to_numpy()[string] + at - first[string]
-            text = [bytes(raw[start[a] : end[b]]).decode() for a, b in zip(at, at + n + WINDOW - 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), batch.column(2).take(pa.array(string)), pa.array(begin.astype(np.int32)), pa.array((core - at).astype(np.int32)), pa.array(text, pa.string())], schema=SENT)
-
-    crowded = F.broadcast(strings.sparkSession.createDataFrame(listed, "bucket bigint"))
-    finer = cut.join(crowded, "bucket", "left_semi").select(*strings.columns).mapInArrow(run, TRAVEL)
-    return strings.join(crowded, "bucket", "left_anti").select(*strings.columns).unionByName(finer)
-
-
-def removable(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts): the windows of each document that also start in a document with a smaller doc_id."""
-    strings = travelling(docs)
-    least = strings.groupBy("bucket", "id").agg(F.first("packed").alias("packed"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    least = least.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-
-    def settle(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        whole = pa.Table.from_batches(group).combine_chunks()
-        col = lambda k: whole.column(k).combine_chunks() if whole.column(k).num_chunks != 1 else whole.column(k).chunk(0)
-        raw, start, end, first = words(col(2))
-        low, high = col(3).to_numpy(), col(4).to_numpy()
-        n = np.diff(first) - WINDOW + 1
-        row = np.repeat(np.arange(len(n)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
-        keys = [spans(word_hashes(raw, start, end, w), b, at, at + WINDOW) for w, b in ((0, 0xD6E8FEB86659FD93), (1, 0xA0761D6478BD642F))]
-        order = np.lexsort((low[row], keys[1], keys[0]))
-        a, b = keys[0][order], keys[1][order]
-        begin = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        smallest = np.empty(len(row), np.int64)
-        smallest[order] = low[row][order][np.maximum.accumulate(np.where(begin, np.arange(len(row)), 0))]
-        hit = np.zeros(len(n), bool)
-        np.logical_or.at(hit, row, smallest < high[row])
-        offsets = np.r_[0, np.cumsum(n)]
-        keep = np.flatnonzero(hit)
-        if not len(keep):
-            return None
-        return pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(keep)).combine_chunks(), whole.column(1).take(pa.array(keep)).combine_chunks(), pa.array([smallest[offsets[k] : offsets[k + 1]] for k in keep], pa.list_(pa.int64()))], names=["bucket", "id", "smallest"])
+SETTLED = "id bigint, id2 bigint, runs array<struct<at:int,n:int,low:bigint>>"
+RUN = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("low", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, last = 0, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                bucket = part.column(0).to_numpy()
-                if rows >= 4000:  # cut where a bucket ends, so that no bucket is split
-                    edge = np.flatnonzero(np.r_[bucket[0] != last, bucket[1:] != bucket[:-1]])
-                    if len(edge):
+
+def settle(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """The runs of windows of whole buckets that stand in a document smaller than the largest one of their string.
+
+    Rows are (bucket, id, id2, packed, low, high); windows of all strings are sorted, and the smallest low of each goes
+    to all that are equal.
+    """
+    whole = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
+    row, inner, key, second = window_keys(whole.column(3))
+    low, high = whole.column(4).to_numpy(), whole.column(5).to_numpy()
+    order = np.lexsort((low[row], second, key))
+    a, b = key[order], second[order]
+    begin = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    least = np.empty(len(row), np.int64)
+    least[order] = low[row][order][np.maximum.accumulate(np.where(begin, np.arange(len(row)), 0))]
+    hit = least < high[row]
+    row, inner, least = row[hit], inner[hit], least[hit]
+    if not len(row):
+        return None
+    edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1) | (least[1:] != least[:-1])])
+    n = np.diff(np.r_[edge, len(row)])
+    row, inner, least = row[edge], inner[edge], least[edge]
+    owner = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    run = pa.StructArray.from_arrays([pa.array(inner.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least)], fields=list(RUN))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[owner, len(row)].astype(np.int32)), run)
+    picked = pa.array(row[owner])
+    return pa.RecordBatch.from_arrays([whole.column(1).take(picked), whole.column(2).take(picked), lists], names=["id", "id2", "runs"])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settle rows sorted by bucket, some `SORTED_BYTES` at a time, cut where a bucket ends."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for whole in released(batches):
+        for part in slices(whole, "packed", SORTED_BYTES):
+            bucket = part.column(0).to_numpy()
+            if size >= SORTED_BYTES:
+                edge = np.flatnonzero(np.r_[bucket[0] != last, bucket[1:] != bucket[:-1]])
+                if len(edge):
+                    if edge[0]:
                         held.append(part.slice(0, int(edge[0])))
-                        if (out := settle([h for h in held if h.num_rows])) is not None:
-                            yield out
-                        held, rows, part = [], 0, part.slice(int(edge[0]))
-                held.append(part)
-                rows, last = rows + part.num_rows, bucket[-1]
-        held = [h for h in held if h.num_rows]
-        if held and (out := settle(held)) is not None:
-            yield out
-
-    settled = least.mapInArrow(run, "bucket bigint, id bigint, smallest array<bigint>")
-    met = strings.select("bucket", "id", "doc_id", "start").join(settled, ["bucket", "id"])
-    starts = F.expr("transform(filter(sequence(0, size(smallest) - 1), i -> smallest[i] < doc_id), i -> start + i)")
-    met = met.select("doc_id", starts.alias("starts")).filter(F.size("starts") > 0)
-    return met.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-
-
-def dedup(docs: DataFrame, text: bool = False) -> DataFrame:
+                    if (out := settle(held)) is not None:
+                        yield out
+                    held, size, part = [], 0, part.slice(int(edge[0]))
+            held.append(part)
+            size, last = size + part.nbytes, bucket[-1]
+    if held and (out := settle(held)) is not None:
+        yield out
+
+
+def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of strings (id, id2, packed, low, high), by its two hashes."""
+    for whole in released(batches):
+        for part in slices(whole, "packed", SORTED_BYTES):
+            row, inner, key, second = window_keys(part.column(2))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(second.view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(inner.astype(np.int32)), part.column(3).take(row), part.column(4).take(row)],
+                names=["h", "h2", "id", "id2", "at", "low", "high"],
+            )
+
+
+def removable(docs: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, key, runs): the runs (at, n) of windows of each text that also start in a document with a smaller doc_id."""
+    spark = docs.sparkSession
+    strings = travelling(docs, most_bits)
+    least = strings.groupBy("id", "id2").agg(F.first("bucket").alias("bucket"), F.first("packed").alias("packed"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    least = materialise(least, "strings")
+    each = least.groupBy("bucket").agg(F.sum(F.octet_length("packed")).alias("bytes"), F.min("low").alias("least"), F.max("high").alias("most"))
+    each = materialise(each.filter("least < most").select("bucket", (F.col("bytes") > crowd).alias("crowded")), "buckets")
+    placed = least.join(each, "bucket")
+    calm = placed.filter("NOT crowded").select("bucket", "id", "id2", "packed", "low", "high")
+    calm = calm.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, SETTLED)
+    split = placed.filter("crowded").select("id", "id2", "packed", "low", "high")
+    split = materialise(split.mapInArrow(windows_of, "h bigint, h2 bigint, id bigint, id2 bigint, at int, low bigint, high bigint"), "windows")
+    smallest = split.groupBy("h", "h2").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("h", "h2", "least")
+    split = split.join(smallest, ["h", "h2"]).filter("least < high")
+    split = split.groupBy("id", "id2").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), F.col("least").alias("low"))).alias("runs"))
+    settled = calm.unionByName(split)
+    met = strings.select("id", "id2", "doc_id", "key", "start").join(settled, ["id", "id2"])
+    mine = F.transform(F.filter("runs", lambda r: r["low"] < F.col("doc_id")), lambda r: F.struct((F.col("start") + r["at"]).alias("at"), r["n"].alias("n")))
+    met = met.select("doc_id", "key", mine.alias("runs")).filter(F.size("runs") > 0)
+    return met.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def dedup(docs: DataFrame, text: bool = False, most_bits: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
     """Per document: n_words, n_removed and the SHA-256 of what is kept; with `text` all columns with the text kept.
 
     A null text has no words. Documents under 50 words have no window and keep all. Rows with a null doc_id neither
     lose words nor take any from others; rows with one doc_id don't take words from each other. With `text`, a text
-    that loses nothing stays as it is, and a null text stays null.
+    that loses nothing stays as it is, and a null text stays null. Other columns may have any names.
     """
-    hits = removable(docs.select("doc_id", "text"))
-    joined = docs.join(hits.withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d"), "left").drop("__d").withColumnRenamed("starts", "__starts")
-    kept = docs.schema
-    columns = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) if text else "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    hits = removable(docs.select("doc_id", "text"), most_bits, crowd)
+    columns = docs.columns
+    wanted = docs.select(*columns) if text else docs.select("doc_id", "text")
+    carried = wanted.columns
+    own = [f"c{k}" for k in range(len(carried))]  # names of ours, whatever the table's are
+    wanted = wanted.toDF(*own).withColumn("key", F.xxhash64(own[carried.index("text")]))
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "runs")
+    joined = wanted.join(hits, (F.col(own[carried.index("doc_id")]) == F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left").select(*own, "runs")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if text else "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    where = carried.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                column = batch.column(batch.schema.get_field_index("text"))
-                starts = batch.column(batch.schema.get_field_index("__starts"))
+        for whole in released(batches):
+            for batch in slices(whole, own[where]):
+                column, found = batch.column(where), batch.column(len(own))
                 raw, start, end, first = words(column)
                 buffer = raw.tobytes()
                 total, gone, sums, texts = [], [], [], []
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     lost = np.zeros(b - a + 1, np.int64)
-                    if starts[i].is_valid:
-                        at = np.asarray(starts[i].values.to_numpy(), np.int64)
+                    if found[i].is_valid:
+                        got = found[i].values
+                        at, n = (np.asarray(got.field(k).to_numpy(), np.int64) for k in (0, 1))
                         np.add.at(lost, at, 1)
-                        np.add.at(lost, at + WINDOW, -1)
+                        np.add.at(lost, at + n + WINDOW - 1, -1)
                     keep = np.flatnonzero(np.cumsum(lost)[:-1] == 0) + a
                     total.append(b - a)
                     gone.append(b - a - len(keep))
@@ -316,10 +293,9 @@ def dedup(docs: DataFrame, text: bool = False) -> DataFrame:
                     else:
                         sums.append(hashlib.sha256(joined).hexdigest())
                 if text:
-                    out = [pa.array(texts, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns]
+                    out = [pa.array(texts, pa.string()) if k == where else batch.column(k) for k in range(len(own))]
                     yield pa.RecordBatch.from_arrays(out, names=columns)
                 else:
-                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    wanted = joined if text else joined.select("doc_id", "text", "__starts")
-    return wanted.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
