@@ -334,25 +334,64 @@ def test_more_languages_than_bits_in_a_word(spark):
     assert all(r["lang_pred"] == truth[r["doc_id"]] for r in out)
 
 
-@pytest.mark.parametrize("most", [1024, 8])
-def test_embeddings(spark, most):
+def components_of(nodes, pairs):
+    """{node: smallest node reachable}."""
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {n: root(n) for n in nodes}
+
+
+# small blocks: buckets are cut, and pairs of blocks compared in tasks of their own; little room: large buckets
+@pytest.mark.parametrize("most,room", [(embeddings.MOST, embeddings.ROOM), (8, embeddings.ROOM), (8, 0.01)])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings(spark, most, room, kind):
     rng = np.random.default_rng(4)
     rows = []
     for c in range(60):
         centre = rng.normal(size=32)
-        for k in range(1 + c % 6):
-            rows.append((len(rows), [float(x) for x in centre + rng.normal(size=32) * 0.16], int(c % 2)))
+        for k in range(1 + c % 6 if c else 90):  # the first group has more members than are paired at once
+            rows.append((len(rows), [float(np.float32(x)) for x in centre + rng.normal(size=32) * 0.16], f"l{c % 2}"))
     rows += [(len(rows) + k, rows[3][1], rows[3][2]) for k in range(4)]
     n = len(rows)
-    rows += [(n, None, 1), (n + 1, [0.0] * 32, 1), (n + 2, [float("nan")] * 32, 0), (n + 3, rows[0][1], None), (n + 4, rows[0][1][:-1] + [None], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("extra", F.lit(1))
-    x = np.array([np.float32(r[1]) for r in rows[:n]], float)
+    rows += [(n, None, "l1"), (n + 1, [0.0] * 32, "l1"), (n + 2, [float("nan")] * 32, "l0"), (n + 3, rows[0][1], None), (n + 4, rows[0][1][:-1] + [None], "l0"), (n + 5, [], "l0"), (n + 6, rows[0][1] + [0.0] * 1024, "l0"), (n + 7, [1.0], "l0"), (n + 8, [2.0], "l0"), (n + 9, [-2.0], "l0")]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string").withColumn("extra", F.lit(1)).withColumn("sig", F.lit(2))
+    x = np.array([r[1] for r in rows[:n]])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows[:n]])
     link = (unit @ unit.T >= 0.93) & (label[:, None] == label)
     np.fill_diagonal(link, False)
-    got = {r["vec_id"]: r for r in embeddings.dedup(df, most=most).collect()}
-    found = sum(got[i]["n_links"] for i in range(n))
-    assert link.sum() * 0.97 <= found <= link.sum() and all(got[i]["n_links"] <= link[i].sum() for i in range(n))
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(n, n + 5))
-    assert embeddings.dedup(df.limit(0)).count() == 0
+    root = components_of(range(n), [(int(a), int(b)) for a, b in np.argwhere(link) if a < b])
+    got = {r["vec_id"]: r for r in embeddings.dedup(df, most=most, room=room).collect()}
+    assert [got[i]["n_links"] for i in range(n)] == link.sum(1).tolist()
+    assert {i: got[i]["component_id"] for i in range(n)} == root and all(got[i]["kept"] == (root[i] == i) for i in range(n))
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in [*range(n, n + 7), n + 9])
+    assert (got[n + 7]["n_links"], got[n + 8]["n_links"], got[n + 8]["component_id"]) == (1, 1, n + 7)
+
+
+def test_embeddings_with_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [1.0, 0.0, 0.12]
+    rows = [(1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0), (None, a, 0), (4, c, 0), (5, c, 1), (5, c, 1)]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 0, None, False), (4, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True)], key=str)
+    assert embeddings.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_pairs_at_the_threshold_meet():
+    rng = np.random.default_rng(9)
+    for n, dim in ((2_000, 64), (5_000_000, 64), (50_000, 256)):
+        width, tables = embeddings.plan(n, dim)
+        a = rng.normal(size=(3000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=(3000, dim))
+        b -= (b * a).sum(1, keepdims=True) * a
+        b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+        met = embeddings.buckets(a, width, tables)[:, :, :, None] == embeddings.buckets(b, width, tables)[:, :, None, :]
+        assert met.any((1, 2, 3)).mean() >= 0.995
