@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, embeddings, html_text, jaccard, langid, licenses, mixing, sharding, simhash, substrings
+from timberline.llm import bpe, embeddings, html_text, jaccard, langid, licenses, mixing, queries, sharding, simhash, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -199,6 +199,30 @@ def test_licenses_against_sql(docs, empty, spark):
     by = {r["doc_id"]: r for r in got.collect()}
     assert by[1004]["n_base"] == 2 and by[1001]["n_base"] == 2 and by[1002]["labels"] == "mit"
     assert licenses.scan(empty).count() == 0
+    odd = [(None, texts[2]), (None, "nothing"), (7, texts[2]), (7, "nothing"), (None, texts[2]), (8, None)]
+    rows = licenses.scan(spark.createDataFrame(odd, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("blocks", F.lit("x"))).collect()
+    assert sorted((str(r["doc_id"]), r["labels"]) for r in rows) == [("7", ""), ("7", "mit"), ("8", ""), ("None", ""), ("None", "mit"), ("None", "mit")]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A small documents table with nulls, repeated texts and letters of one to four bytes."""
+    at = tmp_path_factory.mktemp("tables")
+    rows = [r for r in corpus()[:-2] if r[0] is not None] + [(900, "é😀ß漢 " * 30, None, "src0", None), (901, "one two three", "en", "src1", 3)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(at / "documents.parquet"))
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["op2_licenses", "op3_substrings", "op6_sharding", "op7_mixing", "op9_jaccard"])
+def test_queries_against_sql(spark, tables, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, tables)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
 
 
 def test_simhash(docs, empty):

@@ -87,20 +87,22 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 18):
 
 
 def gapless(df: DataFrame, group: str, key: list, index: str) -> DataFrame:
-    """Number the rows of each group 0, 1, ... in an order fixed by a hash of `key`, without one task per group.
+    """Number the rows of each group 0, 1, ... in the order of the MD5 of the first key and then of `key`, without one
+    task per group.
 
-    A group is cut into hash buckets; the bucket counts (one row each, so a table whose size is the
-    number of buckets) give every bucket its offset, and only rows of one bucket are sorted together.
-    Rows alike in all of `key` are numbered in any order among themselves.
+    A group is cut into ranges of the MD5's first 32 bits; the range counts (one row each, so a table whose size is the
+    number of ranges) give every range its offset, and only rows of one range are sorted together. The order does not
+    depend on the number of ranges. Rows alike in all of `key` are numbered in any order among themselves.
     """
     buckets = 8 * partitions(df.sparkSession)
-    keyed = df.withColumn("__b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    keyed = df.withColumn("__h", F.conv(F.substring(F.md5(F.coalesce(F.col(key[0]).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint"))
+    keyed = keyed.withColumn("__b", F.shiftright(F.col("__h") * buckets, 32).cast("int"))
     counts = keyed.groupBy(F.col(group).alias("__g"), F.col("__b").alias("__gb")).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy("__g").orderBy("__gb").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__g", "__gb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    own = W.partitionBy(group, "__b").orderBy(*key)
+    own = W.partitionBy(group, "__b").orderBy("__h", *key)
     return (
         keyed.join(offsets, keyed[group].eqNullSafe(offsets["__g"]) & (keyed["__b"] == offsets["__gb"]))
         .withColumn(index, F.col("__o") + F.row_number().over(own) - 1)
-        .drop("__g", "__gb", "__b", "__o")
+        .drop("__g", "__gb", "__b", "__o", "__h")
     )

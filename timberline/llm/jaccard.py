@@ -331,3 +331,17 @@ def join(docs: DataFrame, most: int = MOST) -> DataFrame:
     null = F.col("doc") == F.lit(NOBODY)
     out = out.join(low, "root")
     return out.select(F.when(~null, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~null, F.col("component_id")).alias("component_id"))
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL, by counting the shared shingles of all pairs that share any."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i + 1 : i + {SIZE}], ' ')) AS h FROM d, range(greatest(1, len(w) - {SIZE - 1})) AS t(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS k FROM n UNION SELECT p.b, r.k FROM r JOIN p ON p.a = r.a WHERE r.k < p.b),
+m AS (SELECT a, min(k) AS k FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(k, doc_id)::BIGINT AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON a = doc_id
+"""

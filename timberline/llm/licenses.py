@@ -66,8 +66,8 @@ def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> Data
     """Words, phrase places and labels of every whole text.
 
     Null and empty texts have no words, no labels and score 0. score is the largest share of a template held by a
-    block, of the templates met, and 1 where a phrase stands. Rows are told apart by doc_id; repeated rows with one
-    doc_id share the labels of all of them. Null ids match no template label, but keep their phrases.
+    block, of the templates met, and 1 where a phrase stands. Every row stands for itself, whatever its doc_id:
+    rows with a null or repeated id have the labels of their own text.
     """
     spark = docs.sparkSession
     known = templates(spark, given, threshold)
@@ -76,16 +76,16 @@ def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> Data
     text = F.coalesce(F.col("text"), F.lit(""))
     # only two letters beyond ASCII have lower-case forms in it; without them lower() does the same to words, and faster
     low = F.when(text.rlike("[\u212a\u0130]"), lower_ascii(text)).otherwise(F.lower(text))
-    rows = docs.select("doc_id", low.alias("text"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), low.alias("text"))
 
     # one scan of the texts: words by block, places of the phrases, and the blocks reduced to their template words
     literal = F.array(*map(F.lit, vocabulary))
-    cut = rows.select("doc_id", F.transform(F.split("text", r"\n[ \t\r]*\n"), words).alias("blocks"))
-    cut = cut.select("doc_id", "blocks", F.flatten("blocks").alias("w"))
+    cut = rows.select("doc_id", "row", F.transform(F.split("text", r"\n[ \t\r]*\n"), words).alias("blocks"))
+    cut = cut.select("doc_id", "row", "blocks", F.flatten("blocks").alias("w"))
     held = F.transform("blocks", lambda b: F.array_intersect(b, literal))
-    each = cut.select("doc_id", F.size("w").cast("long").alias("n_words"), *[phrase_places(F.col("w"), p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], F.filter(held, lambda b: F.size(b) > 0).alias("held"))
-    each = materialise(each, "license-words")
-    every_block = each.select("doc_id", F.posexplode("held").alias("block", "held"))
+    each = cut.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), *[phrase_places(F.col("w"), p).alias(f"p{k}") for k, (p, _) in enumerate(PHRASES)], F.filter(held, lambda b: F.size(b) > 0).alias("held"))
+    each = materialise(each, "license-words")  # from here on the row numbers are fixed
+    every_block = each.select("row", F.posexplode("held").alias("block", "held"))
     blocks = every_block.filter(F.size("held") >= least)  # the length filter
 
     # the global order: in how many blocks of all documents each template word stands, rare first
@@ -97,22 +97,22 @@ def scan(docs: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> Data
     prefix = prefix.select("label", "size", "need", "t", "i", F.col("first.word").alias("word"))
 
     ranked = order.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("rank"))
-    sorted_blocks = blocks.crossJoin(F.broadcast(ranked)).select("doc_id", "block", F.array_sort(F.transform("held", lambda w: F.struct(F.element_at("rank", w).alias("n"), w.alias("word")))).alias("b"))
-    places = sorted_blocks.select("doc_id", "block", "b", F.posexplode(F.slice("b", 1, F.size("b") - least + 1)).alias("j", "first"))
-    places = places.select("doc_id", "block", "b", "j", F.col("first.word").alias("word"))
+    sorted_blocks = blocks.crossJoin(F.broadcast(ranked)).select("row", "block", F.array_sort(F.transform("held", lambda w: F.struct(F.element_at("rank", w).alias("n"), w.alias("word")))).alias("b"))
+    places = sorted_blocks.select("row", "block", "b", F.posexplode(F.slice("b", 1, F.size("b") - least + 1)).alias("j", "first"))
+    places = places.select("row", "block", "b", "j", F.col("first.word").alias("word"))
     met = places.join(F.broadcast(prefix), "word").filter(
         (F.size("b") >= F.col("need"))
         & (F.col("j") <= F.size("b") - F.col("need"))
         & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("b") - F.col("j") - 1) >= F.col("need"))
     )
     shared = F.size(F.array_intersect("b", "t"))
-    met = met.filter(shared >= F.col("need")).select("doc_id", "label", (shared / F.col("size")).alias("share"))
-    found = met.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("met"), F.max("share").alias("share"))
+    met = met.filter(shared >= F.col("need")).select("row", "label", (shared / F.col("size")).alias("share"))
+    found = met.groupBy("row").agg(F.sort_array(F.collect_set("label")).alias("met"), F.max("share").alias("share"))
 
     every = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
-    base = each.select("doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.sort_array(labels).alias("base"))
-    return base.join(found, "doc_id", "left").select(
+    base = each.select("doc_id", "row", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.sort_array(labels).alias("base"))
+    return base.join(found, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_distinct(F.concat("base", F.coalesce("met", F.array().cast("array<string>"))))), ",").alias("labels"),

@@ -123,3 +123,23 @@ def mix(docs: DataFrame, given: dict | None = None, block: int = BLOCK, key: tup
     rows = rows.withColumn("block", F.floor(F.col("__j") / block))
     rows = rows.join(plan, (F.col("__src") == F.col("__g")) & (F.col("block") == F.col("__k")))
     return rows.select(*key, "block", "slot", "release", "deadline", (F.col("slot") * block + F.col("__j") % block).alias("position"))
+
+
+def oracle(block: int = BLOCK, power: float = TEMPERATURE) -> str:
+    """The same in DuckDB SQL: the slots are dealt one by one, with shares as 128-bit integers. Without weights given."""
+    return f"""
+WITH RECURSIVE src AS (SELECT coalesce('s' || source, '') AS g, count(*) AS n FROM documents GROUP BY 1),
+share AS MATERIALIZED (SELECT list(g ORDER BY g) AS g, list((pow(n, {power}) * 4503599627370496)::HUGEINT ORDER BY g) AS w, list((n + {block - 1}) // {block} ORDER BY g) AS b FROM src),
+deal(slot, turn, k) AS (
+  SELECT 0::BIGINT, 0::BIGINT, list_transform(w, lambda x: 0::BIGINT) FROM share
+  UNION ALL
+  SELECT nxt + 1, pick, list_transform(k, lambda v, i: CASE WHEN i = pick THEN v + 1 ELSE v END) FROM (
+    SELECT nxt, k, list_min(list_transform(list_filter(cand, lambda c: c.release <= nxt), lambda c: (c.deadline, c.i)))[2] AS pick FROM (
+      SELECT k, cand, greatest(slot, list_min(list_transform(cand, lambda c: c.release))) AS nxt FROM (
+        SELECT slot, k, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'i': i, 'live': k[i] < b[i], 'release': ((k[i] * list_sum(w)::HUGEINT) // w[i])::BIGINT, 'deadline': (((k[i] + 1) * list_sum(w)::HUGEINT + w[i] - 1) // w[i])::BIGINT}}), lambda c: c.live) AS cand
+        FROM deal, share) WHERE len(cand) > 0))),
+plan AS (SELECT share.g[turn] AS g, k[turn] - 1 AS block, slot - 1 AS slot, (((k[turn] - 1) * list_sum(w)::HUGEINT) // w[turn])::BIGINT AS release, ((k[turn] * list_sum(w)::HUGEINT + w[turn] - 1) // w[turn])::BIGINT AS deadline FROM deal, share WHERE turn > 0),
+rows AS (SELECT doc_id, source, coalesce('s' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8), doc_id NULLS FIRST) - 1 AS j FROM documents)
+SELECT doc_id, source, block::BIGINT AS block, slot::BIGINT AS slot, release::BIGINT AS release, deadline::BIGINT AS deadline, (slot * {block} + j % {block})::BIGINT AS position
+FROM rows JOIN plan ON rows.g = plan.g AND block = j // {block}
+"""

@@ -67,4 +67,9 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
+    "op3_substrings": substrings.oracle(),
+    "op6_sharding": sharding.oracle(),
+    "op7_mixing": mixing.oracle(),
+    "op9_jaccard": jaccard.oracle(),
+    "op10_embeddings": embeddings.oracle(),
 }

@@ -299,3 +299,17 @@ def dedup(docs: DataFrame, text: bool = False, most_bits: int = MOST_BITS, crowd
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return joined.mapInArrow(run, schema)
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL, by grouping all windows."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i + 1 : i + {WINDOW}], ' ')) AS k FROM d, range(len(w) - {WINDOW - 1}) AS t(i) WHERE doc_id IS NOT NULL),
+low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT r, i + j AS j FROM win JOIN low USING (k), range({WINDOW}) AS t(j) WHERE m < doc_id),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS j FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS t FROM word ANTI JOIN gone USING (r, j) GROUP BY r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)
+"""
