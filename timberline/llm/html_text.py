@@ -9,13 +9,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+from .common import released, slices
+
+#: Comments, declarations, text, and tags whose attributes are well formed; other tags are read by `attributes`.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\s+[^\s\"'>/=]+(?:=(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*)\s*(/?)>|<(/?)([a-zA-Z][^\s/>]*)|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:=(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
+#: The next attribute of a tag up to its value, or the tag's end.
+NAME = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(\s*=\s*)?)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg object select noembed noframes".split())
 DROP = frozenset("nav header footer aside form button menu dialog head canvas audio video fieldset label datalist map applet".split())
@@ -27,16 +33,23 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|co
 #: Those of what readers wrote, which is often longer than the article.
 REPLIES = re.compile(r"comments?|disqus|respond|replies|reply", re.I)
 GOOD = re.compile(r"article|content|main|body|post|entry|text|story", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: End tags that don't close what is open outside of the article, main part or body they stand in.
+INLINE = frozenset("p b i em strong span a".split())
+SCOPES = frozenset("article main body".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "noise", "named", "good", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "score", "noise", "named", "good", "length", "linked", "block", "inside")
 
     def __init__(self, tag: str, parent: "Node | None", noise: bool = False, good: bool = False, named: str = ""):
         self.tag, self.parent, self.noise, self.good, self.named = tag, parent, noise, good, named
         self.children: list = []
         self.score = 0.0
         self.length = self.linked = 0
+        #: the nearest block, itself included, and whether it stands in an article
+        self.block: Node | None = self if tag in CLOSES_P else parent.block if parent else None
+        self.inside = parent is not None and (parent.inside or parent.tag == "article")
 
 
 def marked(names: str) -> bool:
@@ -44,41 +57,87 @@ def marked(names: str) -> bool:
     return any(NOISE.search(n) and not re.match(r"(?:has|with|no|without|hide|show)[-_]", n, re.I) for n in names.split())
 
 
-def parse(page: str, marks_count: bool = True) -> Node:
+def plain(names: str) -> str:
+    """The names of nothing but noise words, numbered ones too: sidebar, cookie-notice, comment-12, but not sidebar-right."""
+    return " ".join(n for n in names.split() if all(NOISE.fullmatch(w) for w in re.split("[-_]", re.sub(r"([-_]?\d+)+$", "", n))))
+
+
+def attributes(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """(name, value) pairs of a tag from behind its name, whether it closes itself, and where it ends.
+
+    A quote opens a string only right after the equals sign; where it is never closed, the value ends at white space.
+    """
+    found = []
+    while True:
+        m = NAME.match(page, at)
+        if m is None or m.end() == at:
+            return found, False, len(page)
+        at = m.end()
+        if m.group(1):
+            return found, page[at - 2] == "/", at
+        value = ""
+        if m.group(3):
+            quote = page[at : at + 1]
+            close = page.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+            if close >= 0:
+                value, at = page[at + 1 : close], close + 1
+            else:
+                value = UNQUOTED.match(page, at).group()
+                at += len(value)
+        found.append((m.group(2), value))
+
+
+UNQUOTED = re.compile(r"[^\s>]*")
+CLOSERS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
+
+
+def parse(page: str) -> Node:
     """A lenient tree: open paragraphs end at the next block, open tags at their parent's end or the page's."""
     root = top = Node("html", None)
     at, end = 0, len(page)
+    scopes: list[Counter] = [Counter()]  # open tags, by the article, main part or body they stand in
+    whole: Counter = Counter()
+
+    def leave(to: Node) -> Node:
+        """Close everything below `to`."""
+        node = top
+        while node is not to:
+            whole[node.tag] -= 1
+            if node.tag in SCOPES and len(scopes) > 1:
+                scopes.pop()
+            scopes[-1][node.tag] -= 1
+            node = node.parent
+        return to
+
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
-        text = m.group(4)
+        text = m.group(7)
         if text is not None:
             top.children.append(text)
             continue
-        tag = m.group(2)
+        tag, closes, itself, pairs = m.group(2), m.group(1), bool(m.group(4)), None
         if tag is None:
-            continue
+            if m.group(6) is None:
+                continue
+            tag, closes = m.group(6), m.group(5)
+            pairs, itself, at = attributes(page, at)
         tag = tag.lower()
-        if m.group(1):
-            node = top
-            while node is not None and node.tag != tag:
-                if node.tag in ("article", "main", "body") and tag in ("p", "b", "i", "em", "strong", "span", "a"):
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                top = node.parent
+        if closes:
+            if (scopes[-1] if tag in INLINE else whole)[tag] > 0:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                top = leave(node.parent)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            close = CLOSERS[tag].search(page, at)
             at = close.end() if close else end
             continue
         if tag in CLOSES_P:
-            node = top
-            while node is not None and node.tag not in CLOSES_P:
-                node = node.parent
-            if node is not None and node.tag == "p" or node is not None and node.tag in ("li", "dd", "dt") and tag in ("li", "dd", "dt") and (node.tag == "li") == (tag == "li") or node is not None and node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section", "article"):
-                top = node.parent
+            node = top.block
+            if node is not None and node.parent is not None and (node.tag == "p" or node.tag in ("li", "dd", "dt") and tag in ("li", "dd", "dt") and (node.tag == "li") == (tag == "li") or node.tag in HEADINGS and (tag in HEADINGS or tag in ("p", "div", "section", "article"))):
+                top = leave(node.parent)
         if tag == "br":
             top.children.append(" ")
             continue
@@ -87,19 +146,26 @@ def parse(page: str, marks_count: bool = True) -> Node:
                 top.children.append(Node("hr", top))
             continue
         marks, hidden = "", False
-        if m.group(3):
-            for name, value in ATTRIBUTE.findall(m.group(3)):
-                if name.lower() in ("class", "id", "role"):
-                    marks += " " + value.strip("\"'")
-                elif name.lower() == "aria-hidden" and value.strip("\"'") == "true" or name.lower() == "style" and "display:none" in value.replace(" ", ""):
-                    hidden = True
-            hidden |= bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub("", m.group(3))))
+        if pairs is None and m.group(3):
+            pairs = ATTRIBUTE.findall(m.group(3))
+        for name, value in pairs or ():
+            name = name.lower()
+            if name in ("class", "id", "role"):
+                marks += " " + value.strip("\"'")
+            elif name == "hidden" or name == "aria-hidden" and value.strip("\"'") == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                hidden = True
         dropped = tag in DROP or hidden
-        named = marks if not dropped and marks_count and tag not in ("html", "body", "article", "main") and marked(marks) else ""
-        node = Node(tag, top, dropped or bool(named), tag in ("article", "main") or bool(marks and GOOD.search(marks)), named)
+        # an article is noise by name only where readers wrote it
+        counts = tag not in ("html", "body", "main") and marked(marks) and (tag != "article" or bool(REPLIES.search(plain(marks))))
+        node = Node(tag, top, dropped or bool(counts), tag in ("article", "main") or bool(marks and GOOD.search(marks)), marks if counts and not dropped else "")
+        node.inside &= not hidden and not (tag == "header" and counts)
         top.children.append(node)
-        if not m.group(3).rstrip().endswith("/"):
+        if not itself:
             top = node
+            whole[tag] += 1
+            scopes[-1][tag] += 1
+            if tag in SCOPES:
+                scopes.append(Counter())
     return root
 
 
@@ -108,7 +174,8 @@ def spare(root: Node) -> None:
 
     Such a node holds an article or main element while none stands outside of marked nodes and no more points do; or
     it holds most of the page's points, and if an article element stands outside or readers wrote it, outside is next to
-    nothing.
+    nothing. Nodes that are called nothing but a noise word, as sidebar, are spared only for an article element inside,
+    and what readers wrote is not.
     """
     order, stack = [], [root]
     while stack:
@@ -156,7 +223,10 @@ def spare(root: Node) -> None:
         article = any(n.tag in ("article", "main") and free[n] > 1e-6 for n in outside)
         rest = free[root]
         for node in sorted(marked_nodes, key=lambda n: (holds[n], points[n]), reverse=True):
-            most = points[node] > points[root] / 2 and (rest < 10 or not article and not REPLIES.search(node.named))
+            only = plain(node.named)
+            if REPLIES.search(only):
+                continue
+            most = not only and points[node] > points[root] / 2 and (rest < 10 or not article and not REPLIES.search(node.named))
             if most or holds[node] and not article and points[node] >= rest:
                 node.noise, node.named = False, ""
                 break
@@ -220,20 +290,35 @@ def blocks(nodes: list) -> list[str]:
                 flush()
                 stack.append(None)
             stack += reversed(x.children)
+        elif x.tag == "header" and x.inside:  # an article's own headings
+            flush()
+            stack += reversed(headings(x))
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page; empty for null, empty or text-free pages. Ties go to the container that comes first.
+def headings(node: Node) -> list[Node]:
+    """The headings below a node, in page order, without noise."""
+    out, stack = [], [c for c in reversed(node.children) if isinstance(c, Node)]
+    while stack:
+        x = stack.pop()
+        if x.noise:
+            continue
+        if x.tag in HEADINGS:
+            out.append(x)
+        else:
+            stack += [c for c in reversed(x.children) if isinstance(c, Node)]
+    return out
 
-    Class names don't make noise of what holds the article, nor of the whole page.
-    """
+
+def main_text(page: str | None) -> str:
+    """The article of a page; empty for null, empty and text-free pages and for those of nothing but noise. Ties go to
+    the container that comes first. Class names alone don't make noise of what holds the article."""
     if not page:
         return ""
     root = parse(page)
     spare(root)
-    return best_text(root) or best_text(parse(page, False))
+    return best_text(root)
 
 
 def best_text(root: Node) -> str:
@@ -262,13 +347,16 @@ def best_text(root: Node) -> str:
 
 
 def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The kept columns with `text` (empty if none) and `n_chars`, its code points. Rows are independent."""
+    """The kept columns with `text` (empty if none) and `n_chars`, its code points.
+
+    Every row stands for itself: repeated rows give repeated results, null keys are kept, a null page has an empty text,
+    and an empty table gives an empty one. Names of other columns don't matter; those kept may not be called text or n_chars.
+    """
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema), "text string, n_chars bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+        for whole in released(batches):
+            for batch in slices(whole, column):
                 text = [main_text(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
                 kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*keep, "text", "n_chars"])
