@@ -20,12 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import released, slices
 
 #: The pre-token pattern of byte-level BPE (fixed by the vocabulary's format).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens kept between batches; the cache starts anew when full.
-CACHE = 1_000_000
+#: Pre-tokens kept between batches, of up to `LONG` characters; the cache starts anew when full.
+CACHE, LONG = 250_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -156,7 +156,11 @@ class Vocabulary:
         self.cache.update(zip(plain, self.merge([w.encode() for w in plain])))
         self.cache.update((w, np.array([self.special[w]], "<u4").tobytes()) for w in fresh if w in self.special)
         get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        for w in fresh:
+            if len(w) > LONG:
+                del self.cache[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that are not UTF-8 become U+FFFD."""
@@ -189,8 +193,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(at)
-        for whole in batches:
-            for batch in slices(whole, text, 6 << 20):
+        for whole in released(batches):
+            for batch in slices(whole, text, 2 << 20):
                 packed = vocab.encode_batch([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
                 decoded = [vocab.decode(p) for p in packed]
                 columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, slices
+from .common import materialise, partitions, released, slices
 from .components import components
 from .kernel import mix, spans, window_hashes, word_hashes, words
 
@@ -25,6 +25,8 @@ U = np.uint64
 SIZE, PERCENT = 5, 80
 #: Documents of a candidate group that are compared in one task; larger groups are cut into blocks.
 MOST = 1500
+#: Shingles that a task holds before it sends them to their fragments, and parts in which a fragment is counted.
+HELD, PIECES = 1 << 20, 4
 #: Stands for a null doc_id inside this operator.
 NOBODY = -(1 << 63)
 PACKED = pa.schema([("kind", pa.int32()), ("at", pa.int32()), ("doc", pa.binary()), ("n", pa.binary()), ("k1", pa.binary()), ("k2", pa.binary()), ("h", pa.binary()), ("df", pa.binary())])
@@ -67,10 +69,27 @@ def batch_of(rows: list[list]) -> pa.RecordBatch:
 def cut_sets(docs: DataFrame, fragments: int) -> DataFrame:
     """Packed rows: the segment of each fragment, each document's size and set key, and copies met in the same task."""
 
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc, h = (np.concatenate(c) for c in zip(*held))
+        part = ((h >> U(32)) * U(fragments) >> U(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        doc, h, edge = doc[order], h[order], np.searchsorted(part[order], np.arange(fragments + 1))
+        rows = []
+        for f in np.flatnonzero(np.diff(edge)):
+            d = doc[edge[f] : edge[f + 1]]
+            first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            rows.append(packed(SEGMENT, int(f), d[first], np.diff(np.r_[first, len(d)]).astype(np.int32), h=h[edge[f] : edge[f + 1]]))
+            if len(rows) == 1000:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
-        turn = 0
-        for whole in batches:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        turn = size = 0
+        for whole in released(batches):
             for batch in slices(whole, "text"):
                 ids = batch.column(0).fill_null(NOBODY).to_numpy(zero_copy_only=False).astype(np.int64)
                 row, h, n = shingle_sets(batch.column(1))
@@ -87,17 +106,15 @@ def cut_sets(docs: DataFrame, fragments: int) -> DataFrame:
                 if (~own).any():
                     rows.append(packed(ALIAS, turn % fragments, ids[~own], n[~own].astype(np.int32), k1=rep[~own]))
                 rows.append(packed(OWN, turn % fragments, ids[own], n[own].astype(np.int32), k1[own], k2[own]))
-                live = (own & (ids != NOBODY))[row]
-                row, h = row[live], h[live]
-                part = ((h >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                row, h, part = row[order], h[order], part[order]
-                edge = np.searchsorted(part, np.arange(fragments + 1))
-                for f in np.flatnonzero(np.diff(edge)):
-                    r = row[edge[f] : edge[f + 1]]
-                    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    rows.append(packed(SEGMENT, int(f), ids[r[first]], np.diff(np.r_[first, len(r)]).astype(np.int32), h=h[edge[f] : edge[f + 1]]))
                 yield batch_of(rows)
+                live = (own & (ids != NOBODY))[row]
+                held.append((ids[row[live]], h[live]))
+                size += len(held[-1][1])
+                if size >= HELD:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if size:
+            yield from dealt(held)
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED_SQL)
 
@@ -109,12 +126,13 @@ def numbers(value: bytes, kind=np.int64) -> np.ndarray:
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each value of `at`, which follow each other."""
     held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["at"] != row["at"]:
-                yield held
-                held = []
-            held.append(row)
+    for batch in released(batches):
+        for at in range(0, batch.num_rows, 200):
+            for row in batch.slice(at, 200).to_pylist():
+                if held and held[0]["at"] != row["at"]:
+                    yield held
+                    held = []
+                held.append(row)
     if held:
         yield held
 
@@ -129,9 +147,14 @@ def count_fragments(cut: DataFrame, parts: int, buckets: int) -> DataFrame:
                 if r["kind"] == ALIAS:
                     out.append(packed(ALIAS, r["at"] % buckets, numbers(r["doc"]), numbers(r["n"], np.int32), numbers(r["k1"])))
             segments = [r for r in rows if r["kind"] == SEGMENT]
-            if segments:
-                doc = np.concatenate([np.repeat(numbers(r["doc"]), numbers(r["n"], np.int32)) for r in segments])
-                h = np.concatenate([numbers(r["h"], U) for r in segments])
+            for piece in range(PIECES if segments else 0):  # by bits of the hash that don't choose the fragment
+                doc, h = [], []
+                for r in segments:
+                    value = numbers(r["h"], U)
+                    mine = value & U(PIECES - 1) == U(piece)
+                    doc.append(np.repeat(numbers(r["doc"]), numbers(r["n"], np.int32))[mine])
+                    h.append(value[mine])
+                doc, h = np.concatenate(doc), np.concatenate(h)
                 order = np.argsort(h, kind="stable")
                 doc, h = doc[order], h[order]
                 edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -139,7 +162,7 @@ def count_fragments(cut: DataFrame, parts: int, buckets: int) -> DataFrame:
                 df = np.repeat(size, size)
                 shared = df > 1
                 doc, h, df = doc[shared], h[shared], df[shared]
-                at = (mix(doc.view(U)) % U(buckets)).astype(np.int64)
+                at = (mix(doc.view(U)) % U(buckets)).astype(np.int32)
                 order = np.lexsort((doc, at))
                 doc, h, df, at = doc[order], h[order], df[order], at[order]
                 edge = np.searchsorted(at, np.arange(buckets + 1))
@@ -157,7 +180,7 @@ def count_fragments(cut: DataFrame, parts: int, buckets: int) -> DataFrame:
             for i in range(0, len(out), 1000):
                 yield batch_of(out[i : i + 1000])
 
-    return cut.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(run, PACKED_SQL)
+    return cut.repartitionById(parts, F.pmod("at", F.lit(parts))).sortWithinPartitions("at").mapInArrow(run, PACKED_SQL)
 
 
 def gather(counted: DataFrame, parts: int) -> DataFrame:
@@ -195,7 +218,7 @@ def gather(counted: DataFrame, parts: int) -> DataFrame:
             for i in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[i : i + 500]), schema)], schema=schema)
 
-    return counted.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(run, "doc bigint, n bigint, rep bigint, k1 bigint, k2 bigint, h binary, prefix array<bigint>")
+    return counted.repartitionById(parts, F.pmod("at", F.lit(parts))).sortWithinPartitions("at").mapInArrow(run, "doc bigint, n bigint, rep bigint, k1 bigint, k2 bigint, h binary, prefix array<bigint>")
 
 
 def link(ids: list[int], label: list[int], n: np.ndarray, sets: list[np.ndarray], pieces: int = 4) -> dict[int, int]:
@@ -268,9 +291,9 @@ def verify(groups: DataFrame, parts: int) -> DataFrame:
                 edges.extend((x, r) for x, r in found.items() if x != r)
             held.clear()
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for row in batch.slice(at, 500).to_pylist():
+        for batch in released(batches):
+            for at in range(0, batch.num_rows, 100):
+                for row in batch.slice(at, 100).to_pylist():
                     if held and (held[0]["g"], held[0]["block"]) != (row["g"], row["block"]):
                         settle()
                     held.append(row)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise, slices
+from .common import materialise, released, slices
 from .kernel import mix
 
 U = np.uint64
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, kept: int = KEPT) -> Mo
     sample = thin.select("lang", "text", "doc_id", "__d").withColumn("__r", rank).filter(F.col("__r") <= sample_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in released(batches):
             for batch in slices(whole, "text"):
                 lang = np.array(batch.column(0).to_pylist(), dtype=object)
                 h, owner, _ = grams(batch.column(1).to_pylist())
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for whole in batches:
+        for whole in released(batches):
             for batch in slices(whole, "text"):
                 lang, score = known.predict([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in extra]

@@ -31,6 +31,12 @@ TEMPLATES = (
     ("bsd-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("apache-notice", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("warranty", "the software is provided as is without warranty of any kind express or implied"),
 )
 THRESHOLD = 0.8

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, released
 from .kernel import mix, window_hashes, word_hashes, words
 
 U = np.uint64
@@ -111,7 +111,7 @@ def compare(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (part, doc_id, text, fingerprint) that waits for its next document
-        for whole in batches:
+        for whole in released(batches):
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256).to_pydict()
                 prints = fingerprints(batch["text"])
@@ -142,7 +142,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every whole text, as hexadecimal digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in released(batches):
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 prints = [f.hex() for f in fingerprints([t or "" for t in batch.column(1).to_pylist()])]
