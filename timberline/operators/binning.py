@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranges import neighbours, place, running, with_totals
+
 
 def stack(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, v): all values of the columns in one pass."""
@@ -17,25 +19,29 @@ def stack(df: DataFrame, columns: list[str]) -> DataFrame:
 def quantile_edges(df: DataFrame, columns: list[str], max_bin: int = 255, min_data_in_bin: int = 3, use_missing: bool = True) -> DataFrame:
     """(feature, edge): exact edges from the counts of distinct values.
 
-    Values are pre-aggregated to (feature, value, count), so a hot value is one row; a running count over the distinct
-    values gives every rank, and an edge lies midway between the value at a boundary rank and the next distinct one.
-    With at most as many distinct values as bins, edges are cut as soon as a bin has min_data_in_bin rows.
+    Values are pre-aggregated to (feature, value, count), so a hot value is one row. The counts are dealt into ranges of
+    (feature, value); running counts inside a range, from the totals of the ranges before it, give every rank, and an edge
+    lies midway between the value at a boundary rank and the next distinct one. With at most as many distinct values as
+    bins, edges are cut as soon as a bin has min_data_in_bin rows.
     """
     v = F.when(~F.isnan("v"), F.col("v"))
     counts = stack(df, columns).select("feature", v.alias("v")).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("feature").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("valid"), F.max(F.col("v").isNull().cast("int")).alias("missing"), F.count("v").alias("levels"))
+    placed = place(counts, ["feature", "v"])
+    totals = placed.groupBy("feature").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("valid"), F.max(F.col("v").isNull().cast("int")).alias("missing"), F.count("v").alias("levels"))
     room = F.lit(max_bin) - (F.col("missing") if use_missing else F.lit(0))
     totals = totals.withColumn("bins", F.greatest(F.lit(1), F.least(room, F.floor(F.col("valid") / min_data_in_bin)))).withColumn("room", room)
-    by = W.partitionBy("feature").orderBy("v")
-    run = counts.filter("v IS NOT NULL").withColumn("upto", F.sum("n").over(by)).withColumn("next", F.lead("v").over(by)).join(F.broadcast(totals), "feature")
-    # a boundary rank b * valid / bins falls behind the values whose running count reaches it first
-    before = F.col("upto") - F.col("n")
-    reaches = F.floor((F.col("upto") * F.col("bins") + F.col("bins") - 1) / F.col("valid")) > F.floor((before * F.col("bins") + F.col("bins") - 1) / F.col("valid"))
-    many = run.filter((F.col("levels") > F.col("room")) & F.col("next").isNotNull() & reaches)
-    few = run.filter(F.col("levels") <= F.col("room")).groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("l"))  # at most max_bin levels each
+    run = with_totals(placed, totals, ["feature"])
+    few = run.filter((F.col("levels") <= F.col("room")) & F.col("v").isNotNull()).groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("l"))  # at most max_bin levels each
     fold = f"""aggregate(sequence(0, size(l) - 1), named_struct('c', 0L, 'e', cast(array() AS array<double>)),
         (a, i) -> if(a.c + l[i].n >= {min_data_in_bin} and i < size(l) - 1,
             named_struct('c', 0L, 'e', concat(a.e, array((l[i].v + l[i + 1].v) / 2))), named_struct('c', a.c + l[i].n, 'e', a.e)), a -> a.e)"""
+    # null values are counted apart, the others are ranked: a boundary rank b * valid / bins falls behind the value whose
+    # running count reaches it first
+    ranked = running(run.filter((F.col("levels") > F.col("room")) & F.col("v").isNotNull()), {"before": F.col("n")}, ["feature"], ["v"])
+    ranked = neighbours(ranked, "v", ["feature"], ["v"], after="next")
+    upto = F.col("before") + F.col("n")
+    reaches = F.floor((upto * F.col("bins") + F.col("bins") - 1) / F.col("valid")) > F.floor((F.col("before") * F.col("bins") + F.col("bins") - 1) / F.col("valid"))
+    many = ranked.filter(F.col("next").isNotNull() & reaches)
     return many.select("feature", ((F.col("v") + F.col("next")) / 2).alias("edge")).unionByName(few.select("feature", F.explode(F.expr(fold)).alias("edge")))
 
 
@@ -79,12 +85,17 @@ def bin_column(value: Column, edges: list[float], missing_bin: int | None) -> Co
 
 
 def prefilter(df: DataFrame, columns: list[str], filter_cnt: int) -> DataFrame:
-    """(feature, usable): whether some value splits the rows with filter_cnt on both sides."""
+    """(feature, usable): whether some value splits the rows with filter_cnt on both sides.
+
+    The first value with enough rows up to it leaves the most on the other side; it is among the filter_cnt smallest.
+    """
     counts = stack(df, columns).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("all"))
     by = W.partitionBy("feature").orderBy("v")
-    run = counts.withColumn("left", F.sum("n").over(by)).withColumn("all", F.sum("n").over(W.partitionBy("feature")))
-    ok = (F.col("left") >= filter_cnt) & (F.col("all") - F.col("left") >= filter_cnt)
-    return run.groupBy("feature").agg(F.max(ok).alias("usable"))
+    low = counts.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= max(1, filter_cnt))  # pruned to these in each task
+    low = low.withColumn("left", F.sum("n").over(by)).filter(F.col("left") >= filter_cnt)
+    first = low.groupBy("feature").agg(F.min("left").alias("left"))
+    return totals.join(first, "feature", "left").select("feature", F.coalesce(F.col("all") - F.col("left") >= filter_cnt, F.lit(False)).alias("usable"))
 
 
 class Bins:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranges import place, running
+
 EPS = 1e-15
 
 
@@ -53,17 +55,8 @@ def score_blocks(df: DataFrame, label: str, score: str, weight: str | None = Non
 
 def ranked_blocks(blocks: DataFrame, parts: int | None = None) -> DataFrame:
     """Blocks with pos and neg above them, by ranges of score: only the range totals (one row each) are summed in one place."""
-    spark = blocks.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = blocks.repartitionByRange(n, F.desc("score")).withColumn("__p", F.spark_partition_id())
-    from ..plans.storage import cut
-
-    ranged = cut(ranged)
-    totals = ranged.groupBy("__p").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-    before = W.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("__p", F.coalesce(F.sum("tp").over(before), F.lit(0.0)).alias("op"), F.coalesce(F.sum("tn").over(before), F.lit(0.0)).alias("on"))
-    own = W.partitionBy("__p").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(offsets), "__p").select("score", "pos", "neg", (F.col("op") + F.coalesce(F.sum("pos").over(own), F.lit(0.0))).alias("pos_above"), (F.col("on") + F.coalesce(F.sum("neg").over(own), F.lit(0.0))).alias("neg_above"))
+    order = [F.desc("score")]
+    return running(place(blocks, order, parts), {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, [], order)
 
 
 def auc(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
@@ -121,8 +114,9 @@ def pfound(df: DataFrame, group: str, label: str, score: str, tie: str, decay: f
 def cox_partial_loglik(df: DataFrame, time: str, event: str, raw: str) -> DataFrame:
     """Partial log likelihood; the risk set of a row is all rows with at least its time. Times are pre-aggregated."""
     t = df.groupBy(F.col(time).alias("t")).agg(F.sum(F.exp(raw)).alias("e"), F.sum(F.when(F.col(event) > 0, F.col(raw)).otherwise(0.0)).alias("s"), F.sum((F.col(event) > 0).cast("int")).alias("d"))
-    risk = F.sum("e").over(W.partitionBy(F.lit(0)).orderBy(F.desc("t")))
-    return t.withColumn("risk", risk).agg(F.lit("cox").alias("metric"), F.sum(F.col("s") - F.col("d") * F.log("risk")).alias("value"))
+    after = [F.desc("t")]
+    risk = running(place(t, after), {"later": F.col("e")}, [], after)
+    return risk.agg(F.lit("cox").alias("metric"), F.sum(F.col("s") - F.col("d") * F.log(F.col("later") + F.col("e"))).alias("value"))
 
 
 def multi_rmse(df: DataFrame, labels: list[str], predictions: list[str]) -> DataFrame:

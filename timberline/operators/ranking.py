@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranges import place, running
+
 
 def groups(df: DataFrame, group: str) -> DataFrame:
     """(group, n, start): rows per query and where it starts when queries follow each other by id.
@@ -13,15 +15,7 @@ def groups(df: DataFrame, group: str) -> DataFrame:
     Starts are a running sum over ranges of queries, offset by range totals, so no task sees all queries.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from ..plans.storage import cut
-
-    placed = cut(sizes.repartitionByRange(n, group).withColumn("__p", F.spark_partition_id()))
-    total = placed.groupBy("__p").agg(F.sum("n").alias("t"))
-    before = W.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = F.broadcast(total.select("__p", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("o")))
-    own = W.partitionBy("__p").orderBy(group).rowsBetween(W.unboundedPreceding, -1)
-    return placed.join(offsets, "__p").select(group, "n", (F.col("o") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("start"))
+    return running(place(sizes, [group]), {"start": F.col("n")}, [], [group]).select(group, "n", "start")
 
 
 def query_rmse(df: DataFrame, group: str, label: str, raw: str) -> DataFrame:
@@ -71,9 +65,12 @@ def lambdarank(df: DataFrame, group: str, label: str, raw: str, key: str, trunca
 def cox(df: DataFrame, time: str, event: str, raw: str, key: str) -> DataFrame:
     """(key, grad, hess) of the Cox partial likelihood; times are pre-aggregated before the running sums."""
     t = df.groupBy(F.col(time).alias("t")).agg(F.sum(F.exp(raw)).alias("e"), F.sum((F.col(event) > 0).cast("int")).alias("d"))
-    t = t.withColumn("risk", F.sum("e").over(W.partitionBy(F.lit(0)).orderBy(F.desc("t"))))
-    up = W.partitionBy(F.lit(0)).orderBy("t")
-    t = t.withColumn("rk", F.sum(F.col("d") / F.col("risk")).over(up)).withColumn("sk", F.sum(F.col("d") / (F.col("risk") * F.col("risk"))).over(up)).select("t", "rk", "sk")
+    placed = place(t, ["t"])
+    whole = placed.agg(F.sum("e").alias("all"))
+    # the risk set of a time is all that lies at or behind it; its sums then run on over the same ranges
+    risk = running(placed, {"earlier": F.col("e")}, [], ["t"]).crossJoin(F.broadcast(whole)).withColumn("risk", F.col("all") - F.col("earlier"))  # one row
+    first, second = F.col("d") / F.col("risk"), F.col("d") / (F.col("risk") * F.col("risk"))
+    t = running(risk, {"rk": first, "sk": second}, [], ["t"]).select("t", (F.col("rk") + first).alias("rk"), (F.col("sk") + second).alias("sk"))
     e = F.exp(F.col(raw))
     out = df.join(t, df[time] == t["t"])
     return out.select(key, (e * F.col("rk") - (F.col(event) > 0).cast("double")).alias("grad"), (e * F.col("rk") - e * e * F.col("sk")).alias("hess"))

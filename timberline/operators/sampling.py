@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform
+from .ranges import percentile
 
 
 def bag(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -36,7 +37,7 @@ def bayesian_weight(df: DataFrame, key: str, temperature: float = 1.0, seed: int
 def goss(df: DataFrame, key: str, grad: str, hess: str, top_rate: float = 0.2, other_rate: float = 0.1, seed: int = 0) -> DataFrame:
     """Rows with large gradients and a sample of the others, whose multiplier restores the sums."""
     size = F.abs(F.col(grad) * F.col(hess))
-    cutoff = df.agg(F.percentile(size, F.lit(1 - top_rate)).alias("__t"))
+    cutoff = percentile(df, size, 1 - top_rate).select(F.col("value").alias("__t"))
     big = size >= F.col("__t")
     out = df.crossJoin(F.broadcast(cutoff)).withColumn("multiplier", F.when(big, 1.0).otherwise((1 - top_rate) / other_rate))
     return out.filter(big | (uniform(F.col(key), seed) < other_rate / (1 - top_rate))).drop("__t")

@@ -3,13 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may do without it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    at = tempfile.mkdtemp(prefix="timberline-")
+    spark.sparkContext.setCheckpointDir(at)
+    return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir; a folder of our own serves where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timberline-"))
-    return df.checkpoint()
+    """Write a table into the shared folder and read it back: one run of its plan, columns are pruned at the next scan,
+    and a lost executor costs nothing."""
+    path = f"{shared(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that `cut` has written, when nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if name.rsplit("/", 1)[-1].startswith("cut-"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
