@@ -46,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     place = mixing.mix(docs).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("position").alias("__p"))
     place = place.groupBy("__d", "__s").agg(F.min("__p").alias("__p"))
-    joined = docs.join(place, docs["doc_id"].eqNullSafe(place["__d"]) & docs["source"].eqNullSafe(place["__s"]))
+    joined = docs.join(place.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(place["__d"]) & docs["source"].eqNullSafe(place["__s"]))
     return joined.repartitionByRange(partitions(spark), "__p").sortWithinPartitions("__p").select(*columns)
 
 

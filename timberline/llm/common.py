@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..plans.storage import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, whole."""
@@ -21,15 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        at = tempfile.mkdtemp(prefix="timberline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    """The folder all executors share: spark.checkpoint.dir; a local session without it gets one of its own."""
+    return shared(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

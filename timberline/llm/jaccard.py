@@ -312,7 +312,8 @@ def join(docs: DataFrame, most: int = MOST) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    sets = materialise(gather(count_fragments(cut_sets(docs, parts), parts, parts), parts), "sets")
+    fragments = 2 * parts  # small ones: a task holds a whole fragment
+    sets = materialise(gather(count_fragments(cut_sets(docs, fragments), fragments, parts), parts), "sets")
     live = sets.filter("h IS NOT NULL")
     equal = live.groupBy("k1", "k2", "n").agg(F.min("doc").alias("top"))
     tops = live.select("doc", "k1", "k2", "n").join(equal, ["k1", "k2", "n"]).select("doc", "top").distinct()

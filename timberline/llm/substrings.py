@@ -263,7 +263,10 @@ def dedup(docs: DataFrame, text: bool = False, most_bits: int = MOST_BITS, crowd
     own = [f"c{k}" for k in range(len(carried))]  # names of ours, whatever the table's are
     wanted = wanted.toDF(*own).withColumn("key", F.xxhash64(own[carried.index("text")]))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "runs")
-    joined = wanted.join(hits, (F.col(own[carried.index("doc_id")]) == F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left").select(*own, "runs")
+    # the texts are dealt once, in small partitions, and not sorted: a partition's hits are few next to its texts
+    ident = own[carried.index("doc_id")]
+    wanted = wanted.repartition(4 * partitions(docs.sparkSession), ident, "key")
+    joined = wanted.join(hits.hint("shuffle_hash"), (F.col(ident) == F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left").select(*own, "runs")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if text else "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
     where = carried.index("text")
 
