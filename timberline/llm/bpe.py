@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(at)
         for whole in released(batches):
-            for batch in slices(whole, text, 2 << 20):
+            for batch in slices(whole, text, 4 << 20):
                 packed = vocab.encode_batch([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
                 decoded = [vocab.decode(p) for p in packed]
                 columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]

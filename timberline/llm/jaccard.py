@@ -147,6 +147,7 @@ def count_fragments(cut: DataFrame, parts: int, buckets: int) -> DataFrame:
                 if r["kind"] == ALIAS:
                     out.append(packed(ALIAS, r["at"] % buckets, numbers(r["doc"]), numbers(r["n"], np.int32), numbers(r["k1"])))
             segments = [r for r in rows if r["kind"] == SEGMENT]
+            shared: list[tuple[np.ndarray, ...]] = []
             for piece in range(PIECES if segments else 0):  # by bits of the hash that don't choose the fragment
                 doc, h = [], []
                 for r in segments:
@@ -157,11 +158,12 @@ def count_fragments(cut: DataFrame, parts: int, buckets: int) -> DataFrame:
                 doc, h = np.concatenate(doc), np.concatenate(h)
                 order = np.argsort(h, kind="stable")
                 doc, h = doc[order], h[order]
-                edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
                 size = np.diff(np.r_[edge, len(h)])
                 df = np.repeat(size, size)
-                shared = df > 1
-                doc, h, df = doc[shared], h[shared], df[shared]
+                shared.append((doc[df > 1], h[df > 1], df[df > 1].astype(np.int32)))
+            if shared:
+                doc, h, df = (np.concatenate(c) for c in zip(*shared))
                 at = (mix(doc.view(U)) % U(buckets)).astype(np.int32)
                 order = np.lexsort((doc, at))
                 doc, h, df, at = doc[order], h[order], df[order], at[order]
@@ -169,7 +171,7 @@ def count_fragments(cut: DataFrame, parts: int, buckets: int) -> DataFrame:
                 for b in np.flatnonzero(np.diff(edge)):
                     d = doc[edge[b] : edge[b + 1]]
                     first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                    out.append(packed(SEGMENT, int(b), d[first], np.diff(np.r_[first, len(d)]).astype(np.int32), h=h[edge[b] : edge[b + 1]], df=df[edge[b] : edge[b + 1]].astype(np.int32)))
+                    out.append(packed(SEGMENT, int(b), d[first], np.diff(np.r_[first, len(d)]).astype(np.int32), h=h[edge[b] : edge[b + 1]], df=df[edge[b] : edge[b + 1]]))
             for r in rows:
                 if r["kind"] == OWN:
                     doc, n, k1, k2 = numbers(r["doc"]), numbers(r["n"], np.int32), numbers(r["k1"]), numbers(r["k2"])
