@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -62,24 +63,47 @@ class Objective:
     name: str
     derivatives: Callable[[Column, Column, dict], tuple[Column, Column]]
     link: str = "identity"
-    #: mean, quantile (of the label) or weighted_median
-    start: str = "mean"
+    #: whether leaves and the start are percentiles of what is left, as the hessian says nothing
+    renews: bool = False
     aliases: tuple[str, ...] = field(default=())
 
     def response(self, raw: Column) -> Column:
         return {"identity": lambda r: r, "exp": F.exp, "sigmoid": sigmoid}[self.link](raw)
 
+    def alpha(self, args: dict | None = None) -> float:
+        """The percentile of leaves that are renewed."""
+        return (args or {}).get("alpha", 0.9) if self.name == "quantile" else 0.5
+
+    def renewal_weight(self, label: Column, weight: Column | None) -> Column | None:
+        """The weights of that percentile: for relative errors, those of the labels too."""
+        if self.name != "mape":
+            return weight
+        own = 1 / F.greatest(F.lit(1.0), F.abs(label))
+        return own if weight is None else weight * own
+
     def base_score(self, df: DataFrame, label: str, weight: str | None = None, args: dict | None = None) -> float:
-        """The constant raw score the first tree starts from: one aggregate over the data."""
-        w = F.col(weight) if weight else F.lit(1.0)
-        if self.start == "zero":
+        """The constant raw score the first tree starts from: a percentile, or the link of the weighted mean."""
+        from ..operators.ranges import percentile
+
+        y, w = F.col(label).cast("double"), F.col(weight).cast("double") if weight else None
+        if self.renews:
+            r = percentile(df, y, self.alpha(args), self.renewal_weight(y, w)).first()
+            return float(r["value"]) if r is not None and r["value"] is not None else 0.0
+        w = F.lit(1.0) if w is None else w
+        r = df.agg(F.sum(y * w).alias("s"), F.sum(w).alias("w"), F.count(y).alias("n")).first()
+        if not r["n"]:
             return 0.0
-        if self.start == "quantile":
-            alpha = (args or {}).get("alpha", 0.9) if self.name == "quantile" else 0.5
-            return float(df.agg(F.percentile(label, F.lit(alpha)).alias("v")).first()["v"] or 0.0)
-        mean = F.sum(F.col(label) * w) / F.sum(w)
-        value = {"identity": mean, "exp": F.log(F.greatest(mean, F.lit(EPS))), "sigmoid": F.log(clamp(mean) / (1 - clamp(mean)))}[self.link]
-        return float(df.agg(value.alias("v")).first()["v"] or 0.0)
+        if not r["w"] > 0:
+            raise ValueError("weights need a positive sum")
+        mean = r["s"] / r["w"]
+        if self.link == "exp":
+            if mean <= 0:
+                raise ValueError(f"{self.name} needs a positive mean label")
+            return math.log(mean)
+        if self.link == "sigmoid":
+            mean = min(1 - EPS, max(EPS, mean))
+            return math.log(mean / (1 - mean))
+        return mean
 
 
 OBJECTIVES = {
@@ -90,12 +114,12 @@ OBJECTIVES = {
         Objective("cross_entropy", _logistic, "sigmoid", aliases=("xentropy",)),
         Objective("poisson", _poisson, "exp"),
         Objective("huber", _huber),
-        Objective("quantile", _quantile, start="quantile"),
-        Objective("l1", lambda y, r, a: (F.signum(r - y), F.lit(1.0)), start="quantile", aliases=("mae", "mean_absolute_error")),
+        Objective("quantile", _quantile, renews=True),
+        Objective("l1", lambda y, r, a: (F.signum(r - y), F.lit(1.0)), renews=True, aliases=("mae", "mean_absolute_error")),
         Objective("gamma", lambda y, r, a: (1 - y * F.exp(-r), y * F.exp(-r)), "exp"),
         Objective("tweedie", _tweedie, "exp"),
-        Objective("mape", _mape, start="quantile"),
-        Objective("fair", _fair, start="quantile"),
+        Objective("mape", _mape, renews=True, aliases=("mean_absolute_percentage_error",)),
+        Objective("fair", _fair),
     )
 }
 
@@ -125,17 +149,49 @@ def multi_rmse_derivatives(labels: list[Column], raws: list[Column]) -> list[tup
     return [(F.coalesce(r - y, F.lit(0.0)), F.when(y.isNotNull(), 1.0).otherwise(0.0)) for y, r in zip(labels, raws)]
 
 
-def aft_derivatives(lower: Column, upper: Column, raw: Column, scale: float = 1.0) -> tuple[Column, Column]:
-    """Accelerated failure time with logistic noise; an upper bound of -1 is open. Clipped as gradients of +-15."""
+def _noise(kind: str):
+    """Of standard noise: density, distribution, and the density's first and second derivative over itself."""
+    if kind == "logistic":
+        pdf = lambda x: sigmoid(x) * (1 - sigmoid(x))
+        return pdf, sigmoid, lambda x: 1 - 2 * sigmoid(x), lambda x: 1 - 6 * pdf(x)
+    if kind == "normal":
+        return lambda x: F.exp(-x * x / 2) / math.sqrt(2 * math.pi), normal_cdf, lambda x: -x, lambda x: x * x - 1
+    if kind == "extreme":
+        w = lambda x: F.exp(F.least(x, F.lit(300.0)))
+        return lambda x: w(x) * F.exp(-w(x)), lambda x: 1 - F.exp(-w(x)), lambda x: 1 - w(x), lambda x: w(x) * w(x) - 3 * w(x) + 1
+    raise ValueError(f"unknown noise {kind!r}")
 
-    def z(t):
-        return (F.log(t) - raw) / scale
 
-    def cdf(x):
-        return sigmoid(x)
+#: Coefficients of a rational approximation of the normal tail (fixed values, G. West 2005, after Hart 1968).
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution to about 14 digits."""
+    a = F.abs(x)
+
+    def fold(coefficients):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * a + c
+        return out
+
+    near = F.exp(-a * a / 2) * fold(TAIL_ABOVE) / fold(TAIL_BELOW)
+    far = F.exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
+    tail = F.when(a > 37, 0.0).when(a < 7.07106781186547, near).otherwise(far)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
 
-    def pdf(x):
-        return sigmoid(x) * (1 - sigmoid(x))
+def aft_derivatives(lower: Column, upper: Column, raw: Column, scale: float = 1.0, noise: str = "logistic") -> tuple[Column, Column]:
+    """Accelerated failure time with logistic, normal or extreme-value noise; a bound of -1 is open.
+
+    Gradients are clipped to +-15, hessians to 1e-16 and 15.
+    """
+    pdf, cdf, first, second = _noise(noise)
+
+    def z(t):
+        return (F.log(F.greatest(t, F.lit(1e-300))) - raw) / scale
 
     exact = lower == upper
     zl, zu = z(lower), z(upper)
@@ -144,9 +200,22 @@ def aft_derivatives(lower: Column, upper: Column, raw: Column, scale: float = 1.
     fu = F.when(upper < 0, 1.0).otherwise(cdf(zu))
     dl = F.when(lower > 0, pdf(zl)).otherwise(0.0)
     du = F.when(upper < 0, 0.0).otherwise(pdf(zu))
-    el = F.when(lower > 0, pdf(zl) * (1 - 2 * cdf(zl))).otherwise(0.0)
-    eu = F.when(upper < 0, 0.0).otherwise(pdf(zu) * (1 - 2 * cdf(zu)))
+    el = F.when(lower > 0, pdf(zl) * first(zl)).otherwise(0.0)
+    eu = F.when(upper < 0, 0.0).otherwise(pdf(zu) * first(zu))
     span = F.greatest(fu - fl, F.lit(1e-12))
-    g = F.when(exact, (1 - 2 * cdf(zl)) / scale).otherwise((du - dl) / (scale * span))
-    h = F.when(exact, 2 * pdf(zl) / (scale * scale)).otherwise((((du - dl) * (du - dl)) / (span * span) - (eu - el) / span) / (scale * scale))
+    g = F.when(exact, first(zl) / scale).otherwise((du - dl) / (scale * span))
+    h = F.when(exact, (first(zl) * first(zl) - second(zl)) / (scale * scale)).otherwise((((du - dl) * (du - dl)) / (span * span) - (eu - el) / span) / (scale * scale))
     return F.greatest(F.lit(-15.0), F.least(F.lit(15.0), g)), F.greatest(F.lit(1e-16), F.least(F.lit(15.0), h))
+
+
+def aft_time(raw: Column) -> Column:
+    """The predicted time of an accelerated failure time model."""
+    return F.exp(raw)
+
+
+def aft_distance(lower: Column, upper: Column, raw: Column) -> Column:
+    """How far the predicted time lies from the nearer bound, 0 inside of both; without a lower bound, always from the upper."""
+    t = F.exp(raw)
+    outside = (lower < 0) | (t <= lower) | (upper >= 0) & (t >= upper)
+    near = F.least(F.when(lower >= 0, F.abs(t - lower)), F.when(upper >= 0, F.abs(t - upper)))
+    return F.when(outside, F.coalesce(near, F.lit(0.0))).otherwise(0.0)

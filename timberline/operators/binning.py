@@ -99,19 +99,28 @@ def prefilter(df: DataFrame, columns: list[str], filter_cnt: int) -> DataFrame:
 
 
 class Bins:
-    """Edges of all features, fitted once and small: at most max_bin numbers for each."""
+    """Edges of all features, fitted once and small: at most max_bin numbers for each. Categorical features have their
+    levels instead, by code; the codes go by ascending category, and missing and unseen values are -1."""
 
-    def __init__(self, edges: dict[str, list[float]], missing: dict[str, int | None]):
-        self.edges, self.missing = edges, missing
+    def __init__(self, edges: dict[str, list[float]], missing: dict[str, int | None], levels: dict[str, list] | None = None):
+        self.edges, self.missing, self.levels = edges, missing, levels or {}
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], max_bin: int = 255, min_data_in_bin: int = 3, use_missing: bool = True) -> "Bins":
-        edges: dict[str, list[float]] = {c: [] for c in columns}
-        for r in quantile_edges(df, columns, max_bin, min_data_in_bin, use_missing).collect():
+    def fit(cls, df: DataFrame, columns: list[str], max_bin: int = 255, min_data_in_bin: int = 3, use_missing: bool = True, categorical: list[str] = ()) -> "Bins":
+        levels = {c: [r["category"] for r in categories(df, c, max_bin).orderBy("code").collect()] for c in categorical}
+        numeric = [c for c in columns if c not in levels]
+        edges: dict[str, list[float]] = {c: [] for c in numeric}
+        if not numeric:
+            return cls(edges, {}, levels)
+        for r in quantile_edges(df, numeric, max_bin, min_data_in_bin, use_missing).collect():
             edges[r["feature"]].append(r["edge"])
-        holes = df.agg(*[F.max((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")).alias(c) for c in columns]).first()
+        holes = df.agg(*[F.max((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")).alias(c) for c in numeric]).first()
         edges = {c: sorted(set(e)) for c, e in edges.items()}
-        return cls(edges, {c: len(edges[c]) + 1 if use_missing and holes[c] else None for c in columns})
+        return cls(edges, {c: len(edges[c]) + 1 if use_missing and holes[c] else None for c in numeric}, levels)
 
     def transform(self, df: DataFrame, prefix: str = "b_") -> DataFrame:
-        return df.withColumns({f"{prefix}{c}": bin_column(F.col(c).cast("double"), e, self.missing[c]) for c, e in self.edges.items()})
+        made = {f"{prefix}{c}": bin_column(F.col(c).cast("double"), e, self.missing[c]) for c, e in self.edges.items()}
+        for c, known in self.levels.items():
+            code = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(known) for x in (v, i)]), F.col(c)) if known else F.lit(None)
+            made[f"{prefix}{c}"] = F.coalesce(code.cast("int"), F.lit(-1))
+        return df.withColumns(made)

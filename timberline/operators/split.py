@@ -20,6 +20,8 @@ class SplitParams:
     min_gain_to_split: float = 0.0
     max_delta_step: float = 0.0
     path_smooth: float = 0.0
+    #: by node: its own output, which its children are smoothed towards
+    parents: dict[int, float] = field(default_factory=dict)
     score: str = "L2"  # or Cosine
     #: by feature number: multiplier of the gain, and -1/0/1 for monotone direction
     contri: dict[int, float] = field(default_factory=dict)
@@ -48,14 +50,31 @@ def output(g: Column, h: Column, p: SplitParams) -> Column:
     return F.greatest(F.lit(-p.max_delta_step), F.least(F.lit(p.max_delta_step), out)) if p.max_delta_step else out
 
 
-def score(g: Column, h: Column, p: SplitParams) -> Column:
-    if p.max_delta_step:
+def score(g: Column, h: Column, p: SplitParams, w: Column | None = None) -> Column:
+    """The gain of a leaf, at its free Newton step or at the output w that it is made to give."""
+    if w is None and p.max_delta_step:
         w = output(g, h, p)
+    if w is not None:
         return -(2 * threshold(g, p.lambda_l1) * w + (h + p.lambda_l2) * w * w)
     t = threshold(g, p.lambda_l1)
     return t * t / (h + p.lambda_l2)
 
 
+def finished(g: Column, h: Column, n: Column, p: SplitParams) -> Column:
+    """A leaf's output, capped and then smoothed towards its parent's, the more the fewer rows it has."""
+    out = output(g, h, p)
+    if not p.path_smooth:
+        return out
+    share = n / F.lit(float(p.path_smooth))
+    return (out * share + by_node(p.parents, 0.0)) / (share + 1)
+
+
+def by_node(values: dict[int, float], default: float) -> Column:
+    if not values:
+        return F.lit(default)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (int(k), float(v))]), F.col("node")), F.lit(default))
+
+
 def candidates(hist: DataFrame, params: SplitParams, missing: dict[int, int] | None = None) -> DataFrame:
     """Every admissible (node, feature, bin, default_left) with its gain and the sums of both sides."""
     p = params
@@ -78,7 +97,11 @@ def candidates(hist: DataFrame, params: SplitParams, missing: dict[int, int] | N
         lo, ro = output(lg, lh, p), output(rg, rh, p)
         gain = (-lo * lg - ro * rg) / F.sqrt(F.greatest(lo * lo * lh + ro * ro * rh, F.lit(1e-100)))
     else:
-        gain = score(lg, lh, p) + score(rg, rh, p) - score(F.col("all_g").cast("double"), F.col("all_h").cast("double"), p)
+        whole_score = score(F.col("all_g").cast("double"), F.col("all_h").cast("double"), SplitParams(p.lambda_l1, p.lambda_l2))
+        if p.path_smooth or p.max_delta_step:
+            gain = score(lg, lh, p, finished(lg, lh, F.col("left_n"), p)) + score(rg, rh, p, finished(rg, rh, F.col("right_n"), p)) - whole_score
+        else:
+            gain = score(lg, lh, p) + score(rg, rh, p) - whole_score
     if p.contri:
         gain = gain * by_feature(p.contri, 1.0)
     if p.cegb_penalty_split:
@@ -102,8 +125,10 @@ def candidates(hist: DataFrame, params: SplitParams, missing: dict[int, int] | N
 
 def best(hist: DataFrame, params: SplitParams, missing: dict[int, int] | None = None) -> DataFrame:
     """One row per node that can be split; ties go to the lower feature, lower bin and missing left."""
-    order = W.partitionBy("node").orderBy(F.desc("gain"), "feature", "bin", F.desc("default_left"))
-    return candidates(hist, params, missing).withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
+    found = candidates(hist, params, missing)
+    order = F.struct("gain", -F.col("feature"), -F.col("bin"), F.col("default_left"))
+    columns = [c for c in found.columns if c != "node"]
+    return found.groupBy("node").agg(F.max_by(F.struct(*columns), order).alias("s")).select("node", "s.*")
 
 
 def best_categorical(hist: DataFrame, params: SplitParams, max_cat_to_onehot: int = 4, cat_smooth: float = 10.0, cat_l2: float = 10.0, max_cat_threshold: int = 32) -> DataFrame:
@@ -127,7 +152,8 @@ def best_categorical(hist: DataFrame, params: SplitParams, max_cat_to_onehot: in
     ok = (F.col("ln") >= p.min_data_in_leaf) & (F.col("all_n") - F.col("ln") >= p.min_data_in_leaf) & (lh >= p.min_child_hess) & (rh >= p.min_child_hess)
     found = both.withColumn("left", F.sort_array("left")).withColumn("gain", gain).filter(ok & (F.col("gain") > p.min_gain_to_split))
     order = W.partitionBy("node").orderBy(F.desc("gain"), "feature", F.col("left").cast("string"))
-    return found.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select("node", "feature", "left", "gain", "lg", "lh", "ln")
+    right = [(F.col(f"all_{c}") - F.col(f"l{c}")).alias(f"r{c}") for c in "ghn"]
+    return found.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select("node", "feature", "left", "gain", "onehot", "lg", "lh", "ln", *right)
 
 
 def oblivious(hist: DataFrame, params: SplitParams) -> DataFrame:
