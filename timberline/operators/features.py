@@ -77,10 +77,11 @@ def naive_bayes(bags: DataFrame, labels: DataFrame, key: str, label: str, prior:
     vocabulary = bags.agg(F.countDistinct("token_id").alias("v"))
     docs = labels.groupBy(label).agg(F.count(F.lit(1)).alias("docs"))
     shape = whole.join(docs, label).crossJoin(F.broadcast(vocabulary)).crossJoin(F.broadcast(labels.agg(F.count(F.lit(1)).alias("all"))))
-    classes = F.broadcast(shape)  # a row per class
-    rows = bags.crossJoin(classes).alias("b").join(per.withColumnRenamed("n", "c"), [label, "token_id"], "left")
-    term = F.col("n") * F.log((F.coalesce("c", F.lit(0)) + prior) / (F.col("total") + prior * F.col("v")))
-    return rows.groupBy(key, label).agg((F.sum(term) + F.first(F.log(F.col("docs") / F.col("all")))).alias("log_prob"))
+    size = bags.groupBy(key).agg(F.sum("n").alias("size"))
+    # every class of every text is a row of the result; tokens meet only the classes that have them
+    rest = size.crossJoin(F.broadcast(shape)).select(key, label, (F.col("size") * F.log(prior / (F.col("total") + prior * F.col("v"))) + F.log(F.col("docs") / F.col("all"))).alias("rest"))
+    met = bags.join(per.withColumnRenamed("n", "c"), "token_id").groupBy(key, label).agg(F.sum(F.col("n") * F.log((F.col("c") + prior) / prior)).alias("met"))
+    return rest.join(met, [key, label], "left").select(key, label, (F.col("rest") + F.coalesce("met", F.lit(0.0))).alias("log_prob"))
 
 
 def bm25(bags: DataFrame, labels: DataFrame, key: str, label: str, k: float = 1.5, b: float = 0.75, least: float = 1e-3) -> DataFrame:
@@ -99,20 +100,45 @@ def bm25(bags: DataFrame, labels: DataFrame, key: str, label: str, k: float = 1.
 # --- embeddings ---------------------------------------------------------------------------------------------------
 
 
-def knn(df: DataFrame, key: str, vector: str, label: str, k: int = 5, queries: DataFrame | None = None, block: int = 1000) -> DataFrame:
+def knn(df: DataFrame, key: str, vector: str, label: str, k: int = 5, queries: DataFrame | None = None, block: int = 2000) -> DataFrame:
     """(key, label, n): classes of the k nearest other vectors by squared L2, ties by key.
 
-    The index is bounded (50,000 rows are refused beyond), split into blocks; each query keeps k candidates per block.
+    Queries and index are cut into blocks of about `block` rows by a hash of the key; every pair of blocks is one group, in
+    which each query keeps its k nearest, and the nearest of all blocks are taken from these. Any number of rows will do;
+    the work grows with queries times rows.
     """
-    n = df.count()
-    if n > 50_000:
-        raise ValueError("the exact neighbour feature takes at most 50,000 rows")
-    q = (queries if queries is not None else df).select(F.col(key).alias("q"), F.col(vector).alias("x"))
-    index = F.broadcast(df.select(F.col(key).alias("i"), F.col(vector).alias("y"), F.col(label).alias("label")))  # at most 50,000 rows
-    d = F.aggregate(F.zip_with("x", "y", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, v: a + v)
-    near = q.join(index, F.col("q") != F.col("i")).select("q", "label", d.alias("d"), "i")
+    import numpy as np
+    import pandas as pd
+
+    n, m = df.count(), (queries if queries is not None else df).count()
+    blocks, parts = max(1, -(-n // block)), max(1, -(-m // block))
+    kind = dict(df.dtypes)[key]
+
+    def side(rows: DataFrame, own: int, other: int, mine: str, theirs: str, index: bool) -> DataFrame:
+        here = F.pmod(F.xxhash64(key, F.lit(int(index))), F.lit(own)).cast("int")
+        cls = F.col(label).cast("string") if index else F.lit(None).cast("string")
+        cells = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x"), cls.alias("label"), F.lit(index).alias("index"), here.alias(mine))
+        return cells.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).select("k", "x", "label", "index", "qb", "ib")
+
+    both = side(queries if queries is not None else df, parts, blocks, "qb", "ib", False).unionByName(side(df, blocks, parts, "ib", "qb", True))
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        q, i = group[~group["index"]], group[group["index"]].sort_values("k")
+        if not len(q) or not len(i):
+            return pd.DataFrame({"q": [], "i": [], "label": [], "d": []})
+        y, ids = np.stack(i["x"].to_numpy()), i["k"].to_numpy()
+        out = []
+        for name, x in zip(q["k"], q["x"]):
+            d = ((y - x) ** 2).sum(1)
+            d[ids == name] = np.inf
+            top = np.argsort(d, kind="stable")[:k]
+            top = top[np.isfinite(d[top])]
+            out.append(pd.DataFrame({"q": name, "i": ids[top], "label": i["label"].to_numpy()[top], "d": d[top]}))
+        return pd.concat(out)
+
+    near = both.groupBy("qb", "ib").applyInPandas(nearest, f"q {kind}, i {kind}, label string, d double")
     top = near.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "i"))).filter(F.col("r") <= k)
-    return top.groupBy(F.col("q").alias(key), "label").agg(F.count(F.lit(1)).alias("n"))
+    return top.groupBy(F.col("q").alias(key), F.col("label").cast(dict(df.dtypes)[label]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_means(df: DataFrame, vector: str, label: str) -> DataFrame:

@@ -69,6 +69,11 @@ def finished(g: Column, h: Column, n: Column, p: SplitParams) -> Column:
     return (out * share + by_node(p.parents, 0.0)) / (share + 1)
 
 
+def cosine(product: Column, norm: Column) -> Column:
+    """How well outputs follow the negative gradients, whatever their scale."""
+    return product / F.sqrt(F.greatest(norm, F.lit(1e-100)))
+
+
 def by_node(values: dict[int, float], default: float) -> Column:
     if not values:
         return F.lit(default)
@@ -94,8 +99,9 @@ def candidates(hist: DataFrame, params: SplitParams, missing: dict[int, int] | N
         scan = scan.withColumn(f"right_{c}", F.col(f"all_{c}") - F.col(f"left_{c}"))
     lg, lh, rg, rh = (F.col(c).cast("double") for c in ("left_g", "left_h", "right_g", "right_h"))
     if p.score == "Cosine":
-        lo, ro = output(lg, lh, p), output(rg, rh, p)
-        gain = (-lo * lg - ro * rg) / F.sqrt(F.greatest(lo * lo * lh + ro * ro * rh, F.lit(1e-100)))
+        tg, th = F.col("all_g").cast("double"), F.col("all_h").cast("double")
+        lo, ro, wo = output(lg, lh, p), output(rg, rh, p), output(tg, th, p)
+        gain = cosine(-lo * lg - ro * rg, lo * lo * lh + ro * ro * rh) - cosine(-wo * tg, wo * wo * th)
     else:
         whole_score = score(F.col("all_g").cast("double"), F.col("all_h").cast("double"), SplitParams(p.lambda_l1, p.lambda_l2))
         if p.path_smooth or p.max_delta_step:

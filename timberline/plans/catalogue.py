@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import objectives as O
 from ..functions.random import uniform
 from ..operators import binning, boost, cv, features, histogram, inspect, metrics, ranking, sampling, split, validate
+from .tree_sql import Fit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,10 +175,34 @@ def grad_hess_multiclass(spark, d):
     return _scored(spark, d).select("o_orderkey", r6(g0, "g0"), r6(h0, "h0"), r6(g2, "g2"))
 
 
-@query("base_scores", "SELECT 'l2' AS objective, round(avg(y), 6) AS base FROM (SELECT o_totalprice / 99991 AS y FROM orders) UNION ALL SELECT 'poisson', round(ln(avg(o_totalprice / 99991)), 6) FROM orders UNION ALL SELECT 'l1', round(quantile_cont(o_totalprice / 99991, 0.5), 6) FROM orders UNION ALL SELECT 'quantile', round(quantile_cont(o_totalprice / 99991, 0.9), 6) FROM orders")
+#: (objective, label, start in SQL over y and the weight w); percentiles of weighted rows are in `_percentile_sql`
+_STARTS = {
+    "l2": "sum(y * w) / sum(w)", "huber": "sum(y * w) / sum(w)", "fair": "sum(y * w) / sum(w)", "poisson": "ln(sum(y * w) / sum(w))", "gamma": "ln(sum(y * w) / sum(w))", "tweedie": "ln(sum(y * w) / sum(w))",
+    "binary": "ln(sum((y > 2)::INT * w) / sum(w) / (1 - sum((y > 2)::INT * w) / sum(w)))", "cross_entropy": "ln(sum(least(1.0, y / 6) * w) / sum(w) / (1 - sum(least(1.0, y / 6) * w) / sum(w)))",
+}
+
+
+def _percentile_sql(rows: str, alpha: float, by: str = "0") -> str:
+    """(k, value): where the running weight of rows (k, v, w) first exceeds alpha of the total."""
+    return f"""SELECT k, coalesce(any_value(CASE WHEN pos = 1 OR pos = n THEN v WHEN w >= 1 THEN pv + (t * {alpha} - (c - w)) / w * (v - pv) ELSE pv END) FILTER (hit = 1), max(v)) AS value FROM (
+  SELECT *, CASE WHEN c > t * {alpha} THEN row_number() OVER (PARTITION BY k, c > t * {alpha} ORDER BY pos) END AS hit FROM (
+    SELECT {by} AS k, v, w, sum(w) OVER (PARTITION BY {by} ORDER BY v, w ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY {by}) AS t, row_number() OVER (PARTITION BY {by} ORDER BY v, w) AS pos, count(*) OVER (PARTITION BY {by}) AS n, lag(v) OVER (PARTITION BY {by} ORDER BY v, w) AS pv FROM ({rows}))) GROUP BY k"""
+
+
+_WEIGHED = "SELECT o_totalprice / 99991 AS y, (1 + o_orderkey % 4)::DOUBLE AS w FROM orders"
+
+
+@query("base_scores", " UNION ALL ".join([
+    *(f"SELECT '{n}' AS objective, round(({e})::DOUBLE, 6) AS base FROM ({_WEIGHED})" for n, e in _STARTS.items()),
+    *(f"SELECT '{n}', round(value, 6) FROM ({_percentile_sql(f'SELECT y AS v, {w} AS w FROM ({_WEIGHED})', a)})" for n, a, w in (("l1", 0.5, "w"), ("quantile", 0.9, "w"), ("mape", 0.5, "w / greatest(1.0, abs(y))"))),
+    "SELECT 'l1 unweighted', round(quantile_cont(o_totalprice / 99991, 0.5), 6) FROM orders", "SELECT 'quantile unweighted', round(quantile_cont(o_totalprice / 99991, 0.9), 6) FROM orders",
+]))
 def base_scores(spark, d):
-    rows = _scored(spark, d)
-    return spark.createDataFrame([(n, O.objective(n).base_score(rows, "y")) for n in ("l2", "poisson", "l1", "quantile")], "objective string, base double").select("objective", r6(F.col("base"), "base"))
+    rows = _scored(spark, d).withColumn("w", (1 + F.col("o_orderkey") % 4).cast("double"))
+    rows = rows.withColumn("binary", (F.col("y") > 2).cast("int")).withColumn("cross_entropy", F.least(F.lit(1.0), F.col("y") / 6))
+    out = [(n, O.objective(n).base_score(rows, n if n in rows.columns else "y", "w")) for n in O.OBJECTIVES]
+    out += [(f"{n} unweighted", O.objective(n).base_score(rows, "y")) for n in ("l1", "quantile")]
+    return spark.createDataFrame(out, "objective string, base double").select("objective", r6(F.col("base"), "base"))
 
 
 # --- histograms and splits ---------------------------------------------------------------------------------------
@@ -230,18 +255,29 @@ query("best_split_l1", _split_sql(l1=50000.0, l2=5.0))(lambda spark, d: _best(sp
 query("best_split_min_data", _split_sql(least=200))(lambda spark, d: _best(spark, d, min_data_in_leaf=200))
 
 
-@query("best_split_missing")
+@query("best_split_missing", f"""WITH hist AS ({_CELLS.format(node="(l_orderkey % 3)::INT")}), m AS (SELECT *, feature = 1 AND bin = 10 OR feature = 2 AND bin = 8 AS lost FROM hist),
+c AS (SELECT *, {", ".join(f"sum(CASE WHEN lost THEN 0 ELSE {x} END) OVER w AS r{x}, sum({x}) OVER p AS t{x}, sum(CASE WHEN lost THEN {x} ELSE 0 END) OVER p AS m{x}" for x in "ghn")} FROM m WINDOW w AS (PARTITION BY node, feature ORDER BY bin), p AS (PARTITION BY node, feature)),
+s AS (SELECT *, {", ".join(f"r{x} + CASE WHEN default_left THEN m{x} ELSE 0 END AS l{x}" for x in "ghn")} FROM c, (VALUES (true), (false)) AS side(default_left) WHERE NOT lost AND (default_left OR mn > 0)),
+e AS (SELECT *, lg::DOUBLE * lg / (lh + 1) + (tg - lg)::DOUBLE * (tg - lg) / (th - lh + 1) - tg::DOUBLE * tg / (th + 1) AS gain FROM s WHERE ln >= 20 AND tn - ln >= 20)
+SELECT node, feature, bin, default_left, round(gain, 2) AS gain FROM e WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin, default_left DESC) = 1""")
 def best_split_missing(spark, d):
     hist = histogram.histogram(_binned(spark, d), ["q", "d", "t"], node="node")
     return split.best(hist, split.SplitParams(), {1: 10, 2: 8}).select("node", "feature", "bin", "default_left", F.round("gain", 2).alias("gain"))
 
 
-@query("best_split_cosine")
+@query("best_split_cosine", f"""WITH hist AS ({_CELLS.format(node="(l_orderkey % 3)::INT")}),
+c AS (SELECT *, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(n) OVER w AS ln, sum(g) OVER p AS tg, sum(h) OVER p AS th, sum(n) OVER p AS tn FROM hist WINDOW w AS (PARTITION BY node, feature ORDER BY bin), p AS (PARTITION BY node, feature)),
+o AS (SELECT *, -lg::DOUBLE / (lh + 1) AS lo, -(tg - lg)::DOUBLE / (th - lh + 1) AS ro, -tg::DOUBLE / (th + 1) AS wo FROM c WHERE ln >= 20 AND tn - ln >= 20),
+s AS (SELECT *, (-lo * lg - ro * (tg - lg)) / sqrt(lo * lo * lh + ro * ro * (th - lh)) - (-wo * tg) / sqrt(wo * wo * th) AS gain FROM o)
+SELECT node, feature, bin, round(gain, 2) AS gain, ln::BIGINT AS left_n FROM s WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) = 1""")
 def best_split_cosine(spark, d):
     return _best(spark, d, score="Cosine")
 
 
-@query("best_split_categorical")
+@query("best_split_categorical", f"""WITH hist AS ({_CELLS.format(node="(l_orderkey % 3)::INT")}), r AS (SELECT *, g / (h + 10.0::DOUBLE) AS ratio FROM hist),
+c AS ({" UNION ALL ".join(f"SELECT node, feature, list(bin) OVER w AS l, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(n) OVER w AS ln, sum(g) OVER p AS tg, sum(h) OVER p AS th, sum(n) OVER p AS tn FROM r WINDOW w AS (PARTITION BY node, feature ORDER BY ratio {o}, bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, feature)" for o in ("ASC", "DESC"))}),
+s AS (SELECT node, feature, list_sort(l) AS "left", lg::DOUBLE * lg / (lh + 11) + (tg - lg)::DOUBLE * (tg - lg) / (th - lh + 11) - tg::DOUBLE * tg / (th + 1) AS gain FROM c WHERE len(l) <= 32 AND ln >= 20 AND tn - ln >= 20)
+SELECT node, feature, "left", round(gain, 2) AS gain FROM s WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, "left"::VARCHAR) = 1""")
 def best_split_categorical(spark, d):
     return split.best_categorical(histogram.histogram(_binned(spark, d), ["q", "d", "t"], node="node"), split.SplitParams()).select("node", "feature", "left", F.round("gain", 2).alias("gain"))
 
@@ -274,7 +310,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(r6(error(F.lit(model.base[0])), "rmse_before"), r6(error(F.col("prediction")), "rmse_after"), F.lit(len(model.trees)).alias("trees"))
 
 
-query("gbdt_3_rounds")(flagship)
+_ROWS = "SELECT l_orderkey AS key, l_quantity AS f0, l_discount AS f1, l_tax AS f2, l_extendedprice / 1000 AS y, (l_returnflag = 'R')::INT AS returned FROM lineitem"
+_MSE = lambda f, s: f"SELECT round(avg(pow(y - {f.raw(0, f.weights)}, 2)), 6) AS mse, {len(f.weights)} AS trees FROM {s}"
+
+query("gbdt_3_rounds", Fit(_ROWS).sql(lambda f, s: f"SELECT round(sqrt(avg(pow(y - (SELECT base0 FROM start), 2))), 6) AS rmse_before, round(sqrt(avg(pow(y - {f.raw(0, f.weights)}, 2))), 6) AS rmse_after, 3 AS trees FROM {s}"))(flagship)
 
 
 @query("tree_stump", """WITH r AS (SELECT l_quantity::INT AS q, (round(l_extendedprice)::BIGINT - 38000)::DOUBLE AS y FROM lineitem), c AS (SELECT q, sum(-y) AS g, count(*) AS n FROM r GROUP BY 1),
@@ -289,6 +328,18 @@ def tree_stump(spark, d):
     return spark.createDataFrame([(s, int(n["count"]), float(n["value"])) for s, n in side], "side string, n bigint, value double").select("side", "n", r6(F.col("value"), "value"))
 
 
+_SIGMOID = lambda r: f"(1 / (1 + exp(-({r}))))"
+_BINARY = lambda y, r: [(f"{_SIGMOID(r[0])} - returned", f"{_SIGMOID(r[0])} * (1 - {_SIGMOID(r[0])})")]
+_FITS = {
+    "gbdt_leafwise": Fit(_ROWS, policy="leafwise").sql(_MSE),
+    "gbdt_oblivious": Fit(_ROWS, policy="oblivious").sql(_MSE),
+    "gbdt_binary": Fit(_ROWS, base="ln(avg(returned) / (1 - avg(returned)))", grad=_BINARY).sql(lambda f, s: f"SELECT round(avg(pow(returned - {_SIGMOID(f.raw(0, f.weights))}, 2)), 6) AS mse, 3 AS trees FROM {s}"),
+    "gbdt_poisson": Fit(_ROWS, base="ln(avg(y))", grad=lambda y, r: [(f"exp({r[0]}) - y", f"exp({r[0]} + 0.7)")]).sql(lambda f, s: f"SELECT round(avg(pow(y - exp({f.raw(0, f.weights)}), 2)), 6) AS mse, 3 AS trees FROM {s}"),
+    "gbdt_dart": Fit(_ROWS, kind="dart", drop=0.5).sql(_MSE),
+    "gbdt_random_forest": Fit(_ROWS, kind="rf", bag=0.7).sql(_MSE),
+    "gbdt_bagged": Fit(_ROWS, bag=0.5, fraction=0.7).sql(_MSE),
+}
+
 for _kind, _more in {
     "gbdt_leafwise": {"grow_policy": "leafwise", "max_depth": -1},
     "gbdt_oblivious": {"grow_policy": "oblivious"},
@@ -306,17 +357,40 @@ for _kind, _more in {
         model = boost.train(rows, FEATURES, label, _params(**more), key="l_orderkey")
         return model.predict(rows).agg(r6(F.avg((F.col(label) - F.col("prediction")) ** 2), "mse"), F.lit(len(model.trees)).alias("trees"))
 
-    query(_kind)(_fit)
+    query(_kind, _FITS.get(_kind))(_fit)
+
+
+def _softmax_sql(y, r):
+    e = [f"exp({x} - greatest({', '.join(r)}))" for x in r]
+    p = [f"({x} / ({' + '.join(e)}))" for x in e]
+    return [(f"{x} - (k = {c})::INT", f"1.5 * {x} * (1 - {x})") for c, x in enumerate(p)]
+
 
+_CLASSES = f"SELECT *, (y > 20)::INT + (y > 45)::INT AS k FROM ({_ROWS})"
 
-@query("gbdt_multiclass")
+
+def _wrong(f, s):
+    raws = [f.raw(c, f.weights) for c in range(3)]
+    return f"SELECT 'multi_error' AS metric, round(avg((list_position(r, list_max(r)) - 1 <> k)::INT), 6) AS value FROM (SELECT k, [{', '.join(raws)}] AS r FROM {s})"
+
+
+@query("gbdt_multiclass", Fit(_CLASSES, outputs=3, rounds=2, base=[f"ln(avg((k = {c})::INT))" for c in range(3)], grad=_softmax_sql).sql(_wrong))
 def gbdt_multiclass(spark, d):
     rows = training_rows(spark, d).withColumn("k", (F.col("y") > 20).cast("int") + (F.col("y") > 45).cast("int"))
     model = boost.train(rows, FEATURES, "k", _params(objective="multiclass", num_class=3, num_iterations=2))
     return metrics.multiclass(model.predict(rows), "multi_error", "k", "probabilities").withColumn("value", F.round("value", 6))
 
 
-@query("gbdt_early_stopping")
+def _losses(f, s):
+    each = " UNION ALL ".join(f"SELECT {i} AS iteration, avg(pow(y - {f.raw(0, f.weights[: i + 1])}, 2)) AS l FROM {s} WHERE fold = 0" for i in range(f.rounds))
+    return f"""SELECT iteration::INT AS iteration, round(l, 6) AS loss FROM (SELECT *, max(stale) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+  SELECT iteration, l, iteration - max(CASE WHEN l < coalesce(low, 1e300) THEN iteration END) OVER (ORDER BY iteration) AS stale FROM (SELECT *, min(l) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM ({each})))) WHERE coalesce(before, 0) < 2"""
+
+
+_FOLDED = f"SELECT *, floor({_U.format(seed=0, key='key')} * {{k}})::INT AS fold FROM ({_ROWS})"
+
+
+@query("gbdt_early_stopping", Fit(_FOLDED.format(k=4), rounds=5, where="fold > 0").sql(_losses))
 def gbdt_early_stopping(spark, d):
     rows = sampling.folds(training_rows(spark, d), "l_orderkey", 4)
     model = boost.train(rows.filter("fold > 0"), FEATURES, "y", _params(num_iterations=5, early_stopping_round=2), valid=rows.filter("fold = 0"))
@@ -328,23 +402,23 @@ def _model(spark, d):
     return rows, boost.train(rows, FEATURES, "y", _params())
 
 
-@query("trees_table")
+@query("trees_table", Fit(_ROWS).sql(lambda f, s: f"SELECT tree_index::INT AS tree_index, node::INT AS node, depth::INT AS depth, f::INT AS feature, feature_name, b::INT AS bin, threshold, default_left, NULL::INT AS missing_bin, l::INT AS left_child, r::INT AS right_child, round(value, 6) + 0.0 AS value, round(gain, 3) AS gain, n::BIGINT AS n, weight::DOUBLE AS weight FROM ({f.nodes()})"))
 def trees_table(spark, d):
-    return inspect.node_table(spark, _model(spark, d)[1]).withColumn("value", F.round("value", 6)).withColumn("gain", F.round("gain", 3))
+    return inspect.node_table(spark, _model(spark, d)[1]).withColumn("value", F.round("value", 6) + 0.0).withColumn("gain", F.round("gain", 3))
 
 
-@query("feature_importance")
+@query("feature_importance", Fit(_ROWS).sql(lambda f, s: f"SELECT feature_name, count(*)::BIGINT AS importance FROM ({f.nodes()}) WHERE f IS NOT NULL GROUP BY 1"))
 def feature_importance(spark, d):
     return inspect.importance(inspect.node_table(spark, _model(spark, d)[1]))
 
 
-@query("leaf_index")
+@query("leaf_index", Fit(_ROWS).sql(lambda f, s: f"SELECT [{', '.join(f'(SELECT count(*) FROM leaf{t} WHERE node < node{t})::INT' for t in range(3))}] AS leaf, sum(n)::BIGINT AS n FROM (SELECT node0, node1, node2, count(*) AS n FROM {s} GROUP BY ALL) GROUP BY 1"))
 def leaf_index(spark, d):
     rows, model = _model(spark, d)
     return model.predict(rows, "leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shap_efficiency")
+@query("shap_efficiency", "SELECT 0.0::DOUBLE AS largest_gap, count(*)::BIGINT AS n FROM lineitem")  # contributions add up to the score
 def shap_efficiency(spark, d):
     rows, model = _model(spark, d)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
@@ -352,13 +426,27 @@ def shap_efficiency(spark, d):
     return inspect.contributions(model.predict(rows, "raw"), model).agg(r6(F.max(gap), "largest_gap"), F.count(F.lit(1)).alias("n"))
 
 
-@query("refit_leaves")
+def _refit(f, s):
+    for t in range(3):
+        raw = " + ".join(["(SELECT base0 FROM start)", *(f"0.3 * u{i}" for i in range(t))])
+        f.add(f"fresh{t}", f"SELECT node{t} AS node, -sum({raw} - y) / (count(*) + 1) AS v FROM {s} GROUP BY 1")
+        f.add(f"new{t}", f"SELECT node, 0.9 * leaf{t}.v + 0.1 * fresh{t}.v AS v FROM leaf{t} JOIN fresh{t} USING (node)")
+        s = f.add(f"r{t}", f"SELECT x.*, n.v AS u{t} FROM {s} x JOIN new{t} n ON n.node = x.node{t}")
+    return " UNION ALL ".join(f"SELECT {t}::INT AS tree_index, node::INT AS node, round(v, 6) + 0.0 AS value FROM new{t}" for t in range(3))
+
+
+@query("refit_leaves", Fit(_ROWS).sql(_refit))
 def refit_leaves(spark, d):
     rows, model = _model(spark, d)
     return inspect.node_table(spark, inspect.refit(model, rows, "y")).filter("feature IS NULL").select("tree_index", "node", r6(F.col("value"), "value"))
 
 
-@query("cv_mean_std")
+def _cv_sql() -> str:
+    each = ", ".join(f"({Fit(_FOLDED.format(k=3), rounds=1, where=f'fold <> {i}').sql(lambda f, s, i=i: f'SELECT avg(pow(y - {f.raw(0, f.weights)}, 2)) AS l FROM {s} WHERE fold = {i}')}) AS t{i}(l{i})" for i in range(3))
+    return f"SELECT round((l0 + l1 + l2) / 3, 6) AS mean, round(sqrt((l0 * l0 + l1 * l1 + l2 * l2) / 3 - pow((l0 + l1 + l2) / 3, 2)), 6) AS stdv FROM {each}"
+
+
+@query("cv_mean_std", _cv_sql())
 def cv_mean_std(spark, d):
     r = cv.cv(training_rows(spark, d), FEATURES, "y", "l_orderkey", _params(num_iterations=1), 3)
     return spark.createDataFrame([(float(r["mean"]), float(r["stdv"]))], "mean double, stdv double").select(r6(F.col("mean"), "mean"), r6(F.col("stdv"), "stdv"))
@@ -438,7 +526,7 @@ def metric_map(spark, d):
     return metrics.mean_average_precision(_ranked(spark, d), "o_custkey", "l", "o_totalprice", "o_orderkey").select("metric", r6(F.col("value"), "value"))
 
 
-@query("metric_pfound")
+@query("metric_pfound", f"WITH {_RANK}, p AS (SELECT q, l / 5 * pow(0.85, k - 1) * exp(coalesce(sum(ln(1 - l / 5)) OVER (PARTITION BY q ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS p FROM r), s AS (SELECT sum(p) AS p FROM p GROUP BY q) SELECT 'pfound' AS metric, round(avg(p), 6) AS value FROM s")
 def metric_pfound(spark, d):
     return metrics.pfound(_ranked(spark, d).withColumn("l", F.col("l") / 5), "o_custkey", "l", "o_totalprice", "o_orderkey").select("metric", r6(F.col("value"), "value"))
 
@@ -472,7 +560,14 @@ def pair_logit_grad(spark, d):
     return ranking.pair_logit(rows, "o_custkey", "l", "s", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
 
 
-@query("lambdarank_grad")
+@query("lambdarank_grad", """WITH r AS (SELECT o_orderkey AS k, o_custkey AS q, o_orderkey % 5 AS l, (o_orderkey % 7) / 4.0::DOUBLE AS s, pow(2, o_orderkey % 5) - 1 AS gain FROM orders),
+i AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, k) AS rank, row_number() OVER (PARTITION BY q ORDER BY l DESC, k) AS ideal, max(s) OVER (PARTITION BY q) AS top, min(s) OVER (PARTITION BY q) AS low FROM r),
+m AS (SELECT *, sum(CASE WHEN ideal <= 30 THEN gain / log2(ideal + 1) ELSE 0 END) OVER (PARTITION BY q) AS most FROM i),
+p AS (SELECT a.q, a.k AS w, b.k AS x, 1 / (1 + exp(a.s - b.s)) AS rho, (a.gain - b.gain) * abs(1 / log2(a.rank + 1) - 1 / log2(b.rank + 1)) / a.most / CASE WHEN a.top <> a.low THEN 0.01 + abs(a.s - b.s) ELSE 1 END AS delta
+  FROM m a JOIN m b ON a.q = b.q AND a.l > b.l WHERE least(a.rank, b.rank) <= 30 AND a.most > 0),
+e AS (SELECT q, w AS k, -rho * delta AS g, rho * (1 - rho) * delta AS h, 2 * rho * delta AS t FROM p UNION ALL SELECT q, x, rho * delta, rho * (1 - rho) * delta, 0 FROM p),
+z AS (SELECT q, k, sum(g) AS g, sum(h) AS h, sum(sum(t)) OVER (PARTITION BY q) AS t FROM e GROUP BY q, k)
+SELECT o_orderkey, round(coalesce(g * CASE WHEN t > 0 THEN log2(1 + t) / t ELSE 1 END, 0), 6) + 0.0 AS grad, round(coalesce(h * CASE WHEN t > 0 THEN log2(1 + t) / t ELSE 1 END, 0), 6) + 0.0 AS hess FROM orders LEFT JOIN z ON k = o_orderkey""")
 def lambdarank_grad(spark, d):
     rows = _ranked(spark, d).withColumn("s", F.col("o_orderkey") % 7 / 4.0)
     return ranking.lambdarank(rows, "o_custkey", "l", "s", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
@@ -484,7 +579,11 @@ def cox_grad(spark, d):
     return ranking.cox(rows, "t", "e", "r", "o_orderkey").select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
 
 
-@query("aft_logistic_grad")
+@query("aft_logistic_grad", """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 3 AS c, o_totalprice / 99991 + 0.1 AS lo, (o_orderkey % 7) / 4.0::DOUBLE AS r FROM orders),
+z AS (SELECT *, 1 / (1 + exp(-(ln(lo) - r))) AS fl, CASE WHEN c = 1 THEN 1 / (1 + exp(-(ln(lo + 2) - r))) ELSE 1.0 END AS fu FROM r),
+d AS (SELECT *, fl * (1 - fl) AS dl, CASE WHEN c = 1 THEN fu * (1 - fu) ELSE 0.0 END AS du, greatest(fu - fl, 1e-12) AS w FROM z)
+SELECT k AS o_orderkey, round(greatest(-15, least(15, CASE WHEN c = 0 THEN 1 - 2 * fl ELSE (du - dl) / w END)), 6) + 0.0 AS grad,
+  round(greatest(1e-16, least(15, CASE WHEN c = 0 THEN pow(1 - 2 * fl, 2) - (1 - 6 * dl) ELSE pow((du - dl) / w, 2) - (du * (1 - 2 * fu) - dl * (1 - 2 * fl)) / w END)), 6) + 0.0 AS hess FROM d""")
 def aft_logistic_grad(spark, d):
     lower = F.col("y") + 0.1
     upper = F.when(F.col("o_orderkey") % 3 == 0, lower).when(F.col("o_orderkey") % 3 == 1, lower + 2).otherwise(-1.0)
@@ -545,14 +644,21 @@ def text_bigrams(spark, d):
     return table(spark, d, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0).select("doc_id", F.size(features.ngrams(F.col("w"), 2)).cast("long").alias("n"))
 
 
-@query("naive_bayes_apply")
+_BAG50 = "bag AS (SELECT doc_id, token, count(*) AS n FROM {t} SEMI JOIN (SELECT token FROM {t} GROUP BY 1 HAVING count(*) >= 50) USING (token) GROUP BY 1, 2)".format(t=_TOKENS)
+
+
+@query("naive_bayes_apply", f"""WITH {_BAG50}, per AS (SELECT toxic, token, sum(n) AS c FROM bag JOIN labels USING (doc_id) GROUP BY 1, 2), whole AS (SELECT toxic, sum(c) AS total FROM per GROUP BY 1),
+cls AS (SELECT toxic, total, d, (SELECT count(*) FROM labels) AS a, (SELECT count(DISTINCT token) FROM bag) AS v FROM whole JOIN (SELECT toxic, count(*) AS d FROM labels GROUP BY 1) USING (toxic))
+SELECT doc_id, cls.toxic, round(sum(n * ln((coalesce(c, 0) + 0.5) / (total + 0.5 * v))) + any_value(ln(d / a)), 6) + 0.0 AS log_prob FROM bag CROSS JOIN cls LEFT JOIN per ON per.toxic = cls.toxic AND per.token = bag.token GROUP BY 1, 2""")
 def naive_bayes_apply(spark, d):
     docs = table(spark, d, "documents")
     bags = features.bag(docs, "doc_id", "text", features.dictionary(docs, "text", 50))
     return features.naive_bayes(bags, table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", r6(F.col("log_prob"), "log_prob"))
 
 
-@query("bm25_apply")
+@query("bm25_apply", f"""WITH {_BAG50}, tf AS (SELECT toxic, token, sum(n) AS tf FROM bag JOIN labels USING (doc_id) GROUP BY 1, 2), size AS (SELECT toxic, sum(tf) AS len FROM tf GROUP BY 1),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT toxic, token, greatest(1e-3, ln(((SELECT count(*) FROM size) - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM size))) AS w FROM tf JOIN size USING (toxic) JOIN df USING (token))
+SELECT doc_id, toxic, round(sum(w), 6) + 0.0 AS score FROM bag JOIN w USING (token) GROUP BY 1, 2""")
 def bm25_apply(spark, d):
     docs = table(spark, d, "documents")
     bags = features.bag(docs, "doc_id", "text", features.dictionary(docs, "text", 50))
@@ -565,7 +671,7 @@ def class_means(spark, d):
     return features.class_means(rows, "embedding", "label").select("label", "pos", r6(F.col("mean"), "mean"))
 
 
-@query("knn_features")
+@query("knn_features", "SELECT vec_id, label, count(*)::BIGINT AS n FROM (SELECT a.vec_id, b.label FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) <= 5) GROUP BY 1, 2")
 def knn_features(spark, d):
     return features.knn(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
