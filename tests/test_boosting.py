@@ -50,7 +50,7 @@ def test_model_round_trip_and_edits(spark, rows, tmp_path):
     again = io.load(spark, str(tmp_path / "m"))
     a = [r[0] for r in m.predict(rows).orderBy("k").select("prediction").collect()]
     assert a == [r[0] for r in again.predict(rows).orderBy("k").select("prediction").collect()]
-    low, high = inspect.score_bounds(m)
+    (low, high), = inspect.score_bounds(m)
     assert low - 1e-9 <= min(a) and max(a) <= high + 1e-9
     assert len(inspect.rollback(m, 1).trees) == 3
     assert "end of trees" in io.lightgbm_text(m)
@@ -64,6 +64,147 @@ def test_contributions_add_up(rows):
     assert all(sum(r["contributions"]) == pytest.approx(r["prediction"]) for r in out)
 
 
+def test_contributions_are_shapley_values(spark):
+    """Against the sum over all subsets of features, with a missing bin and a feature that is split on twice."""
+    from itertools import combinations
+
+    from timberline.operators.binning import Bins
+
+    leaf = lambda i, v, n: {"node": i, "feature": None, "depth": 0, "value": v, "count": n, "gain": None}
+    split = lambda i, f, b, left, right, n, dl=True, missing=None: {"node": i, "feature": f, "bin": b, "threshold": b + 0.5, "default_left": dl, "missing_bin": missing, "left": left, "right": right, "gain": 1.0, "value": 0.0, "count": n, "depth": 0}
+    tree = [split(0, 0, 1, 1, 2, 100), split(1, 1, 0, 3, 4, 60, False, 3), split(2, 0, 2, 5, 6, 40), leaf(3, 1.0, 20), split(4, 2, 1, 7, 8, 40), leaf(5, -2.0, 10), leaf(6, 4.0, 30), leaf(7, 3.0, 15), leaf(8, -1.0, 25)]
+    model = boost.Model(["a", "b", "c"], Bins({c: [0.5, 1.5, 2.5] for c in "abc"}, {"a": None, "b": 4, "c": None}), boost.Params(), [0.5, -1.0], [tree, [leaf(0, 2.0, 9)], tree, tree], [1.0, 0.5, 0.25, 2.0])
+
+    def expected(t, i, row, known):
+        n = t[i]
+        if n["feature"] is None:
+            return n["value"]
+        a, b = n["left"], n["right"]
+        if n["feature"] in known:
+            x = row[n["feature"]]
+            return expected(t, a if (n["default_left"] if x == n["missing_bin"] else x <= n["bin"]) else b, row, known)
+        return (t[a]["count"] * expected(t, a, row, known) + t[b]["count"] * expected(t, b, row, known)) / n["count"]
+
+    rows = [(float(i), float(j), float(k)) for i in range(4) for j in range(4) for k in range(3)]
+    got = inspect.contributions(spark.createDataFrame(rows, "a double, b double, c double"), model).collect()
+    for r in got:
+        row, want = [int(r["a"]), int(r["b"]), int(r["c"])], []
+        for c in range(2):
+            phi = [0.0] * 3 + [model.base[c]]
+            for t, w in [(model.trees[i], model.weights[i]) for i in range(4) if i % 2 == c]:
+                phi[3] += w * expected(t, 0, row, set())
+                for f in range(3):
+                    others = [x for x in range(3) if x != f]
+                    for size in range(3):
+                        for s in combinations(others, size):
+                            phi[f] += w * [1 / 3, 1 / 6, 1 / 3][size] * (expected(t, 0, row, {*s, f}) - expected(t, 0, row, set(s)))
+            want += phi
+        assert r["contributions"] == pytest.approx(want)
+
+
+def test_unknown_parameters_are_refused():
+    with pytest.raises(ValueError, match="lamda_l2"):
+        boost.Params.of(lamda_l2=5)
+    assert boost.Params.parse("objective=quantile alpha=0.25 eta=0.2").args == {"alpha": 0.25}
+
+
+def test_leaf_wise_trees_follow_the_best_first_order(rows):
+    """Grown ahead of need, but split in the order of gains, to the same leaves as one split at a time."""
+    p = params(grow_policy="leafwise", num_leaves=12, num_iterations=1, max_depth=-1)
+    m = boost.train(rows, ["a", "b", "c"], "y", p)
+    t = m.trees[0]
+    splits = [n for n in t if n["feature"] is not None]
+    assert len(t) == 23 and len(splits) == 11
+    order = sorted(splits, key=lambda n: n["left"])
+    open_ = {0}
+    for n in order:  # each split is the best that was open
+        assert n["node"] in open_ and n["gain"] >= max(x["gain"] for x in splits if x["node"] in open_) - 1e-12
+        open_ = open_ - {n["node"]} | {n["left"], n["right"]}
+    binned = m.bins.transform(rows).withColumn("leaf", boost.route(t, lambda n: F.lit(n["node"]), m.features))
+    for r in binned.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") - m.base[0]).alias("s")).collect():
+        assert t[r["leaf"]]["count"] == r["n"] and t[r["leaf"]]["value"] == pytest.approx(r["s"] / (r["n"] + 1))
+
+
+@pytest.mark.parametrize("objective,alpha", [("l1", 0.5), ("quantile", 0.8), ("mape", 0.5)])
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_renewed_leaves_are_percentiles_of_residuals(rows, objective, alpha, weight):
+    df = rows.withColumn("w", (F.col("k") % 3 + 1) / 2)
+    m = boost.train(df, ["a", "b", "c"], "y", params(objective=objective, alpha=alpha, num_iterations=1), weight=weight)
+    found = m.bins.transform(df).withColumn("leaf", boost.route(m.trees[0], lambda n: F.lit(n["node"]), m.features)).select("leaf", "y", "w").collect()
+    for leaf in {r["leaf"] for r in found}:
+        w = lambda r: (r["w"] if weight else 1.0) / (max(1.0, abs(r["y"])) if objective == "mape" else 1.0)
+        mine = sorted((r["y"] - m.base[0], w(r)) for r in found if r["leaf"] == leaf)
+        if not weight and objective != "mape":
+            at = (len(mine) - 1) * alpha
+            low = int(at)
+            want = mine[low][0] + (mine[min(low + 1, len(mine) - 1)][0] - mine[low][0]) * (at - low)
+        else:
+            total, goal, want = 0.0, sum(x for _, x in mine) * alpha, None
+            for i, (v, x) in enumerate(mine):
+                if total + x > goal or i == len(mine) - 1:
+                    prev = mine[i - 1][0]
+                    want = v if i in (0, len(mine) - 1) else prev + (goal - total) / x * (v - prev) if x >= 1 else prev
+                    break
+                total += x
+        assert m.trees[0][leaf]["value"] == pytest.approx(want)
+
+
+def test_categories_split_by_sets(spark):
+    rng = np.random.default_rng(6)
+    names = [f"c{i}" for i in range(9)]
+    data = [(i, names[c], float(x), 5.0 * (c in (1, 4, 7)) + float(x)) for i, (c, x) in enumerate(zip(rng.integers(0, 9, 900), rng.random(900)))]
+    df = spark.createDataFrame(data + [(1000, None, 0.5, 0.0)], "k long, cat string, x double, y double")
+    m = boost.train(df, ["cat", "x"], "y", params(num_iterations=2, categorical=["cat"], cat_l2=1.0))
+    root = m.trees[0][0]
+    assert m.features[root["feature"]] == "cat" and {m.bins.levels["cat"][c] for c in root["cats"]} in ({"c1", "c4", "c7"}, set(names) - {"c1", "c4", "c7"})
+    assert metrics.pointwise(m.predict(df.filter("cat IS NOT NULL")), "l2", "y", "prediction").first()["value"] < 2
+    assert m.predict(spark.createDataFrame([("new", 0.5)], "cat string, x double")).count() == 1
+    again = io.loads(io.dumps(m))
+    assert again.predict(df).agg(F.sum("prediction")).first() == m.predict(df).agg(F.sum("prediction")).first()
+
+
+def test_rankers_and_survival_learn(spark, rows):
+    df = rows.withColumn("q", F.floor(F.col("k") / 20)).withColumn("rel", F.least(F.lit(4), F.floor("y")).cast("int"))
+    for kind in ("lambdarank", "query_rmse", "pair_logit"):
+        m = boost.train(df, ["a", "b", "c"], "rel", params(objective=kind, group="q", num_iterations=3), key="k")
+        assert metrics.ndcg(m.predict(df), "q", "rel", "prediction", "k").first()["value"] > 0.95
+    times = rows.withColumn("t", F.round(F.exp(2 - F.col("y") / 2), 2)).withColumn("e", (F.col("k") % 4 > 0).cast("int"))
+    m = boost.train(times, ["a", "b", "c"], "t", params(objective="cox", event="e", num_iterations=3), key="k")
+    scored = m.predict(times).withColumn("zero", F.lit(0.0))
+    ll = lambda c: metrics.cox_partial_loglik(scored, "t", "e", c).first()["value"]
+    assert ll("prediction") > ll("zero") + 50
+    for noise in ("normal", "logistic", "extreme"):
+        both = times.withColumn("up", F.when(F.col("e") == 1, F.col("t")).otherwise(-1.0))
+        m = boost.train(both, ["a", "b", "c"], "t", params(objective="aft", upper="up", noise=noise, scale=0.5, num_iterations=8), key="k")
+        out = m.predict(both, "raw").filter("e = 1").withColumn("log", F.log("t"))
+        assert out.stat.corr("prediction", "log") > 0.8, noise
+
+
+def test_several_targets(rows):
+    df = rows.withColumn("y2", F.when(F.col("k") % 5 > 0, -2 * F.col("y") + 1))
+    m = boost.train(df, ["a", "b", "c"], ["y", "y2"], params(objective="multi_rmse"))
+    out = m.predict(df).select("y", "y2", F.col("prediction")[0].alias("p"), F.col("prediction")[1].alias("q"))
+    r = out.agg(F.avg((F.col("y") - F.col("p")) ** 2).alias("a"), F.avg((F.col("y2") - F.col("q")) ** 2).alias("b"), F.var_pop("y").alias("v"), F.var_pop("y2").alias("u")).first()
+    assert r["a"] < 0.2 * r["v"] and r["b"] < 0.2 * r["u"]
+
+
+def test_smoothing_pulls_leaves_to_their_parents(rows):
+    free = boost.train(rows, ["a", "b", "c"], "y", params(num_iterations=1, max_depth=1))
+    firm = boost.train(rows, ["a", "b", "c"], "y", params(num_iterations=1, max_depth=1, path_smooth=1e9))
+    spread = lambda m: max(n["value"] for n in m.trees[0]) - min(n["value"] for n in m.trees[0])
+    assert spread(firm) < 1e-3 < spread(free)
+
+
+def test_normal_distribution(spark):
+    import math
+
+    from timberline.functions.objectives import normal_cdf
+
+    x = [(k / 7,) for k in range(-80, 81)]
+    for r in spark.createDataFrame(x, "x double").select("x", normal_cdf(F.col("x")).alias("p")).collect():
+        assert r["p"] == pytest.approx(0.5 * math.erfc(-r["x"] / math.sqrt(2)), rel=1e-9, abs=1e-14)
+
+
 def test_estimators(rows):
     assert Regressor(["a", "b", "c"], "y", num_iterations=4, eta=0.5, max_depth=3).fit(rows).score(rows) > 0.8
     assert Classifier(["a", "b", "c"], "z", num_iterations=4, eta=0.5, max_depth=3).fit(rows).score(rows) > 0.9

@@ -183,29 +183,26 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
-def aft_derivatives(lower: Column, upper: Column, raw: Column, scale: float = 1.0, noise: str = "logistic") -> tuple[Column, Column]:
-    """Accelerated failure time with logistic, normal or extreme-value noise; a bound of -1 is open.
+def aft(df: DataFrame, lower: str, upper: str, raw: str, scale: float = 1.0, noise: str = "logistic") -> DataFrame:
+    """Add grad and hess of accelerated failure time with logistic, normal or extreme-value noise; a bound of -1 is open.
 
-    Gradients are clipped to +-15, hessians to 1e-16 and 15.
+    Gradients are clipped to +-15, hessians to 1e-16 and 15. Intermediate values are columns of their own, so that plans stay
+    small.
     """
     pdf, cdf, first, second = _noise(noise)
-
-    def z(t):
-        return (F.log(F.greatest(t, F.lit(1e-300))) - raw) / scale
-
-    exact = lower == upper
-    zl, zu = z(lower), z(upper)
+    lo, up = F.col(lower).cast("double"), F.col(upper).cast("double")
+    z = lambda t: (F.log(F.greatest(t, F.lit(1e-300))) - F.col(raw)) / scale
+    zl, zu = F.col("__zl"), F.col("__zu")
+    out = df.withColumns({"__zl": z(lo), "__zu": z(up)})
+    out = out.withColumns({"__fl": F.when(lo > 0, cdf(zl)).otherwise(0.0), "__fu": F.when(up < 0, 1.0).otherwise(cdf(zu)), "__dl": F.when(lo > 0, pdf(zl)).otherwise(0.0), "__du": F.when(up < 0, 0.0).otherwise(pdf(zu))})
+    fl, fu, dl, du = (F.col(c) for c in ("__fl", "__fu", "__dl", "__du"))
+    out = out.withColumns({"__span": F.greatest(fu - fl, F.lit(1e-12)), "__bend": F.when(up < 0, 0.0).otherwise(du * first(zu)) - F.when(lo > 0, dl * first(zl)).otherwise(0.0)})
+    span, exact = F.col("__span"), lo == up
     # d/draw of the negative log likelihood
-    fl = F.when(lower > 0, cdf(zl)).otherwise(0.0)
-    fu = F.when(upper < 0, 1.0).otherwise(cdf(zu))
-    dl = F.when(lower > 0, pdf(zl)).otherwise(0.0)
-    du = F.when(upper < 0, 0.0).otherwise(pdf(zu))
-    el = F.when(lower > 0, pdf(zl) * first(zl)).otherwise(0.0)
-    eu = F.when(upper < 0, 0.0).otherwise(pdf(zu) * first(zu))
-    span = F.greatest(fu - fl, F.lit(1e-12))
     g = F.when(exact, first(zl) / scale).otherwise((du - dl) / (scale * span))
-    h = F.when(exact, (first(zl) * first(zl) - second(zl)) / (scale * scale)).otherwise((((du - dl) * (du - dl)) / (span * span) - (eu - el) / span) / (scale * scale))
-    return F.greatest(F.lit(-15.0), F.least(F.lit(15.0), g)), F.greatest(F.lit(1e-16), F.least(F.lit(15.0), h))
+    h = F.when(exact, (first(zl) * first(zl) - second(zl)) / (scale * scale)).otherwise((((du - dl) * (du - dl)) / (span * span) - F.col("__bend") / span) / (scale * scale))
+    out = out.withColumns({"grad": F.greatest(F.lit(-15.0), F.least(F.lit(15.0), g)), "hess": F.greatest(F.lit(1e-16), F.least(F.lit(15.0), h))})
+    return out.drop("__zl", "__zu", "__fl", "__fu", "__dl", "__du", "__span", "__bend")
 
 
 def aft_time(raw: Column) -> Column:

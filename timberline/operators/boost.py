@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.objectives import aft_derivatives, multi_rmse_derivatives, multiclass_derivatives, objective, softmax
+from ..functions.objectives import aft, multi_rmse_derivatives, multiclass_derivatives, objective, softmax
 from ..functions.random import uniform
 from ..plans.storage import cut, drop
 from . import ranking
@@ -480,14 +480,15 @@ def derive(state: DataFrame, label: str | list[str], raws: list[Column], w: Colu
             gh = ranking.cox(rows, label, a["event"], "__raw", key)
         out = state.join(gh.select(F.col(key).alias("__k"), "grad", "hess"), F.col(key) == F.col("__k"))
         return cut(out.drop("__k").withColumn("g0", F.col("grad") * w).withColumn("h0", F.col("hess") * w).drop("grad", "hess")), True
+    if p.objective == "aft":
+        out = aft(state.withColumn("__raw", raws[0]), label, p.args["upper"], "__raw", float(p.args.get("scale", 1.0)), p.args.get("noise", "normal"))
+        return out.withColumns({"g0": F.col("grad") * w, "h0": F.col("hess") * w}).drop("__raw", "grad", "hess"), False
     if custom is not None:
         pairs = [custom(y, raws[0])]
     elif p.objective == "multiclass":
         pairs = multiclass_derivatives(y, raws)
     elif p.objective == "multi_rmse":
         pairs = multi_rmse_derivatives([F.col(c).cast("double") for c in label], raws)
-    elif p.objective == "aft":
-        pairs = [aft_derivatives(y, F.col(p.args["upper"]).cast("double"), raws[0], float(p.args.get("scale", 1.0)), p.args.get("noise", "normal"))]
     else:
         pairs = [objective(p.objective).derivatives(y, raws[0], p.args)]
     return state.withColumns({f"{n}{c}": v * w for c, pair in enumerate(pairs) for n, v in zip("gh", pair)}), False

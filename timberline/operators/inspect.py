@@ -5,11 +5,12 @@ from __future__ import annotations
 import copy
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .boost import Model, leaf_value, ordinals, route
+from .boost import Model, derive, leaf_value, ordinals, route
 
 SCHEMA = "tree_index int, node int, depth int, feature int, feature_name string, bin int, threshold double, default_left boolean, missing_bin int, left_child int, right_child int, value double, gain double, n bigint, weight double"
 
@@ -21,7 +22,7 @@ def node_table(spark: SparkSession, model: Model) -> DataFrame:
         for n in t:
             f = n["feature"]
             leaf = f is None
-            rows.append((i, n["node"], n["depth"], f, None if leaf else model.features[f], None if leaf else n["bin"], None if leaf else float(n["threshold"]), None if leaf else bool(n["default_left"]), None if leaf else n["missing_bin"], None if leaf else n["left"], None if leaf else n["right"], float(n["value"]), None if leaf else float(n["gain"]), int(n["count"]), float(model.weights[i])))
+            rows.append((i, n["node"], n["depth"], f, None if leaf else model.features[f], None if leaf else n["bin"], None if leaf or n["threshold"] is None else float(n["threshold"]), None if leaf else bool(n["default_left"]), None if leaf else n["missing_bin"], None if leaf else n["left"], None if leaf else n["right"], float(n["value"]), None if leaf else float(n["gain"]), int(n["count"]), float(model.weights[i])))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -36,10 +37,13 @@ def split_values(nodes: DataFrame, feature: str) -> DataFrame:
     return nodes.filter(F.col("feature_name") == feature).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score_bounds(model: Model) -> tuple[float, float]:
-    """The least and largest raw score the leaves allow."""
-    leaves = [[n["value"] * w for n in t if n["feature"] is None] for t, w in zip(model.trees, model.weights)]
-    return model.base[0] + sum(map(min, leaves)), model.base[0] + sum(map(max, leaves))
+def score_bounds(model: Model) -> list[tuple[float, float]]:
+    """For every output, the least and largest raw score that the leaves allow."""
+    out = []
+    for c, base in enumerate(model.base):
+        leaves = [[n["value"] * w for n in t if n["feature"] is None] for t, w in list(zip(model.trees, model.weights))[c :: model.outputs]]
+        out.append((base + sum(map(min, leaves)), base + sum(map(max, leaves))))
+    return out
 
 
 def rollback(model: Model, rounds: int = 1) -> Model:
@@ -70,60 +74,110 @@ def set_leaf(model: Model, tree: int, ordinal: int, value: float) -> Model:
     return out
 
 
-def refit(model: Model, df: DataFrame, label: str, decay: float = 0.9) -> Model:
-    """New leaf values on other data: decay * old + (1 - decay) * fresh; leaves without rows keep theirs."""
-    from ..functions.objectives import objective
+def get_leaf(model: Model, tree: int, ordinal: int) -> float:
+    return model.trees[tree][next(k for k, v in ordinals(model.trees[tree]).items() if v == ordinal)]["value"]
+
+
+def shrink(model: Model, factor: float) -> Model:
+    """The model with all trees scaled by a factor; base scores stay."""
+    if not math.isfinite(factor):
+        raise ValueError("the factor must be finite")
+    out = copy.copy(model)
+    out.weights = [w * factor for w in model.weights]
+    return out
+
 
-    out, obj = copy.deepcopy(model), objective(model.params.objective)
+def refit(model: Model, df: DataFrame, label: str, decay: float = 0.9) -> Model:
+    """New leaf values on other data: decay * old + (1 - decay) * fresh; leaves without rows keep theirs. The trees of a
+    round are refitted together, in one query, on the scores of the rounds before it."""
+    out, k = copy.deepcopy(model), model.outputs
     rows = model.bins.transform(df)
-    for i, t in enumerate(out.trees):
+    for start in range(0, len(out.trees), k):
         part = copy.copy(out)
-        part.trees, part.weights = out.trees[:i], out.weights[:i]
-        g, h = obj.derivatives(F.col(label).cast("double"), part.raw()[0], model.params.args)
-        leaf = route(t, lambda n: F.lit(n["node"]), model.features)
-        for r in rows.select(leaf.alias("leaf"), g.alias("g"), h.alias("h")).groupBy("leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # a row per leaf
-            t[r["leaf"]]["value"] = decay * t[r["leaf"]]["value"] + (1 - decay) * leaf_value(r["g"], r["h"], model.params)
+        part.trees, part.weights = out.trees[:start], out.weights[:start]
+        given, _ = derive(rows, label, part.raw(), F.lit(1.0), model.params, None)
+        cells = [F.struct(F.lit(c).alias("tree"), route(out.trees[start + c], lambda n: F.lit(n["node"]), model.features).alias("leaf"), F.col(f"g{c}").alias("g"), F.col(f"h{c}").alias("h")) for c in range(k)]
+        sums = given.select(F.explode(F.array(*cells)).alias("e")).select("e.*").groupBy("tree", "leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        for r in sums.collect():  # a row per leaf
+            n = out.trees[start + r["tree"]][r["leaf"]]
+            n["value"] = decay * n["value"] + (1 - decay) * leaf_value(r["g"], r["h"], model.params)
+    return out
+
+
+def paths(tree: list[dict]) -> list[tuple[float, list[tuple[int, float, list[tuple[dict, bool]]]]]]:
+    """For every leaf its value and, for each feature on its way, the share of rows that goes its way and the tests."""
+    out = []
+
+    def walk(i: int, seen: dict) -> None:
+        n = tree[i]
+        if n["feature"] is None:
+            out.append((n["value"], [(f, share, tests) for f, (share, tests) in seen.items()]))
+            return
+        for child, left in ((n["left"], True), (n["right"], False)):
+            share, tests = seen.get(n["feature"], (1.0, []))
+            walk(child, {**seen, n["feature"]: (share * tree[child]["count"] / max(1, n["count"]), [*tests, (n, left)])})
+
+    walk(0, {})
+    return out
+
+
+def leaf_shares(met: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """(rows, features): Shapley values of a leaf of value 1 for the features on its way.
+
+    `met` says whether a row passes a feature's tests, `share` how many rows do. The sets of other features enter by their
+    size as coefficients of a polynomial; each feature is left out of it in turn. The cost grows with the third
+    power of the way's length.
+    """
+    rows, d = met.shape
+    out = np.zeros((rows, d))
+    size = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+    for i in range(d):
+        part = np.zeros((rows, d))
+        part[:, 0] = 1.0
+        for j in range(d):
+            if j != i:
+                part = part * share[j] + np.pad(part, ((0, 0), (1, 0)))[:, :d] * met[:, j : j + 1]
+        out[:, i] = (part @ size) * (met[:, i] - share[i])
     return out
 
 
 def contributions(df: DataFrame, model: Model) -> DataFrame:
-    """df with `contributions`: exact path-dependent Shapley values, one per feature and the expectation last."""
-    features, trees, weights, base = model.features, model.trees, model.weights, model.base[0]
+    """df with `contributions`: exact path-dependent Shapley values, one per feature and the expectation last, for each
+    output in turn. Rows that fall into the same bins are worked out once a batch."""
+    features, outputs, base = model.features, model.outputs, model.base
+    ways = [paths(t) for t in model.trees]
+    weights = list(model.weights)
     binned = model.bins.transform(df)
     names = [f"b_{c}" for c in features]
 
-    def expected(t: list, i: int, row, known: frozenset) -> float:
-        n = t[i]
-        if n["feature"] is None:
-            return n["value"]
-        if n["feature"] in known:
-            b = row[n["feature"]]
-            left = n["default_left"] if b == n["missing_bin"] else b <= n["bin"]
-            return expected(t, n["left"] if left else n["right"], row, known)
-        a, b = t[n["left"]], t[n["right"]]
-        return (a["count"] * expected(t, n["left"], row, known) + b["count"] * expected(t, n["right"], row, known)) / max(1, n["count"])
-
     def shapley(rows: pd.DataFrame) -> pd.Series:
-        from itertools import combinations
-
-        cache: dict[tuple, list[float]] = {}
-        out = []
-        for row in rows.itertuples(index=False, name=None):
-            if row not in cache:
-                phi = [0.0] * (len(features) + 1)
-                phi[-1] = base
-                for t, w in zip(trees, weights):
-                    used = sorted({n["feature"] for n in t if n["feature"] is not None})
-                    m = len(used)
-                    value = {s: expected(t, 0, row, frozenset(s)) for size in range(m + 1) for s in combinations(used, size)}
-                    phi[-1] += w * value[()]
-                    for f in used:
-                        for s, v in value.items():
-                            if f not in s:
-                                share = math.factorial(len(s)) * math.factorial(m - len(s) - 1) / math.factorial(m)
-                                phi[f] += w * share * (value[tuple(sorted((*s, f)))] - v)
-                cache[row] = phi
-            out.append(cache[row])
-        return pd.Series(out)
+        values, back = np.unique(rows.to_numpy(np.int64), axis=0, return_inverse=True)
+        wide = len(features) + 1
+        phi = np.zeros((len(values), outputs * wide))
+        for c in range(outputs):
+            phi[:, c * wide + wide - 1] = base[c]
+        for t, (leaves, w) in enumerate(zip(ways, weights)):
+            at = t % outputs * wide
+            for value, way in leaves:
+                if not way:
+                    phi[:, at + wide - 1] += w * value
+                    continue
+                share = np.array([s for _, s, _ in way])
+                met = np.ones((len(values), len(way)))
+                for j, (f, _, tests) in enumerate(way):
+                    b = values[:, f]
+                    for n, left in tests:
+                        if n.get("cats") is not None:
+                            goes = np.isin(b, n["cats"])
+                        else:
+                            goes = b <= n["bin"]
+                            if n["missing_bin"] is not None:
+                                goes = np.where(b == n["missing_bin"], bool(n["default_left"]), goes)
+                        met[:, j] *= goes == left
+                phi[:, at + wide - 1] += w * value * share.prod()
+                own = leaf_shares(met, share) * (w * value)
+                for j, (f, _, _) in enumerate(way):
+                    phi[:, at + f] += own[:, j]
+        return pd.Series(list(phi[np.asarray(back).reshape(-1)]))
 
     return binned.withColumn("contributions", F.pandas_udf(shapley, "array<double>")(F.struct(*names))).drop(*names)

@@ -26,18 +26,18 @@ def query_rmse(df: DataFrame, group: str, label: str, raw: str) -> DataFrame:
 
 def pairs(df: DataFrame, group: str, label: str, key: str, columns: list[str]) -> DataFrame:
     """All pairs of a query with different labels, the higher one as the winner. Queries are bounded lists."""
-    a = df.select(F.col(group).alias("q"), F.col(key).alias("winner"), F.col(label).alias("wl"), *[F.col(c).alias(f"w_{c}") for c in columns])
-    b = df.select(F.col(group).alias("q"), F.col(key).alias("loser"), F.col(label).alias("ll"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    return a.join(b, "q").filter("wl > ll")
+    a = df.select(F.col(group).alias("__q"), F.col(key).alias("winner"), F.col(label).alias("wl"), *[F.col(c).alias(f"w_{c}") for c in columns])
+    b = df.select(F.col(group).alias("__q"), F.col(key).alias("loser"), F.col(label).alias("ll"), *[F.col(c).alias(f"l_{c}") for c in columns])
+    return a.join(b, "__q").filter("wl > ll")
 
 
 def pair_logit(df: DataFrame, group: str, label: str, raw: str, key: str) -> DataFrame:
     """(key, grad, hess) of the pairwise logistic loss."""
     p = pairs(df, group, label, key, [raw]).withColumn("rho", 1 / (1 + F.exp(F.col(f"w_{raw}") - F.col(f"l_{raw}"))))
     h = F.col("rho") * (1 - F.col("rho"))
-    both = p.select(F.explode(F.array(F.struct(F.col("winner").alias("k"), (-F.col("rho")).alias("g"), h.alias("h")), F.struct(F.col("loser").alias("k"), F.col("rho").alias("g"), h.alias("h")))).alias("e")).select("e.*")
-    sums = both.groupBy("k").agg(F.sum("g").alias("grad"), F.sum("h").alias("hess"))
-    return df.select(F.col(key)).join(sums, F.col(key) == F.col("k"), "left").select(key, F.coalesce("grad", F.lit(0.0)).alias("grad"), F.coalesce("hess", F.lit(0.0)).alias("hess"))
+    both = p.select(F.explode(F.array(F.struct(F.col("winner").alias("__k"), (-F.col("rho")).alias("g"), h.alias("h")), F.struct(F.col("loser").alias("__k"), F.col("rho").alias("g"), h.alias("h")))).alias("e")).select("e.*")
+    sums = both.groupBy("__k").agg(F.sum("g").alias("grad"), F.sum("h").alias("hess"))
+    return df.select(F.col(key)).join(sums, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("grad", F.lit(0.0)).alias("grad"), F.coalesce("hess", F.lit(0.0)).alias("hess"))
 
 
 def lambdarank(df: DataFrame, group: str, label: str, raw: str, key: str, truncation: int = 30, norm: bool = True, sigma: float = 1.0) -> DataFrame:
@@ -55,22 +55,22 @@ def lambdarank(df: DataFrame, group: str, label: str, raw: str, key: str, trunca
         delta = F.when(F.col("w___best") != F.col("w___worst"), delta / (0.01 + apart)).otherwise(delta)
     rho = 1 / (1 + F.exp(sigma * (F.col(f"w_{raw}") - F.col(f"l_{raw}"))))
     p = p.withColumn("lam", sigma * rho * delta).withColumn("hes", sigma * sigma * rho * (1 - rho) * delta)
-    both = p.select("q", F.explode(F.array(F.struct(F.col("winner").alias("k"), (-F.col("lam")).alias("g"), F.col("hes").alias("h"), (2 * F.col("lam")).alias("s")), F.struct(F.col("loser").alias("k"), F.col("lam").alias("g"), F.col("hes").alias("h"), F.lit(0.0).alias("s")))).alias("e")).select("q", "e.*")
-    sums = both.groupBy("q", "k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("s").alias("s")).withColumn("s", F.sum("s").over(W.partitionBy("q")))
+    both = p.select("__q", F.explode(F.array(F.struct(F.col("winner").alias("__k"), (-F.col("lam")).alias("g"), F.col("hes").alias("h"), (2 * F.col("lam")).alias("s")), F.struct(F.col("loser").alias("__k"), F.col("lam").alias("g"), F.col("hes").alias("h"), F.lit(0.0).alias("s")))).alias("e")).select("__q", "e.*")
+    sums = both.groupBy("__q", "__k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("s").alias("s")).withColumn("s", F.sum("s").over(W.partitionBy("__q")))
     scale = F.when(F.col("s") > 0, F.log2(1 + F.col("s")) / F.col("s")).otherwise(1.0) if norm else F.lit(1.0)
-    sums = sums.select("k", (F.col("g") * scale).alias("grad"), (F.col("h") * scale).alias("hess"))
-    return df.select(key).join(sums, F.col(key) == F.col("k"), "left").select(key, F.coalesce("grad", F.lit(0.0)).alias("grad"), F.coalesce("hess", F.lit(0.0)).alias("hess"))
+    sums = sums.select("__k", (F.col("g") * scale).alias("grad"), (F.col("h") * scale).alias("hess"))
+    return df.select(key).join(sums, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("grad", F.lit(0.0)).alias("grad"), F.coalesce("hess", F.lit(0.0)).alias("hess"))
 
 
 def cox(df: DataFrame, time: str, event: str, raw: str, key: str) -> DataFrame:
     """(key, grad, hess) of the Cox partial likelihood; times are pre-aggregated before the running sums."""
-    t = df.groupBy(F.col(time).alias("t")).agg(F.sum(F.exp(raw)).alias("e"), F.sum((F.col(event) > 0).cast("int")).alias("d"))
-    placed = place(t, ["t"])
-    whole = placed.agg(F.sum("e").alias("all"))
+    t = df.groupBy(F.col(time).alias("__t")).agg(F.sum(F.exp(raw)).alias("__e"), F.sum((F.col(event) > 0).cast("int")).alias("__d"))
+    placed = place(t, ["__t"])
+    whole = placed.agg(F.sum("__e").alias("__all"))
     # the risk set of a time is all that lies at or behind it; its sums then run on over the same ranges
-    risk = running(placed, {"earlier": F.col("e")}, [], ["t"]).crossJoin(F.broadcast(whole)).withColumn("risk", F.col("all") - F.col("earlier"))  # one row
-    first, second = F.col("d") / F.col("risk"), F.col("d") / (F.col("risk") * F.col("risk"))
-    t = running(risk, {"rk": first, "sk": second}, [], ["t"]).select("t", (F.col("rk") + first).alias("rk"), (F.col("sk") + second).alias("sk"))
+    risk = running(placed, {"__earlier": F.col("__e")}, [], ["__t"]).crossJoin(F.broadcast(whole)).withColumn("__risk", F.col("__all") - F.col("__earlier"))  # one row
+    first, second = F.col("__d") / F.col("__risk"), F.col("__d") / (F.col("__risk") * F.col("__risk"))
+    t = running(risk, {"__rk": first, "__sk": second}, [], ["__t"]).select("__t", (F.col("__rk") + first).alias("__rk"), (F.col("__sk") + second).alias("__sk"))
     e = F.exp(F.col(raw))
-    out = df.join(t, df[time] == t["t"])
-    return out.select(key, (e * F.col("rk") - (F.col(event) > 0).cast("double")).alias("grad"), (e * F.col("rk") - e * e * F.col("sk")).alias("hess"))
+    out = df.join(t, df[time] == t["__t"])
+    return out.select(key, (e * F.col("__rk") - (F.col(event) > 0).cast("double")).alias("grad"), (e * F.col("__rk") - e * e * F.col("__sk")).alias("hess"))

@@ -587,8 +587,8 @@ SELECT k AS o_orderkey, round(greatest(-15, least(15, CASE WHEN c = 0 THEN 1 - 2
 def aft_logistic_grad(spark, d):
     lower = F.col("y") + 0.1
     upper = F.when(F.col("o_orderkey") % 3 == 0, lower).when(F.col("o_orderkey") % 3 == 1, lower + 2).otherwise(-1.0)
-    g, h = O.aft_derivatives(lower, upper, F.col("r"))
-    return _scored(spark, d).select("o_orderkey", r6(g, "grad"), r6(h, "hess"))
+    rows = O.aft(_scored(spark, d).withColumn("lo", lower).withColumn("up", upper), "lo", "up", "r")
+    return rows.select("o_orderkey", r6(F.col("grad"), "grad"), r6(F.col("hess"), "hess"))
 
 
 # --- target statistics, text, embeddings -------------------------------------------------------------------------

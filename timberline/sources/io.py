@@ -39,14 +39,14 @@ def roles(columns: list[str], label: int = 0, weight: int | None = None) -> tupl
 def dumps(model: Model) -> str:
     """The whole model as JSON; numbers keep all their bits."""
     p = {k: v for k, v in model.params.__dict__.items()}
-    return json.dumps({"version": 1, "features": model.features, "edges": model.bins.edges, "missing": model.bins.missing, "params": p, "base": model.base, "weights": model.weights, "trees": model.trees})
+    return json.dumps({"version": 1, "features": model.features, "edges": model.bins.edges, "missing": model.bins.missing, "levels": model.bins.levels, "params": p, "base": model.base, "weights": model.weights, "trees": model.trees})
 
 
 def loads(text: str) -> Model:
     d = json.loads(text)
     if d.get("version") != 1:
         raise ValueError("unknown model version")
-    return Model(d["features"], Bins(d["edges"], d["missing"]), Params(**d["params"]), d["base"], d["trees"], d["weights"])
+    return Model(d["features"], Bins(d["edges"], d["missing"], d.get("levels")), Params(**d["params"]), d["base"], d["trees"], d["weights"])
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:
