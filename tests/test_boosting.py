@@ -166,8 +166,8 @@ def test_categories_split_by_sets(spark):
 def test_rankers_and_survival_learn(spark, rows):
     df = rows.withColumn("q", F.floor(F.col("k") / 20)).withColumn("rel", F.least(F.lit(4), F.floor("y")).cast("int"))
     for kind in ("lambdarank", "query_rmse", "pair_logit"):
-        m = boost.train(df, ["a", "b", "c"], "rel", params(objective=kind, group="q", num_iterations=3), key="k")
-        assert metrics.ndcg(m.predict(df), "q", "rel", "prediction", "k").first()["value"] > 0.95
+        m = boost.train(df, ["a", "b", "c"], "rel", params(objective=kind, group="q", num_iterations=2), key="k")
+        assert metrics.ndcg(m.predict(df), "q", "rel", "prediction", "k").first()["value"] > 0.9
     times = rows.withColumn("t", F.round(F.exp(2 - F.col("y") / 2), 2)).withColumn("e", (F.col("k") % 4 > 0).cast("int"))
     m = boost.train(times, ["a", "b", "c"], "t", params(objective="cox", event="e", num_iterations=3), key="k")
     scored = m.predict(times).withColumn("zero", F.lit(0.0))
@@ -175,7 +175,7 @@ def test_rankers_and_survival_learn(spark, rows):
     assert ll("prediction") > ll("zero") + 50
     for noise in ("normal", "logistic", "extreme"):
         both = times.withColumn("up", F.when(F.col("e") == 1, F.col("t")).otherwise(-1.0))
-        m = boost.train(both, ["a", "b", "c"], "t", params(objective="aft", upper="up", noise=noise, scale=0.5, num_iterations=8), key="k")
+        m = boost.train(both, ["a", "b", "c"], "t", params(objective="aft", upper="up", noise=noise, num_iterations=3), key="k")
         out = m.predict(both, "raw").filter("e = 1").withColumn("log", F.log("t"))
         assert out.stat.corr("prediction", "log") > 0.8, noise
 
@@ -210,6 +210,23 @@ def test_estimators(rows):
     assert Classifier(["a", "b", "c"], "z", num_iterations=4, eta=0.5, max_depth=3).fit(rows).score(rows) > 0.9
 
 
+def test_values_and_bins_lead_to_the_same_leaves(spark, rows):
+    """With missing values, and with so many edges that they are searched in batches."""
+    df = rows.withColumn("a", F.when(F.col("k") % 7 == 0, None).when(F.col("k") % 11 == 0, float("nan")).otherwise(F.col("a"))).withColumn("d", F.col("b") - 0.5)
+    names = ["a", "b", "c", "d"]
+    m = boost.train(df, names, "y", params(num_iterations=2))
+    assert m.bins.size() > 512
+    few = boost.train(df, names, "y", params(num_iterations=2, max_bin=40))
+    for model in (m, few):
+        gap = F.max(F.abs(model.raw()[0] - F.col("prediction"))).alias("gap")
+        both = model.bins.transform(model.predict(df, "raw")).agg(gap).first()["gap"]
+        assert both < 1e-12
+        same = model.bins.binned(df, ["k"]).exceptAll(model.bins.transform(df).select(*[f"b_{c}" for c in names], "k"))
+        assert same.count() == 0
+    last = m.staged(df).select(F.element_at("staged", -1).alias("s"), "k").join(m.predict(df, "raw"), "k")
+    assert last.agg(F.max(F.abs(F.col("s") - F.col("prediction")))).first()[0] < 1e-12
+
+
 def test_streaming_scores_match(spark, rows, tmp_path):
     m = boost.train(rows, ["a", "b", "c"], "y", params(num_iterations=2))
     rows.write.parquet(str(tmp_path / "in"))

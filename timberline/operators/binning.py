@@ -78,10 +78,16 @@ def encode(df: DataFrame, column: str, table: DataFrame, out: str) -> DataFrame:
 
 
 def bin_column(value: Column, edges: list[float], missing_bin: int | None) -> Column:
-    """The number of edges below a value; missing values take their bin or count as 0."""
-    sure = F.when(~F.isnan(value), value)
-    found = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < sure)) if edges else F.lit(0)
-    return F.when(sure.isNull(), F.lit(bisect_left(edges, 0.0) if missing_bin is None else missing_bin)).otherwise(found).cast("int")
+    """The number of edges below a value, by a binary search written out; missing values take their bin or count as 0."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= edges[middle], search(low, middle)).otherwise(search(middle + 1, high))
+
+    gone = value.isNull() | F.isnan(value)
+    return F.when(gone, F.lit(bisect_left(edges, 0.0) if missing_bin is None else missing_bin)).otherwise(search(0, len(edges))).cast("int")
 
 
 def prefilter(df: DataFrame, columns: list[str], filter_cnt: int) -> DataFrame:
@@ -118,6 +124,34 @@ class Bins:
         edges = {c: sorted(set(e)) for c, e in edges.items()}
         return cls(edges, {c: len(edges[c]) + 1 if use_missing and holes[c] else None for c in numeric}, levels)
 
+    def size(self) -> int:
+        """Bins of all features together."""
+        return sum(len(e) + 2 for e in self.edges.values()) + sum(len(v) + 1 for v in self.levels.values())
+
+    def binned(self, df: DataFrame, keep: list[str], prefix: str = "b_") -> DataFrame:
+        """The binned features and the columns to keep. Many edges are searched in Arrow batches, a few in the plan."""
+        if self.size() <= 512:
+            return self.transform(df, prefix).select(*[f"{prefix}{c}" for c in [*self.edges, *self.levels]], *keep)
+        import numpy as np
+        import pyarrow as pa
+
+        levels = [f"{prefix}{c}" for c in self.levels]
+        rows = Bins({}, {}, self.levels).transform(df, prefix) if self.levels else df
+        rows = rows.select(*[F.col(c).cast("double").alias(f"{prefix}{c}") for c in self.edges], *levels, *keep)
+        edges = [np.array(e) for e in self.edges.values()]
+        gone = [bisect_left(e, 0.0) if self.missing[c] is None else self.missing[c] for c, e in self.edges.items()]
+        schema = ", ".join([*(f"`{prefix}{c}` int" for c in self.edges), *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[len(edges) :])])
+
+        def search(batches):
+            for batch in batches:
+                columns = []
+                for k, (e, lost) in enumerate(zip(edges, gone)):
+                    v = batch.column(k).to_numpy(zero_copy_only=False)
+                    columns.append(pa.array(np.where(np.isnan(v), lost, np.searchsorted(e, v)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[len(edges) :]], names=batch.schema.names)
+
+        return rows.mapInArrow(search, schema)
+
     def transform(self, df: DataFrame, prefix: str = "b_") -> DataFrame:
         made = {f"{prefix}{c}": bin_column(F.col(c).cast("double"), e, self.missing[c]) for c, e in self.edges.items()}
         for c, known in self.levels.items():

@@ -143,8 +143,19 @@ def goes_left(n: Node, features: list[str], prefix: str = "b_") -> Column:
     return c <= n["bin"]
 
 
-def route(nodes: list[Node], leaf: "callable", features: list[str], prefix: str = "b_", only: set[int] | None = None) -> Column:
-    """A CASE expression that sends a row to its leaf and yields leaf(node) there; with `only`, null outside of these."""
+def raw_goes_left(n: Node, features: list[str], bins: Bins) -> Column:
+    """The same test on the value itself: a bin is at most b where the value is at most edge b."""
+    name = features[n["feature"]]
+    if n.get("cats") is not None:
+        return F.coalesce(F.col(name).isin(*[bins.levels[name][c] for c in n["cats"]]), F.lit(False))
+    v = F.col(name).cast("double")
+    gone = bool(n["default_left"]) if n["missing_bin"] is not None else n["threshold"] >= 0.0
+    return F.when(v.isNull() | F.isnan(v), F.lit(gone)).otherwise(v <= float(n["threshold"]))
+
+
+def route(nodes: list[Node], leaf: "callable", features: list[str], prefix: str = "b_", only: set[int] | None = None, bins: Bins | None = None) -> Column:
+    """A CASE expression that sends a row to its leaf and yields leaf(node) there; with `only`, null outside of these. With
+    `bins`, over the features' own values instead of their bins."""
     by = {n["node"]: n for n in nodes}
 
     def at(i: int) -> Column | None:
@@ -154,7 +165,7 @@ def route(nodes: list[Node], leaf: "callable", features: list[str], prefix: str
         left, right = at(n["left"]), at(n["right"])
         if left is None and right is None:
             return None
-        test = goes_left(n, features, prefix)
+        test = goes_left(n, features, prefix) if bins is None else raw_goes_left(n, features, bins)
         if left is None:
             return F.when(~test, right)
         return F.when(test, left) if right is None else F.when(test, left).otherwise(right)
@@ -267,7 +278,11 @@ def histograms(df: DataFrame, sprouts: list[Sprout], features: list[str], pick:
     return rows.groupBy("node", F.col("c.feature").alias("feature"), F.col("c.bin").alias("bin")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
 
 
-def with_siblings(small: DataFrame, before: DataFrame, family: dict[int, tuple[int, int]]) -> DataFrame:
+#: Cells of a histogram table that are searched in one task.
+ONE_TASK = 200_000
+
+
+def with_siblings(small: DataFrame, before: DataFrame, family: dict[int, tuple[int, int]], few: bool = False) -> DataFrame:
     """The histograms of scanned children and, by subtraction from their parents', of their siblings.
 
     `family` maps a child to its parent and its sibling; both tables are aggregated together, in one shuffle.
@@ -277,7 +292,8 @@ def with_siblings(small: DataFrame, before: DataFrame, family: dict[int, tuple[i
     zero = [F.lit(0).alias(c) for c in "ghn"]
     own = small.select("node", "feature", "bin", "g", "h", "n", *[F.lit(0).alias(f"p{c}") for c in "ghn"])
     up = before.filter(F.col("node").isin([u for u, _ in family.values()])).select(F.element_at(pair, F.col("node")).alias("node"), "feature", "bin", *zero, *[F.col(c).alias(f"p{c}") for c in "ghn"])
-    both = own.unionByName(up).groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n", "pg", "ph", "pn")])
+    both = own.unionByName(up)
+    both = (both.coalesce(1) if few else both).groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n", "pg", "ph", "pn")])
     child = F.struct("node", "g", "h", "n")
     sibling = F.struct(F.element_at(other, F.col("node")).alias("node"), *[(F.col(f"p{c}") - F.col(c)).alias(c) for c in "ghn"])
     return both.select("feature", "bin", F.explode(F.array(child, sibling)).alias("e")).select("e.node", "feature", "bin", "e.g", "e.h", "e.n").filter("n > 0")
@@ -313,8 +329,12 @@ def grow_all(df: DataFrame, features: list[str], bins: Bins, p: Params, count: i
                     pick.setdefault(t.number, set()).add(i)
                     family[t.number * TREE + i] = (t.number * TREE + up, t.number * TREE + sibling)
         hist = histograms(df, sprouts, features, pick, allowed)
+        # the tables' size is known: nodes x bins; small ones go on in one task, without further shuffles
+        few = (len(family) * 2 or len(sprouts)) * bins.size() <= ONE_TASK
+        if few:
+            hist = hist.coalesce(1)
         if family and held is not None:
-            hist = with_siblings(hist, held, family)
+            hist = with_siblings(hist, held, family, few)
         hist = hist.persist()  # nodes x features x bins rows
         kept.append(hist)
         held = hist if held is None or p.grow_policy != "leafwise" else held.unionByName(hist)
@@ -354,8 +374,10 @@ def grow_all(df: DataFrame, features: list[str], bins: Bins, p: Params, count: i
 
     # the roots' sums come from their histograms
     search({t.number: [0] for t in sprouts})
-    first = [i for i in range(len(features)) if allowed is None or i in allowed][0]
-    sums = {r["node"]: r for r in held.filter(F.col("feature") == first).groupBy("node").agg(*[F.sum(c).alias(c) for c in "ghn"]).collect()}
+    sums = {t.number * TREE: {c: t.known[0][f"left_{c}"] + t.known[0][f"right_{c}"] for c in "ghn"} for t in sprouts if t.known.get(0)}
+    if len(sums) < count:  # a root without a split
+        first = [i for i in range(len(features)) if allowed is None or i in allowed][0]
+        sums |= {r["node"]: r for r in held.filter(F.col("feature") == first).groupBy("node").agg(*[F.sum(c).alias(c) for c in "ghn"]).collect()}
     for t in sprouts:
         r = sums.get(t.number * TREE)
         g, h, n = (r["g"], r["h"], r["n"]) if r else (0.0, 0.0, 0)
@@ -420,8 +442,8 @@ class Model:
     def outputs(self) -> int:
         return len(self.base)
 
-    def raw(self, start: int = 0, rounds: int | None = None, prefix: str = "b_") -> list[Column]:
-        """Raw score per output over binned columns; the base score belongs to iteration 0."""
+    def raw(self, start: int = 0, rounds: int | None = None, prefix: str = "b_", values: bool = False) -> list[Column]:
+        """Raw score per output over binned columns, or over the features' values; the base score belongs to iteration 0."""
         k, out = self.outputs, []
         stop = None if rounds is None else (start + rounds) * k
         for c in range(k):
@@ -429,28 +451,36 @@ class Model:
             for i in range(start * k, len(self.trees) if stop is None else min(stop, len(self.trees))):
                 if i % k == c:
                     w = self.weights[i]
-                    score = score + route(self.trees[i], lambda n: F.lit(n["value"] * w), self.features, prefix)
+                    score = score + route(self.trees[i], lambda n: F.lit(float(n["value"] * w)), self.features, prefix, bins=self.bins if values else None)
             out.append(score)
         return out
 
     def predict(self, df: DataFrame, kind: str = "response", start: int = 0, rounds: int | None = None) -> DataFrame:
         """df with prediction (raw, response), probabilities (multiclass) or leaf (array of leaf ordinals)."""
-        binned = self.bins.transform(df)
         if kind == "leaf":
-            each = [route(t, lambda n: F.lit(ordinals(t)[n["node"]]), self.features) for t in self.trees]
-            out = binned.withColumn("leaf", F.array(*each))
-        else:
-            raws = self.raw(start, rounds)
-            if self.params.objective == "multi_rmse":
-                out = binned.withColumn("prediction", F.array(*raws))
-            elif self.outputs > 1:
-                out = binned.withColumn("probabilities", F.array(*(softmax(raws) if kind == "response" else raws)))
-                out = out.withColumn("prediction", F.expr("array_position(probabilities, array_max(probabilities)) - 1"))
-            else:
-                plain = kind != "response" or self.params.objective in (*RANKERS, "cox")
-                link = (lambda r: r) if plain else F.exp if self.params.objective == "aft" else objective(self.params.objective).response
-                out = binned.withColumn("prediction", link(raws[0]))
-        return out.drop(*[f"b_{c}" for c in self.features])
+            each = [route(t, lambda n: F.lit(ordinals(t)[n["node"]]), self.features, bins=self.bins) for t in self.trees]
+            return df.withColumn("leaf", F.array(*each))
+        raws, special = self.raw(start, rounds, values=True), self.params.objective in (*RANKERS, "cox")
+        if self.params.objective == "multi_rmse":
+            return df.withColumn("prediction", F.array(*raws))
+        if self.outputs > 1:
+            scored = df.withColumns({f"__raw{c}": r for c, r in enumerate(raws)})  # so that each is worked out once
+            raws = [F.col(f"__raw{c}") for c in range(self.outputs)]
+            out = scored.withColumn("probabilities", F.array(*(softmax(raws) if kind == "response" else raws)))
+            return out.withColumn("prediction", F.expr("array_position(probabilities, array_max(probabilities)) - 1")).drop(*[f"__raw{c}" for c in range(self.outputs)])
+        plain = kind != "response" or special
+        link = (lambda r: r) if plain else F.exp if self.params.objective == "aft" else objective(self.params.objective).response
+        return df.withColumn("prediction", link(raws[0]))
+
+    def staged(self, df: DataFrame, every: int = 1) -> DataFrame:
+        """df with `staged`: the raw score (of the first output) after every `every` rounds."""
+        k, score, out = self.outputs, F.lit(self.base[0]), []
+        for i in range(0, len(self.trees), k):
+            w = self.weights[i]
+            score = score + route(self.trees[i], lambda n: F.lit(float(n["value"] * w)), self.features, bins=self.bins)
+            if (i // k + 1) % every == 0:
+                out.append(score)
+        return df.withColumn("staged", F.array(*out))
 
 
 def ordinals(tree: list[Node]) -> dict[int, int]:
@@ -535,7 +565,7 @@ def train(df: DataFrame, features: list[str], label: str | list[str], params: Pa
     obj = None if custom is not None or p.objective in (*RANKERS, "cox", "aft", "multiclass", "multi_rmse") else objective(p.objective)
     labels = label if isinstance(label, list) else [label]
     keep = list(dict.fromkeys([*labels, *([weight] if weight else []), *([key] if key else []), *[p.args[a] for a in ("group", "upper", "event") if isinstance(p.args.get(a), str)]]))
-    base_rows = bins.transform(df).select(*[f"b_{c}" for c in features], *[F.col(c) for c in keep])
+    base_rows = bins.binned(df, keep)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     model = Model(features, bins, p, list(init.base), list(init.trees), list(init.weights)) if init else Model(features, bins, p, starts(df, label, weight, p, custom))
     names = [f"__r{c}" for c in range(model.outputs)]
@@ -553,7 +583,7 @@ def train(df: DataFrame, features: list[str], label: str | list[str], params: Pa
 
     held = [fresh_state(base_rows)]
     state, written = held[0], None
-    watched = None if valid is None else fresh_state(bins.transform(valid))
+    watched = None if valid is None else fresh_state(bins.binned(valid, keep))
     rng, stale, top = random.Random(p.seed), 0, None
     for it in range(p.num_iterations):
         raws = [F.col(n) for n in names]

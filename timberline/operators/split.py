@@ -94,9 +94,8 @@ def candidates(hist: DataFrame, params: SplitParams, missing: dict[int, int] | N
         sums |= {f"run_{c}": F.sum(own).over(run), f"all_{c}": F.sum(c).over(whole), f"lost_{c}": F.sum(F.when(lost, F.col(c)).otherwise(0)).over(whole)}
     scan = hist.withColumns(sums).filter(~lost)
     scan = scan.withColumn("default_left", F.explode(F.when(F.col("lost_n") > 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
-    for c in ("g", "h", "n"):
-        scan = scan.withColumn(f"left_{c}", F.col(f"run_{c}") + F.when(F.col("default_left"), F.col(f"lost_{c}")).otherwise(0))
-        scan = scan.withColumn(f"right_{c}", F.col(f"all_{c}") - F.col(f"left_{c}"))
+    scan = scan.withColumns({f"left_{c}": F.col(f"run_{c}") + F.when(F.col("default_left"), F.col(f"lost_{c}")).otherwise(0) for c in "ghn"})
+    scan = scan.withColumns({f"right_{c}": F.col(f"all_{c}") - F.col(f"left_{c}") for c in "ghn"})
     lg, lh, rg, rh = (F.col(c).cast("double") for c in ("left_g", "left_h", "right_g", "right_h"))
     if p.score == "Cosine":
         tg, th = F.col("all_g").cast("double"), F.col("all_h").cast("double")
