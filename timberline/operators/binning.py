@@ -104,6 +104,13 @@ def prefilter(df: DataFrame, columns: list[str], filter_cnt: int) -> DataFrame:
     return totals.join(first, "feature", "left").select("feature", F.coalesce(F.col("all") - F.col("left") >= filter_cnt, F.lit(False)).alias("usable"))
 
 
+def occupancy(binned: DataFrame, columns: list[str], prefix: str = "b_") -> DataFrame:
+    """(feature, bin, n, share) of binned features, in one pass."""
+    cells = binned.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{prefix}{c}").alias("bin")) for c in columns])).alias("e")).select("e.*")
+    counts = cells.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("feature")))  # at most max_bin rows each
+
+
 class Bins:
     """Edges of all features, fitted once and small: at most max_bin numbers for each. Categorical features have their
     levels instead, by code; the codes go by ascending category, and missing and unseen values are -1."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 import random
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from ..plans.storage import cut, drop
 from . import ranking
 from .binning import Bins
 from .ranges import percentile
+from .sampling import langevin
 from .split import SplitParams, best, best_categorical, oblivious
 
 
@@ -73,12 +75,17 @@ class Params:
     cegb_penalty_split: float = 0.0
     #: by feature name: the price of the first split on it
     cegb_penalty_feature: dict = field(default_factory=dict)
+    #: {"feature", "threshold", "left", "right"}: splits that the top of every tree has
+    forced: dict = field(default_factory=dict)
+    #: temperature of the noise on derivatives (0: none), Newton steps of leaves
+    langevin_temperature: float = 0.0
+    leaf_estimation_iterations: int = 1
     args: dict = field(default_factory=dict)
 
     ALIASES = {"eta": "learning_rate", "shrinkage_rate": "learning_rate", "n_estimators": "num_iterations", "num_round": "num_iterations", "num_boost_round": "num_iterations", "num_trees": "num_iterations", "max_leaves": "num_leaves", "min_child_samples": "min_data_in_leaf", "min_sum_hessian_in_leaf": "min_child_hess", "min_child_weight": "min_child_hess", "reg_alpha": "lambda_l1", "reg_lambda": "lambda_l2", "l2_leaf_reg": "lambda_l2", "subsample": "bagging_fraction", "subsample_freq": "bagging_freq", "colsample_bytree": "feature_fraction", "min_split_gain": "min_gain_to_split", "gamma": "min_gain_to_split", "boosting_type": "boosting", "num_classes": "num_class", "random_state": "seed", "application": "objective", "loss_function": "objective", "depth": "max_depth", "categorical_feature": "categorical", "cat_feature": "categorical"}
 
     #: What objectives and rankers take besides; any other name is refused.
-    ARGS = ("alpha", "fair_c", "tweedie_variance_power", "sigma", "truncation", "norm", "group", "upper", "event", "scale", "noise")
+    ARGS = ("alpha", "fair_c", "tweedie_variance_power", "sigma", "truncation", "norm", "group", "upper", "event", "scale", "noise", "permutations", "decay")
 
     @classmethod
     def of(cls, **given) -> "Params":
@@ -185,6 +192,7 @@ class Sprout:
         self.number, self.p = number, p
         self.nodes: list[Node] = [{"node": 0, "feature": None, "depth": 0, "used": set(), "low": -math.inf, "high": math.inf, "gain": None, "missing_bin": None}]
         self.known: dict[int, dict | None] = {}
+        self.forced: dict[int, dict] = {0: p.forced} if p.forced else {}
         self.fresh = [0]
 
     def deepest(self) -> int:
@@ -213,14 +221,20 @@ class Sprout:
             up = sign > 0 if side == "right" else sign < 0  # whether this child lies above the middle
             bounds = {"low": max(low, middle) if sign and up else low, "high": min(high, middle) if sign and not up else high}
             self.nodes.append({"node": k, "feature": None, "depth": n["depth"] + 1, "value": value[side], "count": s[f"{side}_n"], "gain": None, "missing_bin": None, "parent": i, "used": n["used"] | {name}, **bounds})
+            if self.forced.get(i, {}).get(side):
+                self.forced[k] = self.forced[i][side]
         self.fresh += [a, b]
 
+    def first(self, i: int) -> tuple:
+        """Where a leaf stands in the order of splits: forced ones, then the largest gain."""
+        return i not in self.forced, -self.known[i]["gain"], i
+
     def best_first(self) -> tuple[list[int], list[int]]:
         """The nodes that the best-first order splits, by what is known, and those of them that are not split yet."""
         order, open_, leaves = [], [], 1
-        heap = [(-self.known[0]["gain"], 0)] if self.known.get(0) else []
+        heap = [self.first(0)] if self.known.get(0) else []
         while heap and leaves < self.p.num_leaves:
-            _, i = heapq.heappop(heap)
+            *_, i = heapq.heappop(heap)
             leaves += 1
             n = self.nodes[i]
             if n["feature"] is None:
@@ -229,7 +243,7 @@ class Sprout:
             order.append(i)
             for c in (n["left"], n["right"]):
                 if self.known.get(c):
-                    heapq.heappush(heap, (-self.known[c]["gain"], c))
+                    heapq.heappush(heap, self.first(c))
         return order, open_
 
     def choose(self) -> list[int]:
@@ -238,7 +252,7 @@ class Sprout:
         if p.grow_policy == "leafwise":
             return self.best_first()[1]
         leaves = sum(n["feature"] is None for n in self.nodes)
-        frontier = sorted((i for i, s in self.known.items() if s and self.nodes[i]["feature"] is None), key=lambda i: (-self.known[i]["gain"], i))
+        frontier = sorted((i for i, s in self.known.items() if s and self.nodes[i]["feature"] is None), key=self.first)
         if p.grow_policy == "oblivious":
             return sorted(frontier) if leaves + len(frontier) <= p.num_leaves else []
         return sorted(frontier[: p.num_leaves - leaves])
@@ -299,6 +313,26 @@ def with_siblings(small: DataFrame, before: DataFrame, family: dict[int, tuple[i
     return both.select("feature", "bin", F.explode(F.array(child, sibling)).alias("e")).select("e.node", "feature", "bin", "e.g", "e.h", "e.n").filter("n > 0")
 
 
+def forced_splits(hist: DataFrame, asked: dict[int, dict], features: list[str], bins: Bins, sp: SplitParams) -> dict[int, dict]:
+    """The splits that are asked for at these nodes, with their sums and gains; those that leave a side empty are not made.
+    Missing values go left."""
+    place = {k: (features.index(s["feature"]), bisect_left(bins.edges[s["feature"]], float(s["threshold"]))) for k, s in asked.items()}
+    here, left = F.lit(False), F.lit(False)
+    for k, (f, b) in place.items():
+        own = (F.col("node") == k) & (F.col("feature") == f)
+        gone = bins.missing.get(features[f])
+        here, left = here | own, left | own & ((F.col("bin") <= b) | (F.col("bin") == F.lit(-1 if gone is None else gone)))
+    sums = hist.filter(here).groupBy("node").agg(*[F.sum(F.when(left, F.col(c)).otherwise(0)).alias(f"left_{c}") for c in "ghn"], *[F.sum(F.when(~left, F.col(c)).otherwise(0)).alias(f"right_{c}") for c in "ghn"])
+    out = {}
+    for r in sums.collect():  # a row per forced node
+        if r["left_n"] and r["right_n"]:
+            f, b = place[r["node"]]
+            own = lambda g, h: max(abs(g) - sp.lambda_l1, 0.0) ** 2 / (h + sp.lambda_l2)
+            gain = own(r["left_g"], r["left_h"]) + own(r["right_g"], r["right_h"]) - own(r["left_g"] + r["right_g"], r["left_h"] + r["right_h"])
+            out[r["node"]] = {**r.asDict(), "feature": f, "bin": b, "default_left": True, "gain": gain, "cats": None, "onehot": False}
+    return out
+
+
 def grow_all(df: DataFrame, features: list[str], bins: Bins, p: Params, count: int = 1, allowed: list[int] | None = None, used: frozenset[int] = frozenset(), turn: int = 0) -> list[list[Node]]:
     """Trees from columns b_*, and g0, h0, g1, h1, ... for each. Rows are only read: a node's rows are those its path leads to."""
     sp = p.split()
@@ -368,6 +402,9 @@ def grow_all(df: DataFrame, features: list[str], bins: Bins, p: Params, count: i
                 by = by.select("node", "feature", F.lit(None).cast("int").alias("bin"), F.lit(False).alias("default_left"), "gain", *[F.col(f"l{c}").alias(f"left_{c}") for c in "ghn"], *[(F.col(f"w{c}") - F.col(f"l{c}")).alias(f"right_{c}") for c in "ghn"], F.col("left").cast("array<int>").alias("cats"), (F.col("onehot") == 1).alias("onehot"))
                 splits = splits.unionByName(by).groupBy("node").agg(F.max_by(F.struct(*[c for c in splits.columns if c != "node"]), F.struct("gain", -F.col("feature"))).alias("s")).select("node", "s.*")
             found = {r["node"]: r.asDict() for r in splits.collect()}
+        asked = {t.number * TREE + i: t.forced[i] for t in sprouts for i in fresh.get(t.number, ()) if i in t.forced}
+        if asked:
+            found |= forced_splits(hist, asked, features, bins, sp)
         for t in sprouts:
             for i in fresh.get(t.number, ()):
                 t.found(i, found.get(t.number * TREE + i))
@@ -488,7 +525,7 @@ def ordinals(tree: list[Node]) -> dict[int, int]:
     return {n["node"]: i for i, n in enumerate(x for x in tree if x["feature"] is None)}
 
 
-RANKERS = ("lambdarank", "query_rmse", "pair_logit")
+RANKERS = ("lambdarank", "query_rmse", "pair_logit", "yetirank")
 
 
 def derive(state: DataFrame, label: str | list[str], raws: list[Column], w: Column, p: Params, key: str | None, custom=None) -> tuple[DataFrame, bool]:
@@ -502,6 +539,8 @@ def derive(state: DataFrame, label: str | list[str], raws: list[Column], w: Colu
         a = p.args
         if p.objective == "lambdarank":
             gh = ranking.lambdarank(rows, a["group"], label, "__raw", key, int(a.get("truncation", 30)), bool(a.get("norm", True)), float(a.get("sigma", 1.0)))
+        elif p.objective == "yetirank":
+            gh = ranking.yetirank(rows, a["group"], label, "__raw", key, int(a.get("permutations", 10)), float(a.get("decay", 0.99)), p.seed)
         elif p.objective == "pair_logit":
             gh = ranking.pair_logit(rows, a["group"], label, "__raw", key)
         elif p.objective == "query_rmse":
@@ -552,6 +591,18 @@ def renew(rows: DataFrame, trees: list[list[Node]], label: str, raws: list[Colum
                 n["value"] = max(n["low"], min(n["high"], settled(r["value"], p, n["count"], t[n["parent"]]["value"])))
 
 
+def restep(rows: DataFrame, trees: list[list[Node]], label: str | list[str], raws: list[Column], w: Column, p: Params, key: str | None, custom, features: list[str]) -> None:
+    """One more Newton step of every leaf, at the scores with the tree added."""
+    names = [f"__s{c}" for c in range(len(trees))]
+    moved = rows.withColumns({n: raw + route(t, lambda x: F.lit(float(x["value"])), features) for n, t, raw in zip(names, trees, raws)})
+    given, temporary = derive(moved, label, [F.col(n) for n in names], w, p, key, custom)
+    cells = [F.struct(F.lit(c).alias("tree"), route(t, lambda x: F.lit(x["node"]), features).alias("leaf"), F.col(f"g{c}").alias("g"), F.col(f"h{c}").alias("h")) for c, t in enumerate(trees)]
+    for r in given.select(F.explode(F.array(*cells)).alias("e")).select("e.*").groupBy("tree", "leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # a row per leaf
+        trees[r["tree"]][r["leaf"]]["value"] += leaf_value(r["g"], r["h"], p)
+    if temporary:
+        drop(given)
+
+
 def train(df: DataFrame, features: list[str], label: str | list[str], params: Params | None = None, weight: str | None = None, key: str | None = None, valid: DataFrame | None = None, custom=None, init: Model | None = None, callbacks=(), every: int = 10, metric=None) -> Model:
     """Fit a model. `key` names a stable row key for sampling, rankers and survival; `custom(label, raw)` gives (grad, hess)
     columns; `metric` is a name or a callable(rows with prediction) -> (value, higher is better) for early stopping.
@@ -598,6 +649,8 @@ def train(df: DataFrame, features: list[str], label: str | list[str], params: Pa
         if p.boosting == "rf":
             raws = [F.lit(b) for b in model.base]
         rows, temporary = derive(state, label, raws, w, p, key, custom)
+        if p.langevin_temperature and key:
+            rows = langevin(rows, key, [f"g{c}" for c in range(k)], p.learning_rate, p.langevin_temperature, p.seed * 65537 + it)
         bag = None
         if p.bagging_freq > 0 and p.bagging_fraction < 1 and key:
             bag = uniform(F.col(key), p.seed * 7919 + it // p.bagging_freq) < p.bagging_fraction
@@ -616,6 +669,8 @@ def train(df: DataFrame, features: list[str], label: str | list[str], params: Pa
         fresh = grow_all(rows, features, bins, p, k, allowed, used, it * k)
         if obj is not None and obj.renews:
             renew(state if bag is None else state.filter(bag), fresh, label, raws, weight, p, features)
+        for _ in range(p.leaf_estimation_iterations - 1):
+            restep(state if bag is None else state.filter(bag), fresh, label, raws, w, p, key, custom, features)
         if temporary:
             drop(rows)
         fresh = [[{x: v for x, v in n.items() if x not in ("low", "high", "parent")} for n in t] for t in fresh]

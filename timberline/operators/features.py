@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.random import uniform
+
 
 # --- target statistics -------------------------------------------------------------------------------------------
 
@@ -17,6 +19,51 @@ def ordered_ctr(df: DataFrame, category: str, target: str, order: str, prior: fl
     return df.withColumn("ctr", ((good + prior) / (total + 1)).cast("float")).withColumn("ctr_bucket", F.floor(F.col("ctr") * F.lit(float(buckets)).cast("float")).cast("int"))
 
 
+def target_classes(label: Column, borders: list[float]) -> Column:
+    """The class of a label: the number of borders below it."""
+    return sum(((label > b).cast("int") for b in borders), F.lit(0))
+
+
+def ctr_bin(good: Column, total: Column, prior: float, buckets: int) -> Column:
+    """The bucket of (good + prior) / (total + 1), shifted and scaled into [0, 1] for priors outside of it; in single precision."""
+    shift, norm = max(0.0, -prior), max(1.0, prior) - min(0.0, prior)
+    f = lambda c: c.cast("float")
+    ctr = f(f(good) + F.lit(prior).cast("float")) / f(total + 1)
+    scaled = f(f(f(ctr) + F.lit(shift).cast("float")) / F.lit(norm).cast("float")) * F.lit(float(buckets)).cast("float")
+    return F.least(F.lit(buckets), F.greatest(F.lit(0), F.floor(f(scaled)))).cast("int")
+
+
+def ordered_ctr_classes(df: DataFrame, category: str, cls: str, order: str, border: int, kind: str = "Borders", prior: float = 0.5, buckets: int = 15, out: str = "ctr_bucket") -> DataFrame:
+    """Ordered statistics of a target with several classes: earlier rows of class `border` (Buckets) or of any class above it
+    (Borders), over all earlier rows of the category."""
+    past = W.partitionBy(category).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    hit = F.col(cls) == border if kind == "Buckets" else F.col(cls) > border
+    good = F.coalesce(F.sum(hit.cast("int")).over(past), F.lit(0))
+    return df.withColumn(out, ctr_bin(good, F.count(F.lit(1)).over(past), prior, buckets))
+
+
+def ordered_ctr_mean(df: DataFrame, category: str, cls: str, order: str, classes: int, prior: float = 0.5, buckets: int = 15, out: str = "ctr_bucket") -> DataFrame:
+    """The ordered mean of the class number over the highest class."""
+    past = W.partitionBy(category).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    good = F.coalesce(F.sum(F.col(cls) / (classes - 1)).over(past), F.lit(0.0))
+    return df.withColumn(out, ctr_bin(good, F.count(F.lit(1)).over(past), prior, buckets))
+
+
+def permutation(row: Column, block: int, seed: int, number: int) -> Column:
+    """The order of a permutation of blocks of consecutive rows: blocks by a keyed draw, rows inside as they are."""
+    return F.struct(uniform(F.floor(row / block), seed * 1_000_003 + number).alias("draw"), row.alias("row"))
+
+
+def ctr_columns(df: DataFrame, category: str, cls: str, order: str, classes: int, priors: tuple[float, ...] = (0.0, 0.5, 1.0), buckets: int = 15) -> DataFrame:
+    """All ordered statistics of a category: of every border and every prior, the mean, and the counter."""
+    out = df
+    for p in priors:
+        for b in range(classes - 1):
+            out = ordered_ctr_classes(out, category, cls, order, b, "Borders", p, buckets, f"{category}_borders{b}_{p:g}")
+        out = ordered_ctr_mean(out, category, cls, order, classes, p, buckets, f"{category}_mean_{p:g}")
+    return out
+
+
 def counter_ctr(df: DataFrame, category: str) -> DataFrame:
     """(category, n, ctr): count over the largest count."""
     c = df.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"))

@@ -103,6 +103,23 @@ def mean_average_precision(df: DataFrame, group: str, label: str, score: str, ti
     return q.agg(F.lit(f"map@{k}").alias("metric"), F.avg(F.when(F.col("m") > 0, F.col("s") / F.least(F.lit(k), F.col("m"))).otherwise(1.0)).alias("value"))
 
 
+def ndcg_queries(df: DataFrame, group: str, label: str, score: str, tie: str, k: int = 10, gains: list[float] | None = None) -> DataFrame:
+    """(group, value): NDCG@k of every query, with the gains of labels 0, 1, ... as given."""
+    gain = F.pow(F.lit(2.0), F.col(label)) - 1 if gains is None else F.element_at(F.array(*[F.lit(float(g)) for g in gains]), F.col(label).cast("int") + 1)
+    r = ranks(df, group, score, tie).withColumn("__gain", gain)
+    r = r.withColumn("__ideal", F.row_number().over(W.partitionBy(group).orderBy(F.desc("__gain"), tie)))
+    part = lambda at: F.sum(F.when(F.col(at) <= k, F.col("__gain") / F.log2(F.col(at) + 1)).otherwise(0.0))
+    q = r.groupBy(group).agg(part("__rank").alias("dcg"), part("__ideal").alias("ideal"))
+    return q.select(group, F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(1.0).alias("value"))
+
+
+def query_mean(queries: DataFrame, group: str, weights: DataFrame | None = None) -> DataFrame:
+    """The mean of per-query values, weighted by a table (group, weight) if given."""
+    if weights is None:
+        return queries.agg(F.avg("value").alias("value"))
+    return queries.join(weights, group).agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
+
+
 def pfound(df: DataFrame, group: str, label: str, score: str, tie: str, decay: float = 0.85) -> DataFrame:
     """Mean PFound: the chance that a reader who goes on with probability `decay` finds what they look for."""
     r = ranks(df, group, score, tie)
@@ -129,3 +146,9 @@ def multi_rmse(df: DataFrame, labels: list[str], predictions: list[str]) -> Data
 def evaluate(df: DataFrame, fn, label: str, prediction: str, weight: str | None = None) -> DataFrame:
     """A custom metric: fn(label, prediction, weight) gives an aggregate column."""
     return df.agg(F.lit("custom").alias("metric"), fn(F.col(label), F.col(prediction), F.col(weight) if weight else F.lit(1.0)).alias("value"))
+
+
+def registry(spark) -> DataFrame:
+    """(metric, higher_is_better) of all metrics by name."""
+    known = {**POINTWISE, "auc": True, "average_precision": True, "multi_logloss": False, "multi_error": False, "ndcg": True, "map": True, "pfound": True, "cox": True, "multi_rmse": False}
+    return spark.createDataFrame(sorted(known.items()), "metric string, higher_is_better boolean")

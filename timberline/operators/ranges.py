@@ -26,14 +26,14 @@ def running(placed: DataFrame, sums: dict[str, Column], group: list[str], order:
     totals = rows.groupBy(*group, "__p").agg(*[F.sum(c).alias(f"{c}t") for c in own])
     by = W.partitionBy(*(group or [F.lit(0)])).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # a row per range and group
     zero = F.lit(0)
-    offsets = totals.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__p").alias("__q"), *[F.coalesce(F.sum(f"{c}t").over(by), zero).alias(f"{c}o") for c in own])
-    on = F.col("__p") == F.col("__q")
+    offsets = totals.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__p").alias("__pq"), *[F.coalesce(F.sum(f"{c}t").over(by), zero).alias(f"{c}o") for c in own])
+    on = F.col("__p") == F.col("__pq")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     inner = W.partitionBy(*group, "__p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = rows.join(F.broadcast(offsets), on)  # a row per range and group
     out = out.withColumns({name: F.col(f"{c}o") + F.coalesce(F.sum(c).over(inner), zero) for name, c in zip(sums, own)})
-    return out.drop("__q", *[f"__g{i}" for i in range(len(group))], *own, *[f"{c}o" for c in own])
+    return out.drop("__pq", *[f"__g{i}" for i in range(len(group))], *own, *[f"{c}o" for c in own])
 
 
 def neighbours(placed: DataFrame, value: str, group: list[str], order: list, before: str | None = None, after: str | None = None) -> DataFrame:
@@ -41,8 +41,8 @@ def neighbours(placed: DataFrame, value: str, group: list[str], order: list, bef
     key = F.struct(*order)
     ends = placed.groupBy(*group, "__p").agg(F.min_by(value, key).alias("__first"), F.max_by(value, key).alias("__last"))
     by = W.partitionBy(*(group or [F.lit(0)])).orderBy("__p")  # a row per range and group
-    ends = ends.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__p").alias("__q"), F.lag("__last").over(by).alias("__prior"), F.lead("__first").over(by).alias("__then"))
-    on = F.col("__p") == F.col("__q")
+    ends = ends.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__p").alias("__pq"), F.lag("__last").over(by).alias("__prior"), F.lead("__first").over(by).alias("__then"))
+    on = F.col("__p") == F.col("__pq")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     inner = W.partitionBy(*group, "__p").orderBy(*order)
@@ -51,7 +51,7 @@ def neighbours(placed: DataFrame, value: str, group: list[str], order: list, bef
         out = out.withColumn(before, F.coalesce(F.lag(value).over(inner), "__prior"))
     if after:
         out = out.withColumn(after, F.coalesce(F.lead(value).over(inner), "__then"))
-    return out.drop("__q", "__prior", "__then", *[f"__g{i}" for i in range(len(group))])
+    return out.drop("__pq", "__prior", "__then", *[f"__g{i}" for i in range(len(group))])
 
 
 def percentile(df: DataFrame, value: Column, alpha: float, weight: Column | None = None, group: list[str] = ()) -> DataFrame:

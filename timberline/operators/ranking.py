@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.random import uniform
 from .ranges import place, running
 
 
@@ -40,6 +41,33 @@ def pair_logit(df: DataFrame, group: str, label: str, raw: str, key: str) -> Dat
     return df.select(F.col(key)).join(sums, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("grad", F.lit(0.0)).alias("grad"), F.coalesce("hess", F.lit(0.0)).alias("hess"))
 
 
+def yetirank_pairs(df: DataFrame, group: str, label: str, raw: str, key: str, permutations: int = 10, decay: float = 0.99, seed: int = 0) -> DataFrame:
+    """(group, winner, loser, w): neighbours in noisy orders of a query. In each of `permutations` draws, scores get logistic
+    noise and are sorted; of two neighbours with different labels the more relevant one wins 0.15 * decay**place * difference."""
+    draw = uniform(F.concat_ws(":", F.col(key).cast("string"), F.col("__d").cast("string")), seed)
+    noisy = F.col(raw) + F.log(F.greatest(draw, F.lit(1e-300))) - F.log(1.000001 - draw)
+    rows = df.select(F.col(group).alias("__q"), F.col(key).alias("__k"), F.col(label).cast("double").alias("__l"), F.col(raw), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("__d"), *([] if key in (group, label, raw) else [F.col(key)]))
+    by = W.partitionBy("__q", "__d").orderBy(F.desc("__s"), "__k")
+    rows = rows.withColumn("__s", noisy).select("__q", "__k", "__l", F.row_number().over(by).alias("__at"), F.lead("__k").over(by).alias("__k2"), F.lead("__l").over(by).alias("__l2"))
+    met = rows.filter("__l2 IS NOT NULL AND __l <> __l2")
+    charge = 0.15 * F.pow(F.lit(decay), F.col("__at") - 1) * F.abs(F.col("__l") - F.col("__l2"))
+    first = F.col("__l") > F.col("__l2")
+    met = met.select("__q", F.when(first, F.col("__k")).otherwise(F.col("__k2")).alias("winner"), F.when(first, F.col("__k2")).otherwise(F.col("__k")).alias("loser"), charge.alias("__c"))
+    return met.groupBy("__q", "winner", "loser").agg((F.sum("__c") / permutations).alias("w"))
+
+
+def yetirank(df: DataFrame, group: str, label: str, raw: str, key: str, permutations: int = 10, decay: float = 0.99, seed: int = 0) -> DataFrame:
+    """(key, grad, hess): the pairwise logistic loss of the noisy neighbours. Pairs are as many as rows and draws at most."""
+    p = yetirank_pairs(df, group, label, raw, key, permutations, decay, seed)
+    score = df.select(F.col(key).alias("__n"), F.col(raw).alias("__r"))
+    p = p.join(score.select(F.col("__n").alias("winner"), F.col("__r").alias("__wr")), "winner").join(score.select(F.col("__n").alias("loser"), F.col("__r").alias("__lr")), "loser")
+    p = p.withColumn("__rho", 1 / (1 + F.exp(F.col("__wr") - F.col("__lr"))))
+    g, h = F.col("w") * F.col("__rho"), F.col("w") * F.col("__rho") * (1 - F.col("__rho"))
+    both = p.select(F.explode(F.array(F.struct(F.col("winner").alias("__k"), (-g).alias("g"), h.alias("h")), F.struct(F.col("loser").alias("__k"), g.alias("g"), h.alias("h")))).alias("e")).select("e.*")
+    sums = both.groupBy("__k").agg(F.sum("g").alias("__g"), F.sum("h").alias("__h"))
+    return df.select(key).join(sums, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__g", F.lit(0.0)).alias("grad"), F.coalesce("__h", F.lit(0.0)).alias("hess"))
+
+
 def lambdarank(df: DataFrame, group: str, label: str, raw: str, key: str, truncation: int = 30, norm: bool = True, sigma: float = 1.0) -> DataFrame:
     """(key, grad, hess): pairwise logistic derivatives weighted by the change of NDCG, of pairs that reach into the
     first `truncation` ranks; with `norm`, a query's derivatives are scaled by log2(1 + sum) / sum."""

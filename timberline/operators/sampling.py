@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.random import uniform
-from .ranges import percentile
+from ..functions.random import bag_stream, counter_uniform, normal, uniform
+from .ranges import percentile, place, running
 
 
 def bag(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -16,6 +18,35 @@ def bag(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
     return drawn.crossJoin(F.broadcast(least)).filter((F.col("__u") < fraction) | ((F.col("__least") >= fraction) & (F.col("__u") == F.col("__least")))).drop("__u", "__least")
 
 
+def counter_bag(df: DataFrame, row: str, fraction: float, seed: int = 3, number: int = 0) -> DataFrame:
+    """Bag `number` of rows numbered 0, 1, ...: those whose draw of the bag's counter stream is below the fraction; without
+    any, the one with the smallest draw."""
+    drawn = df.withColumn("__u", counter_uniform(bag_stream(seed, number), F.col(row)))
+    least = drawn.agg(F.min_by(F.struct(F.col(row).alias("r"), F.col("__u").alias("u")), F.struct("__u", row)).alias("__m"))
+    alone = (F.col("__m.u") >= fraction) & (F.col(row) == F.col("__m.r"))
+    return drawn.crossJoin(F.broadcast(least)).filter((F.col("__u") < fraction) | alone).drop("__u", "__m")  # one row
+
+
+def bin_sample(df: DataFrame, key: str, count: int, seed: int = 1) -> DataFrame:
+    """About `count` rows for fitting bins, by a hash of the key; all of them if there are no more."""
+    n = df.count()
+    return df if count <= 0 or count >= n else df.filter(uniform(F.col(key), seed) < count / n)
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """Add fold 0..k-1 so that each class is dealt evenly: rows of a class take turns in the order of a hash of the key."""
+    rows = df.withColumn("__u", uniform(F.col(key), seed))
+    order = ["__u", key]
+    dealt = running(place(rows, [label, *order]), {"__i": F.lit(1)}, [label], order)
+    return dealt.withColumn("fold", (F.col("__i") % k).cast("int")).drop("__u", "__i", "__p")
+
+
+def langevin(df: DataFrame, key: str, columns: list[str], rate: float, temperature: float, seed: int = 0) -> DataFrame:
+    """Normal noise of variance 2 / (rate * temperature) on derivatives, keyed by row."""
+    scale = math.sqrt(2.0 / rate / temperature)
+    return df.withColumns({c: F.col(c) + scale * normal(F.concat_ws(":", F.col(key).cast("string"), F.lit(c)), seed) for c in columns})
+
+
 def class_bag(df: DataFrame, key: str, label: str, positive: float, negative: float, seed: int = 0) -> DataFrame:
     """Separate fractions for label > 0 and the rest; every class that is there keeps a row."""
     drawn = df.withColumn("__u", uniform(F.col(key), seed)).withColumn("__c", (F.col(label) > 0).cast("int"))

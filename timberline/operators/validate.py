@@ -98,3 +98,57 @@ def check_model(nodes: list[dict]) -> None:
     ids, child = {n["node"] for n in nodes}, [c for n in nodes if n["feature"] is not None for c in (n["left"], n["right"])]
     if sorted(child) != sorted(ids - {0}) or any(c <= n["node"] for n in nodes if n["feature"] is not None for c in (n["left"], n["right"])):
         raise DataError("the node table is no tree")
+
+
+def check_shape(df: DataFrame, features: list[str]) -> int:
+    """Rows, if there are any and the cells can be counted in 64 bits."""
+    n = df.count()
+    if not n or not features:
+        raise DataError("a table needs rows and features")
+    if n * len(features) >= 1 << 63:
+        raise DataError("there are more cells than 64 bits can count")
+    return n
+
+
+def check_derivatives(df: DataFrame, grad: str, hess: str) -> None:
+    """Finite gradients and hessians, none of these negative, and a positive total."""
+    odd = lambda c: F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))
+    r = df.agg(F.sum(odd(grad).cast("int")).alias("g"), F.sum((odd(hess) | (F.col(hess) < 0)).cast("int")).alias("h"), F.sum(hess).alias("total")).first()
+    if r["g"] or r["h"]:
+        raise DataError("gradients and hessians must be finite, hessians not negative")
+    if not (r["total"] or 0) > 0:
+        raise DataError("the hessians need a positive total")
+
+
+def check_codes(df: DataFrame, column: str, size: int) -> None:
+    """Category codes are integers from -1 (missing or unseen) to size - 1."""
+    c = F.col(column)
+    if df.filter(c.isNull() | (c != F.floor(c)) | (c < -1) | (c >= size)).limit(1).count():
+        raise DataError(f"codes of {column} must be integers from -1 to {size - 1}")
+
+
+def check_row_ids(df: DataFrame, row: str, start: int = 0) -> int:
+    """Row ids are start, start + 1, ... without gaps or repeats; how many there are."""
+    r = df.agg(F.count(row).alias("n"), F.count(F.lit(1)).alias("all"), F.min(row).alias("low"), F.max(row).alias("high"), F.countDistinct(row).alias("k")).first()
+    if r["all"] and (r["n"] != r["all"] or r["k"] != r["n"] or r["low"] != start or r["high"] != start + r["n"] - 1):
+        raise DataError(f"row ids must run from {start} without gaps or repeats")
+    return r["all"]
+
+
+def monotone_holds(tree: list[dict], signs: dict[int, int]) -> bool:
+    """Whether every split on a constrained feature keeps all leaves of its two sides in order."""
+
+    def span(i: int) -> tuple[float, float]:
+        n = tree[i]
+        if n["feature"] is None:
+            return n["value"], n["value"]
+        a, b = span(n["left"]), span(n["right"])
+        return min(a[0], b[0]), max(a[1], b[1])
+
+    for n in tree:
+        sign = signs.get(n["feature"], 0) if n["feature"] is not None else 0
+        if sign:
+            (al, ah), (bl, bh) = span(n["left"]), span(n["right"])
+            if sign > 0 and ah > bl + 1e-12 or sign < 0 and al < bh - 1e-12:
+                return False
+    return True

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import objectives as O
-from ..functions.random import uniform
-from ..operators import binning, boost, cv, features, histogram, inspect, metrics, ranking, sampling, split, validate
+from ..functions.random import bag_stream, splitmix64, uniform
+from ..operators import binning, boost, cv, features, groups, histogram, inspect, joins, linear, metrics, ranges, ranking, sampling, sparse, split, validate
 from .tree_sql import Fit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -690,3 +690,243 @@ def gaps_islands_ranges(spark, d):
 @query("uniform_draws", f"SELECT o_orderkey, round({_U.format(seed=1, key='o_orderkey')}, 9) AS u FROM orders")
 def uniform_draws(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(uniform(F.col("o_orderkey"), 1), 9).alias("u"))
+
+
+# --- counter draws, folds ----------------------------------------------------------------------------------------
+
+_MIXED = "(SELECT *, xor(z2, z2 >> 31) AS mixed FROM (SELECT *, (xor(z1, z1 >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z2 FROM (SELECT *, (xor(z0, z0 >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z1 FROM (SELECT *, (({state})::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z0 FROM {table}))))".replace("(({state})", "((({state})")
+
+
+@query("splitmix_draws", f"SELECT o_orderkey, (mixed >> 32)::BIGINT AS high, (mixed & 4294967295)::BIGINT AS low FROM {_MIXED.format(state='o_orderkey', table='orders')}")
+def splitmix_draws(spark, d):
+    z = splitmix64(F.col("o_orderkey"))
+    return table(spark, d, "orders").withColumn("z", z).select("o_orderkey", F.shiftrightunsigned("z", 32).alias("high"), F.col("z").bitwiseAND(0xFFFFFFFF).alias("low"))
+
+
+@query("bagging_counter", f"SELECT o_orderkey FROM {_MIXED.format(state=f'{bag_stream(3, 2)}::UHUGEINT + o_orderkey::UHUGEINT', table='orders')} WHERE (mixed >> 11) / 9007199254740992.0::DOUBLE < 0.3")
+def bagging_counter(spark, d):
+    return sampling.counter_bag(table(spark, d, "orders"), "o_orderkey", 0.3, 3, 2).select("o_orderkey")
+
+
+@query("stratified_folds", f"SELECT o_orderstatus, fold::INT AS fold, count(*)::BIGINT AS n FROM (SELECT o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_U.format(seed=0, key='o_orderkey')}, o_orderkey) - 1) % 5 AS fold FROM orders) GROUP BY 1, 2")
+def stratified_folds(spark, d):
+    return sampling.stratified_folds(table(spark, d, "orders"), "o_orderkey", "o_orderstatus").groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("langevin_noise", f"SELECT o_orderkey, round(1.0 + sqrt(2.0 / 0.1 / 100.0) * sqrt(-2 * ln(1 - {_U.format(seed=14, key="(o_orderkey || ':g')")})) * cos(6.283185307179586 * {_U.format(seed=15, key="(o_orderkey || ':g')")}), 6) + 0.0 AS g FROM orders")
+def langevin_noise(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit(1.0).alias("g"))
+    return sampling.langevin(rows, "o_orderkey", ["g"], 0.1, 100.0, 7).select("o_orderkey", r6(F.col("g"), "g"))
+
+
+# --- percentiles, leaf renewal, forced splits, categories --------------------------------------------------------
+
+
+@query("weighted_percentiles", f"SELECT k AS o_orderstatus, round(value, 6) AS value FROM ({_percentile_sql('SELECT o_orderstatus, o_totalprice / 1000 AS v, (o_orderkey % 3)::DOUBLE AS w FROM orders', 0.3, 'o_orderstatus')})")
+def weighted_percentiles(spark, d):
+    o = table(spark, d, "orders")
+    return ranges.percentile(o, F.col("o_totalprice") / 1000, 0.3, F.col("o_orderkey") % 3, ["o_orderstatus"]).select("o_orderstatus", r6(F.col("value"), "value"))
+
+
+def _renewed(f, s):
+    """The leaves' medians of what the start leaves."""
+    return f"SELECT node0::INT AS node, round(quantile_cont(y - (SELECT base0 FROM start), 0.5), 6) + 0.0 AS value, count(*)::BIGINT AS n FROM {s} GROUP BY 1"
+
+
+@query("gbdt_l1_leaves", Fit(_ROWS, rounds=1, base="quantile_cont(y, 0.5)", grad=lambda y, r: [(f"sign({r[0]} - y)", "1.0")]).sql(_renewed))
+def gbdt_l1_leaves(spark, d):
+    rows = training_rows(spark, d)
+    model = boost.train(rows, FEATURES, "y", _params(objective="l1", num_iterations=1))
+    return inspect.node_table(spark, model).filter("feature IS NULL").select("node", r6(F.col("value"), "value"), "n")
+
+
+@query("gbdt_forced_root", "WITH r AS (SELECT l_quantity <= 20.5 AS l, l_extendedprice / 1000 - (SELECT avg(l_extendedprice / 1000) FROM lineitem) AS y FROM lineitem) SELECT CASE WHEN l THEN 1 ELSE 2 END::INT AS node, round(sum(y) / (count(*) + 1), 6) + 0.0 AS value, count(*)::BIGINT AS n FROM r GROUP BY 1")
+def gbdt_forced_root(spark, d):
+    rows = training_rows(spark, d)
+    model = boost.train(rows, FEATURES, "y", _params(num_iterations=1, max_depth=1, forced={"feature": "l_quantity", "threshold": 20.5}))
+    return inspect.node_table(spark, model).filter("feature IS NULL").select("node", r6(F.col("value"), "value"), "n")
+
+
+@query("leaf_estimation", Fit(_ROWS, rounds=1, base="ln(avg(returned) / (1 - avg(returned)))", grad=_BINARY).sql(
+    lambda f, s: f"SELECT node0::INT AS node, round(any_value(v0) - sum({_SIGMOID('(SELECT base0 FROM start) + v0')} - returned) / (sum({_SIGMOID('(SELECT base0 FROM start) + v0')} * (1 - {_SIGMOID('(SELECT base0 FROM start) + v0')})) + 1), 6) + 0.0 AS value FROM {s} GROUP BY 1"))
+def leaf_estimation(spark, d):
+    model = boost.train(training_rows(spark, d), FEATURES, "returned", _params(objective="binary", num_iterations=1, leaf_estimation_iterations=2))
+    return inspect.node_table(spark, model).filter("feature IS NULL").select("node", r6(F.col("value"), "value"))
+
+
+@query("bin_occupancy", "SELECT 'l_discount' AS feature, bin::INT AS bin, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM lineitem), 6) AS share FROM (SELECT dense_rank() OVER (ORDER BY l_discount) - 1 AS bin FROM lineitem) GROUP BY 2")
+def bin_occupancy(spark, d):
+    li = table(spark, d, "lineitem")
+    return binning.occupancy(binning.Bins.fit(li, ["l_discount"]).transform(li), ["l_discount"]).select("feature", "bin", "n", r6(F.col("share"), "share"))
+
+
+# --- target statistics of several classes ------------------------------------------------------------------------
+
+_CLS = "SELECT o_orderkey, o_custkey, (o_totalprice > 80000)::INT + (o_totalprice > 160000)::INT + (o_totalprice > 240000)::INT AS c FROM orders"
+_PAST = "WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _classed(spark, d):
+    return table(spark, d, "orders").withColumn("c", features.target_classes(F.col("o_totalprice"), [80000.0, 160000.0, 240000.0]))
+
+
+@query("target_classes", f"SELECT o_orderkey, c::INT AS c FROM ({_CLS})")
+def target_classes(spark, d):
+    return _classed(spark, d).select("o_orderkey", F.col("c").cast("int").alias("c"))
+
+
+for _kind, _test in (("Buckets", "c = 1"), ("Borders", "c > 1")):
+
+    def _ctr(spark, d, kind=_kind):
+        return features.ordered_ctr_classes(_classed(spark, d), "o_custkey", "c", "o_orderkey", 1, kind).select("o_orderkey", "ctr_bucket")
+
+    query(f"ctr_classes_{_kind.lower()}", f"SELECT o_orderkey, floor((((coalesce(sum(({_test})::INT) OVER w, 0)::FLOAT + 0.5::FLOAT) / (count(*) OVER w + 1)::FLOAT)::FLOAT * 15::FLOAT)::FLOAT)::INT AS ctr_bucket FROM ({_CLS}) {_PAST}")(_ctr)
+
+
+@query("ctr_mean", f"SELECT o_orderkey, floor((((coalesce(sum(c / 3) OVER w, 0)::FLOAT + 0.5::FLOAT) / (count(*) OVER w + 1)::FLOAT)::FLOAT * 15::FLOAT)::FLOAT)::INT AS ctr_bucket FROM ({_CLS}) {_PAST}")
+def ctr_mean(spark, d):
+    return features.ordered_ctr_mean(_classed(spark, d), "o_custkey", "c", "o_orderkey", 4).select("o_orderkey", "ctr_bucket")
+
+
+@query("ctr_permutation", f"SELECT o_orderkey, row_number() OVER (ORDER BY {_U.format(seed=5000017, key='(o_orderkey // 64)')}, o_orderkey) AS place FROM orders")
+def ctr_permutation(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", features.permutation(F.col("o_orderkey"), 64, 5, 2).alias("p"))
+    return ranges.running(ranges.place(o, ["p"]), {"before": F.lit(1)}, [], ["p"]).select("o_orderkey", (F.col("before") + 1).alias("place"))
+
+
+# --- query groups, ranking ---------------------------------------------------------------------------------------
+
+
+@query("group_audit", """WITH r AS (SELECT o_custkey AS q, o_orderkey % 5 AS l, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+p AS (SELECT a.q, count(*) AS pairs FROM r a JOIN r b ON a.q = b.q AND a.i < b.i AND a.l <> b.l WHERE a.i <= 30 GROUP BY 1),
+g AS (SELECT q, count(*) AS n, min(l) AS low, max(l) AS high FROM r GROUP BY 1), t AS (SELECT g.*, coalesce(pairs, 0) AS pairs FROM g LEFT JOIN p USING (q))
+SELECT count(*)::BIGINT AS n_queries, sum(n)::BIGINT AS n_rows, min(n)::BIGINT AS min_size, max(n)::BIGINT AS max_size, sum((n = 1)::INT)::BIGINT AS n_single, sum((high = 0)::INT)::BIGINT AS n_zero, sum((low = high)::INT)::BIGINT AS n_tied,
+  sum((pairs > 0 AND high > 0)::INT)::BIGINT AS n_pairable, sum(CASE WHEN pairs > 0 AND high > 0 THEN pairs ELSE 0 END)::BIGINT AS n_pairs FROM t""")
+def group_audit(spark, d):
+    return groups.audit(_ranked(spark, d), "o_custkey", "l", "o_orderkey")
+
+
+@query("group_prune", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING min(o_orderkey % 5) < max(o_orderkey % 5))")
+def group_prune(spark, d):
+    return groups.prune(_ranked(spark, d), "o_custkey", "l").select("o_orderkey")
+
+
+@query("group_runs", "SELECT l_orderkey, count(*)::BIGINT AS n, (min(i) - 1)::BIGINT AS start FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem) GROUP BY 1")
+def group_runs(spark, d):
+    at = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return groups.from_ids(table(spark, d, "lineitem").withColumn("at", at), "l_orderkey", "at")
+
+
+@query("position_codes", "SELECT position, (row_number() OVER (ORDER BY position) - 1)::INT AS code FROM (SELECT DISTINCT l_linenumber AS position FROM lineitem)")
+def position_codes(spark, d):
+    return groups.position_codes(table(spark, d, "lineitem"), "l_linenumber")
+
+
+@query("ndcg_by_query", "WITH r AS (SELECT o_custkey AS q, o_orderkey % 5 AS l, [0, 1, 3, 5, 6][o_orderkey % 5 + 1] AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY [0, 1, 3, 5, 6][o_orderkey % 5 + 1] DESC, o_orderkey) AS i FROM orders), s AS (SELECT q, sum(CASE WHEN k <= 5 THEN g / log2(k + 1) ELSE 0 END) AS a, sum(CASE WHEN i <= 5 THEN g / log2(i + 1) ELSE 0 END) AS b FROM r GROUP BY 1) SELECT q AS o_custkey, round(CASE WHEN b > 0 THEN a / b ELSE 1 END, 6) AS value FROM s")
+def ndcg_by_query(spark, d):
+    return metrics.ndcg_queries(_ranked(spark, d), "o_custkey", "l", "o_totalprice", "o_orderkey", 5, [0, 1, 3, 5, 6]).select("o_custkey", r6(F.col("value"), "value"))
+
+
+@query("yetirank_grad", f"""WITH r AS (SELECT o_orderkey AS k, o_custkey AS q, (o_orderkey % 5)::DOUBLE AS l, (o_orderkey % 7) / 4.0::DOUBLE AS s FROM orders),
+n AS (SELECT q, k, l, p, s + ln(greatest(u, 1e-300)) - ln(1.000001 - u) AS z FROM (SELECT *, {_U.format(seed=9, key="(k || ':' || p)")} AS u FROM r, range(7) AS t(p))),
+o AS (SELECT *, row_number() OVER w AS pos, lead(k) OVER w AS k2, lead(l) OVER w AS l2 FROM n WINDOW w AS (PARTITION BY q, p ORDER BY z DESC, k)),
+c AS (SELECT CASE WHEN l > l2 THEN k ELSE k2 END AS win, CASE WHEN l > l2 THEN k2 ELSE k END AS lose, sum(0.15 * pow(0.93, pos - 1) * abs(l - l2)) / 7 AS w FROM o WHERE l2 IS NOT NULL AND l <> l2 GROUP BY 1, 2),
+e AS (SELECT win, lose, w, 1 / (1 + exp(a.s - b.s)) AS rho FROM c JOIN r a ON a.k = win JOIN r b ON b.k = lose),
+g AS (SELECT win AS k, -w * rho AS g, w * rho * (1 - rho) AS h FROM e UNION ALL SELECT lose, w * rho, w * rho * (1 - rho) FROM e)
+SELECT o_orderkey, round(coalesce(sum(g), 0), 4) + 0.0 AS grad, round(coalesce(sum(h), 0), 4) + 0.0 AS hess FROM orders LEFT JOIN g ON k = o_orderkey GROUP BY 1""")
+def yetirank_grad(spark, d):
+    rows = _ranked(spark, d).withColumn("s", F.col("o_orderkey") % 7 / 4.0)
+    return ranking.yetirank(rows, "o_custkey", "l", "s", "o_orderkey", 7, 0.93, 9).select("o_orderkey", (F.round("grad", 4) + 0.0).alias("grad"), (F.round("hess", 4) + 0.0).alias("hess"))
+
+
+@query("aft_distance", "SELECT o_orderkey, round(CASE WHEN t <= lo OR (hi >= 0 AND t >= hi) THEN least(abs(t - lo), CASE WHEN hi >= 0 THEN abs(t - hi) ELSE 1e300 END) ELSE 0 END, 6) + 0.0 AS distance FROM (SELECT o_orderkey, exp((o_orderkey % 7) / 4.0::DOUBLE) AS t, o_totalprice / 99991 AS lo, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 99991 + 1 ELSE -1 END AS hi FROM orders)")
+def aft_distance(spark, d):
+    far = O.aft_distance(F.col("y"), F.when(F.col("o_orderkey") % 2 == 0, F.col("y") + 1).otherwise(-1.0), F.col("r"))
+    return _scored(spark, d).select("o_orderkey", r6(far, "distance"))
+
+
+# --- sparse data, bundles, joins by time -------------------------------------------------------------------------
+
+
+def _cells(spark, d):
+    """Cells of four features of orders, most of them zero."""
+    o = table(spark, d, "orders")
+    zero = lambda c, k: F.when(F.col("o_orderkey") % k == 0, c).otherwise(0.0)
+    dense = o.select("o_orderkey", zero(F.col("o_totalprice") / 1000, 7).alias("a"), zero(F.col("o_custkey") % 11, 5).alias("b"), F.when(F.col("o_orderkey") % 7 == 1, F.col("o_orderkey") % 3).otherwise(0.0).alias("c"), F.when(F.col("o_orderkey") % 7 == 2, 4.0).otherwise(0.0).alias("e"))
+    return dense, sparse.from_dense(dense, "o_orderkey", ["a", "b", "c", "e"])
+
+
+_DENSE = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice / 1000 ELSE 0.0 END AS a, CASE WHEN o_orderkey % 5 = 0 THEN (o_custkey % 11)::DOUBLE ELSE 0.0 END AS b, CASE WHEN o_orderkey % 7 = 1 THEN (o_orderkey % 3)::DOUBLE ELSE 0.0 END AS c, CASE WHEN o_orderkey % 7 = 2 THEN 4.0 ELSE 0.0 END AS e FROM orders"
+_STORED = f"SELECT * FROM (SELECT o_orderkey AS row_id, unnest([{{'feature': 0, 'value': a}}, {{'feature': 1, 'value': b}}, {{'feature': 2, 'value': c}}, {{'feature': 3, 'value': e::DOUBLE}}], recursive := true) FROM ({_DENSE})) WHERE value <> 0"
+
+
+@query("sparse_cells", f"SELECT row_id, feature::INT AS feature, round(value, 6) AS value FROM ({_STORED})")
+def sparse_cells(spark, d):
+    return _cells(spark, d)[1].select("row_id", "feature", r6(F.col("value"), "value"))
+
+
+@query("sparse_round_trip", f"SELECT o_orderkey AS row_id, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(e::DOUBLE, 6) AS e FROM ({_DENSE})")
+def sparse_round_trip(spark, d):
+    dense, cells = _cells(spark, d)
+    return sparse.to_dense(cells, dense.select(F.col("o_orderkey").alias("row_id")), ["a", "b", "c", "e"]).select("row_id", *[r6(F.col(c), c) for c in "abce"])
+
+
+@query("sparse_edges", f"""WITH v AS (SELECT 1 AS feature, b AS v FROM ({_DENSE}) UNION ALL SELECT 2, c FROM ({_DENSE}) UNION ALL SELECT 3, e::DOUBLE FROM ({_DENSE}))
+SELECT feature::INT AS feature, round((v + nxt) / 2, 6) AS edge FROM (SELECT feature, v, lead(v) OVER (PARTITION BY feature ORDER BY v) AS nxt, sum(count(*)) OVER (PARTITION BY feature ORDER BY v) AS upto, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature) AS t FROM v GROUP BY feature, v)
+WHERE nxt IS NOT NULL AND floor((upto * 255 + 254) / t) > floor(((upto - n) * 255 + 254) / t)""")
+def sparse_edges(spark, d):
+    dense, cells = _cells(spark, d)
+    return sparse.edges(cells.filter("feature > 0"), dense.count()).select("feature", r6(F.col("edge"), "edge"))
+
+
+@query("bundle_conflicts", f"WITH s AS ({_STORED}) SELECT a.feature::INT AS f, b.feature::INT AS g, count(*)::BIGINT AS n FROM s a JOIN s b ON a.row_id = b.row_id AND a.feature < b.feature GROUP BY 1, 2")
+def bundle_conflicts(spark, d):
+    _, cells = _cells(spark, d)
+    return sparse.conflicts(cells.select("row_id", "feature", F.lit(1).alias("bin")), dict.fromkeys(range(4), 0))
+
+
+@query("bundled_histogram", f"WITH s AS ({_STORED}), b AS (SELECT row_id, feature, CASE WHEN feature = 3 THEN 1 ELSE value::INT END AS bin FROM s WHERE feature >= 2), t AS (SELECT count(*) AS n FROM orders) SELECT feature::INT AS feature, bin::INT AS bin, n::BIGINT AS n FROM (SELECT feature, bin, count(*) AS n FROM b GROUP BY 1, 2 UNION ALL SELECT f, 0, t.n - (SELECT count(*) FROM b WHERE feature = f) FROM t, (VALUES (2), (3)) AS x(f))")
+def bundled_histogram(spark, d):
+    dense, cells = _cells(spark, d)
+    binned = cells.filter("feature >= 2").select("row_id", "feature", F.when(F.col("feature") == 3, 1).otherwise(F.col("value")).cast("int").alias("bin"))
+    n, sizes, defaults = dense.count(), {2: 3, 3: 2}, {2: 0, 3: 0}
+    plan = [[2, 3]]
+    hist = sparse.bundle(binned, plan, sizes, defaults).groupBy("bundle", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit(0.0)).withColumn("h", F.lit(0.0))
+    return sparse.unbundle(hist, plan, sizes, defaults, (0.0, 0.0, n)).groupBy("feature", "bin").agg(F.sum("n").alias("n"))
+
+
+@query("as_of_join", "SELECT e.event_id, p.value AS value_as_of FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def as_of_join(spark, d):
+    e = table(spark, d, "events")
+    return joins.as_of(e.select("event_id", "user_id", "ts"), e.filter("event_id % 3 = 0").select("user_id", "ts", "value"), "ts", "user_id", ["value"]).select("event_id", "value_as_of")
+
+
+@query("range_join", "SELECT b.k::INT AS k, count(*)::BIGINT AS n FROM orders JOIN (SELECT k, k * 9000.0 AS low, k * 9000.0 + 20000.0 AS high FROM range(40) AS t(k)) b ON o_totalprice >= low AND o_totalprice < high GROUP BY 1")
+def range_join(spark, d):
+    bands = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 9000.0).alias("low"), (F.col("id") * 9000.0 + 20000.0).alias("high"))
+    return joins.in_range(table(spark, d, "orders"), bands, "o_totalprice", "low", "high", 10000.0).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("row_set_algebra", "(SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 5) UNION SELECT c_custkey FROM customer WHERE c_nationkey = 7 INTERSECT SELECT o_custkey FROM orders")
+def row_set_algebra(spark, d):
+    o, c = table(spark, d, "orders").select("o_custkey"), table(spark, d, "customer")
+    few = c.filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    own = c.filter("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
+    return o.subtract(few).union(own.intersect(o)).distinct()
+
+
+@query("linear_leaf", "SELECT round(regr_slope(y, f0), 4) AS slope, round(regr_intercept(y, f0), 4) AS intercept FROM (SELECT l_quantity AS f0, l_extendedprice / 1000 AS y FROM lineitem)")
+def linear_leaf(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("f0"), (-F.col("l_extendedprice") / 1000).alias("g"), F.lit(1.0).alias("h"), F.lit(0).alias("b_f0"))
+    tree = [{"node": 0, "feature": 0, "bin": 0, "missing_bin": None, "default_left": True, "left": 1, "right": 2, "value": 0.0}, {"node": 1, "feature": None, "value": 0.0}, {"node": 2, "feature": None, "value": 0.0}]
+    constant, slopes = linear.fit(rows, tree, ["f0"])[1]
+    return spark.createDataFrame([(float(slopes["f0"]), float(constant))], "slope double, intercept double").select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@query("lda_axis", "SELECT label, count(*)::BIGINT AS n FROM embeddings GROUP BY 1")
+def lda_axis(spark, d):
+    """Rows of each class that the projection keeps: the projection must be finite everywhere."""
+    rows = table(spark, d, "embeddings")
+    axes = features.lda(rows, "embedding", "label", 2)
+    seen = features.project(rows.withColumn("embedding", F.col("embedding").cast("array<double>")), "embedding", axes)
+    return seen.filter(F.forall("lda", lambda v: ~F.isnan(v))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
