@@ -186,17 +186,18 @@ def count_fragments(cut: DataFrame, parts: int, buckets: int) -> DataFrame:
 
 
 def gather(counted: DataFrame, parts: int) -> DataFrame:
-    """(doc, n, rep, k1, k2, h, prefix): h and prefix are set where enough shingles are shared for a partner."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """(doc, n, rep, k1, k2, h, df, prefix): the shared shingles in the global order, rare first, with their document counts,
+    and the prefix are set where enough are shared for a partner."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.binary()), ("df", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches):
             out: list[tuple] = []
             for r in rows:
                 if r["kind"] == ALIAS:
-                    out += [(d, n, k, None, None, None, None) for d, n, k in zip(numbers(r["doc"]).tolist(), numbers(r["n"], np.int32).tolist(), numbers(r["k1"]).tolist())]
+                    out += [(d, n, k, None, None, None, None, None) for d, n, k in zip(numbers(r["doc"]).tolist(), numbers(r["n"], np.int32).tolist(), numbers(r["k1"]).tolist())]
             segments = [r for r in rows if r["kind"] == SEGMENT]
-            shared: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            shared: dict[int, slice] = {}
             if segments:
                 doc = np.concatenate([np.repeat(numbers(r["doc"]), numbers(r["n"], np.int32)) for r in segments])
                 h = np.concatenate([numbers(r["h"], U) for r in segments])
@@ -204,30 +205,32 @@ def gather(counted: DataFrame, parts: int) -> DataFrame:
                 order = np.lexsort((h, df, doc))
                 doc, h, df = doc[order], h[order], df[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-                doc, h = doc[new], h[new]
+                doc, h, df = doc[new], h[new], df[new]
                 edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                shared = {d: h[a:b] for d, a, b in zip(doc[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(doc)])}
+                shared = {d: slice(a, b) for d, a, b in zip(doc[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(doc)])}
             for r in rows:
                 if r["kind"] == OWN:
                     for d, n, k1, k2 in zip(numbers(r["doc"]).tolist(), numbers(r["n"], np.int32).tolist(), numbers(r["k1"]).tolist(), numbers(r["k2"]).tolist()):
-                        mine = shared.get(d)
-                        if d == NOBODY or mine is None or 100 * len(mine) < PERCENT * n:
-                            out.append((d, n, d, None, None, None, None))
+                        at = shared.get(d, slice(0, 0))
+                        if d == NOBODY or d not in shared or 100 * (at.stop - at.start) < PERCENT * n:
+                            out.append((d, n, d, None, None, None, None, None))
                             continue
+                        mine = h[at]
                         need = -(-PERCENT * n // 100)  # a partner shares at least this many
                         prefix = mine[: max(0, len(mine) - need + 1)]  # those that no one shares come first in the order
-                        out.append((d, n, d, k1, k2, mine.tobytes(), prefix.view(np.int64)))
+                        out.append((d, n, d, k1, k2, mine.tobytes(), df[at].tobytes(), prefix.view(np.int64)))
             for i in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out[i : i + 500]), schema)], schema=schema)
 
-    return counted.repartitionById(parts, F.pmod("at", F.lit(parts))).sortWithinPartitions("at").mapInArrow(run, "doc bigint, n bigint, rep bigint, k1 bigint, k2 bigint, h binary, prefix array<bigint>")
+    return counted.repartitionById(parts, F.pmod("at", F.lit(parts))).sortWithinPartitions("at").mapInArrow(run, "doc bigint, n bigint, rep bigint, k1 bigint, k2 bigint, h binary, df binary, prefix array<bigint>")
 
 
-def link(ids: list[int], label: list[int], n: np.ndarray, sets: list[np.ndarray], pieces: int = 4) -> dict[int, int]:
+def link(ids: list[int], label: list[int], n: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], pieces: int = 4) -> dict[int, int]:
     """Unite the labels of all linked documents: {label: smallest label}.
 
     Each document outside the largest component is compared with all outside its own; partial overlaps are counted
-    for each fragment of the order, summed per pair, and pairs that can no longer reach the threshold are given up.
+    for each fragment of the global order, summed per pair, and pairs that can no longer reach the threshold are given up.
+    Fragments hold equal numbers of the group's shingle places, so the first ones hold the rarest shingles.
     """
     parent = {x: x for x in label}
 
@@ -241,9 +244,15 @@ def link(ids: list[int], label: list[int], n: np.ndarray, sets: list[np.ndarray]
     for x in label:
         size[x] += 1
     where = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = [len(values) * k // pieces for k in range(pieces + 1)]
-    fragment = np.searchsorted(cuts, code, side="right") - 1
+    flat, df = np.concatenate(sets), np.concatenate(counts)
+    order = np.lexsort((flat, df))  # the global order
+    ordered = flat[order]
+    rank = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+    code = np.empty(len(flat), np.int64)
+    code[order] = rank
+    values = ordered[np.r_[True, ordered[1:] != ordered[:-1]]]
+    cuts = [rank[min(len(rank) - 1, len(rank) * k // pieces)] for k in range(pieces)]
+    fragment = np.maximum(np.searchsorted(cuts, code, side="right") - 1, 0)
     parts = [(code[fragment == k], where[fragment == k]) for k in range(pieces)]
     left = np.stack([np.bincount(w, minlength=len(ids)) for _, w in parts], 1)
     rest = left[:, ::-1].cumsum(1)[:, ::-1]
@@ -281,7 +290,7 @@ def link(ids: list[int], label: list[int], n: np.ndarray, sets: list[np.ndarray]
 
 
 def verify(groups: DataFrame, parts: int) -> DataFrame:
-    """Edges (a, b) between labels, from rows (g, block, doc, label, n, h) grouped by g and block."""
+    """Edges (a, b) between labels, from rows (g, block, doc, label, n, h, df) grouped by g and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -289,7 +298,7 @@ def verify(groups: DataFrame, parts: int) -> DataFrame:
 
         def settle() -> None:
             if len(held) > 1:
-                found = link([h["doc"] for h in held], [h["label"] for h in held], np.array([h["n"] for h in held]), [numbers(h["h"], U) for h in held])
+                found = link([h["doc"] for h in held], [h["label"] for h in held], np.array([h["n"] for h in held]), [numbers(h["h"], U) for h in held], [numbers(h["df"], np.int32) for h in held])
                 edges.extend((x, r) for x, r in found.items() if x != r)
             held.clear()
 
@@ -302,7 +311,7 @@ def verify(groups: DataFrame, parts: int) -> DataFrame:
         settle()
         yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    placed = groups.select("g", "block", "doc", "label", "n", "h").repartition(parts, "g", "block").sortWithinPartitions("g", "block")
+    placed = groups.select("g", "block", "doc", "label", "n", "h", "df").repartition(parts, "g", "block").sortWithinPartitions("g", "block")
     return placed.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -328,7 +337,7 @@ def join(docs: DataFrame, most: int = MOST) -> DataFrame:
     coarse = materialise(coarse.select(F.col("node").alias("doc"), F.col("root").alias("g")), "groups")
 
     blocks = coarse.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
-    members = heads.select("doc", "n", "h").join(coarse.join(blocks, "g"), "doc")
+    members = heads.select("doc", "n", "h", "df").join(coarse.join(blocks, "g"), "doc")
     first = members.withColumn("label", F.col("doc")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     edges = materialise(verify(first, parts), "links")
     if blocks.filter("blocks > 1").limit(1).count():  # groups in several blocks: join what the blocks left apart
