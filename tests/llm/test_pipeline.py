@@ -1,5 +1,7 @@
+import hashlib
 import math
 import os
+import random
 from fractions import Fraction
 
 import pytest
@@ -52,6 +54,72 @@ def test_the_mix_shows_in_the_rows(spark, tmp_path):
     assert [rows[out[p]][3] for p in range(len(rows))] == want
 
 
+def test_against_brute_force(spark, tmp_path):
+    """The five stages one after the other, each worked out plainly on what the one before has kept."""
+    from tokenizers import Tokenizer
+
+    from timberline.llm import bpe, langid
+
+    rng = random.Random(3)
+    tongue = {"en": ["the", "ing", "tion", "wh"], "de": ["sch", "der", "ung", "ein"]}
+    prose = lambda lang, n: " ".join("".join(rng.choices(tongue[lang], k=3)) + str(rng.randrange(50)) for _ in range(n))
+    shared = prose("en", 70)
+    texts = [prose("en" if i % 3 else "de", 40 + i) for i in range(60)]
+    texts += [texts[5] + " tail", texts[5], texts[7].replace(" ", "\n"), f"{prose('de', 20)} {shared} {prose('de', 30)}", shared + " " + prose("en", 25), shared, None, "", "12 34 !", "the"]
+    rows = [(i, t, "en" if i % 3 else "de", f"s{i % 4}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    # 1: the model is the operator's, its reading of each text is checked elsewhere
+    found, score = langid.fit(docs).predict([t or "" for t in texts])
+    kept = [r for r, lang, s in zip(rows, found, score) if lang != "und" and s > 0]
+    # 2: all pairs
+    sets = {}
+    for d, t, *_ in kept:
+        w = t.lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    kept = [r for r in kept if root(r[0]) == r[0]]
+    # 3: all windows
+    first = {}
+    for d, t, *_ in kept:
+        w = t.split()
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    out = {}
+    for d, t, _, source, _ in kept:
+        w = t.split()
+        gone = set().union(*[range(i, i + 50) for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d])
+        out[d] = (t if not gone else " ".join(x for i, x in enumerate(w) if i not in gone), source)
+    # 4: the schedule, slot by slot; rows of a source in the order of the MD5 of their id
+    queue = {}
+    for d in sorted(out, key=lambda d: (hashlib.md5(str(d).encode()).hexdigest()[:8], d)):
+        queue.setdefault(out[d][1], []).append(d)
+    weight = {g: Fraction(float(len(q)) ** 0.7) for g, q in queue.items()}
+    share, taken, order, t = {g: w / sum(weight.values()) for g, w in weight.items()}, dict.fromkeys(queue, 0), [], 0
+    left = {g: list(q) for g, q in queue.items()}
+    while any(left.values()):
+        ready = [(math.ceil((taken[g] + 1) / share[g]), "s" + g if g else "", g) for g in queue if left[g] and math.floor(taken[g] / share[g]) <= t]
+        if ready:
+            g = min(ready)[2]
+            order += left[g][:16]
+            left[g], taken[g] = left[g][16:], taken[g] + 1
+        t += 1
+    # 5: the tokenizers library
+    known = Tokenizer.from_file(bpe.default_path())
+    want = {d: (k, len(known.encode(out[d][0], add_special_tokens=False).ids)) for k, d in enumerate(order)}
+    got = {r["doc_id"]: (r["mix_position"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and not {60, 61, 62, 66, 67, 68} & set(got)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))

@@ -155,6 +155,21 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_digests(docs):
+    import struct
+
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(bpe.default_path())
+    known.no_truncation(), known.no_padding()
+    want = []
+    for d, t, *_ in corpus():
+        ids = known.encode(t or "", add_special_tokens=False).ids
+        packed = b"".join(struct.pack("<I", i) for i in ids)
+        want.append((d, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(known.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted((tuple(r) for r in bpe.encode(docs).collect()), key=str) == sorted(want, key=str)
+
+
 def test_sharding(docs, empty):
     rows = sharding.assign(docs).collect()
     assert len(rows) == len(corpus())
@@ -238,6 +253,69 @@ def test_simhash(docs, empty):
     assert simhash.compare(empty).count() == 0
 
 
+def vote_by_hand(text):
+    """A fingerprint bit by bit: every term's hash bits vote with its weight."""
+    low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = WORD.findall(low)
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def poly(values, base):
+        return mix(sum(v * pow(base, k, 1 << 64) for k, v in enumerate(values)) + len(values) & mask)
+
+    def runs(values, size):
+        return [poly(values[i : i + size], 0xD6E8FEB86659FD93) for i in range(len(values) - size + 1)]
+
+    counts = {}
+    if len(words) >= simhash.SHORT:
+        own = [poly([b + 1 for b in w.encode()], 0x9E3779B97F4A7C15) for w in words]
+        for size, weight in ((2, 1.0), (3, 2.0)):
+            for h in runs(own, size):
+                counts.setdefault((size, h), [0, weight])[0] += 1
+    elif words:
+        span = low[low.index(words[0]) : low.rindex(words[-1]) + len(words[-1])]
+        for h in runs([0, *(b + 1 for b in span.encode()), 0], 3):
+            counts.setdefault((3, h), [0, 1.0])[0] += 1
+    votes = [0.0] * 256
+    for (_, h), (n, weight) in counts.items():
+        for k in range(4):
+            bits = mix(h + k * 0x9E3779B97F4A7C15 & mask)
+            for byte in range(8):
+                for bit in range(8):
+                    at = 64 * k + 8 * byte + bit
+                    votes[at] += n**0.5 * weight * (1 if bits >> 8 * byte + 7 - bit & 1 else -1)
+    return votes
+
+
+def test_fingerprints_by_hand(docs):
+    import math
+
+    rows = sorted({(d, t or "") for d, t, *_ in corpus() if d is not None}, key=lambda r: -r[0])[:24]
+    table = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in simhash.compare(table).collect()}
+    for d, t in rows:
+        votes, bits = vote_by_hand(t), int(got[d]["fingerprint"], 16)
+        for at, v in enumerate(votes):
+            if abs(v) > 1e-3:  # sums of single-precision weights
+                assert (bits >> 255 - at & 1) == (v > 0)
+    for d, t in rows[:-1]:
+        r, after = got[d], got[rows[[x for x, _ in rows].index(d) + 1][0]]
+        for other, near in ((r["edited_fingerprint"], r["near_edited"]), (after["fingerprint"], r["near_next"])):
+            apart = (int(r["fingerprint"], 16) ^ int(other, 16)).bit_count()
+            assert near == pytest.approx(max(0.0, math.cos(math.pi * apart / 256)))
+
+
+def test_search_query_finds_the_copies(spark, tables):
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.fingerprint(spark.read.parquet(tables + "/documents.parquet")).collect()}
+    got = {(r["query"], r["fingerprint"], r["distance"]) for r in queries.simhash_search(spark, tables).collect()}
+    want = {(f"{prints[q]:064x}", f"{p:064x}", (prints[q] ^ p).bit_count()) for q in prints if q % 50 == 0 for p in prints.values() if (prints[q] ^ p).bit_count() <= simhash.RADIUS}
+    assert got == want and got
+
+
 def test_hamming_search(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(256) for _ in range(40)]
@@ -265,6 +343,29 @@ def test_language(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_filters_against_sets():
+    """Shares by the filters are those by exact sets of n-grams, but for what the correction of false positives leaves."""
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdefghij" if k % 2 else "fghijklmno", k=4)) for _ in range(60)) for k in range(8)]
+    members = [np.unique(langid.grams(texts[k : k + 1])[0]) for k in range(4)] + [np.unique(np.concatenate([langid.grams(texts[k : k + 1])[0] for k in (4, 5)]))]
+    for slots in (1 << 21, 1 << 13):
+        model = langid.Model([f"l{k}" for k in range(5)], members, slots)
+        found, score = model.predict(texts)
+        for k, t in enumerate(texts):
+            h = langid.grams([t])[0]
+            share = [np.isin(h, m).mean() for m in members]
+            assert abs(score[k] - max(share)) < (0.002 if slots > 1 << 20 else 0.08)
+            if sorted(share)[-1] - sorted(share)[-2] > 0.1:
+                assert found[k] == f"l{int(np.argmax(share))}"
+    hash_, owner, letters = langid.grams(["Ab c", "", "é1é"])
+    # all n-grams of a word between blanks, but not the whole with both
+    size = lambda words: sum(len(w) + 3 - n - (n == len(w) + 2) for w in words for n in langid.GRAMS if len(w) + 2 >= n)
+    assert [int((owner == k).sum()) for k in range(3)] == [size(["ab", "c"]), 0, size(["é", "é"])]
+    for k, t in enumerate(texts):  # a text reads the same wherever it stands in a batch
+        assert np.array_equal(np.sort(langid.grams(texts)[0][langid.grams(texts)[1] == k]), np.sort(langid.grams([t])[0]))
+    assert letters.tolist() == [3, 0, 2]
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><a href="/">menu</a></nav><div class="ad">buy</div><article><h1>Head &amp; line</h1><p><b>First,  one.<br>x<p>Second é&eacute; par\nagraph, long enough.</p><ul><li>a<li>b</ul><aside>side</aside></article><div id="comments"><p>reader, comment</p></div><footer>&copy;</footer>'
     assert html_text.main_text(page) == "Head & line\nFirst, one. x\nSecond éé par agraph, long enough.\na\nb"

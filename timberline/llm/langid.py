@@ -46,6 +46,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = np.bincount(owner[letter], minlength=len(low))
     code = np.where(letter, code, 32)
     keep = letter | np.r_[True, letter[:-1]]  # one blank between words
+    keep[np.cumsum(size) - size] = True  # and before the first of each text
     code, owner, letter = code[keep].astype(U), owner[keep], letter[keep]
     hashes, owners = [], []
     for n in GRAMS:

@@ -52,6 +52,13 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.dedup(table(spark, sf_dir, "embeddings"))
 
 
+def simhash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50, against the fingerprints of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    prints = simhash.fingerprint(docs)
+    return simhash.search(prints, prints.filter("doc_id % 50 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_mixing": op7_mixing,
     "op5_language": op5_language,
@@ -63,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op10_embeddings": op10_embeddings,
     "op9_jaccard": op9_jaccard,
+    "simhash_search": simhash_search,
 }
 
 ORACLES: dict[str, str] = {
