@@ -25,7 +25,7 @@ from .common import released, slices
 #: The pre-token pattern of byte-level BPE (fixed by the vocabulary's format).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept between batches, of up to `LONG` characters; the cache starts anew when full.
-CACHE, LONG = 250_000, 64
+CACHE, LONG = 500_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
