@@ -113,3 +113,60 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["info", str(tmp_path / "m")])["trees"] == 2
     assert main(["predict", str(tmp_path / "d"), str(tmp_path / "m"), str(tmp_path / "o")])["rows"] == 200
     assert json.loads(capsys.readouterr().out.splitlines()[0])["features"] == 2
+
+
+def test_porting():
+    from timberline.sources import port
+
+    p, report = port.port({"objective": "binary:logistic", "eta": 0.2, "lambda": 2.0, "subsample": 0.5, "nthread": 4, "gpu_id": 0}, "xgboost")
+    assert (p.objective, p.learning_rate, p.lambda_l2, p.bagging_fraction, p.bagging_freq, p.grow_policy) == ("binary", 0.2, 2.0, 0.5, 1, "depthwise")
+    assert {n: s for n, s, _ in report} == {"objective": "renamed" if report[0][1] == "renamed" else "kept", "eta": "renamed", "lambda": "renamed", "subsample": "renamed", "nthread": "machine", "gpu_id": "refused"}
+    p, _ = port.port({"loss_function": "MAE", "iterations": 7, "depth": 3}, "catboost")
+    assert (p.objective, p.num_iterations, p.max_depth, p.grow_policy, p.lambda_l2) == ("l1", 7, 3, "oblivious", 3.0)
+    with pytest.raises(ValueError):
+        port.port({}, "other")
+
+
+def test_imported_trees_tell_missing_values_as_their_text_says(spark):
+    from timberline.sources import io
+
+    text = "tree\nnum_class=1\nnum_tree_per_iteration=1\nobjective=regression\nfeature_names=a\n\nTree=0\nnum_leaves=2\nnum_cat=0\nsplit_feature=0\nsplit_gain=1\nthreshold=-1.5\ndecision_type={}\nleft_child=-1\nright_child=-2\nleaf_value=1 2\nleaf_count=3 4\n\nend of trees\n"
+    df = spark.createDataFrame([(float("nan"),), (None,), (-2.0,), (0.0,)], "a double")
+    value = lambda kind: [r["prediction"] for r in io.from_lightgbm_text(text.format(kind)).predict(df).collect()]
+    assert value(2) == [2.0, 2.0, 1.0, 2.0]  # no missing values: they count as 0
+    assert value(10) == [1.0, 1.0, 1.0, 2.0] and value(8) == [2.0, 2.0, 1.0, 2.0]
+    with pytest.raises(ValueError, match="zeros"):
+        io.from_lightgbm_text(text.format(4))
+
+
+def test_onnx_scores_are_the_models(spark, tmp_path):
+    import onnxruntime
+
+    from timberline.sources import onnx
+
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 3)).astype(np.float32)
+    df = spark.createDataFrame([(i, *map(float, r), int(r[0] > 0.6) + int(r[1] > 0.5)) for i, r in enumerate(x)], "k long, a double, b double, c double, y int")
+    for more in ({}, {"objective": "multiclass", "num_class": 3}):
+        m = boost.train(df, ["a", "b", "c"], "y", boost.Params.of(num_iterations=2, max_depth=3, num_leaves=8, grow_policy="depthwise", **more))
+        onnx.save(m, str(tmp_path / "m.onnx"))
+        got = onnxruntime.InferenceSession(str(tmp_path / "m.onnx"), providers=["CPUExecutionProvider"]).run(None, {"features": x})[0]
+        rows = m.predict(df, "raw").orderBy("k").collect()
+        want = np.array([r["probabilities"] if more else [r["prediction"]] for r in rows])
+        assert np.abs(got - want).max() < 1e-5
+
+
+def test_functional_interface(spark, tmp_path):
+    from timberline import api
+
+    df = spark.createDataFrame([(i, float(i % 17), float(i % 5), float(i % 17 > 8)) for i in range(600)], "k long, a double, b double, y double")
+    data = api.Dataset(df, "y", key="k")
+    assert data.features == ["a", "b"]
+    b = api.train({"objective": "binary", "eta": 0.3, "max_depth": 2, "grow_policy": "depthwise"}, data.subset("k % 4 > 0"), 4, data.subset("k % 4 = 0"), early_stopping_rounds=2, metric="auc")
+    assert b.num_trees() <= 4 and b.model.history[0]["loss"] == 1.0
+    b.save_model(str(tmp_path / "b"))
+    again = api.load(spark, str(tmp_path / "b"))
+    assert again.model_to_string() == b.model_to_string() and again.feature_importance("gain").count() >= 1
+    assert len(b.predict(df.limit(5), pred_contrib=True).first()["contributions"]) == 3
+    r = api.cv({"objective": "binary", "max_depth": 1}, data, 1, 3, stratified=True, metric="auc")
+    assert len(r["losses"]) == 3 and r["mean"] > 0.9

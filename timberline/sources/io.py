@@ -111,8 +111,11 @@ def from_lightgbm_text(text: str) -> Model:
                 nodes[k] = {"node": k, "feature": None, "depth": depth, "value": float(t["leaf_value"][i]), "count": int((t["leaf_count"] or ["0"] * (inner + 1))[i]), "gain": None}
                 return k
             f, v, kind = int(t["split_feature"][spot]), float(t["threshold"][spot]), int(t["decision_type"][spot])
+            gone = kind >> 2 & 3  # how missing values are told: not at all (they count as 0), as zeros, as NaN
+            if gone == 1:
+                raise ValueError("zeros as missing values are not supported here")
             left, right = add(int(t["left_child"][spot]), depth + 1), add(int(t["right_child"][spot]), depth + 1)
-            nodes[k] = {"node": k, "feature": f, "bin": edges[features[f]].index(v), "threshold": v, "default_left": bool(kind & 2), "missing_bin": missing[features[f]], "left": left, "right": right, "gain": float((t["split_gain"] or ["0"] * inner)[spot]), "value": 0.0, "count": nodes[left]["count"] + nodes[right]["count"], "depth": depth}
+            nodes[k] = {"node": k, "feature": f, "bin": edges[features[f]].index(v), "threshold": v, "default_left": bool(kind & 2), "missing_bin": missing[features[f]] if gone == 2 else None, "left": left, "right": right, "gain": float((t["split_gain"] or ["0"] * inner)[spot]), "value": 0.0, "count": nodes[left]["count"] + nodes[right]["count"], "depth": depth}
             return k
 
         add(0 if inner else -1, 0)
