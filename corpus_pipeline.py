@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.llm import bpe, jaccard, langid, mixing, substrings
-from timberline.llm.common import partitions, shared_dir
+from timberline.llm.common import forget, partitions, shared_dir
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles at 0.8 or more, the one with the smallest doc_id stays."""
+    """Of each group of documents linked by 5-word shingles at 0.8 or more, the one with the smallest doc_id stays.
+
+    Rows with a null doc_id link with nothing and stay, as do null and empty texts; rows that share a doc_id stay or go together.
+    """
     groups = jaccard.join(docs).select(F.col("doc_id").alias("__d"), F.col("component_id").alias("__c"))
     gone = groups.filter("__d <> __c").select("__d").distinct()
     return docs.join(gone, docs["doc_id"] == gone["__d"], "left_anti")
@@ -42,7 +45,11 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the documents into the order of the mix; files read in order of their names hold the mixture."""
+    """Put the documents into the order of the mix; files read in order of their names hold the mixture.
+
+    Null ids and sources are keys like any other; rows with one id and source follow each other, in no order of their own.
+    An empty table stays empty.
+    """
     columns = docs.columns
     place = mixing.mix(docs).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("position").alias("__p"))
     place = place.groupBy("__d", "__s").agg(F.min("__p").alias("__p"))
@@ -63,7 +70,10 @@ def in_order(docs: DataFrame, name: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document, with its place in the mix as the stage before has written it."""
+    """Token counts and digests of every document, with its place in the mix as the stage before has written it.
+
+    Null texts count as empty; every row has a place of its own, whatever its id. An empty table gives none.
+    """
     return bpe.encode(in_order(docs, "mix_position"), keep=("doc_id", "mix_position"))
 
 
@@ -87,5 +97,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             path = f"{shared_dir(spark).rstrip('/')}/stage-{k}-{uuid.uuid4().hex}"
             out.write.parquet(path)
+            if k:
+                forget(docs)
             docs = spark.read.parquet(path)
     return out

@@ -34,6 +34,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that `materialise` has written, when nothing reads it any more."""
+    spark = df.sparkSession
+    home = shared_dir(spark).rstrip("/").removeprefix("file://")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"{home}/" in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
