@@ -250,3 +250,15 @@ def test_metrics_of_hand_sized_inputs(spark):
     b = spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.8), (1, 0.9)], "y int, s double")
     assert metrics.auc(b, "y", "s").first()["value"] == 1.0
     assert metrics.auc(b.withColumn("s", F.lit(1.0)), "y", "s").first()["value"] == 0.5
+
+
+def test_windowed_means_of_a_stream(spark, rows, tmp_path):
+    m = boost.train(rows, ["a", "b", "c"], "y", params(num_iterations=1))
+    timed = rows.withColumn("t", F.timestamp_seconds(F.col("k") * 60))
+    timed.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in"))
+    q = score.windowed_mean(stream, m, "t").writeStream.format("memory").outputMode("complete").queryName("means").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {r[0]: (r[1], r[2]) for r in m.predict(timed).groupBy(F.window("t", "1 hour")["start"]).agg(F.avg("prediction"), F.count(F.lit(1))).collect()}
+    got = {r["window_start"]: (r["mean_prediction"], r["n"]) for r in spark.table("means").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)

@@ -195,19 +195,38 @@ def class_means(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 def lda(df: DataFrame, vector: str, label: str, components: int, reg: float = 5e-5) -> list[list[float]]:
-    """Projection rows of linear discriminant analysis. Moments are aggregates of dim x dim numbers per class."""
+    """Projection rows of linear discriminant analysis. Every batch of vectors gives the dim x dim products of each class once;
+    these are summed. Null vectors are left out."""
     import numpy as np
-
-    dim = df.select(F.size(vector)).first()[0]
-    each = df.select(label, F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    pairs = each.select(label, F.posexplode("v").alias("i", "a"), "v").select(label, "i", "a", F.posexplode("v").alias("j", "b"))
-    second = pairs.groupBy(label, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
-    first = each.select(label, F.posexplode("v").alias("i", "a")).groupBy(label, "i").agg(F.sum("a").alias("s"), F.count("a").alias("n")).collect()
-    classes = sorted({r[0] for r in first})
-    n = {r[0]: r["n"] for r in first}
-    mean = {c: np.zeros(dim) for c in classes}
-    for r in first:
-        mean[r[0]][r["i"]] = r["s"] / r["n"]
+    import pyarrow as pa
+
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    kind = rows.schema["label"].dataType.simpleString()
+
+    def products(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.array(batch.column(0).to_pylist(), dtype=object)
+            x = np.stack([np.asarray(v) for v in batch.column(1).to_numpy(zero_copy_only=False)])
+            d = x.shape[1]
+            for c in dict.fromkeys(own.tolist()):
+                part = x[own == c]
+                # row d holds the sums, its last place the count
+                moments = np.vstack([np.hstack([part.T @ part, np.zeros((d, 1))]), np.r_[part.sum(0), len(part)]])
+                i, j = np.indices(moments.shape)
+                yield pa.RecordBatch.from_arrays([pa.array([c] * moments.size, batch.column(0).type), pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(moments.ravel())], names=["label", "i", "j", "s"])
+
+    sums = rows.mapInArrow(products, f"label {kind}, i int, j int, s double").groupBy("label", "i", "j").agg(F.sum("s").alias("s")).collect()  # dim x dim numbers a class
+    dim = max(r["i"] for r in sums)
+    first: dict = {}
+    second = [r for r in sums if r["i"] < dim and r["j"] < dim]
+    n = {r["label"]: r["s"] for r in sums if r["i"] == dim and r["j"] == dim}
+    for r in sums:
+        if r["i"] == dim and r["j"] < dim:
+            first.setdefault(r["label"], np.zeros(dim))[r["j"]] = r["s"]
+    classes = sorted(n)
+    mean = {c: first[c] / n[c] for c in classes}
     total = sum(n.values())
     overall = sum(n[c] * mean[c] for c in classes) / total
     within = np.zeros((dim, dim))

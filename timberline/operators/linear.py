@@ -33,11 +33,13 @@ def fit(df: DataFrame, tree: list[Node], features: list[str], ridge: float = 0.0
     """
     leaf = route(tree, lambda n: F.lit(n["node"]), features)
     x = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]]
-    sums = [F.sum(F.col(hess) * x[i] * x[j]).alias(f"m{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    sums += [F.sum(F.col(grad) * a).alias(f"v{i}") for i, a in enumerate(x)]
+    used = branch_features(tree)
+    need = {(min(a, b), max(a, b)) for fs in used.values() for a in (0, *[f + 1 for f in fs]) for b in (0, *[f + 1 for f in fs])}  # only what some branch has
+    sums = [F.sum(F.col(hess) * x[i] * x[j]).alias(f"m{i}_{j}") for i, j in sorted(need)]
+    sums += [F.sum(F.col(grad) * x[i]).alias(f"v{i}") for i in sorted({i for i, _ in need})]
     whole = ~F.greatest(*[F.col(c).isNull() for c in features]) if len(features) > 1 else F.col(features[0]).isNotNull()
     rows = df.filter(whole).withColumn("__leaf", leaf).groupBy("__leaf").agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # a row per leaf
-    used, out = branch_features(tree), {k: (tree[k]["value"], {}) for k in branch_features(tree)}
+    out = {k: (tree[k]["value"], {}) for k in used}
     for r in rows:
         pick = [0, *[f + 1 for f in used[r["__leaf"]]]]
         if r["n"] <= len(pick):

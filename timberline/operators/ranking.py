@@ -70,24 +70,31 @@ def yetirank(df: DataFrame, group: str, label: str, raw: str, key: str, permutat
 
 def lambdarank(df: DataFrame, group: str, label: str, raw: str, key: str, truncation: int = 30, norm: bool = True, sigma: float = 1.0) -> DataFrame:
     """(key, grad, hess): pairwise logistic derivatives weighted by the change of NDCG, of pairs that reach into the
-    first `truncation` ranks; with `norm`, a query's derivatives are scaled by log2(1 + sum) / sum."""
-    by = W.partitionBy(group)
-    r = df.withColumn("__rank", F.row_number().over(by.orderBy(F.desc(raw), key))).withColumn("__ideal", F.row_number().over(by.orderBy(F.desc(label), key)))
-    gain = F.pow(F.lit(2.0), F.col(label)) - 1
-    r = r.withColumn("__gain", gain).withColumn("__max", F.sum(F.when(F.col("__ideal") <= truncation, gain / F.log2(F.col("__ideal") + 1)).otherwise(0.0)).over(by))
-    r = r.withColumn("__best", F.max(raw).over(by)).withColumn("__worst", F.min(raw).over(by))
-    p = pairs(r, group, label, key, [raw, "__rank", "__gain", "__max", "__best", "__worst"]).filter((F.least("w___rank", "l___rank") <= truncation) & (F.col("w___max") > 0))
-    delta = (F.col("w___gain") - F.col("l___gain")) * F.abs(1 / F.log2(F.col("w___rank") + 1) - 1 / F.log2(F.col("l___rank") + 1)) / F.col("w___max")
-    apart = F.abs(F.col(f"w_{raw}") - F.col(f"l_{raw}"))
+    first `truncation` ranks; with `norm`, a query's derivatives are scaled by log2(1 + sum) / sum.
+
+    Only rows of the first ranks are joined with the rows behind them, so a query of n rows has truncation * n pairs.
+    """
+    by = W.partitionBy("__q")
+    r = df.select(F.col(group).alias("__q"), F.col(key).alias("__k"), F.col(label).cast("double").alias("__l"), F.col(raw).cast("double").alias("__s"))
+    gain = F.pow(F.lit(2.0), F.col("__l")) - 1
+    r = r.withColumns({"__rank": F.row_number().over(by.orderBy(F.desc("__s"), "__k")), "__ideal": F.row_number().over(by.orderBy(F.desc("__l"), "__k")), "__gain": gain})
+    most = F.sum(F.when(F.col("__ideal") <= truncation, F.col("__gain") / F.log2(F.col("__ideal") + 1)).otherwise(0.0)).over(by)
+    r = r.withColumns({"__max": most, "__best": F.max("__s").over(by), "__worst": F.min("__s").over(by)})
+    doc = F.struct(F.col("__k").alias("k"), F.col("__l").alias("l"), F.col("__s").alias("s"), F.col("__rank").alias("rank"), F.col("__gain").alias("gain"))
+    top = r.filter(F.col("__rank") <= truncation).select("__q", doc.alias("x"), "__max", (F.col("__best") != F.col("__worst")).alias("__apart")).filter("__max > 0")
+    p = top.join(r.select("__q", doc.alias("y")), "__q").filter("y.rank > x.rank AND x.l <> y.l")
+    first = F.col("x.l") > F.col("y.l")
+    p = p.select("__q", "__max", "__apart", F.when(first, F.col("x")).otherwise(F.col("y")).alias("w"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("o"))
+    delta = (F.col("w.gain") - F.col("o.gain")) * F.abs(1 / F.log2(F.col("w.rank") + 1) - 1 / F.log2(F.col("o.rank") + 1)) / F.col("__max")
     if norm:
-        delta = F.when(F.col("w___best") != F.col("w___worst"), delta / (0.01 + apart)).otherwise(delta)
-    rho = 1 / (1 + F.exp(sigma * (F.col(f"w_{raw}") - F.col(f"l_{raw}"))))
-    p = p.withColumn("lam", sigma * rho * delta).withColumn("hes", sigma * sigma * rho * (1 - rho) * delta)
-    both = p.select("__q", F.explode(F.array(F.struct(F.col("winner").alias("__k"), (-F.col("lam")).alias("g"), F.col("hes").alias("h"), (2 * F.col("lam")).alias("s")), F.struct(F.col("loser").alias("__k"), F.col("lam").alias("g"), F.col("hes").alias("h"), F.lit(0.0).alias("s")))).alias("e")).select("__q", "e.*")
-    sums = both.groupBy("__q", "__k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("s").alias("s")).withColumn("s", F.sum("s").over(W.partitionBy("__q")))
+        delta = F.when(F.col("__apart"), delta / (0.01 + F.abs(F.col("w.s") - F.col("o.s")))).otherwise(delta)
+    p = p.withColumns({"__rho": 1 / (1 + F.exp(sigma * (F.col("w.s") - F.col("o.s")))), "__delta": delta})
+    lam, hes = sigma * F.col("__rho") * F.col("__delta"), sigma * sigma * F.col("__rho") * (1 - F.col("__rho")) * F.col("__delta")
+    both = p.select("__q", F.explode(F.array(F.struct(F.col("w.k").alias("__k"), (-lam).alias("g"), hes.alias("h"), (2 * lam).alias("s")), F.struct(F.col("o.k").alias("__k"), lam.alias("g"), hes.alias("h"), F.lit(0.0).alias("s")))).alias("e")).select("__q", "e.*")
+    sums = both.groupBy("__q", "__k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("s").alias("s")).withColumn("s", F.sum("s").over(by))
     scale = F.when(F.col("s") > 0, F.log2(1 + F.col("s")) / F.col("s")).otherwise(1.0) if norm else F.lit(1.0)
-    sums = sums.select("__k", (F.col("g") * scale).alias("grad"), (F.col("h") * scale).alias("hess"))
-    return df.select(key).join(sums, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("grad", F.lit(0.0)).alias("grad"), F.coalesce("hess", F.lit(0.0)).alias("hess"))
+    sums = sums.select("__k", (F.col("g") * scale).alias("__g"), (F.col("h") * scale).alias("__h"))
+    return df.select(key).join(sums, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__g", F.lit(0.0)).alias("grad"), F.coalesce("__h", F.lit(0.0)).alias("hess"))
 
 
 def cox(df: DataFrame, time: str, event: str, raw: str, key: str) -> DataFrame:
