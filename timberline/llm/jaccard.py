@@ -362,9 +362,10 @@ def join(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     roots = tops.join(roots, tops["top"] == roots["node"], "left").select("doc", F.coalesce("root", "top").alias("root"))
     out = sets.select("doc", "n", "rep").join(roots.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    low = out.groupBy("root").agg(F.min("doc").alias("component_id"))
+    # a root is the smallest of the documents that were compared; only where a copy has a smaller id is there more to say
+    low = out.groupBy("root").agg(F.min("doc").alias("least")).filter("least < root")
     null = F.col("doc") == F.lit(NOBODY)
-    out = out.join(low, "root")
+    out = out.join(low, "root", "left").withColumn("component_id", F.coalesce("least", "root"))
     return out.select(F.when(~null, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~null, F.col("component_id")).alias("component_id"))
 
 
