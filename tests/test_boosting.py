@@ -164,15 +164,16 @@ def test_categories_split_by_sets(spark):
 
 
 def test_rankers_and_survival_learn(spark, rows):
+    rows = rows.filter("k < 600").coalesce(2)
     df = rows.withColumn("q", F.floor(F.col("k") / 20)).withColumn("rel", F.least(F.lit(4), F.floor("y")).cast("int"))
     for kind in ("lambdarank", "query_rmse", "pair_logit"):
-        m = boost.train(df, ["a", "b", "c"], "rel", params(objective=kind, group="q", num_iterations=2), key="k")
+        m = boost.train(df, ["a", "b", "c"], "rel", params(objective=kind, group="q", num_iterations=1), key="k")
         assert metrics.ndcg(m.predict(df), "q", "rel", "prediction", "k").first()["value"] > 0.9
     times = rows.withColumn("t", F.round(F.exp(2 - F.col("y") / 2), 2)).withColumn("e", (F.col("k") % 4 > 0).cast("int"))
-    m = boost.train(times, ["a", "b", "c"], "t", params(objective="cox", event="e", num_iterations=3), key="k")
+    m = boost.train(times, ["a", "b", "c"], "t", params(objective="cox", event="e", num_iterations=2), key="k")
     scored = m.predict(times).withColumn("zero", F.lit(0.0))
     ll = lambda c: metrics.cox_partial_loglik(scored, "t", "e", c).first()["value"]
-    assert ll("prediction") > ll("zero") + 50
+    assert ll("prediction") > ll("zero") + 20
     for noise in ("normal", "logistic", "extreme"):
         both = times.withColumn("up", F.when(F.col("e") == 1, F.col("t")).otherwise(-1.0))
         m = boost.train(both, ["a", "b", "c"], "t", params(objective="aft", upper="up", noise=noise, num_iterations=3), key="k")
