@@ -56,7 +56,7 @@ def score(g: Column, h: Column, p: SplitParams, w: Column | None = None) -> Colu
         w = output(g, h, p)
     if w is not None:
         return -(2 * threshold(g, p.lambda_l1) * w + (h + p.lambda_l2) * w * w)
-    t = threshold(g, p.lambda_l1)
+    t = threshold(g.cast("double"), p.lambda_l1)  # whole-number sums would overflow when squared
     return t * t / (h + p.lambda_l2)
 
 
