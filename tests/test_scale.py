@@ -1,8 +1,10 @@
 """What only larger tables show."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from timberline.operators import split
+from timberline.operators import features, split
+from timberline.plans import catalogue
 
 
 def test_categories_of_large_whole_sums(spark):
@@ -11,3 +13,29 @@ def test_categories_of_large_whole_sums(spark):
     found = split.best_categorical(hist, split.SplitParams()).first()
     assert found["left"] == [0, 1]
     assert found["gain"] == 7e9 * 7e9 / 2011 + 8e9 * 8e9 / 2011 - 1e9 * 1e9 / 4001
+
+
+def test_dictionary_without_a_limit(spark):
+    texts = [(i, f"word{i} word{i} common") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r["token_id"], r["token"], r["n"]) for r in features.dictionary(docs, "text", 2, None).collect()]
+    want = [("common", 40), *sorted((f"word{i}", 2) for i in range(40))]
+    assert sorted(got) == [(i, token, n) for i, (token, n) in enumerate(want)]
+    assert len(features.dictionary(docs, "text", 2, 7).collect()) == 7
+
+
+def test_scores_of_texts_take_every_frequent_token(spark, tmp_path):
+    """More tokens of 50 places than a dictionary's usual size of 50,000."""
+    size = 50_400
+    start = F.lit(400) * (F.col("id") % 126)  # every word stands in 50 texts
+    docs = spark.range(126 * 50, numPartitions=4).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(start, start + 399), lambda i: i.cast("string")), " ").alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert con.sql(f"SELECT count(*) FROM (SELECT token FROM {catalogue._TOKENS} GROUP BY 1 HAVING count(*) >= 50)").fetchall() == [(size,)]
+    for name in ("bm25_apply",):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(catalogue.ORACLES[name])
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.random import uniform
+from .ranges import place, running
 
 
 # --- target statistics -------------------------------------------------------------------------------------------
@@ -103,9 +104,13 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), "\x00"))).otherwise(F.array().cast("array<string>"))
 
 
-def dictionary(df: DataFrame, text: str, at_least: int = 3, most: int = 50_000, n: int = 1, lower: bool = False) -> DataFrame:
-    """(token, n, token_id): tokens by falling count, then by token; the `most` first ones (the dictionary's size)."""
+def dictionary(df: DataFrame, text: str, at_least: int = 3, most: int | None = 50_000, n: int = 1, lower: bool = False) -> DataFrame:
+    """(token, n, token_id): tokens by falling count, then by token; the `most` first ones (the dictionary's size), or all
+    for None."""
     t = df.select(F.explode(ngrams(tokens(F.col(text), lower), n)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least)
+    if most is None:
+        order = [F.desc("n"), F.col("token")]
+        return running(place(t, order), {"token_id": F.lit(1)}, [], order).select("token", "n", F.col("token_id").cast("int"))
     top = t.orderBy(F.desc("n"), "token").limit(most)
     return top.withColumn("token_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token")) - 1)
 

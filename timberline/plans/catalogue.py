@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import objectives as O
 from ..functions.random import bag_stream, splitmix64, uniform
 from ..operators import binning, boost, cv, features, groups, histogram, inspect, joins, linear, metrics, ranges, ranking, sampling, sparse, split, validate
+from .storage import cut
 from .tree_sql import Fit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,6 +648,12 @@ def text_bigrams(spark, d):
 _BAG50 = "bag AS (SELECT doc_id, token, count(*) AS n FROM {t} SEMI JOIN (SELECT token FROM {t} GROUP BY 1 HAVING count(*) >= 50) USING (token) GROUP BY 1, 2)".format(t=_TOKENS)
 
 
+def _bags(spark, d):
+    """Written once, as every step of the scores reads it."""
+    docs = table(spark, d, "documents")
+    return cut(features.bag(docs, "doc_id", "text", features.dictionary(docs, "text", 50, None)))
+
+
 @query("naive_bayes_apply", f"""WITH {_BAG50}, per AS (SELECT toxic, token, sum(n) AS c FROM bag JOIN labels USING (doc_id) GROUP BY 1, 2), whole AS (SELECT toxic, sum(c) AS total FROM per GROUP BY 1),
 cls AS (SELECT toxic, total, d, (SELECT count(*) FROM labels) AS a, (SELECT count(DISTINCT token) FROM bag) AS v FROM whole JOIN (SELECT toxic, count(*) AS d FROM labels GROUP BY 1) USING (toxic))
 SELECT doc_id, cls.toxic, round(sum(n * ln((coalesce(c, 0) + 0.5) / (total + 0.5 * v))) + any_value(ln(d / a)), 6) + 0.0 AS log_prob FROM bag CROSS JOIN cls LEFT JOIN per ON per.toxic = cls.toxic AND per.token = bag.token GROUP BY 1, 2""")
@@ -660,9 +667,7 @@ def naive_bayes_apply(spark, d):
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT toxic, token, greatest(1e-3, ln(((SELECT count(*) FROM size) - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM size))) AS w FROM tf JOIN size USING (toxic) JOIN df USING (token))
 SELECT doc_id, toxic, round(sum(w), 6) + 0.0 AS score FROM bag JOIN w USING (token) GROUP BY 1, 2""")
 def bm25_apply(spark, d):
-    docs = table(spark, d, "documents")
-    bags = features.bag(docs, "doc_id", "text", features.dictionary(docs, "text", 50))
-    return features.bm25(bags, table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", r6(F.col("score"), "score"))
+    return features.bm25(_bags(spark, d), table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", r6(F.col("score"), "score"))
 
 
 @query("class_means", "SELECT label, (pos - 1)::INT AS pos, round(avg(v::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2")
