@@ -35,7 +35,7 @@ def test_scores_of_texts_take_every_frequent_token(spark, tmp_path):
     for name in ("documents", "labels"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert con.sql(f"SELECT count(*) FROM (SELECT token FROM {catalogue._TOKENS} GROUP BY 1 HAVING count(*) >= 50)").fetchall() == [(size,)]
-    for name in ("bm25_apply",):
+    for name in ("bm25_apply", "naive_bayes_apply"):
         got = catalogue.QUERIES[name](spark, str(tmp_path))
         want = con.sql(catalogue.ORACLES[name])
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())

@@ -658,9 +658,7 @@ def _bags(spark, d):
 cls AS (SELECT toxic, total, d, (SELECT count(*) FROM labels) AS a, (SELECT count(DISTINCT token) FROM bag) AS v FROM whole JOIN (SELECT toxic, count(*) AS d FROM labels GROUP BY 1) USING (toxic))
 SELECT doc_id, cls.toxic, round(sum(n * ln((coalesce(c, 0) + 0.5) / (total + 0.5 * v))) + any_value(ln(d / a)), 6) + 0.0 AS log_prob FROM bag CROSS JOIN cls LEFT JOIN per ON per.toxic = cls.toxic AND per.token = bag.token GROUP BY 1, 2""")
 def naive_bayes_apply(spark, d):
-    docs = table(spark, d, "documents")
-    bags = features.bag(docs, "doc_id", "text", features.dictionary(docs, "text", 50))
-    return features.naive_bayes(bags, table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", r6(F.col("log_prob"), "log_prob"))
+    return features.naive_bayes(_bags(spark, d), table(spark, d, "labels"), "doc_id", "toxic").select("doc_id", "toxic", r6(F.col("log_prob"), "log_prob"))
 
 
 @query("bm25_apply", f"""WITH {_BAG50}, tf AS (SELECT toxic, token, sum(n) AS tf FROM bag JOIN labels USING (doc_id) GROUP BY 1, 2), size AS (SELECT toxic, sum(tf) AS len FROM tf GROUP BY 1),
