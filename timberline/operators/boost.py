@@ -366,7 +366,7 @@ def grow_all(df: DataFrame, features: list[str], bins: Bins, p: Params, count: i
         # the tables' size is known: nodes x bins; small ones go on in one task, without further shuffles
         few = (len(family) * 2 or len(sprouts)) * bins.size() <= ONE_TASK
         if few:
-            hist = hist.coalesce(1)
+            hist = hist.repartition(1)  # not coalesce: one task would hold an aggregation for every shuffle partition
         if family and held is not None:
             hist = with_siblings(hist, held, family, few)
         hist = hist.persist()  # nodes x features x bins rows
