@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from timberline.operators import features, split
+from timberline.operators import boost, features, split
 from timberline.plans import catalogue
 
 
@@ -39,3 +39,25 @@ def test_scores_of_texts_take_every_frequent_token(spark, tmp_path):
         got = catalogue.QUERIES[name](spark, str(tmp_path))
         want = con.sql(catalogue.ORACLES[name])
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_memory_of_the_one_histogram_task(spark):
+    """It does not add up over the shuffle's partitions."""
+    rows = spark.range(4000).select((F.col("id") % 61).cast("double").alias("a"), (F.col("id") % 59).cast("double").alias("b"), (F.col("id") % 7).cast("double").alias("y"))
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def peak(parts: int) -> int:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        seen = stages().length()
+        try:
+            boost.train(rows, ["a", "b"], "y", boost.Params.of(num_iterations=1, num_leaves=4))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", usual)
+        every = stages()
+        ran = [every.apply(i) for i in range(every.length())]
+        ran = sorted(ran, key=lambda s: s.stageId())[seen:]
+        return max(s.peakExecutionMemory() for s in ran if s.numTasks() == 1)
+
+    assert peak(48) < 2 * peak(4)
