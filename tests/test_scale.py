@@ -1,6 +1,9 @@
 """What only larger tables show."""
 
+from collections import Counter
+
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from timberline.operators import boost, features, split
@@ -61,3 +64,18 @@ def test_memory_of_the_one_histogram_task(spark):
         return max(s.peakExecutionMemory() for s in ran if s.numTasks() == 1)
 
     assert peak(48) < 2 * peak(4)
+
+
+def test_nearest_vectors_of_many_blocks(spark):
+    """As by brute force, with copies; distances that are equal after the root are ties, which go by key."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 6)).astype(np.float32)
+    x[200:240] = x[7]
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<float>, label int")
+    d = np.sqrt(((x[:, None].astype(float) - x) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = Counter((i, int(j) % 3) for i in range(300) for j in np.lexsort((np.arange(300), d[i]))[:5])
+    for block in (70, 1000):
+        assert {(r["id"], r["label"]): r["n"] for r in features.knn(rows, "id", "v", "label", block=block).collect()} == want
+    close = spark.createDataFrame([(0, [0.0, 0.0], 0), (1, [1.0, 2.0**-26], 1), (2, [1.0, 0.0], 2)], "id long, v array<double>, label int")
+    assert features.knn(close, "id", "v", "label", 1).filter("id = 0").first()["label"] == 1

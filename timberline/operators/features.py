@@ -152,43 +152,92 @@ def bm25(bags: DataFrame, labels: DataFrame, key: str, label: str, k: float = 1.
 # --- embeddings ---------------------------------------------------------------------------------------------------
 
 
-def knn(df: DataFrame, key: str, vector: str, label: str, k: int = 5, queries: DataFrame | None = None, block: int = 2000) -> DataFrame:
-    """(key, label, n): classes of the k nearest other vectors by squared L2, ties by key.
+def knn(df: DataFrame, key: str, vector: str, label: str, k: int = 5, queries: DataFrame | None = None, block: int = 32_000) -> DataFrame:
+    """(key, label, n): classes of the k nearest other vectors by L2, ties by key.
 
     Queries and index are cut into blocks of about `block` rows by a hash of the key; every pair of blocks is one group, in
-    which each query keeps its k nearest, and the nearest of all blocks are taken from these. Any number of rows will do;
-    the work grows with queries times rows.
+    which each query keeps its k nearest, and the nearest of all blocks are taken from these. Inside a group, products of
+    matrices in single precision rule out what lies beyond the k-th distance by more than their error; the rest is measured
+    in double precision. Any number of rows will do; the work grows with queries times rows.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     n, m = df.count(), (queries if queries is not None else df).count()
     blocks, parts = max(1, -(-n // block)), max(1, -(-m // block))
     kind = dict(df.dtypes)[key]
+    exact = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
 
     def side(rows: DataFrame, own: int, other: int, mine: str, theirs: str, index: bool) -> DataFrame:
         here = F.pmod(F.xxhash64(key, F.lit(int(index))), F.lit(own)).cast("int")
         cls = F.col(label).cast("string") if index else F.lit(None).cast("string")
-        cells = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x"), cls.alias("label"), F.lit(index).alias("index"), here.alias(mine))
+        cells = rows.select(F.col(key).alias("k"), F.col(vector).cast(exact).alias("x"), cls.alias("label"), F.lit(index).alias("index"), here.alias(mine))
         return cells.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).select("k", "x", "label", "index", "qb", "ib")
 
     both = side(queries if queries is not None else df, parts, blocks, "qb", "ib", False).unionByName(side(df, blocks, parts, "ib", "qb", True))
 
-    def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        q, i = group[~group["index"]], group[group["index"]].sort_values("k")
-        if not len(q) or not len(i):
-            return pd.DataFrame({"q": [], "i": [], "label": [], "d": []})
-        y, ids = np.stack(i["x"].to_numpy()), i["k"].to_numpy()
-        out = []
-        for name, x in zip(q["k"], q["x"]):
-            d = ((y - x) ** 2).sum(1)
-            d[ids == name] = np.inf
-            top = np.argsort(d, kind="stable")[:k]
-            top = top[np.isfinite(d[top])]
-            out.append(pd.DataFrame({"q": name, "i": ids[top], "label": i["label"].to_numpy()[top], "d": d[top]}))
-        return pd.concat(out)
-
-    near = both.groupBy("qb", "ib").applyInPandas(nearest, f"q {kind}, i {kind}, label string, d double")
+    def finite(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """The rows whose vectors are finite, and these."""
+        x = pa.concat_arrays(rows.column("x").chunks)
+        size = pc.min_max(pc.list_value_length(x)).as_py()
+        if x.null_count or size["min"] != size["max"]:
+            raise ValueError("vectors are null or differ in length")
+        v = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+        good = np.isfinite(v).all(1)
+        return rows.filter(pa.array(good)), v[good]
+
+    def nearest(group: pa.Table) -> pa.Table:
+        index = group.column("index")
+        q, i = group.filter(pc.invert(index)), group.filter(index).sort_by("k")
+        if q.num_rows and i.num_rows:
+            (q, x), (i, y) = finite(q), finite(i)
+        found = []
+        if q.num_rows and i.num_rows:
+            names = i.column("k").unique()
+            code = lambda t: pc.fill_null(pc.index_in(t.column("k"), value_set=names), -1).to_numpy()
+            qc, ic = code(q), code(i)
+            most = k + int(np.bincount(ic).max())  # the row itself is among the nearest
+            scale = max(np.abs(x).max(), np.abs(y).max()) or 1.0
+            xs, ys = (x / scale).astype(np.float32), (y / scale).astype(np.float32)
+            yy = (ys * ys).sum(1)
+            slack = 2 * (x.shape[1] + 8) * np.finfo(np.float32).eps * ((xs * xs).sum(1) + yy.max())
+            ys *= -2
+            for a in range(0, len(x), 256):
+                own, more = xs[a : a + 256], slack[a : a + 256]
+                bound = np.full(len(own), np.inf, np.float32)
+                r, c, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
+                for b in range(0, len(y), 8192):
+                    near = own @ ys[b : b + 8192].T
+                    near += yy[b : b + 8192]
+                    if b == 0 and near.shape[1] >= most:
+                        bound = np.partition(near[:, : max(1024, most)], most - 1, axis=1)[:, most - 1]
+                    at, to = np.nonzero(near <= (bound + more)[:, None])
+                    r, c, d = np.r_[r, at], np.r_[c, to + b], np.r_[d, near[at, to]]
+                    order = np.lexsort((d, r))
+                    r, c, d = r[order], c[order], d[order]
+                    last = np.searchsorted(r, np.arange(len(own))) + most - 1
+                    full = last < np.searchsorted(r, np.arange(len(own)), "right")
+                    bound[full] = np.minimum(bound[full], d[last[full]])
+                    kept = d <= (bound + more)[r]
+                    r, c, d = r[kept], c[kept], d[kept]
+                r = r + a
+                other = qc[r] != ic[c]
+                r, c = r[other], c[other]
+                far = np.zeros(len(r))
+                for j in range(x.shape[1]):
+                    step = x[r, j] - y[c, j]
+                    far += step * step
+                far = np.sqrt(far)
+                order = np.lexsort((c, far, r))
+                order = order[np.isfinite(far[order])]
+                first = np.searchsorted(r[order], r[order])
+                order = order[np.arange(len(order)) - first < k]
+                found.append((r[order], c[order], far[order]))
+        r, c, far = (np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"q": q.column("k").take(pa.array(r)), "i": i.column("k").take(pa.array(c)), "label": i.column("label").take(pa.array(c)), "d": far})
+
+    near = both.groupBy("qb", "ib").applyInArrow(nearest, f"q {kind}, i {kind}, label string, d double")
     top = near.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "i"))).filter(F.col("r") <= k)
     return top.groupBy(F.col("q").alias(key), F.col("label").cast(dict(df.dtypes)[label]).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
